@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarn.llm import bpe
+from tarn.llm import bpe, langid
 
-MODULES = [bpe]
+MODULES = [bpe, langid]
 
 
 def queries() -> dict[str, Callable]:
