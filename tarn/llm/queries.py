@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarn.llm import bpe, langid
+from tarn.llm import bpe, crf, langid
 
-MODULES = [bpe, langid]
+MODULES = [bpe, langid, crf]
 
 
 def queries() -> dict[str, Callable]:
