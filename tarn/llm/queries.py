@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarn.llm import bpe, crf, langid
+from tarn.llm import bpe, crf, langid, quality
 
-MODULES = [bpe, langid, crf]
+MODULES = [quality, bpe, langid, crf]
 
 
 def queries() -> dict[str, Callable]:
