@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarn.llm import bpe, crf, langid, quality
+from tarn.llm import bpe, crf, jaccard, langid, quality
 
-MODULES = [quality, bpe, langid, crf]
+MODULES = [quality, bpe, langid, jaccard, crf]
 
 
 def queries() -> dict[str, Callable]:
