@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarn.llm import bpe, crf, jaccard, langid, quality
+from tarn.llm import bpe, crf, jaccard, langid, neardup, quality
 
-MODULES = [quality, bpe, langid, jaccard, crf]
+MODULES = [quality, bpe, langid, jaccard, neardup, crf]
 
 
 def queries() -> dict[str, Callable]:
