@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarn.llm import bpe, crf, jaccard, langid, neardup, quality
+from tarn.llm import bpe, crf, jaccard, langid, mixing, neardup, quality, urlfilter
 
-MODULES = [quality, bpe, langid, jaccard, neardup, crf]
+MODULES = [quality, bpe, urlfilter, langid, jaccard, neardup, mixing, crf]
 
 
 def queries() -> dict[str, Callable]:
