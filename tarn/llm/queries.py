@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarn.llm import bpe, crf, jaccard, langid, mixing, neardup, quality, urlfilter
+from tarn.llm import bpe, crf, jaccard, langid, mixing, neardup, pii, quality, urlfilter
 
-MODULES = [quality, bpe, urlfilter, langid, jaccard, neardup, mixing, crf]
+MODULES = [quality, bpe, urlfilter, langid, jaccard, neardup, pii, mixing, crf]
 
 
 def queries() -> dict[str, Callable]:
