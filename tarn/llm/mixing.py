@@ -2,9 +2,9 @@
 
 A document's size is its number of words, its hash 60 bits of the MD5 of its id. Each source's target is its share of all sizes by
 weight, at most `most` times its own size, the excess shared anew by weight. A source is taken whole as often as its target allows;
-the rest is a budget: sizes are summed by source and 15 leading bits of the hash, the bucket in which the budget ends is found, and
-only that bucket is refined by the next 15 bits, until one hash is left. Documents whose hash is under the threshold are taken once more
-(the one on it if that comes nearer the target). Nothing is sorted; the histograms have at most 2^15 rows a source, and a larger budget
+the rest is a budget: sizes are summed by source and 10 leading bits of the hash, the bucket in which the budget ends is found, and
+only that bucket is refined by the next 10 bits, until one hash is left. Documents whose hash is under the threshold are taken once more
+(the one on it if that comes nearer the target). Nothing is sorted; the histograms have at most 2^10 rows a source, and a larger budget
 takes a superset of a smaller one.
 
 Cases: null and empty texts have size 0 and take nothing; a null source is a source, the last one; null ids share one hash; rows that
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import WORD, documents, settle
 
-BITS, LEVELS = 15, 4
+BITS, LEVELS = 10, 6
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> Column:
@@ -44,28 +44,51 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return w.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(id, source, size, hash, source_size, target, taken): a row for each document."""
-    base = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sized(docs, text_col).alias("size"), hashed(id_col).alias("hash")))
+def thresholds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """(of, source_size, target, whole, last): a row for each source: how often all of it is taken, and the last hash taken once more."""
+    base = settle(docs.select(F.col(source_col).alias("source"), sized(docs, text_col).alias("size"), hashed(id_col).alias("hash")))
     aims = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     aims = settle(aims.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
-    few = aims.count() <= 100_000
-    side = lambda df: F.broadcast(df) if few else df
     found = aims.select(F.col("source").alias("s"), "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("under"), F.lit(0).cast("long").alias("on"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        inside = base.join(side(found), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")))
+        inside = base.join(sided(found), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")))
         bars = inside.groupBy("s", F.shiftright("hash", shift).alias("p")).agg(F.sum("size").alias("n"), F.first("budget").alias("budget"), F.first("under").alias("under"))
         bars = bars.withColumn("upto", F.col("under") + F.sum("n").over(Window.partitionBy("s").orderBy("p")))
         # the first bucket that goes beyond the budget
         edge = bars.where("upto > budget").groupBy("s").agg(F.min(F.struct("p", "upto", "n", "budget")).alias("e"))
         found = settle(edge.select("s", "e.budget", F.col("e.p").alias("prefix"), (F.col("e.upto") - F.col("e.n")).alias("under"), F.col("e.n").alias("on")))
     line = found.select("s", F.when(F.col("under") + F.col("on") / 2 <= F.col("budget"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
-    aims = aims.join(line, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "last")
-    more = F.coalesce(F.col("hash") <= F.col("last"), F.lit(False)).cast("long")
-    out = base.join(side(aims), F.col("source").eqNullSafe(F.col("of")))
-    return out.select(F.col("id").alias(id_col), "source", "size", "hash", "source_size", "target", (F.col("size") * (F.col("whole") + more)).cast("long").alias("taken"), (F.col("whole") + more).cast("int").alias("times"))
+    return settle(aims.join(line, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "last"))
+
+
+def sided(sources: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of sources, broadcast if there are few, as counted."""
+    return F.broadcast(sources) if sources.count() <= most else sources
+
+
+def times() -> Column:
+    """How often a document is taken, from its hash and its source's row of thresholds."""
+    return (F.col("whole") + F.coalesce(F.col("__hash") <= F.col("last"), F.lit(False)).cast("long")).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """(id, size, source_size, target, taken, times): a row for each document."""
+    aims = sided(thresholds(docs, id_col, text_col, source_col, weights, most))
+    base = docs.select(F.col(id_col), F.col(source_col).alias("__source"), sized(docs, text_col).alias("size"), hashed(id_col).alias("__hash"))
+    out = base.join(aims, F.col("__source").eqNullSafe(F.col("of"))).withColumn("times", times())
+    return out.select(id_col, "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times")
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it, with their own columns."""
+    aims = sided(thresholds(docs, id_col, text_col, source_col, weights, most))
+    aims = aims.select(F.col("of").alias("__of"), F.col("whole").alias("__whole"), F.col("last").alias("__last"))
+    again = F.explode(F.sequence(F.lit(1), F.col("__whole").cast("int") + F.coalesce(F.col("__hash") <= F.col("__last"), F.lit(False)).cast("int")))
+    marked = docs.withColumn("__hash", hashed(id_col)).join(aims, F.col(source_col).eqNullSafe(F.col("__of")))
+    some = marked.where((F.col("__whole") > 0) | F.coalesce(F.col("__hash") <= F.col("__last"), F.lit(False)))
+    return some.withColumn("__again", again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

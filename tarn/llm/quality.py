@@ -204,6 +204,24 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return apply(stats, model).withColumnRenamed("id", id_col)
 
 
+def select(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is `least` or more, with their own columns. labels: (id, y). Rows are scored where they are."""
+    known = labels.where(F.col("id").isNotNull() & F.col("y").isNotNull()).select("id").distinct()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = own.join(F.broadcast(known) if known.count() <= 2_000_000 else known, "id", "left_semi")
+    held = docs.sparkSession.sparkContext.broadcast(learn(settle(profile(own, "id", "text")), labels))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in portions(batch, at):
+                yield part.filter(pa.array(held.value(statistics(part.column(at))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
