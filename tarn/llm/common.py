@@ -60,7 +60,7 @@ _VALUES_LOWER[65:91] = _VALUES[97:123]
 
 def _powers(base: int, n: int) -> np.ndarray:
     if base not in _POWERS or len(_POWERS[base]) < n:
-        size = 1 << max(20, int(n).bit_length())
+        size = 1 << max(19, int(n).bit_length())
         out = np.empty(size, np.uint64)
         out[0] = 1
         done = 1
@@ -87,7 +87,7 @@ def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(batch, text: int, most: int = 1 << 20):
+def portions(batch, text: int, most: int = 1 << 19):
     """Slices of a record batch with about that many bytes of text each, so that arrays stay small; a longer text comes alone."""
     import pyarrow.compute as pc
 

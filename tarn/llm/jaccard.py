@@ -13,8 +13,8 @@ Documents are sets of 64-bit hashes of five-word shingles; two link when 100 * i
 5. Components of all links found. No link between different classes is lost: the prefix and the union bounds are exact.
 
 What grows with a group of copies or near copies is a row a document. The frequent tokens that every task gets are at most `most_hot`
-(the threshold of frequency follows the number of tokens), 4 bytes each. Rows whose texts are read again are found by a broadcast of
-ids if at most `most_ids` of them exist, else by a shuffle join.
+(the threshold of frequency rises until they are), 4 bytes each. Rows whose texts are read again are found by a broadcast of
+ids if at most 2,000,000 of them exist, else by a shuffle join.
 
 Cases: null and empty texts and texts without words have size 0 and link with nothing; under five words the whole sequence is the one
 shingle; texts of any length count whole; rows that repeat an id count once (the text that sorts last); ids are integers, and
@@ -53,27 +53,36 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def restrict(docs: DataFrame, ids: DataFrame, most_ids: int = 2_000_000) -> DataFrame:
-    """The rows of docs (id first) whose ids are given; broadcast only a number of ids that was counted."""
-    ids = ids.select(F.col(ids.columns[0]).alias(docs.columns[0]))
-    return docs.join(F.broadcast(ids) if ids.count() <= most_ids else ids, docs.columns[0], "left_semi")
+def attach(texts: DataFrame, rows: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """texts (id, text) with the rows of the same id (id, ...); broadcast only a number of rows that was counted."""
+    return texts.join(F.broadcast(rows) if rows.count() <= most_rows else rows, "id")
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
-    """(id, tokens): whole sets as bytes. docs: (id, text)."""
+def token_sets(rows: DataFrame, short: bool = False) -> DataFrame:
+    """(id, ..., tokens) from (id, text, ...): whole sets as bytes; short: the upper 24 bits of each token, in order."""
+    more = [c for c in rows.columns if c not in ("id", "text")]
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
             for part in portions(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["id", "tokens"])
+                sets = shingle_sets(part.column(1))
+                if short:
+                    sets = [(s >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3] for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", *more, "tokens"])
+
+    return rows.select("id", "text", *more).mapInArrow(run, ", ".join(["id long", *(f"{c} long" for c in more), "tokens binary"]))
 
-    return docs.mapInArrow(run, "id long, tokens binary")
 
+def long_codes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
 
-def verify(pairs: DataFrame, tokens: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The (a, b) of the pairs given whose sets link."""
+
+def verify(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The (a, b) of the pairs given whose sets link. Only sets of a travel, each to its b."""
     num, den = threshold
 
     def run(batches: Iterator):
@@ -89,17 +98,18 @@ def verify(pairs: DataFrame, tokens: DataFrame, threshold: tuple[int, int]) -> D
                 keep[i] = den * shared >= num * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    a, b = (tokens.select(F.col("id").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in "ab")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
+    a = token_sets(attach(texts, pairs.select(F.col("a").alias("id"), "b"))).select(F.col("id").alias("a"), "b", F.col("tokens").alias("x"))
+    b = token_sets(attach(texts, pairs.select(F.col("b").alias("id")).distinct())).select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    return a.join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def hot_tokens(docs: DataFrame, total: int, most_hot: int) -> np.ndarray:
-    """The upper halves of the tokens that more than max(8, total / most_hot) texts hold, sorted: at most most_hot of them.
+    """The upper halves of the tokens that more texts hold than a threshold, sorted: the least threshold of 8 or more that leaves
+    at most most_hot tokens.
 
     Each task sorts the tokens of its texts and writes them by range, as gaps of two bytes; each range has a counter for each of
     its tokens, whatever the size of the corpus."""
     bits = int(np.clip(np.ceil(np.log2(max(total, 1) / (1 << 22))), 8, 20))
-    least = max(8, total // most_hot)
 
     def deal(batches: Iterator):
         import pyarrow as pa
@@ -141,10 +151,19 @@ def hot_tokens(docs: DataFrame, total: int, most_hot: int) -> np.ndarray:
             n[np.cumsum(np.frombuffer(gaps, np.uint32 if wide else np.uint16).astype(np.int64))] += 1
             at, times = np.frombuffer(more, np.uint32).reshape(2, -1)
             n[at] += times
-        hot = np.flatnonzero(n > least) + (int(key[0]) << (32 - bits))
-        return pd.DataFrame({"token": hot})
-
-    found = docs.select(docs.columns[1]).mapInArrow(deal, "range int, gaps binary, wide boolean, more binary").groupBy("range").applyInPandas(tally, "token long").toPandas()
+        hot = np.flatnonzero(n > 8)
+        return pd.DataFrame({"token": hot + (int(key[0]) << (32 - bits)), "n": n[hot].astype(np.int64)})
+
+    found = settle(docs.select(docs.columns[1]).mapInArrow(deal, "range int, gaps binary, wide boolean, more binary").groupBy("range").applyInPandas(tally, "token long, n long"))
+    # how many tokens have each of at most some hundred classes of frequency
+    level = F.floor(F.log2("n") * 8)
+    least, held = 0, 0
+    for r in sorted(found.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        held += r["k"]
+        if held > most_hot:
+            least = r["level"] + 1
+            break
+    found = found.where(level >= least).select("token").toPandas()
     return np.sort(found["token"].to_numpy(np.int64)).astype(np.uint32)
 
 
@@ -177,7 +196,9 @@ def prefixes(docs: DataFrame, hot: np.ndarray, threshold: tuple[int, int]) -> Da
 
 
 def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> DataFrame:
-    """(q, g): queries and groups of another class that meet in a column of the matrix. entries: (id, class, group, n, tokens)."""
+    """(q, g): queries and groups of another class that meet in a column of the matrix. entries: (id, class, group, n, tokens).
+
+    Tokens go by 40 bits beside their bucket's; two that agree in these alone only make a needless candidate."""
     num, den = threshold
 
     def deal(batches: Iterator):
@@ -196,8 +217,8 @@ def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> Dat
                 own = order[cut[k] : cut[k + 1]]
                 used, at = np.unique(row[own], return_inverse=True)
                 rows["bucket"].append(k)
-                rows["tokens"].append(token[own].tobytes())
-                rows["row"].append(at.astype(np.uint32).tobytes())
+                rows["tokens"].append(token[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                rows["row"].append(at.astype(np.uint16 if len(used) <= 65536 else np.uint32).tobytes())
                 rows["docs"].append(table[used].tobytes())
             return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("row", pa.binary()), ("docs", pa.binary())]))
 
@@ -215,10 +236,13 @@ def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> Dat
     def meet(key, g):
         import pandas as pd
 
-        token = np.concatenate([np.frombuffer(t, np.uint64) for t in g["tokens"]])
+        packed = np.frombuffer(b"".join(g["tokens"]), np.uint8).reshape(-1, 5)
+        token = np.zeros((len(packed), 8), np.uint8)
+        token[:, :5] = packed
+        token = token.view("<u8").ravel()
         docs = [np.frombuffer(d, np.int64).reshape(-1, 4) for d in g["docs"]]
         first = np.cumsum([0, *map(len, docs)])
-        row = np.concatenate([np.frombuffer(r, np.uint32).astype(np.int64) + k for r, k in zip(g["row"], first)])
+        row = np.concatenate([np.frombuffer(r, np.uint16 if len(d) <= 65536 else np.uint32).astype(np.int64) + k for r, d, k in zip(g["row"], docs, first)])
         docs = np.concatenate(docs)
         order = np.argsort(token, kind="stable")
         token, row = token[order], row[order]
@@ -247,28 +271,30 @@ def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> Dat
     return entries.select("id", "class", "group", "n", "tokens").mapInArrow(deal, "bucket int, tokens binary, row binary, docs binary").groupBy("bucket").applyInPandas(meet, "q long, g long").distinct()
 
 
-def qualify(pairs: DataFrame, tokens: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The (q, g) whose overlap with the group's union lets a member link. members: (group, id)."""
+def qualify(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The (q, g) whose overlap with the group's union lets a member link. members: (id, g). 24 bits of a token serve, as they can
+    only make the bound larger."""
     num, den = threshold
 
     def union(key, g):
         import pandas as pd
 
-        return pd.DataFrame({"g": [key[0]], "union": [np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in g["tokens"]])).tobytes()]})
+        return pd.DataFrame({"g": [key[0]], "low": [min(map(len, g["tokens"])) // 3], "union": [np.unique(np.concatenate([long_codes(t) for t in g["tokens"]])).tobytes()]})
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for i, (x, low, y) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4))):
+                x, y = long_codes(x.as_py()), np.frombuffer(y.as_buffer(), "<u4")
                 shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
-                keep[i] = den * shared >= num * len(x)
+                keep[i] = (num + den) * shared >= num * (len(x) + max(low, -(-num * len(x) // den)))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["q", "g"])
 
-    unions = members.join(tokens, "id").select(F.col("group").alias("g"), "tokens").groupBy("g").applyInPandas(union, "g long, union binary")
-    return pairs.join(tokens.select(F.col("id").alias("q"), "tokens"), "q").join(unions, "g").select("q", "g", "tokens", "union").mapInArrow(run, "q long, g long")
+    unions = token_sets(attach(texts, members.select("id", "g")), short=True).groupBy("g").applyInPandas(union, "g long, low long, union binary")
+    queries = token_sets(attach(texts, pairs.select(F.col("q").alias("id"), "g")), short=True).select(F.col("id").alias("q"), "g", "tokens")
+    return queries.join(unions, "g").select("q", "g", "tokens", "low", "union").mapInArrow(run, "q long, g long")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (3, 4), group: int = 64, most_hot: int = 1 << 22) -> DataFrame:
@@ -286,8 +312,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("key", F.col("lead.rep").alias("b"), F.col("lead.n").alias("m"))
     star = keyed.join(lead, "key").where(f"rep != b and {threshold[1]} * least(n, m) >= {threshold[0]} * greatest(n, m)")
     star = settle(star.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("k")).where("k >= 2").select("a", "b"))
-    tokens = settle(token_sets(restrict(texts, star.select("a").union(star.select("b")).distinct())))
-    links = settle(verify(star, tokens, threshold))
+    links = settle(verify(star, texts, threshold))
     first = components(links)
     classes = reps.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("class"))
     sizes = classes.groupBy("class").agg(F.count("*").alias("k"))
@@ -297,22 +322,32 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the matrix over groups, and the groups that its columns bring before each query
     total, kept = (x.agg(F.sum("n")).first()[0] or 0 for x in (sets, reps))
     hot = hot_tokens(texts, total, most_hot)
-    entries = prefixes(texts, hot, threshold).join(classes.withColumnRenamed("rep", "id"), "id")
+    entries = settle(attach(prefixes(texts, hot, threshold), classes.withColumnRenamed("rep", "id"), 1_000_000))
     met = settle(columns(entries, max(12, kept // 4_000_000), threshold))
+    last = first
     if met.limit(1).count():
-        members = settle(classes.select("group", F.col("rep").alias("id")).join(met.select(F.col("g").alias("group")).distinct(), "group", "left_semi"))
-        need = settle(token_sets(restrict(texts, met.select("q").union(members.select("id")).distinct())))
-        opened = qualify(met, need, members, threshold)
-        pairs = settle(opened.join(members.select(F.col("group").alias("g"), F.col("id").alias("b")), "g").select(F.col("q").alias("a"), "b"))
-        links = links.unionByName(verify(pairs, need, threshold))
-        last = components(links)
-    else:
-        last = first
+        members = settle(classes.select(F.col("group").alias("g"), F.col("rep").alias("id")).join(met.select("g").distinct(), "g", "left_semi"))
+        opened = settle(qualify(met, members, texts, threshold))
+        pairs = settle(opened.join(members.withColumnRenamed("id", "b"), "g").select(F.col("q").alias("a"), "b"))
+        last = components(links.unionByName(verify(pairs, texts, threshold)))
     named = reps.join(last.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = sets.join(named, ["n", "d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_ids: int = 2_000_000) -> DataFrame:
+    """The rows of docs without those that a document of lesser id stands for; of rows that repeat an id one stays. Rows of null id stay."""
+    classes = settle(jaccard_classes(docs, id_col, text_col))
+    ids = docs.where(F.col(id_col).isNotNull())
+    if ids.count() != classes.count():
+        rest = docs.where(F.col(id_col).isNull())
+        last = ids.groupBy(id_col).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(text_col, F.lit(""))).alias("__row"))
+        docs = settle(last.select(*[F.col("__row")[c].alias(c) for c in docs.columns]).unionByName(rest))
+    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
+    few = gone.count() <= most_ids
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
 def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
 
