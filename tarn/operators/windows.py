@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keep_best(df: DataFrame, keys: list[str], *order: Column, k: int = 1) -> DataFrame:
@@ -30,26 +31,21 @@ def limited(df: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFr
     Rejected events don't count, so an event depends on the decisions before it: events of a key are decided in order of time
     as a stream of batches that are already sorted by key, with at most `most` times kept."""
     parts = df.repartition(F.col(key)).sortWithinPartitions(key, at)
-    names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
         for g in batches:
             allowed = []
-            for k, t in zip(g[key].tolist(), g[at].astype("int64").tolist()):
+            for k, t in zip(g[key].tolist(), g[at].tolist()):
                 if k != now:
                     now, held = k, []
-                held = [x for x in held if x > t - seconds * UNIT]
-                ok = len(held) < most
-                if ok:
+                held = [x for x in held if (t - x).total_seconds() < seconds]
+                allowed.append(len(held) < most)
+                if allowed[-1]:
                     held.append(t)
-                allowed.append(ok)
             yield g.assign(allowed=allowed)
 
-    UNIT = 1_000_000_000
-    ns = parts.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ns.schema.fields) + ", allowed boolean"
-    return ns.mapInPandas(lambda it: run(x.assign(**{at: x[at].astype("datetime64[ns]")}) for x in it), schema)
+    return parts.mapInPandas(run, T.StructType([*parts.schema.fields, T.StructField("allowed", T.BooleanType())]))
 
 
 def quota(df: DataFrame, keys: list[str], classes: str, signature: str, order: list[str], k: int) -> DataFrame:

@@ -1 +1 @@
-
+"""Rule plans, maintenance plans and the registered queries."""
