@@ -9,6 +9,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold_full(text: str) -> str:
@@ -32,13 +33,13 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 * 2 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratcliff(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts in lower case, 0 to 1; null if either is null."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -62,7 +63,7 @@ def best_match(query: str, text: str, threshold: float) -> float:
 def fuzzy_in(query: str, threshold: float = 0.7):
     """A column function: how well a text answers a query."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(text: pd.Series) -> pd.Series:
         return text.map(lambda t: best_match(query, t, threshold)).astype("float64")
 
@@ -78,7 +79,7 @@ def negated_before(text: str, at: int, negators: list[str], reach: int = 24) ->
 def affirmed(term: str, negators: list[str]):
     """A column function: whether a folded text holds a term that isn't negated."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def holds(text: pd.Series) -> pd.Series:
         found = lambda t: any(not negated_before(t, m.start(), negators) for m in re.finditer(rf"\b{re.escape(term)}s?\b", t))
         return text.map(lambda t: None if t is None else found(fold_full(t))).astype("boolean")
@@ -99,7 +100,7 @@ def chunks_of(text: str, most: int) -> list[str]:
 
 
 def sentence_chunks(most: int):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(text: pd.Series) -> pd.Series:
         return text.map(lambda t: chunks_of(t, most))
 

@@ -168,7 +168,8 @@ def hot_tokens(docs: DataFrame, total: int, most_hot: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, threshold: tuple[int, int]) -> DataFrame:
-    """(id, tokens): the tokens of each set one of which any partner shares, frequent ones last in the order."""
+    """(id, h, tokens): how many tokens of each set are frequent, and those of its tokens one of which any partner shares, frequent
+    ones last in the order. The lowest bit of a token says whether it is frequent."""
     num, den = threshold
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -178,27 +179,32 @@ def prefixes(docs: DataFrame, hot: np.ndarray, threshold: tuple[int, int]) -> Da
         hot = held.value
         for batch in batches:
             for part in portions(batch, 1):
-                out = []
+                out, frequent = [], []
                 for s in shingle_sets(part.column(1)):
-                    n = len(s)
+                    n, h = len(s), 0
+                    s = s & ~np.uint64(1)
                     if not n:
                         out.append(b"")
+                        frequent.append(0)
                         continue
                     most = n - -(-num * n // den) + 1
                     if len(hot):
                         upper = (s >> np.uint64(32)).astype(np.uint32)
                         late = hot[np.minimum(np.searchsorted(hot, upper), len(hot) - 1)] == upper
-                        s = np.concatenate([s[~late], s[late]])
+                        s, h = np.concatenate([s[~late], s[late] | np.uint64(1)]), int(late.sum())
                     out.append(s[:most].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "tokens"])
+                    frequent.append(h)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(frequent, pa.int64()), pa.array(out, pa.binary())], names=["id", "h", "tokens"])
 
-    return docs.mapInArrow(run, "id long, tokens binary")
+    return docs.mapInArrow(run, "id long, h long, tokens binary")
 
 
 def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> DataFrame:
-    """(q, g): queries and groups of another class that meet in a column of the matrix. entries: (id, class, group, n, tokens).
+    """(q, g): queries and groups of another class that meet in a column of the matrix. entries: (id, class, group, n, h, tokens).
 
-    Tokens go by 40 bits beside their bucket's; two that agree in these alone only make a needless candidate."""
+    Sets that share a token which isn't frequent meet in its column. Those that meet in the column of a frequent token only can
+    thus share frequent tokens at most, which bounds their overlap by h. Tokens go by 40 bits beside their bucket's; two that agree in these
+    alone only make a needless candidate."""
     num, den = threshold
 
     def deal(batches: Iterator):
@@ -224,9 +230,9 @@ def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> Dat
 
         held, size = [], 0
         for batch in batches:
-            for x in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                held.append((x[:4], x[4]))
-                size += len(x[4])
+            for x in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                held.append((x[:5], x[5]))
+                size += len(x[5])
                 if size > 16_000_000:
                     yield flush(held)
                     held, size = [], 0
@@ -240,7 +246,7 @@ def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> Dat
         token = np.zeros((len(packed), 8), np.uint8)
         token[:, :5] = packed
         token = token.view("<u8").ravel()
-        docs = [np.frombuffer(d, np.int64).reshape(-1, 4) for d in g["docs"]]
+        docs = [np.frombuffer(d, np.int64).reshape(-1, 5) for d in g["docs"]]
         first = np.cumsum([0, *map(len, docs)])
         row = np.concatenate([np.frombuffer(r, np.uint16 if len(d) <= 65536 else np.uint32).astype(np.int64) + k for r, d, k in zip(g["row"], docs, first)])
         docs = np.concatenate(docs)
@@ -256,10 +262,13 @@ def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> Dat
             own = docs[row[a:b]]
             own = own[np.argsort(own[:, 2], kind="stable")]
             at = np.flatnonzero(np.concatenate([[True], own[1:, 2] != own[:-1, 2]]))
-            low, high = np.minimum.reduceat(own[:, 3], at), np.maximum.reduceat(own[:, 3], at)
+            low, high, hot = np.minimum.reduceat(own[:, 3], at), np.maximum.reduceat(own[:, 3], at), np.maximum.reduceat(own[:, 4], at)
+            frequent = bool(token[a] & np.uint64(1))
             for lo in range(0, len(own), 512):  # a long column in blocks
                 q = own[lo : lo + 512]
                 fits = (q[:, 1][:, None] > own[at, 1]) & (den * high >= num * q[:, 3][:, None]) & (num * low <= den * q[:, 3][:, None])
+                if frequent:
+                    fits &= (num + den) * np.minimum(q[:, 4][:, None], hot) >= num * (q[:, 3][:, None] + low)
                 i, j = np.nonzero(fits)
                 pairs.append(np.stack([q[i, 0], own[at[j], 2]], 1))
                 size += len(i)
@@ -268,7 +277,7 @@ def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> Dat
         out = tidy([*found, *pairs]) if found or pairs else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"q": out[:, 0], "g": out[:, 1]})
 
-    return entries.select("id", "class", "group", "n", "tokens").mapInArrow(deal, "bucket int, tokens binary, row binary, docs binary").groupBy("bucket").applyInPandas(meet, "q long, g long").distinct()
+    return entries.select("id", "class", "group", "n", "h", "tokens").mapInArrow(deal, "bucket int, tokens binary, row binary, docs binary").groupBy("bucket").applyInPandas(meet, "q long, g long").distinct()
 
 
 def qualify(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:

@@ -26,12 +26,12 @@ def filter_project(t: Tables) -> DataFrame:
 
 @query("""
 SELECT p_partkey, len(list_filter(sizes, lambda x: x > 0)) AS n FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN [] ELSE [p_size] END AS sizes, p_retailprice FROM part)
-WHERE len(sizes) > 0 AND p_retailprice >= 1000 AND p_retailprice < 1050
+WHERE len(sizes) > 0 AND p_retailprice >= 1000 AND p_retailprice < 1080
 """)
 def array_size_range(t: Tables) -> DataFrame:
     """Missing and empty arrays, comparisons."""
     sizes = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array("p_size"))
-    rows = t.part.withColumn("sizes", sizes).where((F.size("sizes") > 0) & (F.col("p_retailprice") >= 1000) & (F.col("p_retailprice") < 1050))
+    rows = t.part.withColumn("sizes", sizes).where((F.size("sizes") > 0) & (F.col("p_retailprice") >= 1000) & (F.col("p_retailprice") < 1080))
     return rows.select("p_partkey", F.size(F.filter("sizes", lambda x: x > 0)).cast("long").alias("n"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.plans import catalog, graphs  # noqa: F401
+from tarn.plans import catalog, graphs, texts  # noqa: F401
 from tarn.plans.registry import QUERIES, SQL
 
 
