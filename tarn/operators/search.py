@@ -74,9 +74,14 @@ def passages(df: DataFrame, key: str, text: str, words: list[str], k: int = 2, m
 
 def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, words: int) -> DataFrame:
     """(key, name): names of a fixed number of words that occur in texts, as an equality join on n-grams rather than containment."""
-    w = F.split(plain(F.col(text)), " ")
-    grams = F.when(F.size(w) >= words, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " ")))).otherwise(F.array().cast("array<string>"))
-    have = texts.select(key, F.explode(grams).alias("gram"))
+
+    def grams(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))
+        return F.when(F.size(w) >= words, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    # bound as a lambda's variable, a text is split once and not again for each of its n-grams
+    every = F.transform(F.array(F.split(plain(F.col(text)), " ")), grams)[0]
+    have = texts.select(key, F.explode(every).alias("gram"))
     return have.join(names.select(F.col(name), plain(F.col(name)).alias("gram")).where("gram != ''"), "gram").select(key, name).distinct()
 
 
