@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: \x20 and \x09 to \x0D.
@@ -38,6 +38,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, id_col: str, **more: Column) -> DataFrame:
+    """(__row, __id, ...): the rows of df as one column, so that no name of theirs clashes with those of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__id"), *[v.alias(k) for k, v in more.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The rows that `packed` made one column, with the columns named in new replaced."""
+    return df.select(*[new.get(c, F.col("__row").getField(c)).alias(c) for c in names])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import components, documents, portions, settle, shingle_sets
+from tarn.llm.common import components, documents, packed, portions, settle, shingle_sets, unpacked
 
 KEYS = 8
 
@@ -347,14 +347,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_ids: int = 2_000_000) -> DataFrame:
     """The rows of docs without those that a document of lesser id stands for; of rows that repeat an id one stays. Rows of null id stay."""
     classes = settle(jaccard_classes(docs, id_col, text_col))
-    ids = docs.where(F.col(id_col).isNotNull())
+    names, ids = docs.columns, docs.where(F.col(id_col).isNotNull())
     if ids.count() != classes.count():
-        rest = docs.where(F.col(id_col).isNull())
-        last = ids.groupBy(id_col).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(text_col, F.lit(""))).alias("__row"))
-        docs = settle(last.select(*[F.col("__row")[c].alias(c) for c in docs.columns]).unionByName(rest))
+        last = packed(ids, id_col, __text=F.coalesce(text_col, F.lit(""))).groupBy("__id").agg(F.max_by("__row", "__text").alias("__row"))
+        docs = settle(unpacked(last, names).unionByName(docs.where(F.col(id_col).isNull())))
     gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
     few = gone.count() <= most_ids
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return unpacked(packed(docs, id_col).join(F.broadcast(gone) if few else gone, F.col("__id").cast("long") == F.col("__gone"), "left_anti"), names)
 
 
 def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

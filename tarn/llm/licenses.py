@@ -118,7 +118,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         table = table.select("license", "holds", F.posexplode(minima(F.col("holds"), bands)).alias("band", "value"))
         starts = F.sequence(F.lit(1), F.size("w"), F.lit(step))
         anchored = F.filter(starts, lambda i: F.arrays_overlap(F.slice("w", i, F.lit(size + step)), F.array(*map(F.lit, names))))
-        windows = found.withColumn("h", shingles(F.col("w"), k)).select("id", F.explode(F.transform(anchored, lambda i: F.slice("h", i, F.lit(size + step - k + 1)))).alias("h")).where(F.size("h") > 0)
+        # as a lambda's variable the shingles of a text are hashed once, not again for each window
+        cut = lambda h: F.transform(anchored, lambda i: F.slice(h, i, F.lit(size + step - k + 1)))  # noqa: B023, E731
+        windows = found.select("id", F.explode(F.transform(F.array(shingles(F.col("w"), k)), cut)[0]).alias("h")).where(F.size("h") > 0)
         met = windows.select("id", "h", F.posexplode(minima(F.col("h"), bands)).alias("band", "value")).join(F.broadcast(table), ["band", "value"])
         parts.append(met.select("id", "license", (F.size(F.array_intersect("h", "holds")) / F.size("holds")).alias("containment")).where(F.col("containment") >= NEED[0] / NEED[1]))
     out = parts[0]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import WORD, documents, settle
+from tarn.llm.common import WORD, documents, packed, settle, unpacked
 
 BITS, LEVELS = 10, 6
 
@@ -84,11 +84,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it, with their own columns."""
     aims = sided(thresholds(docs, id_col, text_col, source_col, weights, most))
-    aims = aims.select(F.col("of").alias("__of"), F.col("whole").alias("__whole"), F.col("last").alias("__last"))
-    again = F.explode(F.sequence(F.lit(1), F.col("__whole").cast("int") + F.coalesce(F.col("__hash") <= F.col("__last"), F.lit(False)).cast("int")))
-    marked = docs.withColumn("__hash", hashed(id_col)).join(aims, F.col(source_col).eqNullSafe(F.col("__of")))
-    some = marked.where((F.col("__whole") > 0) | F.coalesce(F.col("__hash") <= F.col("__last"), F.lit(False)))
-    return some.withColumn("__again", again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = packed(docs, id_col, __source=F.col(source_col), __hash=hashed(id_col)).join(aims, F.col("__source").eqNullSafe(F.col("of"))).withColumn("times", times()).where("times > 0")
+    return unpacked(marked.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))), docs.columns)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents
+from tarn.llm.common import documents, unpacked
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The base patterns. A match may begin where the last one ended or where no character of its first class stands
@@ -268,8 +268,9 @@ def redacted() -> Column:
 
 def redact(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
     """The rows given with personal data in their text replaced; null texts stay null."""
-    out = find(docs, model, F.col(text_col)).withColumn(text_col, F.when(F.col(text_col).isNotNull(), redacted()))
-    return out.select(*[F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    text = F.col("__row").getField(text_col)
+    return unpacked(find(rows, model, text), docs.columns, **{text_col: F.when(text.isNotNull(), redacted())})
 
 
 def op8_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
