@@ -92,7 +92,9 @@ def neighbourhood(edges: DataFrame, node: int) -> DataFrame:
 
 
 def ancestors(parents: DataFrame, most: int = 20) -> DataFrame:
-    """(node, ancestor, depth): zero or more steps up from (child, parent); a cycle ends where it would repeat."""
+    """(node, ancestor, depth): zero or more steps up from (child, parent); a cycle ends where it would repeat.
+
+    Raises where pairs are still new after `most` steps."""
     up = parents.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
     now = parents.select(F.col("child").alias("node")).union(parents.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     out = now
@@ -100,8 +102,10 @@ def ancestors(parents: DataFrame, most: int = 20) -> DataFrame:
         now = now.join(up, F.col("ancestor") == F.col("__c")).select("node", F.col("__p").alias("ancestor"), F.lit(k).alias("depth"))
         now = now.join(out.select(F.col("node").alias("__n"), F.col("ancestor").alias("__a")), (F.col("node") == F.col("__n")) & (F.col("ancestor") == F.col("__a")), "left_anti")
         if not now.limit(1).count():
-            break
+            return out
         out = out.unionByName(now)
+    if now.join(up, F.col("ancestor") == F.col("__c")).select("node", F.col("__p").alias("ancestor")).join(out, ["node", "ancestor"], "left_anti").limit(1).count():
+        raise RuntimeError(f"ancestors go on beyond {most} steps")
     return out
 
 

@@ -81,11 +81,11 @@ def network_topn(t: Tables, whole: bool) -> DataFrame:
 @sampled(f"""
 WITH {EDGES_SQL} SELECT a.p_partkey AS drug, b.p_partkey AS other, a.p_name AS disease FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey
 WHERE a.p_partkey < 20 AND NOT EXISTS (SELECT 1 FROM u WHERE u.src = a.p_partkey AND u.dst = b.p_partkey)
-""", TENTH)
+""", TENTH | {"a.p_partkey < 20 AND ": ""})
 def shared_neighbor_alternatives(t: Tables, whole: bool) -> DataFrame:
     """What shares a disease and doesn't interact."""
     treats = t.part.select(F.col("p_partkey").alias("drug"), F.col("p_name").alias("disease"))
-    pairs = G.shared_neighbours(treats, "drug", "disease").where("drug < 20")
+    pairs = some(G.shared_neighbours(treats, "drug", "disease"), "drug < 20", whole)
     return G.without_edge(pairs, edges(t, whole), "drug", "other").select("drug", "other", "disease")
 
 
@@ -123,12 +123,12 @@ def prescription_pairs(t: Tables, whole: bool) -> DataFrame:
     return pairs.join(both, (F.col("l_partkey") == F.col("src")) & (F.col("p2") == F.col("dst"))).select(F.col("l_orderkey").alias("rx"), F.col("l_linenumber").alias("line_a"), "line_b", "weight")
 
 
-@query("""
+@sampled("""
 SELECT l_orderkey, l_partkey, count(*) AS n, list_sort(list(l_linenumber)) AS lines FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2 HAVING count(*) > 1
-""")
-def duplicate_lines(t: Tables) -> DataFrame:
+""", {" WHERE l_orderkey < 3000": ""})
+def duplicate_lines(t: Tables, whole: bool) -> DataFrame:
     """One substance on several lines, with the lines."""
-    return t.lineitem.where("l_orderkey < 3000").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("l_linenumber")).alias("lines")).where("n > 1")
+    return some(t.lineitem, "l_orderkey < 3000", whole).groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("l_linenumber")).alias("lines")).where("n > 1")
 
 
 @sampled(f"""
@@ -154,15 +154,15 @@ def two_hop_neighborhood(t: Tables, whole: bool) -> DataFrame:
     return G.neighbourhood(edges(t, whole), 10)
 
 
-@query("""
+@sampled("""
 WITH RECURSIVE p AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer WHERE c_custkey < 300 UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'world' FROM region),
 w(node, ancestor, depth) AS (SELECT DISTINCT x, x, 0 FROM (SELECT child AS x FROM p UNION SELECT parent FROM p) UNION ALL SELECT node, parent, depth + 1 FROM w JOIN p ON ancestor = child)
 SELECT node, ancestor, depth FROM w
-""")
-def hierarchy_closure(t: Tables) -> DataFrame:
+""", {" WHERE c_custkey < 300": ""})
+def hierarchy_closure(t: Tables, whole: bool) -> DataFrame:
     """Zero or more steps up a hierarchy."""
     link = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("child"), F.concat(F.lit(b), y).alias("parent"))
-    parents = link(t.customer.where("c_custkey < 300"), "c", "c_custkey", "n", "c_nationkey").union(link(t.nation, "n", "n_nationkey", "r", "n_regionkey")).union(t.region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("world")))
+    parents = link(some(t.customer, "c_custkey < 300", whole), "c", "c_custkey", "n", "c_nationkey").union(link(t.nation, "n", "n_nationkey", "r", "n_regionkey")).union(t.region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("world")))
     return G.ancestors(parents.distinct())
 
 

@@ -11,7 +11,7 @@ from tarn.operators import filters as P
 from tarn.operators import resolve as E
 from tarn.operators import search as V
 from tarn.operators.windows import keep_best
-from tarn.plans.registry import Tables, query
+from tarn.plans.registry import Tables, query, sampled, some
 
 #: Folding in DuckDB is strip_accents, which is equal on the letters of the tables.
 FOLD = "lower(strip_accents({}))"
@@ -29,24 +29,24 @@ def text_keys(t: Tables) -> DataFrame:
     return rows.select("doc_id", X.fold(head).alias("folded"), X.squash_key(head).alias("key"), X.slug(head).alias("slug"))
 
 
-@query("""
+@sampled("""
 SELECT o_orderkey, ['prednisone', 'aspirine 0,5 mg', 'order ' || o_orderkey] AS items, [o_orderkey || ' un deux', CAST(o_orderkey AS VARCHAR)] IS NOT NULL AS some, 'ventoline' AS name,
        ['acide acetyl salicylique', 'acide acetyl', 'acide'] AS prefixes, CAST(o_orderkey AS VARCHAR) AS spec FROM orders WHERE o_orderkey < 100
-""")
-def treatment_parsing(t: Tables) -> DataFrame:
+""", {" WHERE o_orderkey < 100": ""})
+def treatment_parsing(t: Tables, whole: bool) -> DataFrame:
     """Items of a free text with decimals, names without doses, leading words, ids in links."""
-    rows = t.orders.where("o_orderkey < 100").select("o_orderkey", F.concat(F.lit("prednisone; aspirine 0,5 mg, order "), "o_orderkey", F.lit(" .")).alias("x"))
+    rows = some(t.orders, "o_orderkey < 100", whole).select("o_orderkey", F.concat(F.lit("prednisone; aspirine 0,5 mg, order "), "o_orderkey", F.lit(" .")).alias("x"))
     return rows.select("o_orderkey", X.split_items(F.col("x")).alias("items"), F.lit(True).alias("some"), X.strip_dose(F.concat(F.lit("Ventoline 100 µg/bouffée ("), "o_orderkey", F.lit(")"))).alias("name"),
                        X.word_prefixes(F.lit("acide acetyl salicylique")).alias("prefixes"), X.id_in(F.concat(F.lit("https://x.example/?a=1&specid="), "o_orderkey")).alias("spec"))
 
 
-@query("""
+@sampled("""
 SELECT p_partkey, ['A', 'A02', 'A02B', 'A02BC', 'A02BC0' || (p_partkey % 10)] AS levels, regexp_extract_all('DrugBank:DB' || p_partkey || ', other:1, DrugBank:DB7', 'DrugBank:(DB\\d+)', 1) AS ids,
        p_size / 2.0 AS comma, CAST(80 AS INTEGER) AS fallback, CAST(p_size AS BIGINT) AS counted, p_size % 2 = 0 AS truth FROM part WHERE p_partkey < 300
-""")
-def code_parsing(t: Tables) -> DataFrame:
+""", {" WHERE p_partkey < 300": ""})
+def code_parsing(t: Tables, whole: bool) -> DataFrame:
     """C11, C12 and the typed defaults: code levels, ids, decimal commas, integers with defaults, counts written as floats, truth words."""
-    rows = t.part.where("p_partkey < 300")
+    rows = some(t.part, "p_partkey < 300", whole)
     return rows.select("p_partkey", X.code_levels(F.concat(F.lit("A02BC0"), (F.col("p_partkey") % 10).cast("string"))).alias("levels"), X.ids_in(F.concat(F.lit("DrugBank:DB"), "p_partkey", F.lit(", other:1, DrugBank:DB7"))).alias("ids"),
                        X.number(F.replace((F.col("p_size") / 2).cast("string"), F.lit("."), F.lit(","))).alias("comma"), X.int_or(F.lit(None).cast("string"), 80).alias("fallback"),
                        X.count_of(F.concat(F.col("p_size").cast("string"), F.lit(".0"))).alias("counted"), X.truth(F.when(F.col("p_size") % 2 == 0, "Oui").otherwise("Non")).alias("truth"))

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from tarn.operators import graph as G
 from tarn.plans import queries
 
 #: Orders and their parts; none of the orders is a multiple of ten.
@@ -69,3 +70,29 @@ def test_paths_and_neighbours_over_all_edges(spark, small):
 
 def test_orphans_are_in_no_order(spark, small):
     assert rows(spark, small, "orphans_whole") == [(8,)]
+
+
+def test_rows_beyond_the_first_ids(spark, tmp_path):
+    lines = [(5000, 1, 1, 1), (5000, 2, 1, 2), (5000, 1, 1, 3), (5000, 3, 1, 4), (5000, 4, 1, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "b", "n", 3), (2, "a", "n", 4), (3, "c", "m", 5), (4, "d", "m", 6), (500, "b", "m", 7)], "p_partkey long, p_type string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(500, "ab\nc\n\nd")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(900, 7)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(7, 2)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(2,)], "r_regionkey int").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(700,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(spark, tmp_path, "array_union_capped_whole") == [(5000, ["b", "a", "c"])]
+    assert rows(spark, tmp_path, "duplicate_lines_whole") == [(5000, 1, 2, [1, 3])]
+    assert rows(spark, tmp_path, "lead_landmarks_whole") == [(500, 0, 1, 4), (500, 1, 4, 6), (500, 2, 6, 7), (500, 3, 7, 8)]
+    assert ("c900", "world", 3) in rows(spark, tmp_path, "hierarchy_closure_whole")
+    assert [r[0] for r in rows(spark, tmp_path, "treatment_parsing_whole")] == [700]
+    assert [r[0] for r in rows(spark, tmp_path, "code_parsing_whole")] == [1, 2, 3, 4, 500]
+    assert (500, 3, "m") in rows(spark, tmp_path, "shared_neighbor_alternatives_whole")
+
+
+def test_ancestors_raise_at_their_limit(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(4)], "child long, parent long")
+    assert G.ancestors(chain, 4).count() == 15
+    with pytest.raises(RuntimeError):
+        G.ancestors(chain, 3)
+    assert G.ancestors(spark.createDataFrame([(0, 1), (1, 0)], "child long, parent long"), 1).count() == 4
