@@ -29,6 +29,12 @@ def text_keys(t: Tables) -> DataFrame:
     return rows.select("doc_id", X.fold(head).alias("folded"), X.squash_key(head).alias("key"), X.slug(head).alias("slug"))
 
 
+@query()
+def text_keys_whole(t: Tables) -> DataFrame:
+    """C01, C02, C04 over whole texts with any letter. DuckDB folds some letters otherwise, so a test holds this against brute force."""
+    return t.documents.select("doc_id", X.fold(F.col("text")).alias("folded"), X.squash_key(F.col("text")).alias("key"), X.slug(F.col("text")).alias("slug"))
+
+
 @sampled("""
 SELECT o_orderkey, ['prednisone', 'aspirine 0,5 mg', 'order ' || o_orderkey] AS items, [o_orderkey || ' un deux', CAST(o_orderkey AS VARCHAR)] IS NOT NULL AS some, 'ventoline' AS name,
        ['acide acetyl salicylique', 'acide acetyl', 'acide'] AS prefixes, CAST(o_orderkey AS VARCHAR) AS spec FROM orders WHERE o_orderkey < 100
@@ -63,12 +69,12 @@ def vocabulary_routes(t: Tables) -> DataFrame:
                          F.replace("p_name", first, F.lit("{X}")).alias("pattern"), F.md5("p_name").alias("hash"), X.stable_id(F.col("p_name")).alias("id"))
 
 
-@query("""
+@sampled("""
 SELECT doc_id, n, [x[1]] AS parts, len(x) AS lines FROM (SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n, string_split(left(text, 400), chr(10)) AS x FROM documents)
-""")
-def list_functions(t: Tables) -> DataFrame:
+""", {"left(text, 400)": "text"})
+def list_functions(t: Tables, whole: bool) -> DataFrame:
     """Size, head, slice; occurrences that don't overlap."""
-    lines = F.split(F.left("text", F.lit(400)), "\n")
+    lines = F.split("text" if whole else F.left("text", F.lit(400)), "\n")
     return t.documents.select("doc_id", X.occurrences(F.col("text"), "the").alias("n"), F.slice(lines, 1, 1).alias("parts"), F.size(lines).cast("long").alias("lines"))
 
 
@@ -157,7 +163,14 @@ def mention_join(t: Tables) -> DataFrame:
     """Names that texts mention, as an equality join on their n-grams."""
     head = X.plain(F.left("text", F.lit(12)))
     names = t.benchmark.where(~F.col("text").rlike(r"[^ -~\n]")).select(F.split(head, " ").alias("w")).where(F.size("w") >= 2).select(F.array_join(F.slice("w", 1, 2), " ").alias("name")).distinct()
-    return V.mentions(t.documents.where(~F.col("text").rlike("[ßœæ]")), "doc_id", "text", names, "name", 2)
+    return V.mentions(t.documents.where(~F.col("text").rlike("[ßœæ]")), "doc_id", "text", names, "name")
+
+
+@query()
+def mention_join_whole(t: Tables) -> DataFrame:
+    """J24, J26, J33 over all rows: the first two words of each benchmark text, or the one it has, in all documents."""
+    names = t.benchmark.select(F.array_join(F.slice(F.split(X.plain(F.col("text")), " "), 1, 2), " ").alias("name")).where("name != ''").distinct()
+    return V.mentions(t.documents, "doc_id", "text", names, "name")
 
 
 @query("""

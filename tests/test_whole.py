@@ -1,10 +1,13 @@
 """The queries over all rows, on small tables with rows that the sampled ones leave out, against brute force."""
 
+import re
 from itertools import combinations
 
 import pytest
 
+from tarn.functions import text as X
 from tarn.operators import graph as G
+from tarn.operators import search as V
 from tarn.plans import queries
 
 #: Orders and their parts; none of the orders is a multiple of ten.
@@ -96,3 +99,32 @@ def test_ancestors_raise_at_their_limit(spark):
     with pytest.raises(RuntimeError):
         G.ancestors(chain, 3)
     assert G.ancestors(spark.createDataFrame([(0, 1), (1, 0)], "child long, parent long"), 1).count() == 4
+
+
+def folded(text):
+    return text.lower().translate(str.maketrans(X.ACCENTED, X.PLAIN))
+
+
+def words(text):
+    return re.sub("[^a-z0-9]+", " ", folded(text)).strip().split(" ")
+
+
+def test_whole_texts_with_any_letter(spark, tmp_path):
+    texts = {1: "Die Straße führt nach Köln. " * 20 + "Ende\nhier", 2: "L'œuvre d'un élève, Łódź og Ærø " * 9, 3: "x" * 500 + "\nthe end", 4: "", 5: "grüße aus köln " * 3}
+    heads = ["Straße führt nach", "Köln", "œuvre d'un", "Łódź og", "verylongfirstword secondword", "aus Köln"]
+    texts[6] = "see VeryLongFirstWord, secondword ..."
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(heads)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    slug = lambda x: re.sub("^-+|-+$", "", re.sub("[^a-zA-Z0-9]+", "-", x.lower()))
+    assert rows(spark, tmp_path, "text_keys_whole") == sorted((i, folded(x), re.sub("[^a-z0-9]", "", folded(x)), slug(x)) for i, x in texts.items())
+    assert rows(spark, tmp_path, "list_functions_whole") == sorted((i, x.count("the"), x.split("\n")[:1], len(x.split("\n"))) for i, x in texts.items())
+    names = {" ".join(words(x)[:2]) for x in heads}
+    want = sorted((i, n) for i, x in texts.items() for n in names if f" {n} " in f" {' '.join(words(x))} ")
+    assert rows(spark, tmp_path, "mention_join_whole") == want and {n for _, n in want} == names
+
+
+def test_mentions_of_any_number_of_words(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "c")], "doc_id long, text string")
+    names = spark.createDataFrame([("c",), ("b c d",), ("a b",), ("d a",)], "name string")
+    assert sorted(map(tuple, V.mentions(docs, "doc_id", "text", names, "name").collect())) == [(1, "a b"), (1, "b c d"), (1, "c"), (2, "c")]
+    assert V.mentions(docs, "doc_id", "text", names.limit(0), "name").count() == 0
