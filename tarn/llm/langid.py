@@ -5,9 +5,9 @@ bytes of q kinds, a byte seen n times has n / (N + q), and an escape to the next
 frozen after learning, so the code length of each byte in each context is worked out once; scoring adds exact code lengths, and
 the language with the least total wins. Texts are lower-cased and everything but letters becomes one space, in learning and in scoring.
 
-The trees are one table: a row for each context kept (order 3 if frequent, else its order-2 suffix), with the code lengths of every
-symbol in every language, so that a text costs one look-up a byte. Learning counts 4-grams over at most `per_lang` rows a language,
-chosen by a hash of the id; what reaches the driver is bounded by `keep` 4-grams a language.
+A tree keeps every byte and every context seen in learning, as sorted arrays for each order: the n-grams seen with their code lengths,
+and the contexts seen with the cost of an escape. A slice of texts looks up each of its distinct 4-grams once in each language.
+Learning counts 4-grams over at most `per_lang` rows a language, chosen by a hash of the id; only that sample bounds the model.
 
 Cases: null text, empty text and texts without a letter give `und` and score 0; ties go to the language that sorts first; without
 rows to learn from everything is `und`; null lang is not learned from; repeated rows give a row each; other columns are ignored.
@@ -53,10 +53,7 @@ def normal(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def grams(texts, langs: list[str]) -> list[tuple[str, int, int]]:
-    raw, offsets, pad = normal(texts)
-    r = raw.astype(np.int64)
-    code = np.zeros(len(r), np.int64)
-    code[3:] = (r[:-3] << 24) | (r[1:-2] << 16) | (r[2:-1] << 8) | r[3:]
+    code, offsets, pad = coded(texts)
     own = np.repeat(np.arange(len(langs)), np.diff(offsets))
     out = []
     for lang in sorted(set(langs)):
@@ -66,46 +63,52 @@ def grams(texts, langs: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
+def coded(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As normal, with the 4-gram that ends at each byte in place of the byte."""
+    raw, offsets, pad = normal(texts)
+    r = raw.astype(np.uint32)
+    code = np.zeros(len(r), np.uint32)
+    code[3:] = (r[:-3] << 24) | (r[1:-2] << 16) | (r[2:-1] << 8) | r[3:]
+    return code, offsets, pad
+
+
+def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted keys have each wanted one, and whether they have it."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Tree:
+    """The frozen tree of one language: for each order the n-grams seen with their code lengths, and the contexts seen with the cost
+    of an escape (bits)."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        self.orders: list[tuple[np.ndarray, ...]] = []
+        for k in range(4):
+            grams, own = np.unique((codes & ((1 << 8 * (k + 1)) - 1)).astype(np.uint32), return_inverse=True)
+            count = np.bincount(own, n, len(grams))
+            contexts, of = np.unique(grams >> 8, return_inverse=True)
+            total, kinds = np.bincount(of, count, len(contexts)), np.bincount(of, minlength=len(contexts))
+            self.orders.append((grams, (-np.log2(count / (total + kinds)[of])).astype(np.float32), contexts, (-np.log2(kinds / (total + kinds))).astype(np.float32)))
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each 4-gram behind the three others."""
+        out = np.full(len(codes), 8, np.float32)
+        for k, (grams, own, contexts, escape) in enumerate(self.orders):
+            code = codes & np.uint32((1 << 8 * (k + 1)) - 1)
+            at, seen = place(contexts, code >> 8)
+            out += np.where(seen, escape[at], 0)
+            at, seen = place(grams, code)
+            out = np.where(seen, own[at], out)
+        return out
+
+
 class Trees:
-    """The frozen trees of all languages as one table of code lengths (bits)."""
+    """The frozen trees of all languages."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: int = 72, contexts: int = 8192):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        seen = np.zeros(256, np.int64)
-        for codes, n in counts.values():
-            np.add.at(seen, codes & 255, n)
-        order = [b for b in np.argsort(-seen, kind="stable").tolist() if seen[b] and b != SPACE][: symbols - 2]
-        self.sym = np.full(256, 1, np.int64)  # 0 space, 1 any other byte
-        self.sym[SPACE] = 0
-        self.sym[order] = np.arange(2, 2 + len(order))
-        a = self.a = 2 + len(order)
-        dense, full = [], np.zeros(a**3, np.int64)
-        for lang in self.langs:
-            codes, n = counts[lang]
-            s = [self.sym[(codes >> k) & 255] for k in (24, 16, 8, 0)]
-            context = (s[0] * a + s[1]) * a + s[2]
-            np.add.at(full, context, n)
-            dense.append((context, s, n))
-        kept = np.argsort(-full, kind="stable")[: max(256, contexts * 4 // max(4, len(self.langs)))]
-        kept = np.sort(kept[full[kept] > 0])
-        self.row = np.tile(np.arange(a * a), a)  # a context's last two symbols
-        self.row[kept] = a * a + np.arange(len(kept))
-        table = np.zeros((a * a + len(kept), a, len(self.langs)))
-        for i, (context, s, n) in enumerate(dense):
-            p = np.full(a, 1.0 / a)
-            counts3 = np.zeros((a, a, a))
-            np.add.at(counts3, (s[1], s[2], s[3]), n)
-            p0 = self.escape(counts3.sum((0, 1))[None], p[None])
-            p1 = self.escape(counts3.sum(0), np.repeat(p0, a, 0))
-            p2 = self.escape(counts3.reshape(a * a, a), np.tile(p1, (a, 1)))
-            at = np.full(a**3, -1, np.int64)
-            at[kept] = np.arange(len(kept))
-            where = at[context] >= 0
-            counts4 = np.zeros((len(kept), a))
-            np.add.at(counts4, (at[context[where]], s[3][where]), n[where])
-            p3 = self.escape(counts4, p2[kept % (a * a)])
-            table[:, :, i] = -np.log2(np.concatenate([p2, p3]))
-        self.table = table.reshape(-1, len(self.langs)).astype(np.float32)
+        self.trees = [Tree(*counts[lang]) for lang in self.langs]
 
     @staticmethod
     def escape(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -114,17 +117,17 @@ class Trees:
 
     def lengths(self, texts) -> np.ndarray:
         """Code length in bits of each text in each language."""
-        raw, offsets, pad = normal(texts)
-        s = self.sym[raw]
-        context = np.zeros(len(s), np.int64)
-        context[3:] = (s[:-3] * self.a + s[1:-2]) * self.a + s[2:-1]
-        bits = self.table.take(self.row[context] * self.a + s, axis=0)
+        code, offsets, pad = coded(texts)
+        kinds, own = np.unique(code, return_inverse=True)
+        table = np.stack([tree.bits(kinds) for tree in self.trees], 1)
+        bits = table.take(own, axis=0)
         bits[pad] = 0
         return np.add.reduceat(bits, offsets[:-1], axis=0, dtype=np.float64)
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, keep: int) -> Trees | None:
-    """Trees from the rows given; at most about per_lang rows a language, and keep 4-grams a language reach the driver."""
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, keep: int | None = None) -> Trees | None:
+    """Trees from the rows given; at most about per_lang rows a language, with all their 4-grams, or the commonest `keep` a language if
+    that is asked for."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -141,17 +144,19 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "code": pa.array([x[1] for x in found], pa.int64()), "n": pa.array([x[2] for x in found], pa.int64())})
 
     counted = settle(rows.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
-    least = {k: 1 for k in sizes}
-    tally = counted.groupBy("lang", F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("kinds")).collect()
-    for lang in sizes:
-        held = 0
-        for n, kinds in sorted(((r["n"], r["kinds"]) for r in tally if r["lang"] == lang), reverse=True):
-            held += kinds
-            if held > keep:
-                least[lang] = n + 1
-                break
-    cut = F.create_map(*[F.lit(x) for k, n in least.items() for x in (k, n)])
-    found = counted.where(F.col("n") >= cut[F.col("lang")]).toPandas()
+    if keep is not None:
+        least = {k: 1 for k in sizes}
+        tally = counted.groupBy("lang", F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("kinds")).collect()
+        for lang in sizes:
+            held = 0
+            for n, kinds in sorted(((r["n"], r["kinds"]) for r in tally if r["lang"] == lang), reverse=True):
+                held += kinds
+                if held > keep:
+                    least[lang] = n + 1
+                    break
+        cut = F.create_map(*[F.lit(x) for k, n in least.items() for x in (k, n)])
+        counted = counted.where(F.col("n") >= cut[F.col("lang")])
+    found = counted.toPandas()
     out = {k: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for k, g in found.groupby("lang")}
     return Trees(out) if out else None
 
@@ -187,7 +192,7 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 def op4_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    trees = learn(docs.where(~held_out()), "doc_id", "text", "lang", per_lang=4000, keep=60_000)
+    trees = learn(docs.where(~held_out()), "doc_id", "text", "lang", per_lang=4000)
     return identify(docs, trees).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

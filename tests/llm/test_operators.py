@@ -136,6 +136,41 @@ def test_escape_is_a_distribution():
     assert np.allclose(p[1], 1 / 3) and np.allclose(p[0], [3 / 6, 1 / 6, 2 / 6 / 3])
 
 
+def test_language_keeps_every_byte_and_context(spark):
+    letters = [chr(c) for c in (*range(0x4E00, 0x4E00 + 300), *range(0x430, 0x450), *range(0x10D0, 0x10F0), *range(97, 123))]
+    made = np.random.default_rng(5)
+    texts = {lang: ["".join(made.choice(letters, 60)) + " " + "abc"[i] * 9 for _ in range(12)] for i, lang in enumerate(("aa", "bb", "cc"))}
+    docs = spark.createDataFrame([(f"{k}{i}", x, k) for k, v in texts.items() for i, x in enumerate(v)], "doc_id string, text string, lang string")
+    trees = langid.learn(docs, "doc_id", "text", "lang", 1000)
+
+    def length(text, seen):
+        """Method C over plain dictionaries."""
+        raw, total = b"   " + text.encode(), 0.0
+        for i in range(3, len(raw)):
+            p = 1 / 256
+            for k in range(4):
+                n = seen.get(raw[i - k : i], {})
+                if n:
+                    p = n[raw[i]] / (sum(n.values()) + len(n)) if raw[i] in n else p * len(n) / (sum(n.values()) + len(n))
+            total -= np.log2(p)
+        return total
+
+    counts = {}
+    for lang, every in texts.items():
+        seen = counts[lang] = {}
+        for text in every:
+            raw = b"   " + text.encode()
+            for i in range(3, len(raw)):
+                for k in range(4):
+                    n = seen.setdefault(raw[i - k : i], {})
+                    n[raw[i]] = n.get(raw[i], 0) + 1
+    import pyarrow as pa
+
+    tried = [texts["aa"][0], texts["cc"][3][5:30], "zzz \u4e10\u0431 q", "\u00e9\u0434"]
+    want = [[length(x, counts[lang]) for lang in trees.langs] for x in tried]
+    assert np.allclose(trees.lengths(pa.array(tried)), want, rtol=1e-4)
+
+
 # 5: licenses
 
 
