@@ -47,7 +47,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: A kernel classifier, minhash groups and tokenization are beyond SQL; the tests hold the stages against brute force.
+#: A kernel classifier, minhash groups and tokenization are beyond SQL; a test holds near_duplicates against brute force, the other stages and run() have none yet.
 ORACLE_SQL = None
 
 
