@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,17 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder that all executors share: spark.checkpoint.dir, or the session's checkpoint folder where that is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        known = jsc.getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        found = tempfile.mkdtemp(prefix="tarn-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -38,6 +34,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light(rows: DataFrame, width: int = 8, most_bytes: int = 32 << 20) -> DataFrame:
+    """The side of a join, broadcast only where its bytes in memory, from a count of its rows, are few; width: bytes of a column."""
+    return F.broadcast(rows) if rows.count() * (32 + width * len(rows.columns)) <= most_bytes else rows
+
+
 def packed(df: DataFrame, id_col: str, **more: Column) -> DataFrame:
     """(__row, __id, ...): the rows of df as one column, so that no name of theirs clashes with those of an operator."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__id"), *[v.alias(k) for k, v in more.items()])

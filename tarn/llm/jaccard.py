@@ -7,18 +7,22 @@ Documents are sets of 64-bit hashes of five-word shingles; two link when 100 * i
    every comparison is with one leader and never among all members. Verified links give classes, cut into groups of about `group` members.
 3. The matrix: a column for each token, with the groups that hold it. Only the columns that can decide are made: of a set of n
    shingles, the first n - ceil(3n/4) + 1 in a fixed order; a partner must share one of them. In that order come tokens last
-   that are frequent in the corpus (counted over all tokens of all documents), as passages that many documents share.
-4. Columns give (query, group) pairs of different classes. The query's overlap with the union of the group's tokens bounds its overlap
-   with any member; only groups with an overlap of 3/4 of the query's size are opened, and their members compared exactly.
-5. Components of all links found. No link between different classes is lost: the prefix and the union bounds are exact.
+   that are frequent in the corpus (counted over all tokens of all documents), as passages that many documents share. A group
+   of several members has one row in a column, with the bounds of its members' sizes.
+4. Columns are sorted by token and read as a stream, so that a task holds one column at a time; a column of more than `long` groups leaves
+   in blocks, and these meet two by two in tasks of their own. Columns give pairs of groups of different classes.
+5. A member's overlap with the union of the other group's tokens bounds its overlap with any of its members; only groups with an
+   overlap of 3/4 of the member's size are opened, and their members compared exactly.
+6. Components of all links found. No link between different classes is lost: the prefix and the union bounds are exact.
 
 What grows with a group of copies or near copies is a row a document. The frequent tokens that every task gets are at most `most_hot`
 (the threshold of frequency rises until they are), 4 bytes each. Rows whose texts are read again are found by a broadcast of
-ids if at most 2,000,000 of them exist, else by a shuffle join.
+ids if these take at most 32 MB, else by a shuffle join.
 
 Cases: null and empty texts and texts without words have size 0 and link with nothing; under five words the whole sequence is the one
-shingle; texts of any length count whole; rows that repeat an id count once (the text that sorts last); ids are integers, and
-rows of null id are left out; other columns are ignored; an empty table gives an empty table.
+shingle; texts of any length count whole; of rows that repeat an id the text that sorts last stands for the id, and each of them gets
+its own size and the id's component; rows of null id have a size and no component, and link with nothing; ids are integers; other
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import components, documents, packed, portions, settle, shingle_sets, unpacked
+from tarn.llm.common import components, documents, light, packed, portions, settle, shingle_sets, unpacked
 
 KEYS = 8
 
@@ -53,9 +57,9 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def attach(texts: DataFrame, rows: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
-    """texts (id, text) with the rows of the same id (id, ...); broadcast only a number of rows that was counted."""
-    return texts.join(F.broadcast(rows) if rows.count() <= most_rows else rows, "id")
+def attach(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """texts (id, text) with the rows of the same id (id, ...)."""
+    return texts.join(light(rows), "id")
 
 
 def token_sets(rows: DataFrame, short: bool = False) -> DataFrame:
@@ -109,7 +113,7 @@ def hot_tokens(docs: DataFrame, total: int, most_hot: int) -> np.ndarray:
 
     Each task sorts the tokens of its texts and writes them by range, as gaps of two bytes; each range has a counter for each of
     its tokens, whatever the size of the corpus."""
-    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / (1 << 22))), 8, 20))
+    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / (1 << 22))), 10, 20))
 
     def deal(batches: Iterator):
         import pyarrow as pa
@@ -137,7 +141,7 @@ def hot_tokens(docs: DataFrame, total: int, most_hot: int) -> np.ndarray:
                 for s in shingle_sets(part.column(0)):
                     held.append((s >> np.uint64(32)).astype(np.uint32))
                     size += len(s)
-                if size > 6_000_000:
+                if size > 3_000_000:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -184,7 +188,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, threshold: tuple[int, int]) -> Da
                     n, h = len(s), 0
                     s = s & ~np.uint64(1)
                     if not n:
-                        out.append(b"")
+                        out.append(s)
                         frequent.append(0)
                         continue
                     most = n - -(-num * n // den) + 1
@@ -192,97 +196,138 @@ def prefixes(docs: DataFrame, hot: np.ndarray, threshold: tuple[int, int]) -> Da
                         upper = (s >> np.uint64(32)).astype(np.uint32)
                         late = hot[np.minimum(np.searchsorted(hot, upper), len(hot) - 1)] == upper
                         s, h = np.concatenate([s[~late], s[late] | np.uint64(1)]), int(late.sum())
-                    out.append(s[:most].tobytes())
+                    out.append(s[:most])
                     frequent.append(h)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(frequent, pa.int64()), pa.array(out, pa.binary())], names=["id", "h", "tokens"])
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(frequent, pa.int64()), tokens], names=["id", "h", "tokens"])
 
-    return docs.mapInArrow(run, "id long, h long, tokens binary")
+    return docs.mapInArrow(run, "id long, h long, tokens array<long>")
 
 
-def columns(entries: DataFrame, buckets: int, threshold: tuple[int, int]) -> DataFrame:
-    """(q, g): queries and groups of another class that meet in a column of the matrix. entries: (id, class, group, n, h, tokens).
+CELL = ["token", "class", "group", "low", "high", "h"]
+
+
+def matrix(entries: DataFrame) -> DataFrame:
+    """(token, class, group, low, high, h): a row for each token of a group, with the bounds of its members' sizes and the most
+    frequent tokens that one of them has. entries: (id, class, group, k, n, h, tokens), k the size of the class."""
+    rows = lambda which: entries.where(which).select(F.explode("tokens").alias("token"), "class", "group", "n", "h")
+    one = rows("k = 1").select("token", "class", "group", F.col("n").alias("low"), F.col("n").alias("high"), "h")
+    return one.unionByName(rows("k > 1").groupBy("token", "class", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("h").alias("h")))
+
+
+def fitting(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether cells of one column (last axis: class, group, low, high, h, frequent) can have members that link.
 
     Sets that share a token which isn't frequent meet in its column. Those that meet in the column of a frequent token only can
-    thus share frequent tokens at most, which bounds their overlap by h. Tokens go by 40 bits beside their bucket's; two that agree in these
-    alone only make a needless candidate."""
+    thus share frequent tokens at most, which bounds their overlap by h."""
     num, den = threshold
+    fits = (a[..., 0] != b[..., 0]) & (den * a[..., 3] >= num * b[..., 2]) & (den * b[..., 3] >= num * a[..., 2])
+    return fits & ((a[..., 5] == 0) | ((num + den) * np.minimum(a[..., 4], b[..., 4]) >= num * (a[..., 2] + b[..., 2])))
 
-    def deal(batches: Iterator):
-        import pyarrow as pa
 
-        def flush(held):
-            lens = [len(t) // 8 for _, t in held]
-            token = np.frombuffer(b"".join(t for _, t in held), np.uint64)
-            row = np.repeat(np.arange(len(held), dtype=np.uint32), lens)
-            where = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            cut = np.searchsorted(where[order], np.arange(buckets + 1))
-            table = np.array([x for x, _ in held], np.int64)
-            rows = {"bucket": [], "tokens": [], "row": [], "docs": []}
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                own = order[cut[k] : cut[k + 1]]
-                used, at = np.unique(row[own], return_inverse=True)
-                rows["bucket"].append(k)
-                rows["tokens"].append(token[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-                rows["row"].append(at.astype(np.uint16 if len(used) <= 65536 else np.uint32).tobytes())
-                rows["docs"].append(table[used].tobytes())
-            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("row", pa.binary()), ("docs", pa.binary())]))
+def crossing(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int], same: bool) -> Iterator[np.ndarray]:
+    """The pairs of groups of two blocks of a column that fit, the one of the greater class first; a few hundred rows at a time."""
+    for at in range(0, len(a), 256):
+        i, j = np.nonzero(fitting(a[at : at + 256, None], b[None], threshold))
+        i += at
+        if same:
+            i, j = i[i < j], j[i < j]
+        yield ordered(a[i], b[j])
 
-        held, size = [], 0
+
+def ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    swap = a[:, 0] < b[:, 0]
+    return np.stack([np.where(swap, b[:, 1], a[:, 1]), np.where(swap, a[:, 1], b[:, 1])], 1)
+
+
+def columns(cells: DataFrame, threshold: tuple[int, int], long: int = 4096) -> DataFrame:
+    """(q, g): pairs of groups of different classes that meet in a column of the matrix."""
+
+    def meet(batches: Iterator):
+        import pyarrow as pa
+
+        found: list[np.ndarray] = []
+        names = ["q", "g", "token", "block", "cells"]
+
+        def pairs() -> pa.RecordBatch:
+            p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            found.clear()
+            none = pa.nulls(len(p), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), none, none, pa.nulls(len(p), pa.binary())], names=names)
+
+        def block(rows: np.ndarray, k: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(rows[:1, 0]), pa.array([k], pa.int64()), pa.array([marked(rows).tobytes()], pa.binary())], names=names)
+
+        def marked(rows: np.ndarray) -> np.ndarray:
+            return np.concatenate([rows[:, 1:], rows[:, :1] & 1], axis=1)
+
+        def short(rows: np.ndarray) -> None:
+            """Columns that are there whole."""
+            cell, token = marked(rows), rows[:, 0]
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            size = np.diff(np.append(begin, len(token)))
+            small = np.repeat(size <= 8, size)
+            for d in range(1, 8):
+                i = np.flatnonzero((token[d:] == token[:-d]) & small[d:])
+                i = i[fitting(cell[i], cell[i + d], threshold)]
+                found.append(ordered(cell[i], cell[i + d]))
+            for at, n in zip(begin[size > 8].tolist(), size[size > 8].tolist()):
+                own = cell[at : at + n]
+                if own[:, 0].min() != own[:, 0].max():
+                    found.extend(crossing(own, own, threshold, True))
+
+        def ready() -> bool:
+            return sum(map(len, found)) > 200_000
+
+        held, size, blocks = [], 0, 0  # rows not yet compared; how many; blocks of the column at their end that have left
         for batch in batches:
-            for x in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                held.append((x[:5], x[5]))
-                size += len(x[5])
-                if size > 16_000_000:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
+            held.append(np.stack([c.to_numpy() for c in batch.columns], 1))
+            size += batch.num_rows
+            if size < 50_000:
+                continue
+            rows = np.concatenate(held)
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # where the last column begins
+            if blocks and cut:
+                own = int(np.searchsorted(rows[:, 0], rows[0, 0], side="right"))
+                yield block(rows[:own], blocks)
+                rows, cut, blocks = rows[own:], cut - own, 0
+            short(rows[:cut])
+            if ready():
+                yield pairs()
+            rows = rows[cut:]
+            while len(rows) > long:
+                yield block(rows[:long], blocks)
+                rows, blocks = rows[long:], blocks + 1
+            held, size = [rows], len(rows)
+        rows = np.concatenate(held) if held else np.zeros((0, len(CELL)), np.int64)
+        if blocks and len(rows):
+            own = int(np.searchsorted(rows[:, 0], rows[0, 0], side="right"))
+            yield block(rows[:own], blocks)
+            rows = rows[own:]
+        if len(rows):
+            short(rows)
+        yield pairs()
+
+    def meet_blocks(key, batches):
+        import pyarrow as pa
 
-    def meet(key, g):
-        import pandas as pd
+        x, y = key[1].as_py(), key[2].as_py()
+        blocks = {k: np.frombuffer(v, np.int64).reshape(-1, len(CELL)) for b in batches for k, v in zip(b.column("block").to_pylist(), b.column("cells").to_pylist())}
+        for p in crossing(blocks[x], blocks[y], threshold, x == y):
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["q", "g"])
 
-        packed = np.frombuffer(b"".join(g["tokens"]), np.uint8).reshape(-1, 5)
-        token = np.zeros((len(packed), 8), np.uint8)
-        token[:, :5] = packed
-        token = token.view("<u8").ravel()
-        docs = [np.frombuffer(d, np.int64).reshape(-1, 5) for d in g["docs"]]
-        first = np.cumsum([0, *map(len, docs)])
-        row = np.concatenate([np.frombuffer(r, np.uint16 if len(d) <= 65536 else np.uint32).astype(np.int64) + k for r, d, k in zip(g["row"], docs, first)])
-        docs = np.concatenate(docs)
-        order = np.argsort(token, kind="stable")
-        token, row = token[order], row[order]
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        kind = docs[row, 1]
-        mixed = np.minimum.reduceat(kind, begin) != np.maximum.reduceat(kind, begin)
-        stop = np.append(begin[1:], len(token))
-        pairs, found, size = [], [], 0
-        tidy = lambda p: np.unique(np.concatenate(p), axis=0)
-        for a, b in zip(begin[mixed].tolist(), stop[mixed].tolist()):
-            own = docs[row[a:b]]
-            own = own[np.argsort(own[:, 2], kind="stable")]
-            at = np.flatnonzero(np.concatenate([[True], own[1:, 2] != own[:-1, 2]]))
-            low, high, hot = np.minimum.reduceat(own[:, 3], at), np.maximum.reduceat(own[:, 3], at), np.maximum.reduceat(own[:, 4], at)
-            frequent = bool(token[a] & np.uint64(1))
-            for lo in range(0, len(own), 512):  # a long column in blocks
-                q = own[lo : lo + 512]
-                fits = (q[:, 1][:, None] > own[at, 1]) & (den * high >= num * q[:, 3][:, None]) & (num * low <= den * q[:, 3][:, None])
-                if frequent:
-                    fits &= (num + den) * np.minimum(q[:, 4][:, None], hot) >= num * (q[:, 3][:, None] + low)
-                i, j = np.nonzero(fits)
-                pairs.append(np.stack([q[i, 0], own[at[j], 2]], 1))
-                size += len(i)
-            if size > 500_000:
-                found, pairs, size = [tidy([*found, *pairs])], [], 0
-        out = tidy([*found, *pairs]) if found or pairs else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"q": out[:, 0], "g": out[:, 1]})
-
-    return entries.select("id", "class", "group", "n", "h", "tokens").mapInArrow(deal, "bucket int, tokens binary, row binary, docs binary").groupBy("bucket").applyInPandas(meet, "q long, g long").distinct()
+    met = settle(cells.select(CELL).repartition("token").sortWithinPartitions("token").mapInArrow(meet, "q long, g long, token long, block long, cells binary"))
+    pairs, blocks = met.where("token IS NULL").select("q", "g"), met.where("token IS NOT NULL").drop("q", "g")
+    many = blocks.groupBy("token").agg(F.max("block").alias("last"))
+    dealt = blocks.join(many, "token").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    dealt = dealt.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cells")
+    return pairs.unionByName(dealt.groupBy("token", "x", "y").applyInArrow(meet_blocks, "q long, g long")).distinct()
 
 
 def qualify(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The (q, g) whose overlap with the group's union lets a member link. members: (id, g). 24 bits of a token serve, as they can
-    only make the bound larger."""
+    """The (q, g) of which document q overlaps the union of group g so far that a member can link. pairs: (q, g) of groups; members:
+    (id, g). 24 bits of a token serve, as they can only make the bound larger."""
     num, den = threshold
 
     def union(key, g):
@@ -301,16 +346,20 @@ def qualify(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold: t
                 keep[i] = (num + den) * shared >= num * (len(x) + max(low, -(-num * len(x) // den)))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["q", "g"])
 
-    unions = token_sets(attach(texts, members.select("id", "g")), short=True).groupBy("g").applyInPandas(union, "g long, low long, union binary")
-    queries = token_sets(attach(texts, pairs.select(F.col("q").alias("id"), "g")), short=True).select(F.col("id").alias("q"), "g", "tokens")
+    asked = pairs.join(members.select(F.col("g").alias("q"), "id"), "q").select("id", "g")
+    opened = members.join(pairs.select("g").distinct(), "g", "left_semi").select("id", "g")
+    unions = token_sets(attach(texts, opened), short=True).groupBy("g").applyInPandas(union, "g long, low long, union binary")
+    queries = token_sets(attach(texts, asked), short=True).select(F.col("id").alias("q"), "g", "tokens")
     return queries.join(unions, "g").select("q", "g", "tokens", "low", "union").mapInArrow(run, "q long, g long")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (3, 4), group: int = 64, most_hot: int = 1 << 22) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (3, 4), group: int = 64, most_hot: int = 1 << 22, long: int = 4096) -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = settle(profile(texts))
-    if sets.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    each = settle(profile(every))
+    sets, texts = each.where("id IS NOT NULL"), every.where("id IS NOT NULL")
+    again = sets.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() > 0
+    if again:
         texts = settle(texts.groupBy("id").agg(F.max("text").alias("text")))
         sets = settle(profile(texts))
     equal = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"))
@@ -326,34 +375,42 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = reps.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("class"))
     sizes = classes.groupBy("class").agg(F.count("*").alias("k"))
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / group).cast("long"))
-    classes = settle(classes.join(sizes, "class").select("rep", "n", "class", F.when(F.col("k") <= group, F.col("class")).otherwise(F.xxhash64("class", block)).alias("group")))
+    classes = settle(classes.join(sizes, "class").select("rep", "n", "class", "k", F.when(F.col("k") <= group, F.col("class")).otherwise(F.xxhash64("class", block)).alias("group")))
 
-    # the matrix over groups, and the groups that its columns bring before each query
-    total, kept = (x.agg(F.sum("n")).first()[0] or 0 for x in (sets, reps))
+    # the matrix over groups, and the groups that its columns bring together
+    total = sets.agg(F.sum("n")).first()[0] or 0
     hot = hot_tokens(texts, total, most_hot)
-    entries = settle(attach(prefixes(texts, hot, threshold), classes.withColumnRenamed("rep", "id"), 1_000_000))
-    met = settle(columns(entries, max(12, kept // 4_000_000), threshold))
+    entries = settle(attach(prefixes(texts, hot, threshold), classes.withColumnRenamed("rep", "id")))
+    met = settle(columns(matrix(entries), threshold, long))
     last = first
     if met.limit(1).count():
-        members = settle(classes.select(F.col("group").alias("g"), F.col("rep").alias("id")).join(met.select("g").distinct(), "g", "left_semi"))
+        groups = met.select("g").unionByName(met.select(F.col("q").alias("g"))).distinct()
+        members = settle(classes.select(F.col("group").alias("g"), F.col("rep").alias("id")).join(groups, "g", "left_semi"))
         opened = settle(qualify(met, members, texts, threshold))
         pairs = settle(opened.join(members.withColumnRenamed("id", "b"), "g").select(F.col("q").alias("a"), "b"))
         last = components(links.unionByName(verify(pairs, texts, threshold)))
     named = reps.join(last.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(named, ["n", "d1", "d2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_ids: int = 2_000_000) -> DataFrame:
-    """The rows of docs without those that a document of lesser id stands for; of rows that repeat an id one stays. Rows of null id stay."""
+    found = sets.join(named, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    if again:
+        found = each.where("id IS NOT NULL").select("id", "n").join(found.select("id", "component"), "id")
+    found = found.unionByName(each.where("id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component")))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs of which no row before them is linked to by any chain: of each class the row of least id stays, null last. Rows
+    that repeat an id, and rows of null id, are documents of their own: one goes only if its text is linked with one that stays."""
+    names = docs.columns
+    if docs.groupBy(id_col).agg(F.count("*").alias("__n")).where(F.col(id_col).isNull() | (F.col("__n") > 1)).limit(1).count():
+        rows = settle(packed(docs, id_col, __key=F.monotonically_increasing_id()))
+        classes = settle(jaccard_classes(rows.select("__key", F.col("__row").getField(text_col).alias("__text")), "__key", "__text"))
+        order = F.struct(F.col("__id").isNull(), "__id", "__key")
+        gone = rows.select("__id", "__key").join(classes, "__key").groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1")
+        gone = classes.join(gone, "component_id").where(F.col("__key") != F.col("first.__key")).select(F.col("__key").alias("__gone"))
+        return unpacked(rows.join(light(settle(gone)), F.col("__key") == F.col("__gone"), "left_anti"), names)
     classes = settle(jaccard_classes(docs, id_col, text_col))
-    names, ids = docs.columns, docs.where(F.col(id_col).isNotNull())
-    if ids.count() != classes.count():
-        last = packed(ids, id_col, __text=F.coalesce(text_col, F.lit(""))).groupBy("__id").agg(F.max_by("__row", "__text").alias("__row"))
-        docs = settle(unpacked(last, names).unionByName(docs.where(F.col(id_col).isNull())))
     gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    few = gone.count() <= most_ids
-    return unpacked(packed(docs, id_col).join(F.broadcast(gone) if few else gone, F.col("__id").cast("long") == F.col("__gone"), "left_anti"), names)
+    return unpacked(packed(docs, id_col).join(light(gone), F.col("__id").cast("long") == F.col("__gone"), "left_anti"), names)
 
 
 def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,11 +229,24 @@ def test_jaccard_awkward(spark):
     docs = awkward(spark)
     texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id is not null").collect()}
     out = jaccard.jaccard_classes(docs)
-    assert got_classes(out) == brute_jaccard(texts) and out.count() == len(texts)
+    assert got_classes(out) == brute_jaccard(texts) | {None: (2, None)} and out.count() == docs.count()
     assert jaccard.jaccard_classes(awkward(spark, True)).count() == 0
+    # rows of equal id are documents of their own where rows are chosen
+    docs = docs.unionByName(docs.where("doc_id = 10").selectExpr(*[f"{'CAST(11 AS BIGINT)' if c == 'doc_id' else c} AS {c}" for c in docs.columns]))
     first = jaccard.first_of_each(docs)
     assert first.columns == docs.columns
-    assert Counter(r["doc_id"] for r in first.collect()) == Counter([None, *(i for i, (_, c) in brute_jaccard(texts).items() if i == c)])
+    stay = [i for i, (_, c) in brute_jaccard(texts).items() if i == c]
+    assert Counter(r["doc_id"] for r in first.collect()) == Counter([None, *stay]) and 11 in stay
+    assert jaccard.first_of_each(awkward(spark, True)).count() == 0
+
+
+def test_jaccard_long_columns(spark):
+    """Columns over many groups leave in blocks; streams break within columns."""
+    rng = np.random.default_rng(11)
+    common = " ".join(f"c{i}" for i in range(60))
+    docs = {i: common + " " + " ".join(f"u{i}x{k}" for k in range(int(rng.integers(5, 20)))) for i in range(120)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert got_classes(jaccard.jaccard_classes(df, group=2, long=7)) == brute_jaccard(docs)
 
 
 # 7: embeddings
