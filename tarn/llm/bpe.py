@@ -1,14 +1,15 @@
 """Operator 2: byte-level BPE encoding and decoding by a tokenization automaton.
 
-The merges are compiled, in order of rank, into a deterministic automaton over tokens by successive merge gadgets. The gadget of a
-merge (u, v) -> w does three things: the state behind u is split off and loses its v arc; a w arc is added wherever a u arc followed
-by a v arc could be taken; the w arc ends in the state that v ended in. A state's arcs are never copied: what stands behind w is a
-snapshot of v's state as of that merge, and where a w arc begins is a snapshot of where u arcs began, so the compiled tables have
-one row a merge. Whether state p has arc t follows from the two chains of snapshots; the answers met are kept in a transition table.
+The merges are compiled, in order of rank, into a deterministic automaton over tokens by successive merge gadgets. All arcs of a token
+end in the same state, the one behind it, and tokens that may stand in the same places are one class of arcs; so the
+automaton is a table of bits, a row for each state and a column for each class, and two lists that say which state is behind a token
+and which class it has. The gadget of a merge (u, v) -> w does three things: w ends in the state that v ends in; the state behind u, split
+off from tokens that share it, loses the arcs of v, whose class is split off likewise; w begins wherever u still begins. A state or class
+is only copied where it is shared, so that what w has taken over stays as it was at its merge. The table is whole before the first text.
 
-A pre-split word is encoded by table-driven transitions: a byte table (node, byte) -> node proposes the tokens that begin at a
-position, and of the automaton's paths exactly one spells the word. The work is linear in a word's bytes. Decoding
-emits the labels of the arcs.
+A pre-split word is encoded by table-driven transitions, from left to right and without going back: of the automaton's paths exactly
+one spells each prefix of the word, so each position has one state, and a byte table (node, byte) -> node proposes the tokens from
+there, of which the state's row takes those that have an arc. Decoding emits the labels of the arcs.
 
 Cases: null text counts as empty; an empty text has no ids; a text of any length is encoded whole; repeated rows and repeated ids
 give a row each; other columns are ignored; an empty table gives an empty table. The strings of special tokens in a text become
@@ -33,8 +34,8 @@ from tarn.llm.common import documents, portions
 #: The public pre-tokenization pattern of byte-level BPE; the second form is equal to it on ASCII texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PATTERN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s\dA-Za-z]+|\s+(?!\S)|\s+"
-#: Words kept with their ids in a worker; beyond it the table is begun anew.
-MEMO = 400_000
+#: Words kept with their ids in a worker: those met last, and as many before them.
+MEMO = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,6 +45,47 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The state in which a word begins; it has all arcs.
+START = 0
+
+
+def compiled(n: int, merges: list[tuple[int, int, int]]) -> tuple[list[int], list[int], np.ndarray]:
+    """The automaton over n tokens: the state behind each, the class of each, and the table of arcs (states, classes / 8), as bits."""
+    made = {w for _, _, w in merges}
+    behind, kind = [1] * n, [0] * n  # all bytes share a state and a class at first
+    holders, members = [1, n - len(made)], [n - len(made)]
+    arcs = np.full((1 << 7, 1 << 10), 255, np.uint8)  # turned over while it is built: classes are copied oftener in whole bytes
+    done = set()
+    for u, v, w in merges:
+        if w not in done:
+            behind[w] = behind[v]
+            holders[behind[w]] += 1
+        if holders[behind[u]] > 1:
+            s = len(holders)
+            if s == arcs.shape[1]:
+                arcs = np.concatenate([arcs, np.full_like(arcs, 255)], axis=1)
+            used = (len(members) + 7) >> 3
+            arcs[:used, s] = arcs[:used, behind[u]]
+            holders[behind[u]] -= 1
+            behind[u] = s
+            holders.append(1)
+        if members[kind[v]] > 1:
+            k, old = len(members), kind[v]
+            if k == len(arcs) * 8:
+                arcs = np.concatenate([arcs, np.full_like(arcs, 255)])
+            used = len(holders)
+            arcs[k >> 3, :used] &= (arcs[old >> 3, :used] >> (old & 7) & 1) << (k & 7) | np.uint8(255 - (1 << (k & 7)))
+            members[old] -= 1
+            kind[v] = k
+            members.append(1)
+        arcs[kind[v] >> 3, behind[u]] &= np.uint8(255 - (1 << (kind[v] & 7)))
+        if w not in done:
+            done.add(w)
+            kind[w] = kind[u]
+            members[kind[w]] += 1
+    return behind, kind, np.ascontiguousarray(arcs[: (len(members) + 7) >> 3, : len(holders)].T)
+
+
 class Automaton:
     """The compiled automaton of a byte-level BPE vocabulary file of the tokenizers library."""
 
@@ -60,91 +102,53 @@ class Automaton:
             self.labels[i] = label
         for text, i in self.special.items():
             self.labels[i] = text.encode()
-        n = len(self.labels)
-        self.left, self.right, self.made = [-1] * n, [-1] * n, [-1] * n
-        self.barred: dict[tuple[int, int], int] = {}
-        for rank, pair in enumerate(model["merges"]):
+        merges = []
+        for pair in model["merges"]:
             u, v = (self.ids[spell(t)] for t in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.gadget(u, v, self.ids[self.labels[u] + self.labels[v]], rank)
+            merges.append((u, v, self.ids[self.labels[u] + self.labels[v]]))
+        self.behind, self.kind, arcs = compiled(len(self.labels), merges)
+        self.stride, self.table = arcs.shape[1], arcs.tobytes()
         self.next: dict[int, int] = {}  # node << 8 | byte -> node
-        self.ends: list[int] = [-1]  # the token that ends at a node
+        self.ends: list[tuple[int, int, int, int] | None] = [None]  # the arc whose label ends at a node: its byte and bit in a row, the row behind it, itself
         for label, i in self.ids.items():
             node = 0
             for b in label:
                 to = self.next.get(node << 8 | b)
                 if to is None:
                     to = self.next[node << 8 | b] = len(self.ends)
-                    self.ends.append(-1)
+                    self.ends.append(None)
                 node = to
-            self.ends[node] = i
+            self.ends[node] = (self.kind[i] >> 3, 1 << (self.kind[i] & 7), self.behind[i] * self.stride, i)
         self.sizes = [len(x) for x in self.labels]
         self.longest = max(self.sizes)
-        self.shorter = [-1] * n  # the longest label that a label begins with
-        for label, i in self.ids.items():
-            self.shorter[i] = next((self.ids[label[:k]] for k in range(len(label) - 1, 0, -1) if label[:k] in self.ids), -1)
-        self.arcs: dict[int, bool] = {}  # token << 32 | token
         self.pattern, self.ascii = regex.compile(PATTERN), re.compile(PATTERN_ASCII, re.A)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = Words(self)
 
-    def gadget(self, u: int, v: int, w: int, rank: int) -> None:
-        """Takes the v arc from the state behind u; the w arc begins where u's did and ends where v's did, as of now."""
-        self.barred.setdefault((u, v), rank)
-        if self.made[w] < 0:
-            self.left[w], self.right[w], self.made[w] = u, v, rank
-
     def has_arc(self, p: int, t: int) -> bool:
         """Whether the state behind token p has an arc t."""
-        a, b, as_of, made, barred = p, t, 1 << 60, self.made, self.barred
-        while True:
-            if barred.get((a, b), 1 << 60) < as_of:
-                ok = False
-                break
-            if made[a] < 0 and made[b] < 0:
-                ok = True
-                break
-            if made[a] > made[b]:
-                as_of, a = made[a], self.right[a]  # the snapshot behind a
-            else:
-                as_of, b = made[b] + 1, self.left[b]  # where b could begin; of two overlapping pairs the left one was merged
-        if len(self.arcs) > 4_000_000:
-            self.arcs.clear()
-        self.arcs[p << 32 | t] = ok
-        return ok
+        return bool(self.table[self.behind[p] * self.stride + (self.kind[t] >> 3)] >> (self.kind[t] & 7) & 1)
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Walks the automaton by the longest label that fits, then shorter ones. As one path at most reaches each position, a
-        position that led nowhere is never entered again."""
-        n, at, out, before = len(word), 0, [], -1
-        step, ends, sizes, shorter, known, has_arc = self.next.get, self.ends, self.sizes, self.shorter, self.arcs.get, self.has_arc
-        alive = bytearray(b"\1") * (n + 1)
-        while at < n:
-            node, t = 0, -1
-            for b in word[at : at + self.longest]:
+        """The labels of the one path that spells the word."""
+        n, longest = len(word), self.longest
+        step, ends, table = self.next.get, self.ends, self.table
+        row, last = [0] * (n + 1), [0] * (n + 1)  # of each position: where its state's row begins in the table, and the arc that led there
+        for at in range(n):
+            here, node, i = row[at], 0, at
+            for b in word[at : at + longest]:
                 node = step(node << 8 | b)
                 if node is None:
                     break
-                if ends[node] >= 0:
-                    t = ends[node]
-            while True:
-                while t >= 0:
-                    if alive[at + sizes[t]]:
-                        if before < 0:
-                            break
-                        ok = known(before << 32 | t)
-                        if ok or ok is None and has_arc(before, t):
-                            break
-                    t = shorter[t]
-                if t >= 0:
-                    break
-                alive[at] = 0
-                t = out.pop()
-                at -= sizes[t]
-                t = shorter[t]
-                before = out[-1] if out else -1
-            out.append(t)
-            before = t
-            at += sizes[t]
+                i += 1
+                arc = ends[node]
+                if arc and table[here + arc[0]] & arc[1]:
+                    row[i], last[i] = arc[2], arc[3]
+        out, sizes = [], self.sizes
+        while n:
+            out.append(last[n])
+            n -= sizes[last[n]]
+        out.reverse()
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
@@ -164,13 +168,14 @@ class Words(dict):
     """Ids of the words met; filled by the automaton."""
 
     def __init__(self, automaton: Automaton):
-        self.automaton = automaton
+        self.automaton, self.before = automaton, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.automaton.encode_word(word.encode())
-        if len(self) >= MEMO:
-            self.clear()
+        ids = self.before.get(word) or self.automaton.encode_word(word.encode())
         if len(word) < 40:
+            if len(self) >= MEMO:
+                self.before = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -223,6 +228,22 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(id_col, ids_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())]))
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text): every whole text encoded and decoded again, in one pass."""
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        table = automaton(path)
+        for batch in batches:
+            for part in portions(batch, 1):
+                ids = [table.encode(t or "") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(table.decode, ids), pa.string())], names=[id_col, "ids", "text"])
+
+    kind = docs.schema[id_col].dataType
+    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())]))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -231,8 +252,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes every text; digests of the ids and of the decoded text stand for them."""
-    both = decode(encode(docs, path), path)
-    return both.select(
+    return round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -16,14 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the session's checkpoint folder where that is set."""
+    """The folder that all executors share: spark.checkpoint.dir, or the session's checkpoint folder. Where neither is set, a session on one
+    machine gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))  # one machine: its own disk is shared
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def settle(df: DataFrame) -> DataFrame:
