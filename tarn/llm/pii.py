@@ -5,7 +5,7 @@ that failed a check, and narrower forms inside or beside them (a card next to ot
 number, a spelled-out email address). Five labelers vote +1, 0 or -1 on every base span and candidate: validity (checksum, ranges,
 lengths), a gazetteer (top-level domains, issuers, country codes), context words, boundaries and shape. Votes are counted over all
 documents by kind and pattern of votes, at most 4 * 3^5 rows, and expectation-maximisation on these counts estimates each labeler's
-reliability and each pattern's probability; a logistic span classifier is trained on those soft labels and judges each candidate.
+reliability on both sides and each pattern's probability; a logistic span classifier is trained on those soft labels and judges each candidate.
 
 Everything about a text stays in its row: no text is shuffled. Group patterns are possessive, so long runs neither backtrack nor
 nest, and a text is only matched against patterns whose rarest character it holds. Positions count code points, ends are exclusive.
@@ -51,8 +51,9 @@ CONTEXT = {
     "phone": ("tel|phone|call|fax|mobile|cell|whatsapp|telefon|anruf|appel|llama", "order|invoice|isbn|serial|token|part no|version"),
 }
 LABELERS = ["valid", "gazetteer", "context", "boundary", "shape"]
-#: Least and greatest reliability of each labeler: a failed checksum outweighs a plausible look.
-BOUNDS = [(0.97, 0.995), (0.55, 0.75), (0.6, 0.85), (0.55, 0.65), (0.55, 0.65)]
+#: What is held of each labeler before any vote is seen: how often it is right, of spans that are personal data and of those that aren't, and
+#: how many votes that belief is worth. It says which of two mirror-image solutions is meant, and gives way to a few dozen votes.
+BELIEF = [(0.9, 20.0), (0.7, 6.0), (0.7, 6.0), (0.6, 6.0), (0.6, 6.0)]
 
 Span = "array<struct<s:int,e:int,h:string>>"
 
@@ -163,7 +164,7 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
 class Classifier:
     """Weights of the span classifier by kind: a bias, then up and down weights of each labeler."""
 
-    def __init__(self, weights: dict[str, list[float]], reliability: dict[str, list[float]]):
+    def __init__(self, weights: dict[str, list[float]], reliability: dict[str, list[tuple[float, float]]]):
         self.weights, self.reliability = weights, reliability
 
     def chance(self, kind: str, cast: list[Column]) -> Column:
@@ -174,31 +175,35 @@ class Classifier:
         return 1 / (1 + F.exp(-z))
 
 
-def estimate(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[dict[tuple[int, ...], float], list[float]]:
-    """Expectation-maximisation over patterns of votes: the probability that each is personal data, and each labeler's reliability.
+def estimate(counts: dict[tuple[int, ...], int], rounds: int = 2000, still: float = 1e-7) -> tuple[dict[tuple[int, ...], float], list[tuple[float, float]]]:
+    """Expectation-maximisation over patterns of votes: the probability that each is personal data, and how often each labeler is right of
+    spans that are and of spans that aren't. A labeler that says the same of all thus weighs nothing; silence says nothing.
 
-    Labelers differ in what they can know: reliabilities stay in the bounds of BOUNDS, and pseudo-counts hold them to the middle."""
-    share, right = 0.5, [(a + b) / 2 for a, b in BOUNDS]
+    Reliabilities are free: they begin at BELIEF, whose few pseudo-votes are all that holds them; rounds end when none moves."""
+    share, right = 0.5, [(r, r) for r, _ in BELIEF]
+    total = sum(counts.values())
     post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         for p in counts:
-            yes, no = math.log(share), math.log(1 - share)
-            for v, r in zip(p, right):
+            odds = math.log(share) - math.log(1 - share)
+            for v, (yes, no) in zip(p, right):
                 if v:
-                    yes, no = yes + math.log(r if v > 0 else 1 - r), no + math.log(1 - r if v > 0 else r)
-            post[p] = 1 / (1 + math.exp(min(50.0, max(-50.0, no - yes))))
-        total = sum(counts.values())
-        share = min(0.95, max(0.05, (sum(n * post[p] for p, n in counts.items()) + 5) / (total + 10)))
-        for i in range(len(LABELERS)):
-            cast = sum(n for p, n in counts.items() if p[i])
-            good = sum(n * (post[p] if p[i] > 0 else 1 - post[p]) for p, n in counts.items() if p[i])
-            low, high = BOUNDS[i]
-            right[i] = min(high, max(low, (good + 25 * (low + high)) / (cast + 50)))
+                    odds += math.log(yes) - math.log(1 - no) if v > 0 else math.log(1 - yes) - math.log(no)
+            post[p] = 1 / (1 + math.exp(min(50.0, max(-50.0, -odds))))
+        share = (sum(n * post[p] for p, n in counts.items()) + 1) / (total + 2)
+        before, right = right, []
+        for i, (r, worth) in enumerate(BELIEF):
+            cast = {s: [(n * post[p], n * (1 - post[p])) for p, n in counts.items() if p[i] == s] for s in (1, -1)}
+            sums = {s: [sum(x) for x in zip(*rows)] or [0.0, 0.0] for s, rows in cast.items()}
+            right.append(((sums[1][0] + r * worth) / (sums[1][0] + sums[-1][0] + worth), (sums[-1][1] + r * worth) / (sums[1][1] + sums[-1][1] + worth)))
+        if max(abs(x - y) for a, b in zip(right, before) for x, y in zip(a, b)) < still:
+            break
     return post, right
 
 
-def train(post: dict[tuple[int, ...], float], counts: dict[tuple[int, ...], int], start: list[float], rounds: int = 300, hold: float = 0.02) -> list[float]:
-    """Logistic weights on the soft labels, held to the start; every pattern of votes counts by the logarithm of its number."""
+def train(post: dict[tuple[int, ...], float], counts: dict[tuple[int, ...], int], start: list[float], rounds: int = 1000, hold: float = 1e-3) -> list[float]:
+    """Logistic weights on the soft labels; every pattern of votes counts by the logarithm of its number. The pull to the start is that
+    of a thousandth of all rows: it decides only what no vote speaks of."""
     w = list(start)
     rows = [([1.0, *(x for v in p for x in (float(v > 0), float(v < 0)))], post[p], math.log1p(n)) for p, n in counts.items()]
     total = sum(n for *_, n in rows) or 1.0
@@ -224,7 +229,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Classifier:
     weights, reliability = {}, {}
     for k in KINDS:
         counts = {tuple(r[x] for x in LABELERS): r["n"] for r in sorted(counted) if r["kind"] == k}
-        post, reliability[k] = estimate(counts) if counts else ({}, [0.8] * len(LABELERS))
+        post, reliability[k] = estimate(counts) if counts else ({}, [(r, r) for r, _ in BELIEF])
         weights[k] = train(post, counts, START) if counts else START
     return Classifier(weights, reliability)
 

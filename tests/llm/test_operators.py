@@ -70,6 +70,8 @@ def test_bpe_equals_the_library(spark, sf):
     got = [(r[1], r[2], r[3]) for r in bpe.digests(docs, bpe.tokenizer_path()).collect()]
     assert Counter(got) == Counter(want)
     assert bpe.digests(awkward(spark, True), bpe.tokenizer_path()).count() == 0
+    apart = bpe.decode(bpe.encode(docs, bpe.tokenizer_path()), bpe.tokenizer_path()).collect()
+    assert sorted(sha(r["text"]) for r in apart) == sorted(x[2] for x in want) and sum(len(r["ids"]) for r in apart) == sum(x[0] for x in want)
 
 
 def test_bpe_random_words():
@@ -84,6 +86,21 @@ def test_bpe_random_words():
         assert own.decode(own.encode(t)) == t
 
 
+def test_bpe_table_is_whole_before_texts():
+    """Arcs against what the library itself does with each pair of tokens."""
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(bpe.tokenizer_path()), bpe.Automaton(bpe.tokenizer_path())
+    letters = sorted(i for label, i in own.ids.items() if label.isalpha() and label.isascii())
+    rng = np.random.default_rng(9)
+    for p, t in zip(rng.choice(letters, 4000).tolist(), rng.choice(letters, 4000).tolist()):
+        assert own.has_arc(p, t) == (tok.encode((own.labels[p] + own.labels[t]).decode(), add_special_tokens=False).ids == [p, t])
+    # three letters, two merges, by hand: states and arcs of a, b, ab, abb
+    behind, kind, arcs = bpe.compiled(4, [(0, 1, 2), (2, 1, 3)])
+    arc = lambda p, t: bool(arcs[behind[p], kind[t] >> 3] >> (kind[t] & 7) & 1)
+    assert [[arc(p, t) for t in range(4)] for p in range(4)] == [[True, False, True, True], [True] * 4, [True, False, True, True], [True] * 4]
+
+
 # 3: URL filters
 
 
@@ -334,6 +351,70 @@ def test_pii_awkward(spark, tmp_path):
     assert pii.redact(awkward(spark, True), pii.learn(awkward(spark, True))).count() == 0
 
 
+def plain_spans(text, model):
+    """All spans: base ones, and candidates that the classifier takes, in plain Python."""
+    digits = lambda h: re.sub("[^0-9]", "", h)
+    luhn = lambda d: 13 <= len(d) <= 19 and sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+    base = base_spans(text)
+    meet = lambda x, y: x[1] < y[2] and x[2] > y[1]
+
+    def votes(kind, s, e):
+        h, n = text[s:e], digits(text[s:e])
+        before, good, bad = text[max(0, s - 30) : s].lower(), *pii.CONTEXT[kind]
+        sign = lambda g, b: -1 if b else int(bool(g))
+        says = [sign(re.search(rf"\b(?:{good})\b", before), re.search(rf"\b(?:{bad})\b", before)), sign(True, re.match("[A-Za-z0-9_]", text[s - 1 : s]) or re.match("[A-Za-z0-9_]", text[e : e + 1]))]
+        if kind == "email":
+            tld = re.search(r"([A-Za-z0-9-]+)$", h)
+            tld = tld[1].lower() if tld else ""
+            return [1 if re.fullmatch("[a-z]{2,}", tld) else -1, int(tld in pii.GAZETTEER["tld"]), *says, sign(len(h) <= 60, len(h) > 200)]
+        if kind == "ip":
+            ok, first = all(int(p) <= 255 for p in h.split(".")), int(h.split(".")[0])
+            return [1 if ok else -1, sign(1 <= first <= 223 and first != 127, first == 0 or first > 255), *says, -1 if re.search(r"(^|\.)0[0-9]", h) else 1]
+        if kind == "card":
+            return [1 if luhn(n) else -1, 1 if re.match("4|5[1-5]|2[2-7]|3[47]|6011|65", n) else -1, *says, sign(len(n) in (15, 16), len(h) > 23)]
+        code = re.match(r"(?:\+|00)([0-9]{1,3})(?:[ .(-]|$)", h)
+        return [1 if 9 <= len(n) <= 15 else -1, int(bool(code) and code[1] in pii.GAZETTEER["country"]), *says, sign(re.match(r"\+|00|\(", h) and re.search("[ .()-]", h), not re.search("[ .()+-]", h))]
+
+    added = {}
+    for k in pii.KINDS:
+        found = [(k, m.start(), m.end()) for m in re.finditer(pii.WIDER[k], text)]
+        if k == "card":
+            failed = [(k, m.start(), m.end()) for m in re.finditer(r"[0-9](?:[\x20-]?[0-9])+", text) if 13 <= len(digits(m[0])) <= 19 and not luhn(digits(m[0]))]
+            found += [x for x in failed if not any(meet(x, y) for y in found)]
+        found = [x for x in found if not any(meet(x, y) for y in base)]
+        w = model.weights[k]
+        z = lambda v: w[0] + sum(w[1 + 2 * i] if x > 0 else w[2 + 2 * i] if x < 0 else 0 for i, x in enumerate(v))  # noqa: B023, E731
+        added[k] = [x for x in found if z(votes(*x)) >= 0]
+    out = []
+    for i, k in enumerate(pii.KINDS):
+        mine = [x for x in added[k] if not any(meet(x, y) for j in pii.KINDS[:i] for y in added[j])]
+        mine = [x for x in mine if not any(y[1] < x[1] and y[2] > x[1] for y in added[k])]
+        out += sorted({*mine, *(x for x in base if x[0] == k)}, key=lambda x: x[1:])
+    return out
+
+
+def test_pii_added_spans_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = ["me (at) ex.com or me [at] ex [dot] com", "call 4111 1111 1111 1111 2222", "tel 555 010 9999", "order 4111 1111 1111 1112", "card 4111 1111 1111 1112", "+1 (826) 555-4081 190.137.223.204", "host 1.2.3.4.5", "00 44 207 946 0958 x"]
+    docs = docs.unionByName(spark.createDataFrame([(-1 - i, x) for i, x in enumerate(odd)], "doc_id long, text string"))
+    model = pii.learn(docs)
+    every = pii.find(docs, model, F.col("text")).select("doc_id", "text", pii.listed("__all").alias("spans")).collect()
+    want = {r["doc_id"]: ",".join(":".join(map(str, x)) for x in plain_spans(r["text"] or "", model)) for r in every}
+    assert {r["doc_id"]: r["spans"] for r in every} == want
+    assert any(len(plain_spans(x, model)) > len(base_spans(x)) for x in odd)
+
+
+def test_pii_recovers_reliabilities():
+    """The votes decide, whatever is believed of labelers before."""
+    rng = np.random.default_rng(0)
+    for truth, share in (((0.5, 0.95, 0.95, 0.9, 0.5), 0.4), ((0.98, 0.9, 0.95, 0.9, 0.9), 0.5), ((0.9, 0.7, 0.8, 0.6, 0.55), 0.3)):
+        y = rng.random(20_000) < share
+        cast = np.array([np.where(rng.random(len(y)) < r, np.where(y, 1, -1), np.where(y, -1, 1)) * (rng.random(len(y)) < 0.8) for r in truth]).T
+        post, right = pii.estimate(Counter(map(tuple, cast.tolist())))
+        assert np.allclose(right, np.array(truth)[:, None], atol=0.04), (truth, right)
+        assert np.mean([(post[tuple(v)] > 0.5) == t for v, t in zip(cast.tolist(), y)]) > 0.8
+
+
 # 9: mixing
 
 
