@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.text import fold
+from tarn.session import light
 
 
 def not_equal(x: Column, value) -> Column:
@@ -85,6 +86,18 @@ def split_kept(df: DataFrame, reason: Column, stage: str) -> DataFrame:
 
 def first_crossed(measures: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """Of each rule's ordered conditions (rule, place, measure, least), the first that a row's measures cross. measures: (keys, measure, value)."""
-    met = measures.join(F.broadcast(rules), "measure").where(F.col("value") >= F.col("least"))
-    w = Window.partitionBy(*keys, "rule").orderBy("place")
-    return met.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    met = measures.join(light(rules), "measure").where(F.col("value") >= F.col("least"))
+    first = met.groupBy(*keys, "rule").agg(F.min(F.struct("place", "measure", "value", "least")).alias("__f"))
+    return first.select(*keys, "rule", "__f.*")
+
+
+def divergence(found: Column, other: Column, broken: str, least: int = 6) -> Column:
+    """A title that a pattern calls broken, that is short, or that differs in white space only was extracted badly; else the source changed."""
+    bare = lambda x: F.regexp_replace(x, r"\s+", "")
+    return F.when(found.rlike(broken) | (F.length(found) < least) | (bare(found) == bare(other)), "extraction fault").otherwise("changed source")
+
+
+def visible(df: DataFrame, roles: str, role: str | None, published: str) -> DataFrame:
+    """Published rows whose list of roles has the role, or `all`; without a role those for all only."""
+    seen = F.array_contains(roles, "all")
+    return df.where(F.col(published) & (seen | F.array_contains(roles, role) if role else seen))

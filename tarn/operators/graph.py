@@ -6,6 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tarn.session import cut
 
 
 def canonical(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -71,13 +74,13 @@ def paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """(first, last, hops, edge_ids, weight): walks of 1 to `most` undirected edges from the start nodes that use no edge twice.
 
     edges: (edge_id, src, dst, weight); start: (node)."""
-    both = undirected(edges.select("edge_id", "src", "dst", "weight"))
+    both = undirected(cut(edges.select("edge_id", "src", "dst", "weight")))
     step = both.select(F.col("src").alias("__from"), F.col("dst").alias("__to"), F.col("edge_id").alias("__edge"), F.col("weight").alias("__weight"))
-    now = start.select(F.col("node").alias("first"), F.col("node").alias("last"), F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("edge_ids"), F.lit(0).cast("double").alias("weight"))
+    now = start.select(F.col("node").alias("first"), F.col("node").alias("last"), F.lit(0).alias("hops"), F.array().cast(T.ArrayType(edges.schema["edge_id"].dataType)).alias("edge_ids"), F.lit(0).cast("double").alias("weight"))
     out = None
     for k in range(1, most + 1):
         now = now.join(step, F.col("last") == F.col("__from")).where(~F.array_contains("edge_ids", F.col("__edge")))
-        now = now.select("first", F.col("__to").alias("last"), F.lit(k).alias("hops"), F.concat("edge_ids", F.array(F.col("__edge").cast("long"))).alias("edge_ids"), (F.col("weight") + F.col("__weight")).alias("weight"))
+        now = now.select("first", F.col("__to").alias("last"), F.lit(k).alias("hops"), F.concat("edge_ids", F.array("__edge")).alias("edge_ids"), (F.col("weight") + F.col("__weight")).alias("weight"))
         out = now if out is None else out.unionByName(now)
     return out
 
@@ -96,14 +99,16 @@ def ancestors(parents: DataFrame, most: int = 20) -> DataFrame:
 
     Raises where pairs are still new after `most` steps."""
     up = parents.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
+    parents = cut(parents)
     now = parents.select(F.col("child").alias("node")).union(parents.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     out = now
     for k in range(1, most + 1):
         now = now.join(up, F.col("ancestor") == F.col("__c")).select("node", F.col("__p").alias("ancestor"), F.lit(k).alias("depth"))
         now = now.join(out.select(F.col("node").alias("__n"), F.col("ancestor").alias("__a")), (F.col("node") == F.col("__n")) & (F.col("ancestor") == F.col("__a")), "left_anti")
+        now = cut(now)
         if not now.limit(1).count():
             return out
-        out = out.unionByName(now)
+        out = cut(out.unionByName(now))
     if now.join(up, F.col("ancestor") == F.col("__c")).select("node", F.col("__p").alias("ancestor")).join(out, ["node", "ancestor"], "left_anti").limit(1).count():
         raise RuntimeError(f"ancestors go on beyond {most} steps")
     return out

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,45 +24,60 @@ def landmark_ends(df: DataFrame, doc: str, start: str, end: Column | None = None
     return df.withColumn("end", F.coalesce(nxt, end) if end is not None else nxt)
 
 
-def limited(df: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
+def limited(df: DataFrame, key: str, at: str, most: int, seconds: int, tie: str | None = None) -> DataFrame:
     """Adds `allowed`: whether an event comes while fewer than `most` allowed ones of its key lie within so many seconds before.
 
-    Rejected events don't count, so an event depends on the decisions before it: events of a key are decided in order of time
-    as a stream of batches that are already sorted by key, with at most `most` times kept."""
-    parts = df.repartition(F.col(key)).sortWithinPartitions(key, at)
+    Rejected events don't count, so an event depends on the decisions before it: events of a key are decided in order of time, then of `tie`,
+    as a stream of batches that are already sorted by key, with at most `most` times kept. A null key is a key; an event of null time is
+    not limited and doesn't count."""
+    parts = df.repartition(F.col(key)).sortWithinPartitions(key, at, *([tie] if tie else []))
+    order = [df.columns.index(key), df.columns.index(at)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        first, now, held = True, None, []
         for g in batches:
             allowed = []
-            for k, t in zip(g[key].tolist(), g[at].tolist()):
-                if k != now:
-                    now, held = k, []
-                held = [x for x in held if (t - x).total_seconds() < seconds]
-                allowed.append(len(held) < most)
-                if allowed[-1]:
+            for k, t in zip(*(g.column(i).to_pylist() for i in order)):
+                if first or k != now:
+                    first, now, held = False, k, []
+                held = [x for x in held if t is not None and (t - x).total_seconds() < seconds] if t is not None else held
+                allowed.append(t is None or len(held) < most)
+                if allowed[-1] and t is not None:
                     held.append(t)
-            yield g.assign(allowed=allowed)
+            yield pa.RecordBatch.from_arrays([*g.columns, pa.array(allowed, pa.bool_())], names=[*g.schema.names, "allowed"])
 
-    return parts.mapInPandas(run, T.StructType([*parts.schema.fields, T.StructField("allowed", T.BooleanType())]))
+    return parts.mapInArrow(run, T.StructType([*parts.schema.fields, T.StructField("allowed", T.BooleanType())]))
 
 
 def quota(df: DataFrame, keys: list[str], classes: str, signature: str, order: list[str], k: int) -> DataFrame:
     """Greedy quota within each list (keys): a row stays if any of its classes has had fewer than k, in order; rows without a class always
-    stay; of rows with one signature the first stays. A list is one decision's candidates, some hundreds of rows."""
+    stay; of rows with one signature the first that is taken stays.
+
+    A list is decided as a stream of rows that are already sorted, so a list of any length needs the counts of its classes and the signatures
+    taken (at most k rows for each class), never its rows."""
+    parts = df.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, *order)
+    at = [df.columns.index(c) for c in (*keys, classes, signature)]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        now: object = run
         had: dict[str, int] = {}
-        seen, keep = set(), []
-        for own, sign in zip(g[classes], g[signature]):
-            own = [c for c in (own if own is not None else []) if c]
-            ok = not own or (sign not in seen if sign else True) and any(had.get(c, 0) < k for c in own)
-            if ok and own:
-                seen.add(sign)
-                for c in own:
-                    had[c] = had.get(c, 0) + 1
-            keep.append(ok)
-        return g[keep]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+        seen: set = set()
+        for g in batches:
+            keep = []
+            for *key, own, sign in zip(*(g.column(i).to_pylist() for i in at)):
+                if key != now:
+                    now, had, seen = key, {}, set()
+                own = [c for c in own or [] if c]
+                ok = not own or (not sign or sign not in seen) and any(had.get(c, 0) < k for c in own)
+                if ok and own:
+                    seen.add(sign)
+                    for c in own:
+                        had[c] = had.get(c, 0) + 1
+                keep.append(ok)
+            yield g.filter(pa.array(keep, pa.bool_()))
+
+    return parts.mapInArrow(run, df.schema)

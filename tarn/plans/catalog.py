@@ -11,7 +11,7 @@ from tarn.operators import aggregates as A
 from tarn.operators import filters as P
 from tarn.operators import sets as S
 from tarn.operators import windows as W
-from tarn.plans.registry import Tables, query, sampled, some
+from tarn.plans.registry import Tables, query
 
 
 @query("""
@@ -332,15 +332,6 @@ def union_best(t: Tables) -> DataFrame:
     return S.union_best([a, b], "key", "score")
 
 
-@query("""
-SELECT l_orderkey, list_slice(list_distinct(list(p_type ORDER BY l_linenumber, l_partkey)), 1, 3) IS NOT NULL AS some, least(len(list_distinct(list(p_type))), 3) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 200 GROUP BY l_orderkey
-""")
-def array_union_capped(t: Tables) -> DataFrame:
-    """A union of arrays that keeps first places, cut at three."""
-    rows = first_kinds(t.lineitem.where("l_orderkey < 200"), t.part)
-    return rows.select("l_orderkey", F.col("kinds").isNotNull().alias("some"), F.size("kinds").cast("long").alias("n"))
-
-
 def first_kinds(lines: DataFrame, part: DataFrame) -> DataFrame:
     """(l_orderkey, kinds): the first three distinct kinds of each order, by line."""
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -352,8 +343,8 @@ def first_kinds(lines: DataFrame, part: DataFrame) -> DataFrame:
 SELECT l_orderkey, list_slice(list(p_type ORDER BY l_linenumber, l_partkey), 1, 3) AS kinds FROM (SELECT l_orderkey, l_linenumber, l_partkey, p_type,
   row_number() OVER (PARTITION BY l_orderkey, p_type ORDER BY l_linenumber, l_partkey) AS k FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE k = 1 GROUP BY l_orderkey
 """)
-def array_union_capped_whole(t: Tables) -> DataFrame:
-    """U04, E09 over all orders, with the arrays themselves."""
+def array_union_capped(t: Tables) -> DataFrame:
+    """A union of arrays that keeps first places, cut at three."""
     return first_kinds(t.lineitem, t.part)
 
 
@@ -373,14 +364,14 @@ def keep_best(t: Tables) -> DataFrame:
     return W.keep_best(t.events, ["user_id"], F.desc("value"), F.asc("event_id")).select("user_id", "event_id", "value")
 
 
-@sampled("""
+@query("""
 SELECT doc_id, line, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), chars) AS "end" FROM (
   SELECT doc_id, chars, line, CAST(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(x) AS INTEGER) AS start FROM (
-    SELECT doc_id, CAST(length(text) + 1 AS INTEGER) AS chars, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents WHERE doc_id < 200))
-""", {" WHERE doc_id < 200": ""})
-def lead_landmarks(t: Tables, whole: bool) -> DataFrame:
+    SELECT doc_id, CAST(length(text) + 1 AS INTEGER) AS chars, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents))
+""")
+def lead_landmarks(t: Tables) -> DataFrame:
     """Landmarks of a text end where the next one begins. Positions come from running sums over the lines of a text."""
-    lines = some(t.documents, "doc_id < 200", whole).select("doc_id", (F.length("text") + 1).alias("chars"), F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    lines = t.documents.select("doc_id", (F.length("text") + 1).alias("chars"), F.posexplode(F.split("text", "\n")).alias("line", "x"))
     w = W.Window.partitionBy("doc_id").orderBy("line")
     at = lines.withColumn("start", (F.sum(F.length("x") + 1).over(w) - F.length("x")).cast("int"))
     return W.landmark_ends(at, "doc_id", "start", F.col("chars")).select("doc_id", F.col("line").cast("long").alias("line"), "start", "end")
@@ -398,8 +389,8 @@ def rank_decay(t: Tables) -> DataFrame:
 
 @query()
 def rate_window(t: Tables) -> DataFrame:
-    """Fifteen events of a user within three hours at most; rejected ones don't count."""
-    return W.limited(t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 2, 3 * 3600)
+    """Two events of a user within three hours at most; rejected ones don't count."""
+    return W.limited(t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 2, 3 * 3600, "event_id")
 
 
 @query()

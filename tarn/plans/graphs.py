@@ -1,5 +1,4 @@
-"""Queries over typed edges. Parts sold in one order stand in for substances that interact, suppliers for makers, customers for patients;
-queries named _whole take the edges of all orders, those of the same names without it the sample of orders that their SQL states."""
+"""Queries over typed edges. Parts sold in one order stand in for substances that interact, suppliers for makers, customers for patients."""
 
 from __future__ import annotations
 
@@ -9,22 +8,18 @@ from pyspark.sql import functions as F
 from tarn.operators import aggregates as A
 from tarn.operators import graph as G
 from tarn.operators.windows import keep_best
-from tarn.plans.registry import Tables, query, sampled, some
+from tarn.plans.registry import Tables, query
 
-#: One undirected edge for each pair of parts in an order of every tenth; its weight is the number of orders.
+#: One undirected edge for each pair of parts in an order; its weight is the number of orders.
 EDGES_SQL = """
-e AS (SELECT a AS src, b AS dst, count(*) AS weight, a * 1000000 + b AS edge_id FROM (
-  SELECT DISTINCT x.l_orderkey, x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey WHERE x.l_orderkey % 10 = 0) GROUP BY a, b),
+e AS (SELECT a AS src, b AS dst, count(*) AS weight, {'a': a, 'b': b} AS edge_id FROM (
+  SELECT DISTINCT x.l_orderkey, x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey) GROUP BY a, b),
 u AS (SELECT src, dst, weight, edge_id FROM e UNION ALL SELECT dst, src, weight, edge_id FROM e WHERE src <> dst)"""
 
 
-#: What EDGES_SQL leaves out, for the queries over all orders.
-TENTH = {" WHERE x.l_orderkey % 10 = 0": ""}
-
-
-def edges(t: Tables, whole: bool) -> DataFrame:
-    pairs = G.pairs_within(some(t.lineitem, "l_orderkey % 10 = 0", whole), "l_orderkey", "l_partkey")
-    return pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("weight")).withColumn("edge_id", F.col("src") * 1000000 + F.col("dst"))
+def edges(t: Tables) -> DataFrame:
+    pairs = G.pairs_within(t.lineitem, "l_orderkey", "l_partkey")
+    return pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("weight")).withColumn("edge_id", F.struct("src", "dst"))
 
 
 @query("""
@@ -54,39 +49,39 @@ def optional_star(t: Tables) -> DataFrame:
     return G.star(t.supplier.select("s_suppkey"), "s_suppkey", {"flags": (t.lineitem.select("l_suppkey", "l_returnflag"), "l_suppkey", "l_returnflag"), "kinds": (kinds, "l_suppkey", "p_type")})
 
 
-@sampled(f"WITH {EDGES_SQL} SELECT src AS node, count(DISTINCT edge_id) AS relations, count(DISTINCT dst) AS neighbours FROM u GROUP BY src ORDER BY relations DESC, node LIMIT 8", TENTH)
-def undirected_degree(t: Tables, whole: bool) -> DataFrame:
+@query(f"WITH {EDGES_SQL} SELECT src AS node, count(DISTINCT edge_id) AS relations, count(DISTINCT dst) AS neighbours FROM u GROUP BY src ORDER BY relations DESC, node LIMIT 8")
+def undirected_degree(t: Tables) -> DataFrame:
     """Degrees over undirected edges."""
-    return G.degrees(edges(t, whole)).orderBy(F.desc("relations"), "node").limit(8)
+    return G.degrees(edges(t)).orderBy(F.desc("relations"), "node").limit(8)
 
 
-@sampled(f"WITH {EDGES_SQL} SELECT count(*) AS directed, (SELECT count(*) FROM u) AS both FROM e", TENTH)
-def undirected_count(t: Tables, whole: bool) -> DataFrame:
+@query(f"WITH {EDGES_SQL} SELECT count(*) AS directed, (SELECT count(*) FROM u) AS both FROM e")
+def undirected_count(t: Tables) -> DataFrame:
     """Stored edges, and matches in both directions."""
-    e = edges(t, whole)
+    e = edges(t)
     return e.agg(F.count("*").alias("directed"), F.sum(F.when(F.col("src") != F.col("dst"), 2).otherwise(1)).alias("both"))
 
 
-@sampled(f"""
+@query(f"""
 WITH {EDGES_SQL} SELECT src AS s1, dst AS s2, weight AS description, count(DISTINCT l_suppkey) AS n FROM e LEFT JOIN lineitem ON l_partkey = dst WHERE weight >= 2 GROUP BY ALL ORDER BY n DESC, s1, s2 LIMIT 100
-""", TENTH)
-def network_topn(t: Tables, whole: bool) -> DataFrame:
+""")
+def network_topn(t: Tables) -> DataFrame:
     """Pairs with the number of products that carry the counterpart."""
-    strong = edges(t, whole).where("weight >= 2")
+    strong = edges(t).where("weight >= 2")
     carried = t.lineitem.groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n"))
     out = strong.join(carried, F.col("dst") == F.col("l_partkey"), "left").select(F.col("src").alias("s1"), F.col("dst").alias("s2"), F.col("weight").alias("description"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return out.orderBy(F.desc("n"), "s1", "s2").limit(100)
 
 
-@sampled(f"""
+@query(f"""
 WITH {EDGES_SQL} SELECT a.p_partkey AS drug, b.p_partkey AS other, a.p_name AS disease FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey
-WHERE a.p_partkey < 20 AND NOT EXISTS (SELECT 1 FROM u WHERE u.src = a.p_partkey AND u.dst = b.p_partkey)
-""", TENTH | {"a.p_partkey < 20 AND ": ""})
-def shared_neighbor_alternatives(t: Tables, whole: bool) -> DataFrame:
+WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.src = a.p_partkey AND u.dst = b.p_partkey)
+""")
+def shared_neighbor_alternatives(t: Tables) -> DataFrame:
     """What shares a disease and doesn't interact."""
     treats = t.part.select(F.col("p_partkey").alias("drug"), F.col("p_name").alias("disease"))
-    pairs = some(G.shared_neighbours(treats, "drug", "disease"), "drug < 20", whole)
-    return G.without_edge(pairs, edges(t, whole), "drug", "other").select("drug", "other", "disease")
+    pairs = G.shared_neighbours(treats, "drug", "disease")
+    return G.without_edge(pairs, edges(t), "drug", "other").select("drug", "other", "disease")
 
 
 @query("""
@@ -98,71 +93,71 @@ def semi_or_name(t: Tables) -> DataFrame:
     return t.customer.join(big, F.col("c_custkey") == F.col("k"), "left").where(F.col("c_name").endswith("7") | F.col("k").isNotNull()).select("c_custkey")
 
 
-@sampled(f"""
+@query(f"""
 WITH {EDGES_SQL}, l AS (SELECT unnest([3, 17, 42, 99, 250, 600, 1200, 1999]) AS id) SELECT x.id AS a, y.id AS b, coalesce(weight, 0) AS weight, CASE WHEN weight IS NULL THEN 'none' ELSE 'found' END AS state
 FROM l x JOIN l y ON x.id < y.id LEFT JOIN e ON src = x.id AND dst = y.id
-""", TENTH)
-def pair_analysis(t: Tables, whole: bool) -> DataFrame:
+""")
+def pair_analysis(t: Tables) -> DataFrame:
     """All unordered pairs of a list with their edge, if any."""
     ids = t.spark.range(1).select(F.explode(F.array(*map(F.lit, [3, 17, 42, 99, 250, 600, 1200, 1999]))).alias("id"), F.lit(0).alias("g"))
     pairs = G.pairs_within(ids, "g", "id").select("a", "b")
-    return pairs.join(edges(t, whole), (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left").select("a", "b", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"), F.when(F.col("weight").isNull(), "none").otherwise("found").alias("state"))
+    return pairs.join(edges(t), (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left").select("a", "b", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"), F.when(F.col("weight").isNull(), "none").otherwise("found").alias("state"))
 
 
-@sampled(f"""
-WITH {EDGES_SQL}, p AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 100 = 3)
+@query(f"""
+WITH {EDGES_SQL}, p AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)
 SELECT x.l_orderkey AS rx, x.l_linenumber AS line_a, y.l_linenumber AS line_b, weight FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber AND x.l_partkey <> y.l_partkey
 JOIN u ON u.src = x.l_partkey AND u.dst = y.l_partkey
-""", TENTH | {" WHERE l_orderkey % 100 = 3": ""})
-def prescription_pairs(t: Tables, whole: bool) -> DataFrame:
+""")
+def prescription_pairs(t: Tables) -> DataFrame:
     """Substances of different lines of one prescription that interact."""
-    one = some(t.lineitem, "l_orderkey % 100 = 3", whole).select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    one = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     two = one.toDF("o2", "line_b", "p2")
     pairs = one.join(two, (F.col("l_orderkey") == F.col("o2")) & (F.col("l_linenumber") < F.col("line_b")) & (F.col("l_partkey") != F.col("p2")))
-    both = G.undirected(edges(t, whole))
+    both = G.undirected(edges(t))
     return pairs.join(both, (F.col("l_partkey") == F.col("src")) & (F.col("p2") == F.col("dst"))).select(F.col("l_orderkey").alias("rx"), F.col("l_linenumber").alias("line_a"), "line_b", "weight")
 
 
-@sampled("""
-SELECT l_orderkey, l_partkey, count(*) AS n, list_sort(list(l_linenumber)) AS lines FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2 HAVING count(*) > 1
-""", {" WHERE l_orderkey < 3000": ""})
-def duplicate_lines(t: Tables, whole: bool) -> DataFrame:
+@query("""
+SELECT l_orderkey, l_partkey, count(*) AS n, list_sort(list(l_linenumber)) AS lines FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1
+""")
+def duplicate_lines(t: Tables) -> DataFrame:
     """One substance on several lines, with the lines."""
-    return some(t.lineitem, "l_orderkey < 3000", whole).groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("l_linenumber")).alias("lines")).where("n > 1")
+    return t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("l_linenumber")).alias("lines")).where("n > 1")
 
 
-@sampled(f"""
-WITH {EDGES_SQL}, s AS (SELECT src, dst, weight, edge_id FROM u WHERE edge_id % 3 = 0),
+@query(f"""
+WITH {EDGES_SQL}, s AS (SELECT src, dst, weight, edge_id FROM u),
 p1 AS (SELECT src AS first, dst AS last, [edge_id] AS ids, weight FROM s WHERE src IN (1, 5)),
 p2 AS (SELECT first, s.dst AS last, list_append(ids, edge_id) AS ids, p1.weight + s.weight AS weight FROM p1 JOIN s ON last = src WHERE NOT list_contains(ids, edge_id)),
 p3 AS (SELECT first, s.dst AS last, list_append(ids, edge_id) AS ids, p2.weight + s.weight AS weight FROM p2 JOIN s ON last = src WHERE NOT list_contains(ids, edge_id))
 SELECT first, last, hops, count(*) AS n, CAST(max(weight) AS DOUBLE) AS risk FROM (SELECT first, last, 1 AS hops, weight FROM p1 UNION ALL SELECT first, last, 2, weight FROM p2 UNION ALL SELECT first, last, 3, weight FROM p3) GROUP BY ALL
-""", TENTH | {" WHERE edge_id % 3 = 0": ""})
-def paths_le3(t: Tables, whole: bool) -> DataFrame:
+""")
+def paths_le3(t: Tables) -> DataFrame:
     """Walks of one to three edges, none of them used twice, with their summed risk."""
     start = t.part.where("p_partkey IN (1, 5)").select(F.col("p_partkey").alias("node"))
-    walks = G.paths(some(edges(t, whole), "edge_id % 3 = 0", whole), start, 3)
+    walks = G.paths(edges(t), start, 3)
     return walks.groupBy("first", "last", "hops").agg(F.count("*").alias("n"), F.max("weight").alias("risk"))
 
 
-@sampled(f"""
+@query(f"""
 WITH {EDGES_SQL}, a AS (SELECT DISTINCT dst AS id FROM u WHERE src = 10), b AS (SELECT DISTINCT dst AS id FROM u WHERE src IN (SELECT id FROM a))
 SELECT id, min(hops) AS hops FROM (SELECT id, 1 AS hops FROM a UNION ALL SELECT id, 2 FROM b) WHERE id <> 10 GROUP BY id
-""", TENTH)
-def two_hop_neighborhood(t: Tables, whole: bool) -> DataFrame:
+""")
+def two_hop_neighborhood(t: Tables) -> DataFrame:
     """Nodes within two hops."""
-    return G.neighbourhood(edges(t, whole), 10)
+    return G.neighbourhood(edges(t), 10)
 
 
-@sampled("""
-WITH RECURSIVE p AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer WHERE c_custkey < 300 UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'world' FROM region),
+@query("""
+WITH RECURSIVE p AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'world' FROM region),
 w(node, ancestor, depth) AS (SELECT DISTINCT x, x, 0 FROM (SELECT child AS x FROM p UNION SELECT parent FROM p) UNION ALL SELECT node, parent, depth + 1 FROM w JOIN p ON ancestor = child)
 SELECT node, ancestor, depth FROM w
-""", {" WHERE c_custkey < 300": ""})
-def hierarchy_closure(t: Tables, whole: bool) -> DataFrame:
+""")
+def hierarchy_closure(t: Tables) -> DataFrame:
     """Zero or more steps up a hierarchy."""
     link = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("child"), F.concat(F.lit(b), y).alias("parent"))
-    parents = link(some(t.customer, "c_custkey < 300", whole), "c", "c_custkey", "n", "c_nationkey").union(link(t.nation, "n", "n_nationkey", "r", "n_regionkey")).union(t.region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("world")))
+    parents = link(t.customer, "c", "c_custkey", "n", "c_nationkey").union(link(t.nation, "n", "n_nationkey", "r", "n_regionkey")).union(t.region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("world")))
     return G.ancestors(parents.distinct())
 
 
@@ -222,12 +217,12 @@ def set_intersection(t: Tables) -> DataFrame:
     return out.where(F.size("shared") > 0)
 
 
-@sampled("""
-SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 0) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)
-""", {" WHERE l_orderkey % 10 = 0": ""})
-def orphans(t: Tables, whole: bool) -> DataFrame:
+@query("""
+SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)
+""")
+def orphans(t: Tables) -> DataFrame:
     """Nodes without an edge."""
-    return G.orphans(t.part.select("p_partkey"), "p_partkey", [(some(t.lineitem, "l_orderkey % 10 = 0", whole), "l_partkey"), (t.lineitem, "l_suppkey")])
+    return G.orphans(t.part.select("p_partkey"), "p_partkey", [(t.lineitem, "l_partkey"), (t.lineitem, "l_suppkey")])
 
 
 @query("""

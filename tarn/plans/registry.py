@@ -30,29 +30,3 @@ def query(sql: str | None = None) -> Callable:
         return f
 
     return add
-
-
-def sampled(sql: str, cuts: dict[str, str] | None) -> Callable:
-    """Registers f(tables, whole=False) under its name, over the rows that its SQL takes, and f(tables, whole=True) as name_whole, over
-    all rows. The SQL of the latter is the former's with each cut replaced; without cuts it has none."""
-
-    def add(f: Callable[..., DataFrame]) -> Callable:
-        name = f"{f.__name__}_whole"
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder), whole=False)
-        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder), whole=True)
-        SQL[f.__name__] = sql
-        if cuts is not None:
-            every = sql
-            for cut, rest in cuts.items():
-                if cut not in every:
-                    raise ValueError(f"{name}: the SQL has no {cut!r}")
-                every = every.replace(cut, rest)
-            SQL[name] = every
-        return f
-
-    return add
-
-
-def some(df: DataFrame, where: str, whole: bool) -> DataFrame:
-    """The rows of a sampled query: all of them if whole."""
-    return df if whole else df.where(where)

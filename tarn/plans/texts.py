@@ -11,51 +11,45 @@ from tarn.operators import filters as P
 from tarn.operators import resolve as E
 from tarn.operators import search as V
 from tarn.operators.windows import keep_best
-from tarn.plans.registry import Tables, query, sampled, some
+from tarn.plans.registry import Tables, query
 
 #: Folding in DuckDB is strip_accents, which is equal on the letters of the tables.
 FOLD = "lower(strip_accents({}))"
 
 
-@query("""
-SELECT doc_id, lower(strip_accents(left(text, 60))) AS folded, regexp_replace(lower(strip_accents(left(text, 60))), '[^a-z0-9]', '', 'g') AS key,
-       trim(regexp_replace(lower(left(text, 60)), '[^a-zA-Z0-9]+', '-', 'g'), '-') AS slug
-FROM documents WHERE NOT regexp_matches(left(text, 60), '[ßœæøđłŒÆØ]')
-""")
-def text_keys(t: Tables) -> DataFrame:
-    """Folded text, key and slug."""
-    head = F.left("text", F.lit(60))
-    rows = t.documents.where(~head.rlike("[ßœæøđłŒÆØ]"))
-    return rows.select("doc_id", X.fold(head).alias("folded"), X.squash_key(head).alias("key"), X.slug(head).alias("slug"))
-
-
 @query()
-def text_keys_whole(t: Tables) -> DataFrame:
-    """C01, C02, C04 over whole texts with any letter. DuckDB folds some letters otherwise, so a test holds this against brute force."""
+def text_keys(t: Tables) -> DataFrame:
+    """Folded text, key and slug. DuckDB folds some letters otherwise, so a test holds this against brute force."""
     return t.documents.select("doc_id", X.fold(F.col("text")).alias("folded"), X.squash_key(F.col("text")).alias("key"), X.slug(F.col("text")).alias("slug"))
 
 
-@sampled("""
-SELECT o_orderkey, ['prednisone', 'aspirine 0,5 mg', 'order ' || o_orderkey] AS items, [o_orderkey || ' un deux', CAST(o_orderkey AS VARCHAR)] IS NOT NULL AS some, 'ventoline' AS name,
-       ['acide acetyl salicylique', 'acide acetyl', 'acide'] AS prefixes, CAST(o_orderkey AS VARCHAR) AS spec FROM orders WHERE o_orderkey < 100
-""", {" WHERE o_orderkey < 100": ""})
-def treatment_parsing(t: Tables, whole: bool) -> DataFrame:
+@query("""
+SELECT o_orderkey, [o_orderpriority, trim(lower(o_orderstatus)) || ' ' || CAST(o_orderkey % 7 AS VARCHAR) || ',5 mg', 'order ' || o_orderkey] AS items, substr(lower(o_orderpriority), 3) AS name,
+       CASE WHEN contains(p, ' ') THEN [p, split_part(p, ' ', 1)] ELSE [p] END AS prefixes, CAST(o_custkey AS VARCHAR) AS spec
+FROM (SELECT *, trim(lower(regexp_replace(o_orderpriority, '[^A-Za-z]+', ' ', 'g'))) AS p FROM orders)
+""")
+def treatment_parsing(t: Tables) -> DataFrame:
     """Items of a free text with decimals, names without doses, leading words, ids in links."""
-    rows = some(t.orders, "o_orderkey < 100", whole).select("o_orderkey", F.concat(F.lit("prednisone; aspirine 0,5 mg, order "), "o_orderkey", F.lit(" .")).alias("x"))
-    return rows.select("o_orderkey", X.split_items(F.col("x")).alias("items"), F.lit(True).alias("some"), X.strip_dose(F.concat(F.lit("Ventoline 100 µg/bouffée ("), "o_orderkey", F.lit(")"))).alias("name"),
-                       X.word_prefixes(F.lit("acide acetyl salicylique")).alias("prefixes"), X.id_in(F.concat(F.lit("https://x.example/?a=1&specid="), "o_orderkey")).alias("spec"))
+    dose = F.concat(F.lower("o_orderstatus"), F.lit(" "), (F.col("o_orderkey") % 7).cast("string"), F.lit(",5 mg"))
+    rows = t.orders.select("o_orderkey", F.concat("o_orderpriority", F.lit("; "), dose, F.lit(", order "), "o_orderkey", F.lit(" .")).alias("text"),
+                           F.concat("o_orderpriority", F.lit(" "), F.lit("("), "o_orderkey", F.lit(") 2,5 mg/"), F.lower("o_orderstatus")).alias("named"),
+                           F.trim(F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]+", " "))).alias("words"), F.concat(F.lit("https://x.example/?a=1&specid="), "o_custkey", F.lit("#t")).alias("link"))
+    return rows.select("o_orderkey", X.split_items(F.col("text")).alias("items"), X.strip_dose(F.col("named")).alias("name"), X.word_prefixes(F.col("words")).alias("prefixes"), X.id_in(F.col("link")).alias("spec"))
 
 
-@sampled("""
-SELECT p_partkey, ['A', 'A02', 'A02B', 'A02BC', 'A02BC0' || (p_partkey % 10)] AS levels, regexp_extract_all('DrugBank:DB' || p_partkey || ', other:1, DrugBank:DB7', 'DrugBank:(DB\\d+)', 1) AS ids,
-       p_size / 2.0 AS comma, CAST(80 AS INTEGER) AS fallback, CAST(p_size AS BIGINT) AS counted, p_size % 2 = 0 AS truth FROM part WHERE p_partkey < 300
-""", {" WHERE p_partkey < 300": ""})
-def code_parsing(t: Tables, whole: bool) -> DataFrame:
+@query("""
+SELECT p_partkey, CASE WHEN length(code) = 7 THEN [substr(code, 1, 1), substr(code, 1, 3), substr(code, 1, 4), substr(code, 1, 5), code] ELSE [] END AS levels, [ 'DB' || p_partkey, 'DB' || p_size] AS ids,
+       p_size / 2.0 AS comma, CASE WHEN p_size % 3 = 0 THEN 80 ELSE p_size END AS fallback, CAST(p_size AS BIGINT) AS counted, p_size % 2 = 0 AS truth
+FROM (SELECT *, upper(left(p_type, 1)) || lpad(CAST(p_size AS VARCHAR), 2, '0') || upper(substr(p_name, 1, 2)) || CASE WHEN p_size % 5 = 0 THEN '' ELSE lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') END AS code FROM part)
+""")
+def code_parsing(t: Tables) -> DataFrame:
     """C11, C12 and the typed defaults: code levels, ids, decimal commas, integers with defaults, counts written as floats, truth words."""
-    rows = some(t.part, "p_partkey < 300", whole)
-    return rows.select("p_partkey", X.code_levels(F.concat(F.lit("A02BC0"), (F.col("p_partkey") % 10).cast("string"))).alias("levels"), X.ids_in(F.concat(F.lit("DrugBank:DB"), "p_partkey", F.lit(", other:1, DrugBank:DB7"))).alias("ids"),
-                       X.number(F.replace((F.col("p_size") / 2).cast("string"), F.lit("."), F.lit(","))).alias("comma"), X.int_or(F.lit(None).cast("string"), 80).alias("fallback"),
-                       X.count_of(F.concat(F.col("p_size").cast("string"), F.lit(".0"))).alias("counted"), X.truth(F.when(F.col("p_size") % 2 == 0, "Oui").otherwise("Non")).alias("truth"))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    size = F.col("p_size")
+    rows = t.part.select("p_partkey", "p_size", F.concat(F.upper(F.left("p_type", F.lit(1))), two(size), F.upper(F.substring("p_name", 1, 2)), F.when(size % 5 == 0, "").otherwise(two(F.col("p_partkey") % 100))).alias("code"),
+                         F.concat(F.lit("DrugBank:DB"), "p_partkey", F.lit(", other:1, DrugBank:DB"), "p_size").alias("xrefs"), F.when(size % 3 != 0, size.cast("string")).alias("maybe"))
+    return rows.select("p_partkey", X.code_levels(F.col("code")).alias("levels"), X.ids_in(F.col("xrefs")).alias("ids"), X.number(F.replace((F.col("p_size") / 2).cast("string"), F.lit("."), F.lit(","))).alias("comma"),
+                       X.int_or(F.col("maybe"), 80).alias("fallback"), X.count_of(F.concat(F.col("p_size").cast("string"), F.lit(".0"))).alias("counted"), X.truth(F.when(F.col("p_size") % 2 == 0, "Oui").otherwise("Non")).alias("truth"))
 
 
 @query("""
@@ -69,12 +63,12 @@ def vocabulary_routes(t: Tables) -> DataFrame:
                          F.replace("p_name", first, F.lit("{X}")).alias("pattern"), F.md5("p_name").alias("hash"), X.stable_id(F.col("p_name")).alias("id"))
 
 
-@sampled("""
-SELECT doc_id, n, [x[1]] AS parts, len(x) AS lines FROM (SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n, string_split(left(text, 400), chr(10)) AS x FROM documents)
-""", {"left(text, 400)": "text"})
-def list_functions(t: Tables, whole: bool) -> DataFrame:
+@query("""
+SELECT doc_id, n, [x[1]] AS parts, len(x) AS lines FROM (SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n, string_split(text, chr(10)) AS x FROM documents)
+""")
+def list_functions(t: Tables) -> DataFrame:
     """Size, head, slice; occurrences that don't overlap."""
-    lines = F.split("text" if whole else F.left("text", F.lit(400)), "\n")
+    lines = F.split("text", "\n")
     return t.documents.select("doc_id", X.occurrences(F.col("text"), "the").alias("n"), F.slice(lines, 1, 1).alias("parts"), F.size(lines).cast("long").alias("lines"))
 
 
@@ -153,22 +147,10 @@ def passages(t: Tables) -> DataFrame:
     return V.passages(t.documents, "doc_id", "text", ["then", "once", "thing"])
 
 
-@query("""
-WITH b AS (SELECT item_id, regexp_replace(lower(left(text, 12)), '[^a-z0-9]+', ' ', 'g') AS x FROM benchmark WHERE NOT regexp_matches(text, '[^ -~\\n]')),
-n AS (SELECT item_id, array_to_string(list_slice(string_split(trim(x), ' '), 1, 2), ' ') AS name FROM b WHERE len(string_split(trim(x), ' ')) >= 2)
-SELECT DISTINCT doc_id, n.name FROM documents d JOIN n ON contains(' ' || trim(regexp_replace(lower(strip_accents(d.text)), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || n.name || ' ')
-WHERE NOT regexp_matches(d.text, '[ßœæ]')
-""")
-def mention_join(t: Tables) -> DataFrame:
-    """Names that texts mention, as an equality join on their n-grams."""
-    head = X.plain(F.left("text", F.lit(12)))
-    names = t.benchmark.where(~F.col("text").rlike(r"[^ -~\n]")).select(F.split(head, " ").alias("w")).where(F.size("w") >= 2).select(F.array_join(F.slice("w", 1, 2), " ").alias("name")).distinct()
-    return V.mentions(t.documents.where(~F.col("text").rlike("[ßœæ]")), "doc_id", "text", names, "name")
-
-
 @query()
-def mention_join_whole(t: Tables) -> DataFrame:
-    """J24, J26, J33 over all rows: the first two words of each benchmark text, or the one it has, in all documents."""
+def mention_join(t: Tables) -> DataFrame:
+    """Names that texts mention, as an equality join on their n-grams: the first two words of each benchmark text, or the one
+    it has, in all documents. DuckDB folds some letters otherwise, so a test holds this against brute force."""
     names = t.benchmark.select(F.array_join(F.slice(F.split(X.plain(F.col("text")), " "), 1, 2), " ").alias("name")).where("name != ''").distinct()
     return V.mentions(t.documents, "doc_id", "text", names, "name")
 

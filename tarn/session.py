@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "tarn", **conf: str) -> SparkSession:
@@ -12,3 +13,14 @@ def session(app: str = "tarn", **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows worked out once, their lineage ended by a checkpoint in the shared folder; where the session has none, the plan itself."""
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if shared else df
+
+
+def light(rows: DataFrame, width: int = 32, most_bytes: int = 32 << 20) -> DataFrame:
+    """The side of a join, broadcast only where its bytes in memory, from a count of its rows, are few; width: bytes of a column."""
+    return F.broadcast(rows) if rows.count() * (32 + width * len(rows.columns)) <= most_bytes else rows

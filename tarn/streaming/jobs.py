@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators.windows import keep_best
-
 #: Delays before a retry, in seconds, and the number of attempts.
 BACKOFF = (60, 300, 1500)
 MOST_ATTEMPTS = 3
@@ -20,11 +18,33 @@ STATE = "state string, attempts int, available_at double, lease_until double, wo
 OUTPUT = "job_id string, event_id long, at double, action string, accepted boolean, state string, attempts int, available_at double, worker string"
 
 
-def reservable(jobs: DataFrame, now, per: list[str] = ()) -> DataFrame:
-    """The job to reserve: waiting and due, or with a lapsed lease; highest priority, then oldest, then by id; one for each `per`."""
-    due = ((F.col("state") == "pending") & (F.col("available_at") <= now)) | ((F.col("state") == "running") & (F.col("lease_until") < now))
-    one = jobs.where(due).withColumn("__all", F.lit(1))
-    return keep_best(one, list(per) or ["__all"], F.desc("priority"), F.asc("created_at"), F.asc("job_id")).drop("__all") if per else one.orderBy(F.desc("priority"), F.asc("created_at"), F.asc("job_id")).limit(1).drop("__all")
+def reservable(jobs: DataFrame, now, per: list[str] = (), lapsed=None) -> DataFrame:
+    """The job to reserve: waiting and due, or with a lapsed lease (ended before `lapsed`, else before now); highest priority, then oldest, then
+    by id; one for each `per`, found by an aggregate, so a long queue is no hot group."""
+    due = ((F.col("state") == "pending") & (F.col("available_at") <= now)) | ((F.col("state") == "running") & (F.col("lease_until") < (now if lapsed is None else lapsed)))
+    if not per:
+        return jobs.where(due).orderBy(F.desc("priority"), F.asc("created_at"), F.asc("job_id")).limit(1)
+    rest = [c for c in jobs.columns if c not in per]
+    one = jobs.where(due).groupBy(*per).agg(F.min_by(F.struct(*rest), F.struct(-F.col("priority"), "created_at", "job_id")).alias("__j"))
+    return one.select(*per, "__j.*").select(*jobs.columns)
+
+
+def after_failure(attempts) -> tuple:
+    """(state, wait): what a failed attempt leads to, attempts counted with it."""
+    delays = F.array(*map(F.lit, BACKOFF))
+    over = attempts >= MOST_ATTEMPTS
+    return F.when(over, "failed").otherwise("pending").alias("state"), F.when(~over, F.element_at(delays, F.greatest(attempts, F.lit(1)))).alias("wait")
+
+
+def holds(worker, holder, at, lease_until):
+    """Whether a worker may act on a job: it holds it and the lease is live."""
+    return (worker == holder) & (at < lease_until)
+
+
+def rearm(jobs: DataFrame, ended: tuple[str, ...] = ("done", "failed")) -> DataFrame:
+    """Jobs that have ended wait again with no attempts; others stay as they are."""
+    over = F.col("state").isin(*ended)
+    return jobs.withColumns({"attempts": F.when(over, 0).otherwise(F.col("attempts")), "state": F.when(over, "pending").otherwise(F.col("state"))})
 
 
 def step(state: dict, action: str, worker: str, at: float, lease: float) -> tuple[dict, bool]:
