@@ -21,16 +21,33 @@ def plain_full(text: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9\s]", " ", fold_full(text)).split())
 
 
+def common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a column of the table at a time as the bits of one integer."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    row = whole = (1 << len(a)) - 1
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(a) - row.bit_count()
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 times twice the longest common subsequence over both lengths; 100 for two empty texts."""
-    if not a and not b:
+    return 100.0 * 2 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def set_ratio(a: str, b: str) -> float:
+    """The ratio of word sets, blind to order: 100 if one holds the other, else the best of the shared words with each rest."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+    if both and (not left or not right):
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            row[j], diagonal = (diagonal + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return 100.0 * 2 * row[-1] / (len(a) + len(b))
+    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
+    return max([indel_ratio(one, two), *([indel_ratio(both, one), indel_ratio(both, two)] if both else [])])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -44,6 +61,11 @@ def indel(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def word_sets(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def best_match(query: str, text: str, threshold: float) -> float:
     """1 for a text that holds the query; else the best similarity of a word of each that reaches the threshold; else that of the
     whole query with as many words of the text on end."""

@@ -81,3 +81,26 @@ def quota(df: DataFrame, keys: list[str], classes: str, signature: str, order: l
             yield g.filter(pa.array(keep, pa.bool_()))
 
     return parts.mapInArrow(run, df.schema)
+
+
+def lots(df: DataFrame, text: str, most: int) -> DataFrame:
+    """Adds `lot`: texts packed by ascending length into lots of at most so many characters; a longer text is a lot of its own. Each range of
+    lengths is packed by itself as a stream, so no task sees all texts and a lot never spans two ranges."""
+    parts = df.repartitionByRange(F.length(text), F.col(text)).sortWithinPartitions(F.length(text), F.col(text)).withColumn("__part", F.spark_partition_id())
+    at = [parts.columns.index(text), parts.columns.index("__part")]
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        lot, held = 0, 0
+        for g in batches:
+            given = []
+            for x, part in zip(*(g.column(i).to_pylist() for i in at)):
+                size = len(x or "")
+                if held and held + size > most:
+                    lot, held = lot + 1, 0
+                held += size
+                given.append(part << 32 | lot)
+            yield pa.RecordBatch.from_arrays([*g.columns[:-1], pa.array(given, pa.int64())], names=[*g.schema.names[:-1], "lot"])
+
+    return parts.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lot", T.LongType())]))

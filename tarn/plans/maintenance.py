@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 from tarn.operators import graph as G
+from tarn.operators import windows as W
 from tarn.operators.windows import keep_best
 from tarn.plans import sync as Y
 from tarn.plans.registry import Tables, query
@@ -261,3 +262,11 @@ def vector_records(t: Tables) -> DataFrame:
 def seeded_sample(t: Tables) -> DataFrame:
     """A hundred rows at random, the same in every run."""
     return K.sample_of(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
+
+
+@query()
+def texts_in_lots(t: Tables) -> DataFrame:
+    """The distinct texts of several columns that a cache lacks, packed by length into lots of 400 characters at most."""
+    every = t.part.select(F.explode(F.array("p_name", "p_type", "p_brand")).alias("text")).distinct()
+    cached = t.part.where("p_size % 2 = 0").select(F.col("p_name").alias("text"))
+    return W.lots(every.join(cached, "text", "left_anti"), "text", 400)

@@ -168,7 +168,7 @@ def index_then_scan(t: Tables) -> DataFrame:
 SELECT p_partkey, concat_ws(' | ', p_name, p_name, nullif(p_brand, 'Brand#1'), lower(p_type)) AS text FROM part
 """)
 def embedding_text(t: Tables) -> DataFrame:
-    """The text that stands for a record, its title twice, without empty parts."""
+    """The text that stands for a record, its title twice, without empty parts."""
     return t.part.select("p_partkey", F.concat_ws(" | ", "p_name", "p_name", F.nullif(F.col("p_brand"), F.lit("Brand#1")), F.lower("p_type")).alias("text"))
 
 
@@ -181,7 +181,7 @@ def fuzzy_scores(t: Tables) -> DataFrame:
 
 @query()
 def sentence_chunks(t: Tables) -> DataFrame:
-    """Whole sentences packed into chunks, and abbreviated heads."""
+    """Whole sentences packed into chunks, and abbreviated heads."""
     return t.benchmark.select("item_id", F.explode(Z.sentence_chunks(200)("text")).alias("chunk")).select("item_id", X.abbreviate(F.col("chunk"), 60).alias("head"), F.length("chunk").alias("size"))
 
 
@@ -195,13 +195,68 @@ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 100.0 WHEN 3 THEN round(100.0 *
 FROM i JOIN part USING (p_partkey) JOIN a ON a.norm = part.p_name
 """)
 def cascade_match(t: Tables) -> DataFrame:
-    """Exact, then without salts, then fuzzy within a block; each level sees what the ones before left."""
+    """Exact, then without salts, then fuzzy within a block; each level sees what the ones before left."""
     alias = E.aliases(t.part, "p_partkey", "p_name")
     k = F.col("p_partkey") % 4
     name = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat("p_name", F.lit(" sulfate"))).when(k == 2, F.concat(F.lit("chloride of "), "p_name")).otherwise(F.concat("p_name", F.lit("x")))
     return E.cascade(t.part.select("p_partkey", name.alias("name")), "p_partkey", "name", alias, SALTS)
 
 
+@query("""
+SELECT p_partkey, text, priority FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS text, 0 AS priority FROM part
+  UNION ALL SELECT p_partkey, unnest([p_brand, lower(p_type)]), 1 FROM part UNION ALL SELECT p_partkey, p_name, 2 FROM part) WHERE length(text) > 2
+""")
+def candidate_priorities(t: Tables) -> DataFrame:
+    """What may name a record's substance, the most reliable first."""
+    return E.candidates(t.part, "p_partkey", F.split("p_name", " "), F.concat("p_brand", F.lit("; "), F.lower("p_type"), F.lit(",a")), F.col("p_name"))
+
+
+@query("""
+WITH a AS (SELECT p_name AS norm, min(p_partkey) AS id FROM part GROUP BY p_name), g AS (SELECT DISTINCT 'le ' || p_name AS source, p_name AS target FROM part WHERE length(p_name) % 2 = 0),
+i AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN 'le ' || p_name WHEN 1 THEN 'sulfate of le ' || p_name ELSE p_name END AS name FROM part)
+SELECT p_partkey, id, CASE p_partkey % 3 WHEN 0 THEN 98.0 WHEN 1 THEN 92.0 ELSE 100.0 END AS score, CASE p_partkey % 3 WHEN 0 THEN 'translated' WHEN 1 THEN 'reduced and translated' ELSE 'exact' END AS rule
+FROM i JOIN a ON norm = p_name WHERE p_partkey % 3 = 2 OR length(p_name) % 2 = 0
+""")
+def translated_match(t: Tables) -> DataFrame:
+    """Names in another language by a glossary, whole and without their salt. Names are too short for a fuzzy match with an article."""
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.concat(F.lit("le "), "p_name")).when(k == 1, F.concat(F.lit("sulfate of le "), "p_name")).otherwise(F.col("p_name"))
+    glossary = t.part.where(F.length("p_name") % 2 == 0).select(F.concat(F.lit("le "), "p_name").alias("source"), F.col("p_name").alias("target")).distinct()
+    return E.cascade(t.part.select("p_partkey", name.alias("name")), "p_partkey", "name", E.aliases(t.part, "p_partkey", "p_name"), SALTS, 99.0, glossary)
+
+
+@query("""
+SELECT p_brand AS key, list_slice(list(id ORDER BY score DESC, id), 1, 3) AS ids, max(score) AS score FROM (SELECT p_brand, p_size AS id, max(CAST(90 + p_partkey % 11 AS DOUBLE)) AS score FROM part WHERE 90 + p_partkey % 11 >= 95 GROUP BY ALL) GROUP BY p_brand
+""")
+def three_best_ids(t: Tables) -> DataFrame:
+    """Ids at or above a threshold, the best score of each, three at most."""
+    found = t.part.select(F.col("p_brand").alias("key"), F.col("p_size").alias("id"), (90 + F.col("p_partkey") % 11).cast("double").alias("score"), F.lit("exact").alias("rule"), F.lit(0).alias("priority"))
+    return E.best_three(found, "key", 95.0).select("key", "ids", "score")
+
+
+@query("""
+WITH a AS (SELECT p_name AS norm, min(p_partkey) AS id FROM part WHERE p_size > 10 GROUP BY p_name UNION ALL SELECT 'red', 1000000)
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 AND p_size >= 20 THEN p_size ELSE coalesce(a.id, CASE WHEN starts_with(p_name, 'red ') THEN 1000000 END) END AS id,
+       CASE WHEN p_size % 4 = 0 AND p_size >= 20 THEN 60.0 + p_size WHEN a.id IS NOT NULL OR starts_with(p_name, 'red ') THEN 85.0 END AS score FROM part LEFT JOIN a ON a.norm = p_name
+""")
+def match_or_title(t: Tables) -> DataFrame:
+    """A match worked out before if it is sure enough, else the title, else its first word."""
+    alias = E.aliases(t.part.where("p_size > 10"), "p_partkey", "p_name").select("norm", "id").unionByName(t.spark.range(1).select(F.lit("red").alias("norm"), F.lit(1000000).cast("long").alias("id")))
+    before = t.part.where("p_size % 4 = 0").select("p_partkey", F.col("p_size").cast("long").alias("id"), (60.0 + F.col("p_size")).alias("score"))
+    return E.match_or_title(t.part, "p_partkey", "p_name", before, alias)
+
+
+@query("""
+WITH n AS (SELECT p_name || ' ' || p_size AS norm, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1), w AS (SELECT p_name || ' ' || p_size || ' forte' AS norm, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1)
+SELECT p_partkey, p_name || ' ' || p_size AS phrase, n.id FROM part JOIN n ON n.norm = p_name || ' ' || p_size JOIN w ON w.norm = p_name || ' ' || p_size || ' forte'
+""")
+def resolving_phrases(t: Tables) -> DataFrame:
+    """What an extraction found counts if it names exactly one id; the shortest run of words that names it stands."""
+    name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))
+    names = t.part.select(name.alias("norm"), F.col("p_partkey").alias("id")).unionByName(t.part.select(F.concat(name, F.lit(" forte")).alias("norm"), F.col("p_partkey").alias("id")))
+    return E.resolving(t.part.select("p_partkey", F.concat(name, F.lit(" forte")).alias("text")), "p_partkey", "text", names)
+
+
 @query("""
 SELECT p_partkey, len(list_filter([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)], lambda x: regexp_matches(x, '(?i)\\b\\d+\\s*(DH|CH|K|LM)\\b'))) = 2 AS diluted,
        contains(lower(p_name), 'red') OR contains('red', lower(p_name)) AS lenient FROM part
