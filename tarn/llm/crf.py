@@ -3,7 +3,7 @@ boilerplate by Viterbi decoding, and the share of words in content lines decides
 
 Features of a line are bits: bands of its length in words, of its shares of symbols, capitals, digits and repeated words, its end mark,
 separators, and whether it repeats an earlier line. The field is learned by maximum likelihood on at most `most` labelled documents
-(chosen by a hash of the id; only the bits of their lines reach the driver): lines take the quality label of their document, and
+(chosen by a hash of the id, none of over `lines` lines; only the bits of their lines reach the driver): lines take the quality label of their document, and
 weights are held to a prior that states what boilerplate looks like, which also serves where no labels exist.
 
 Base rules: word_chars, n_symbols, n_dup_lines and n_repeat_words count whole texts; base_failed is n_words < 10 or
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import documents, portions, run_hashes, settle, utf8, word_bounds, word_hashes
+from tarn.llm.common import documents, light, portions, run_hashes, settle, utf8, word_bounds, word_hashes
 
 #: The symbols that count.
 SYMBOLS = "#*$%&|<>"
@@ -218,8 +218,9 @@ def fit(bits: np.ndarray, lines: np.ndarray, labels: np.ndarray, weights: np.nda
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 3000) -> dict[str, np.ndarray]:
-    """Learns the field from about `most` labelled documents at most."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 3000, lines: int = 2000) -> dict[str, np.ndarray]:
+    """Learns the field from about `most` labelled documents at most, none of them of more than so many lines; both bound what reaches the
+    driver, 2 bytes a line."""
     n = labels.count()
     chosen = labels.where(F.col(label_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < min(1.0, most / max(n, 1)) * (1 << 20)))
     chosen = chosen.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
@@ -231,19 +232,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part in portions(batch, 0):
                 found = profile(part.column(0))
                 cut = np.concatenate([[0], np.cumsum(found["lines"])])
-                packed = [found["bits"][a:b].astype("<u2").tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                packed = [found["bits"][a:b].astype("<u2").tobytes() if b - a <= lines else b"" for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), part.column(1)], names=["bits", "y"])
 
-    # a few thousand ids at most, by the bound above
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(run, "bits binary, y int").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(light(chosen), "id").select("text", "y").mapInArrow(run, "bits binary, y int").collect()
     rows = sorted((r for r in rows if len(r["bits"])), key=lambda r: (r["y"], r["bits"]))
     if not rows:
         return prior()
     bits = np.concatenate([np.frombuffer(r["bits"], "<u2") for r in rows]).astype(np.int64)
-    lines = np.array([len(r["bits"]) // 2 for r in rows])
+    sizes = np.array([len(r["bits"]) // 2 for r in rows])
     y = np.array([r["y"] for r in rows])
     # each document counts once, however many lines it has
-    return fit(bits, lines, np.repeat(y, lines), 1.0 / lines)
+    return fit(bits, sizes, np.repeat(y, sizes), 1.0 / sizes)
 
 
 def judge(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", share: float = 0.3) -> DataFrame:

@@ -32,15 +32,17 @@ _NORMAL[128:] = np.arange(128, 256)
 _PAD = "   "
 
 
-def normal(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normal bytes of an Arrow string array on end, each text behind three spaces; where each text begins (with one more: the
-    end); and whether a byte is one of those three."""
+def normal(texts, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normal bytes of an Arrow string array on end, each text behind three spaces, or behind the three normal bytes given; where each text
+    begins (with one more: the end); and whether a byte is one of those three."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
     raw, offsets = utf8(pc.binary_join_element_wise(pa.scalar(_PAD), lower, pa.scalar("")))
     raw = _NORMAL[raw]
+    if before is not None:
+        raw[:3] = before
     pad = np.zeros(len(raw), bool)
     for i in range(3):
         pad[offsets[:-1] + i] = True
@@ -63,9 +65,9 @@ def grams(texts, langs: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
-def coded(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def coded(texts, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As normal, with the 4-gram that ends at each byte in place of the byte."""
-    raw, offsets, pad = normal(texts)
+    raw, offsets, pad = normal(texts, before)
     r = raw.astype(np.uint32)
     code = np.zeros(len(r), np.uint32)
     code[3:] = (r[:-3] << 24) | (r[1:-2] << 16) | (r[2:-1] << 8) | r[3:]
@@ -115,9 +117,22 @@ class Trees:
         total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
         return np.where(total == 0, shorter, np.where(n > 0, n, kinds * shorter) / np.maximum(total + kinds, 1))
 
-    def lengths(self, texts) -> np.ndarray:
-        """Code length in bits of each text in each language."""
-        code, offsets, pad = coded(texts)
+    def lengths(self, texts, piece: int = 1 << 19) -> np.ndarray:
+        """Code length in bits of each text in each language. A text that comes alone and is long is read piece by piece, each behind the last
+        bytes of the one before, so that memory doesn't grow with it."""
+        if len(texts) == 1 and len(texts[0].as_py() or "") > piece:
+            import pyarrow as pa
+
+            text, total, before = texts[0].as_py(), np.zeros((1, len(self.trees))), None
+            for at in range(0, len(text), piece):
+                part = pa.array([text[at : at + piece]], pa.string())
+                total += self._lengths(part, before)
+                before = normal(part, before)[0][-3:]
+            return total
+        return self._lengths(texts, None)
+
+    def _lengths(self, texts, before: np.ndarray | None) -> np.ndarray:
+        code, offsets, pad = coded(texts, before)
         kinds, own = np.unique(code, return_inverse=True)
         table = np.stack([tree.bits(kinds) for tree in self.trees], 1)
         bits = table.take(own, axis=0)

@@ -8,7 +8,7 @@ lies whole within one window. A window that holds three quarters of a template's
 matches if a retrieved window holds at least three quarters of its distinct shingles.
 
 Only texts and windows with an anchor word are scanned: anchors are chosen from the templates so that too few shingles of any template
-lack one for a match, so this loses nothing. Templates are a list of the caller: their table of bands is small and broadcast.
+lack one for a match, so this loses nothing. Templates are a list of the caller: their table of bands is broadcast where its bytes are few.
 
 Cases: null and empty texts match nothing and give a row; texts of any length are scanned whole; rows that repeat an id each get the
 matches of all of them; null ids count as one id; other columns are ignored; an empty table gives an empty table.
@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents, settle
+from tarn.llm.common import documents, light, settle
 
 #: Short forms and opening passages of public licenses.
 TEMPLATES = {
@@ -121,7 +121,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         # as a lambda's variable the shingles of a text are hashed once, not again for each window
         cut = lambda h: F.transform(anchored, lambda i: F.slice(h, i, F.lit(size + step - k + 1)))  # noqa: B023, E731
         windows = found.select("id", F.explode(F.transform(F.array(shingles(F.col("w"), k)), cut)[0]).alias("h")).where(F.size("h") > 0)
-        met = windows.select("id", "h", F.posexplode(minima(F.col("h"), bands)).alias("band", "value")).join(F.broadcast(table), ["band", "value"])
+        met = windows.select("id", "h", F.posexplode(minima(F.col("h"), bands)).alias("band", "value")).join(light(table, 400), ["band", "value"])
         parts.append(met.select("id", "license", (F.size(F.array_intersect("h", "holds")) / F.size("holds")).alias("containment")).where(F.col("containment") >= NEED[0] / NEED[1]))
     out = parts[0]
     for p in parts[1:]:

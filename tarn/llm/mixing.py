@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import WORD, documents, packed, settle, unpacked
+from tarn.llm.common import WORD, documents, light, packed, settle, unpacked
 
 BITS, LEVELS = 10, 6
 
@@ -29,26 +29,43 @@ def hashed(id_col: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(source, source_size, target): from (source, source_size). One row a source, so windows over all rows are small.
+def ranked(sources: DataFrame) -> DataFrame:
+    """Adds `rank`, from 0, in code point order, null last. Ranges of sources are counted each by itself and moved by the ranges before them, so
+    there may be as many sources as there are documents."""
+    key = F.col("source").asc_nulls_last()
+    parts = settle(sources.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()))
+    own = parts.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1)
+    sizes = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    before, moved = 0, []
+    for part in sorted(sizes):
+        moved += [F.lit(part), F.lit(before)]
+        before += sizes[part]
+    offset = F.element_at(F.create_map(*moved), F.col("__part")) if moved else F.lit(0)
+    return own.withColumn("rank", F.col("__at") + offset).drop("__part", "__at")
+
 
-    Sources are filled in the order in which they reach their limit, which is where sharing the excess again and again ends."""
-    all_rows = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(all_rows) - 1) % len(weights) + 1).cast("int"))
-    w = sizes.withColumn("weight", weight.cast("double")).withColumn("cap", (F.col("source_size") * most).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = [F.col("ratio"), F.col("source").asc_nulls_last()]
-    before, onward = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy()).cast("double")
-    w = w.withColumn("rate", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    w = w.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("rate"), F.struct("ratio", F.col("rate").alias("rate")))).over(Window.partitionBy())["rate"])
-    return w.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """(source, source_size, target): from (source, source_size).
+
+    The excess of full sources is shared again until none is above its limit: each round is one sum over the sources."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
+    w = settle(ranked(sizes).withColumn("weight", weight).withColumn("cap", (F.col("source_size") * most).cast("double")))
+    level, full = None, -1
+    while True:
+        above = F.col("cap") <= level * F.col("weight") if level is not None else F.lit(False)
+        r = w.agg(F.sum("source_size").cast("double").alias("total"), F.sum(F.when(above, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(above, 0.0).otherwise(F.col("weight"))).alias("free"), F.count_if(above).alias("full")).first()
+        if r["full"] == full or not r["free"]:
+            break
+        full, level = r["full"], (r["total"] - r["caps"]) / r["free"]
+    target = F.col("cap") if level is None or not r["free"] else F.least("cap", F.lit(level) * F.col("weight"))
+    return w.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(of, source_size, target, whole, last): a row for each source: how often all of it is taken, and the last hash taken once more."""
+    """(of, source_size, target, whole, budget, last): a row for each source: how often all of it is taken, and the last hash taken once more."""
     base = settle(docs.select(F.col(source_col).alias("source"), sized(docs, text_col).alias("size"), hashed(id_col).alias("hash")))
     aims = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0))
     aims = settle(aims.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
     found = aims.select(F.col("source").alias("s"), "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("under"), F.lit(0).cast("long").alias("on"))
     for level in range(LEVELS):
@@ -60,17 +77,18 @@ def thresholds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         edge = bars.where("upto > budget").groupBy("s").agg(F.min(F.struct("p", "upto", "n", "budget")).alias("e"))
         found = settle(edge.select("s", "e.budget", F.col("e.p").alias("prefix"), (F.col("e.upto") - F.col("e.n")).alias("under"), F.col("e.n").alias("on")))
     line = found.select("s", F.when(F.col("under") + F.col("on") / 2 <= F.col("budget"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
-    return settle(aims.join(line, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "last"))
+    return settle(aims.join(line, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", aims["budget"], "last"))
 
 
-def sided(sources: DataFrame, most: int = 100_000) -> DataFrame:
-    """A table of sources, broadcast if there are few, as counted."""
-    return F.broadcast(sources) if sources.count() <= most else sources
+def sided(sources: DataFrame) -> DataFrame:
+    """A table of sources, broadcast where its bytes are few."""
+    return light(sources, 48)
 
 
 def times() -> Column:
     """How often a document is taken, from its hash and its source's row of thresholds."""
-    return (F.col("whole") + F.coalesce(F.col("__hash") <= F.col("last"), F.lit(False)).cast("long")).cast("int")
+    once_more = F.coalesce(F.col("__hash") <= F.col("last"), F.lit(False)) & (F.col("budget") > 0)
+    return (F.col("whole") + once_more.cast("long")).cast("int")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:

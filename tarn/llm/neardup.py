@@ -8,8 +8,11 @@ Pairs whose upper confidence bound is under the threshold go; the others, and on
 Pairs come from tables keyed by sign bits of further rotations. The number of bits follows the number of vectors, so that cells
 stay small, and the number of tables makes a pair at the threshold meet in one of them but for a chance of `miss`; closer pairs
 meet far more surely. A cell over `block` vectors is cut into blocks that meet two by two, each in a task of its own. A pair that meets
-in several tables counts in the first. What leaves a task is one row a vector: its links, and the least id it is connected with there.
-Equal vectors are one row with a weight throughout.
+in several tables counts in the first, which the bits of all keys tell. What leaves a task is one row a vector: its links, and the least id
+it is connected with there. Equal vectors are one row with a weight throughout.
+
+To a cell go the code, the factor, the key bits and the vector as it was given (4 bytes a component where the column has floats); a product in
+double precision is made only between vectors that the codes leave undecided with some other of the block.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different length do not
 link; rows that repeat an id count once (the vector that sorts last); ids are integers, rows of null id are left out; other columns
@@ -25,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import components, settle
+from tarn.llm.common import components, light, settle
 
 
 @lru_cache(64)
@@ -62,22 +65,35 @@ def rows_of(column) -> np.ndarray:
 
 
 def near(a: np.ndarray, b: np.ndarray, fa, code_b: np.ndarray, factor_b: np.ndarray, threshold: float, eps: float) -> np.ndarray:
-    """Whether each a links with each b: fa is a rotated. Estimates first, doubles where the bound doesn't decide."""
+    """Whether each a links with each b: fa is a rotated. Estimates first, doubles where the bound doesn't decide. Estimates are made in single
+    precision, for which the bound is a little wider."""
     d = a.shape[1]
-    bound = eps * np.sqrt(np.maximum(1 - factor_b**2, 0) / (factor_b**2 * max(d - 1, 1)))
-    maybe = (fa @ code_b.T) / factor_b + bound >= threshold
-    if maybe.mean() > 0.05:
-        return maybe & (a @ b.T >= threshold)
+    bound = eps * np.sqrt(np.maximum(1 - factor_b**2, 0) / (factor_b**2 * max(d - 1, 1))) + 1e-4
+    least = ((threshold - bound) * factor_b).astype(np.float32)
+    maybe = fa.astype(np.float32) @ code_b.T >= least
+    i, j = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
     out = np.zeros(maybe.shape, bool)
-    i, j = np.nonzero(maybe)
-    out[i, j] = np.einsum("ij,ij->i", a[i], b[j]) >= threshold
+    if len(i):
+        out[np.ix_(i, j)] = maybe[np.ix_(i, j)] & (a[i] @ b[j].T >= threshold)
     return out
 
 
-def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, eps: float = 6.0, cell: int = 512, miss: float = 1e-4, block: int = 1024) -> DataFrame:
+def unit_of(v) -> np.ndarray | None:
+    """The unit vector in double precision; null of vectors that link with nothing. Scaled first, so that very small or large components neither
+    vanish nor overflow."""
+    x = np.asarray([] if v is None else v, dtype=np.float64)
+    top = np.abs(x).max() if len(x) else 0.0
+    if not (np.isfinite(x).all() and top > 0):
+        return None
+    x = x / top
+    return x / np.sqrt((x * x).sum())
+
+
+def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, eps: float = 6.0, cell: int = 1024, miss: float = 1e-4, block: int = 1024) -> DataFrame:
     """(id, n_links, component_id, kept) of every vector."""
-    spark = vectors.sparkSession
-    given = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    single = vectors.schema[vec_col].dataType.elementType.typeName() == "float"
+    given = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if single else "array<double>").alias("v"))
+    kind = np.float32 if single else np.float64
     if given.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
         given = settle(given.groupBy("id").agg(F.max("v").alias("v")))
 
@@ -85,20 +101,13 @@ def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         import pandas as pd
 
         for g in batches:
-            dims, out = [], []
-            for v in g["v"]:
-                x = np.asarray([] if v is None else v, dtype=np.float64)
-                # scaled first, so that very small or large components neither vanish nor overflow
-                top = np.abs(x).max() if len(x) else 0.0
-                ok = bool(np.isfinite(x).all()) and top > 0
-                x = x / top if ok else x
-                dims.append(len(x) if ok else 0)
-                out.append((x / np.sqrt((x * x).sum())).tobytes() if ok else b"")
-            yield pd.DataFrame({"id": g["id"], "d": dims, "unit": out})
-
-    base = settle(given.mapInPandas(pack, "id long, d int, unit binary"))
+            units = [unit_of(v) for v in g["v"]]
+            raw = [b"" if u is None else np.asarray(v, kind).tobytes() for u, v in zip(units, g["v"])]
+            yield pd.DataFrame({"id": g["id"], "d": [0 if u is None else len(u) for u in units], "unit": [b"" if u is None else u.tobytes() for u in units], "raw": raw})
+
+    base = settle(given.mapInPandas(pack, "id long, d int, unit binary, raw binary"))
     sound = base.where("d > 0")
-    reps = settle(sound.groupBy("d", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+    reps = settle(sound.groupBy("d", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.min_by("raw", "id").alias("raw")))
     sizes = {r["d"]: r["n"] for r in reps.groupBy("d").agg(F.count("*").alias("n")).collect()}
     plans = {d: plan(n, threshold, cell, miss) for d, n in sizes.items()}
 
@@ -112,17 +121,16 @@ def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                     unit = rows_of(part["unit"])
                     k = keys(unit, *plans[d])
                     _, code, factor = codes(unit)
-                    packed = np.packbits(code > 0, axis=1)
+                    packed, marks = np.packbits(code > 0, axis=1), np.packbits((k[:, :, None] >> np.arange(plans[d][0]) & 1).reshape(len(part), -1).astype(bool), axis=1)
                     t = k.shape[1]
                     rep = lambda x: np.repeat(x, t)  # noqa: B023, E731
-                    yield pd.DataFrame({"d": int(d), "t": np.tile(np.arange(t), len(part)), "cell": k.ravel(), "id": rep(part["rep"].to_numpy()), "weight": rep(part["weight"].to_numpy()), "unit": rep(part["unit"].to_numpy()), "code": rep(np.array([r.tobytes() for r in packed], object)), "factor": rep(factor), "keys": rep(np.array([r.tobytes() for r in k], object))})
+                    yield pd.DataFrame({"d": int(d), "t": np.tile(np.arange(t), len(part)), "cell": k.ravel(), "id": rep(part["rep"].to_numpy()), "weight": rep(part["weight"].to_numpy()), "raw": rep(part["raw"].to_numpy()), "code": rep(np.array([r.tobytes() for r in packed], object)), "factor": rep(factor), "keys": rep(np.array([r.tobytes() for r in marks], object))})
 
-    entries = reps.mapInPandas(tables, "d int, t int, cell long, id long, weight long, unit binary, code binary, factor double, keys binary")
+    entries = reps.mapInPandas(tables, "d int, t int, cell long, id long, weight long, raw binary, code binary, factor double, keys binary")
     full = settle(entries.groupBy("d", "t", "cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select("d", "t", "cell", F.ceil(F.col("n") / block).cast("long").alias("blocks")))
-    few = full.count() <= 500_000
-    dealt = entries.join(F.broadcast(full) if few else full, ["d", "t", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = entries.join(light(full), ["d", "t", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("d", "t", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "weight", "unit", "code", "factor", "keys")
+    dealt = dealt.select("d", "t", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "weight", "raw", "code", "factor", "keys")
 
     def meet(key, g):
         import pandas as pd
@@ -133,9 +141,9 @@ def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         none = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if len(g) < 2 or not len(left) or not len(right):
             return none
-        a, b = rows_of(left["unit"]), rows_of(right["unit"])
+        a, b = (np.stack([unit_of(np.frombuffer(v, kind)) for v in z["raw"]]) for z in (left, right))
         bits = np.unpackbits(np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(b), -1), axis=1)[:, :d]
-        code = np.where(bits > 0, 1.0, -1.0) / np.sqrt(d)
+        code = (np.where(bits > 0, 1.0, -1.0) / np.sqrt(d)).astype(np.float32)
         link = np.zeros((len(a), len(b)), bool)
         for at in range(0, len(a), 512):
             link[at : at + 512] = near(a[at : at + 512], b, a[at : at + 512] @ rotation(int(d), 0), code, right["factor"].to_numpy(), threshold, eps)
@@ -147,7 +155,8 @@ def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         i, j = np.nonzero(link)
         new = np.ones(len(i), bool)
         if t:
-            ka, kb = (np.frombuffer(b"".join(z["keys"]), np.int64).reshape(len(z), -1)[:, :t] for z in (left, right))
+            size = plans[int(d)][0]
+            ka, kb = (np.unpackbits(np.frombuffer(b"".join(z["keys"]), np.uint8).reshape(len(z), -1), axis=1)[:, : t * size].reshape(len(z), t, size) @ (1 << np.arange(size)) for z in (left, right))
             for at in range(0, len(i), 100_000):
                 new[at : at + 100_000] = ~(ka[i[at : at + 100_000]] == kb[j[at : at + 100_000]]).any(1)
         ids = np.unique(np.concatenate([ids_a[i], ids_b[j]]))

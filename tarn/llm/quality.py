@@ -6,7 +6,7 @@ of its id; the sums are kept by fold, so that the same pass yields the model of
 of that fold calibrate. The driver sees sums whose size depends on the number of features only, and at most 2,001 bins of scores.
 
 Cases: null text counts as empty and is scored; labels of null, of unknown ids and repeated labels of an id (their mean counts) are
-borne; repeated rows give a row each; other columns are ignored; without labels to learn from every score is the prior 0.5.
+borne; of rows that repeat an id, the one whose statistics sort last is learned from, and each gets a row; other columns are ignored; without labels to learn from every score is the prior 0.5.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import documents, portions, settle, utf8, word_bounds, word_hashes
+from tarn.llm.common import documents, light, portions, settle, utf8, word_bounds, word_hashes
 
 FOLDS = 4
 #: Rows of one partition of learning sums.
-ROWS = 50_000
+ROWS = 10_000
 _CLASSES = {"letter": [*range(65, 91), *range(97, 123)], "upper": range(65, 91), "digit": range(48, 58), "stop": b".!?", "comma": b",;:", "bang": b"!", "mark": b"#*$%&", "angle": b"<>{}[]()", "bar": b"|/\\_-=+~^", "at": b"@", "quote": b"'\"`", "high": range(128, 256)}
 _CLASS = np.zeros((256, len(_CLASSES)))
 for _k, _bytes in enumerate(_CLASSES.values()):
@@ -120,7 +120,7 @@ def learn(stats: DataFrame, labels: DataFrame, features: int = 192, width: float
     """stats: (id, x); labels: (id, y) with y from 0 to 1."""
     spark = stats.sparkSession
     y = labels.where(F.col("id").isNotNull() & F.col("y").isNotNull()).groupBy("id").agg(F.avg("y").alias("y"))
-    rows = settle(stats.dropDuplicates(["id"]).join(y, "id").select("x", "y", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold")))
+    rows = settle(stats.groupBy("id").agg(F.max("x").alias("x")).join(y, "id").select("x", "y", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold")))
     n = rows.count()
     if not n:
         return Model()
@@ -208,7 +208,7 @@ def select(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str =
     """The rows of docs whose score is `least` or more, with their own columns. labels: (id, y). Rows are scored where they are."""
     known = labels.where(F.col("id").isNotNull() & F.col("y").isNotNull()).select("id").distinct()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    own = own.join(F.broadcast(known) if known.count() <= 2_000_000 else known, "id", "left_semi")
+    own = own.join(light(known), "id", "left_semi")
     held = docs.sparkSession.sparkContext.broadcast(learn(settle(profile(own, "id", "text")), labels))
     at = docs.columns.index(text_col)
 

@@ -4,7 +4,7 @@ those run their regular expressions.
 A rule is a regular expression over host and path (Java syntax) with the literal tokens that every match holds whole; base rules
 (host, path) are compiled to such rules. How rare a token is, is counted over all URLs given. Rules without a whole token are candidates
 of every URL. The longest base rule that fits decides; else a block pattern that matches blocks, unless an allow pattern matches; else
-the URL is allowed. Rules are a list of the caller, so index and rules are small; URLs are judged once each, however often they occur.
+the URL is allowed. Rules are a list of the caller, broadcast where their bytes are few; URLs are judged once each, however often they occur.
 
 Cases: a null URL and one without :// have empty host and path and are allowed; rows that repeat a page or a URL give a row each;
 URLs of any length are read whole; other columns are ignored; an empty table gives an empty table.
@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.common import light
+
 #: The base rules (verdict, host, path).
 BASE = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: Patterns of hosts and paths to block or allow: (name, verdict, regular expression over host and path, literal tokens that any match holds whole).
@@ -69,13 +71,13 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     """(id, host, path, rule, pattern, verdict) of every row."""
     spark = pages.sparkSession
     given = pages.select(F.col(id_col), F.col(url_col).alias("url")).select(id_col, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    subject = given.select(F.concat("host", "path").alias("subject")).where("subject != ''")
+    subject = given.select(F.concat("host", "path").alias("subject")).where("subject != ''").distinct()
     tokens = subject.select("subject", F.explode(F.array_distinct(F.split(F.lower("subject"), "[^a-z0-9]+"))).alias("token")).where("token != ''")
     wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
-    seen = {r["token"]: r["n"] for r in tokens.join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    seen = {r["token"]: r["n"] for r in tokens.join(light(wanted, 40), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
     table = [(min(r.tokens, key=lambda t: (seen.get(t, 0), t)) if r.tokens else None, r.name, r.verdict, r.regex, r.base, len(r.name)) for r in rules]
     index = spark.createDataFrame(table, "token string, rule string, verdict string, regex string, base boolean, size int")
-    met = tokens.join(F.broadcast(index.where("token IS NOT NULL")), "token").where("subject rlike regex").drop("token")
+    met = tokens.join(light(index.where("token IS NOT NULL"), 80), "token").where("subject rlike regex").drop("token")
     if any(not r.tokens for r in rules):
         loose = [r for r in rules if not r.tokens]
         every = F.filter(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"), F.lit(r.base).alias("base"), F.lit(len(r.name)).alias("size"), F.col("subject").rlike(r.regex).alias("hit")) for r in loose]), lambda x: x["hit"])
@@ -84,7 +86,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
         F.max(F.when(F.col("base"), F.struct("size", "rule", "verdict"))).alias("b"),
         F.min(F.when(~F.col("base"), F.struct("verdict", "rule"))).alias("p"),  # allow sorts before block
     )
-    out = given.withColumn("subject", F.concat("host", "path")).join(best, "subject", "left")
+    # URLs without a subject are kept out of the join, where they would be one key
+    whole = given.withColumn("subject", F.nullif(F.concat("host", "path"), F.lit("")))
+    out = whole.where("subject IS NOT NULL").join(best, "subject", "left").unionByName(whole.where("subject IS NULL"), allowMissingColumns=True)
     return out.select(id_col, "host", "path", F.col("b.rule").alias("rule"), F.col("p.rule").alias("pattern"), F.coalesce("b.verdict", "p.verdict", F.lit("allow")).alias("verdict"))
 
 

@@ -37,6 +37,56 @@ def test_quality_ranks_held_out_rows(spark, sf):
     assert auc > 0.85, auc
 
 
+def test_quality_equals_plain_numpy(spark):
+    """Features, ridge by folds and calibration over the same statistics, without Spark."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    stats = quality.profile(docs, "doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"))
+    got = {r["id"]: r["score"] for r in quality.apply(stats, quality.learn(stats, labels, features=48)).collect()}
+    x = {r["id"]: np.frombuffer(r["x"]) for r in stats.collect()}
+    known = stats.join(labels, "id").select("id", "y", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(quality.FOLDS)).alias("f")).collect()
+    a, y, fold = np.stack([x[r["id"]] for r in known]), np.array([r["y"] for r in known]), np.array([r["f"] for r in known])
+    mean, scale = a.mean(0), a.std(0)
+    rng = np.random.default_rng(1)
+    w, b = rng.standard_normal((quality.D, 48)) / (0.7 * np.sqrt(quality.D)), rng.uniform(0, 2 * np.pi, 48)
+    wave = lambda v: np.concatenate([np.ones((len(v), 1)), np.sqrt(2 / 48) * np.cos(np.clip((v - mean) / np.where(scale > 1e-9, scale, 1), -6, 6) @ w + b)], axis=1)
+
+    def ridge(z, t):
+        hold = np.full(49, 1e-3 * len(z))
+        hold[0] = 1e-9
+        return np.linalg.solve(z.T @ z + np.diag(hold), z.T @ t)
+
+    z, raw = wave(a), np.zeros(len(y))
+    for f in range(quality.FOLDS):
+        raw[fold == f] = z[fold == f] @ ridge(z[fold != f], y[fold != f])
+    bins = np.round(np.clip(raw, -2, 3) * 400)
+    level = np.array([y[bins == k].mean() for k in np.unique(bins)])
+    at, n = np.unique(bins, return_counts=True)
+    pools = [[i] for i in range(len(at))]
+    value = lambda p: np.average(level[p], weights=n[p])
+    i = 0
+    while i < len(pools) - 1:  # pools that don't rise are one
+        if value(pools[i]) >= value(pools[i + 1]):
+            pools[i : i + 2] = [pools[i] + pools[i + 1]]
+            i = max(i - 1, 0)
+        else:
+            i += 1
+    places, heights = [np.average(at[p] / 400, weights=n[p]) for p in pools], [value(p) for p in pools]
+    whole = ridge(z, y)
+    ids = sorted(x)
+    want = np.clip(np.interp(wave(np.stack([x[i] for i in ids])) @ whole, places, heights), 0, 1)
+    assert np.allclose([got[i] for i in ids], want, atol=1e-5)
+
+
+def test_quality_of_repeated_ids_is_the_same_in_every_run(spark):
+    rows = [(i % 20, f"word{i} " * (i + 3) + ("Fine text. " * (i % 3))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    runs = [sorted(map(tuple, quality.score(docs.repartition(n, "text"), labels).collect())) for n in (1, 5)]
+    assert len(runs[0]) == 60 and np.allclose([r[1] for r in runs[0]], [r[1] for r in runs[1]], atol=1e-6)
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 1), (99, 1), (None, 1), (7, None)], "doc_id long, quality int")
     rows = quality.score(awkward(spark), labels).collect()
@@ -127,6 +177,20 @@ def test_urls_by_hand(spark):
     assert urlfilter.judge(rows.limit(0), urlfilter.compiled(urlfilter.BASE, urlfilter.PATTERNS)).count() == 0
 
 
+def test_urls_of_thousands_of_rules(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefg"), 3))
+    base = list({(h, p): (v, h, p) for v, h, p in (("block" if rng.random() < 0.5 else "allow", f"{word()}.{rng.choice(['com', 'org'])}", f"/{word()}/") for _ in range(2500))}.values())
+    base += [("allow", "com", "/"), ("block", "org", "/x"), ("block", "com", "/abc")]
+    urls = [f"https://{rng.choice(['', 'www.'])}{word()}.{rng.choice(['com', 'org', 'net'])}/{word()}/{word()}?q" for _ in range(1500)] + [f"http://{h}{p}a" for _, h, p in base[:300]]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(rows, urlfilter.compiled(base, [])).collect()}
+    for i, u in enumerate(urls):
+        host, path = re.match(r"https?://([^/]*)([^?]*)", u).groups()
+        fits = [(len(h + p), h + p, v) for v, h, p in base if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == ((max(fits)[1], max(fits)[2]) if fits else (None, "allow")), u
+
+
 # 4: language
 
 
@@ -188,6 +252,16 @@ def test_language_keeps_every_byte_and_context(spark):
     assert np.allclose(trees.lengths(pa.array(tried)), want, rtol=1e-4)
 
 
+def test_language_of_a_long_text_in_pieces(spark):
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    trees = langid.learn(docs, "doc_id", "text", "lang", 1000)
+    text = "  ".join(r["text"] for r in docs.where("text IS NOT NULL").orderBy("doc_id").limit(40).collect()) + " \u4f60\u597d ... x"
+    whole = trees.lengths(pa.array([text]))
+    assert all(np.allclose(trees.lengths(pa.array([text]), piece), whole, rtol=1e-9) for piece in (1000, 4097, 7))
+
+
 # 5: licenses
 
 
@@ -266,6 +340,13 @@ def test_jaccard_long_columns(spark):
     assert got_classes(jaccard.jaccard_classes(df, group=2, long=7)) == brute_jaccard(docs)
 
 
+def test_jaccard_of_very_long_texts(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    docs = {1: " ".join(words), 2: " ".join(words[:100_000]), 3: " ".join(words[60_000:]), 4: " ".join(words[:-3])}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert got_classes(jaccard.jaccard_classes(df)) == brute_jaccard(docs)
+
+
 # 7: embeddings
 
 
@@ -509,3 +590,71 @@ def test_viterbi_is_the_best_path():
         value = lambda y, at=at: sum(emit[at + i] * v for i, v in enumerate(y)) + sum(model["t"][a, b] for a, b in zip(y, y[1:]))
         assert tuple(got[at : at + n]) == max(product((0, 1), repeat=n), key=value)
         at += n
+
+
+def plain_bits(text):
+    """The features of each line of a text that has a word, and its words."""
+    out, seen = [], set()
+    for line in text.split("\n"):
+        words = WORD.findall(line)
+        if not words:
+            continue
+        n, chars = len(words), sum(map(len, words))
+        count = lambda ok: sum(map(ok, line))  # noqa: B023, E731
+        symbols, upper, lower = count(lambda c: c in crf.SYMBOLS), count(lambda c: "A" <= c <= "Z"), count(lambda c: "a" <= c <= "z")
+        digits, bangs = count(lambda c: "0" <= c <= "9"), count(lambda c: c == "!")
+        flags = [n <= 2, 3 <= n <= 5, 6 <= n <= 11, 12 <= n <= 24, n >= 25, 50 * symbols > chars, 12 * symbols > chars, upper > lower, 5 * digits > chars, 33 * bangs > chars, n >= 6 and 2 * len(set(words)) < n,
+                 any(a == b == c for a, b, c in zip(words, words[1:], words[2:])), words[-1][-1] in ".?!", any(w in set(crf.SYMBOLS) | {"-", "/"} for w in words), line in seen, True]
+        seen.add(line)
+        out.append((sum(1 << k for k, f in enumerate(flags) if f), n))
+    return out
+
+
+def test_kept_equals_a_plain_version(spark, sf):
+    """Features, decoding over all paths of short chains and by a plain recursion of long ones, share of content, verdict."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    odd = ["A B C\n- x / y\nA B C\nThe end of it is here now, isn't it?", "WOW!!! BUY BUY BUY\nwords and more words in a line that goes on and on for long enough now.\n\n1 2 3", "x"]
+    docs = docs.unionByName(spark.createDataFrame([(-1 - i, x) for i, x in enumerate(odd)], "doc_id long, text string"))
+    model = crf.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = by_id(crf.judge(docs, model))
+    for i, text in ((r["doc_id"], r["text"] or "") for r in docs.collect()):
+        lines = plain_bits(text)
+        best = {0: (0.0, ()), 1: (0.0, ())} if lines else {0: (0.0, ())}
+        for k, (bits, _) in enumerate(lines):
+            emit = sum(w for f, w in enumerate(model["w"]) if bits >> f & 1)
+            best = {y: max(((best[x][0] + (model["t"][x, y] if k else 0) + emit * y, (*best[x][1], y)) for x in ((0, 1) if k else (y,))), key=lambda v: v[0]) for y in (0, 1)}
+        path = max(best.values(), key=lambda v: v[0])[1]
+        words = sum(n for _, n in lines)
+        share = sum(n for y, (_, n) in zip(path, lines) if y) / max(words, 1)
+        assert abs(got[i]["content_share"] - share) < 1e-9 and got[i]["kept"] == (not brute_rules(text)[-1] and share >= 0.3), i
+
+
+def test_field_is_the_most_likely():
+    """The fitted field against the likelihood summed over all labellings: no small step makes it better."""
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    lines = np.array([3, 1, 4, 2])
+    bits, labels, weights = rng.integers(0, 1 << crf.N, lines.sum()), rng.integers(0, 2, lines.sum()), 1.0 / lines
+
+    def gain(w, t):
+        x, at, out = crf._expand(bits), 0, 0.0
+        for n, weight in zip(lines, weights):
+            value = lambda y, at=at: sum((x[at + i] @ w) * v for i, v in enumerate(y)) + sum(t[a, b] for a, b in zip(y, y[1:]))
+            out += weight * (value(labels[at : at + n].tolist()) - np.log(sum(np.exp(value(y)) for y in product((0, 1), repeat=int(n)))))
+            at += n
+        start = crf.prior()
+        return out / weights.sum() - 1e-3 * (((w - start["w"]) ** 2).sum() + ((t - start["t"]) ** 2).sum())
+
+    model = crf.fit(bits, lines, labels, weights, rounds=6000)
+    best = gain(model["w"], model["t"])
+    for k in range(crf.N):
+        for step in (-0.1, 0.1):
+            moved = model["w"].copy()
+            moved[k] += step
+            assert gain(moved, model["t"]) <= best + 1e-4
+    for a, b in product((0, 1), repeat=2):
+        for step in (-0.1, 0.1):
+            moved = model["t"].copy()
+            moved[a, b] += step
+            assert gain(model["w"], moved) <= best + 1e-4
