@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.windows import running
+
 
 def top_counts(df: DataFrame, key: str, k: int, name: str = "n", drop_empty: bool = True) -> DataFrame:
     """The k most frequent values; equals by name. An empty or missing key is left out after the cut if so asked."""
@@ -39,10 +41,10 @@ def census(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def coverage(df: DataFrame, key: str) -> DataFrame:
-    """(key, n, rank, cumulative share): what the most frequent values cover. Windows run over the counts, not over the rows."""
-    w = Window.orderBy(F.desc("n"), F.asc(key))
-    out = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(w))
-    return out.withColumn("covered", F.round(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy()), 6))
+    """(key, n, rank, cumulative share): what the most frequent values cover, equals by name."""
+    out = running(df.groupBy(key).agg(F.count("*").alias("n")), [F.desc("n"), F.asc_nulls_last(key)], "n")
+    total = df.count()
+    return out.select(key, "n", "rank", F.round(F.col("so_far") / total, 6).alias("covered"))
 
 
 def facets(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.session import cut
+
 
 def keep_best(df: DataFrame, keys: list[str], *order: Column, k: int = 1) -> DataFrame:
     """The first k rows of each key in an order, which has to be total."""
@@ -24,6 +26,22 @@ def landmark_ends(df: DataFrame, doc: str, start: str, end: Column | None = None
     return df.withColumn("end", F.coalesce(nxt, end) if end is not None else nxt)
 
 
+def running(df: DataFrame, order: list[Column], value: str) -> DataFrame:
+    """Adds `rank`, from 1, and `so_far`, the sum of a value up to each row, in a total order of all rows. Ranges of the order are ranked each by
+    itself and moved by the sums of the ranges before them: what the driver sees is one row a range, and no task sees all rows."""
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    w = Window.partitionBy("__part").orderBy(*order)
+    own = parts.withColumns({"rank": F.row_number().over(w), "so_far": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    n, total, moves = 0, 0, []
+    for r in sorted(parts.groupBy("__part").agg(F.count("*").alias("n"), F.sum(value).alias("s")).collect()):
+        moves += [F.lit(r["__part"]), F.struct(F.lit(n).alias("n"), F.lit(total).alias("s"))]
+        n, total = n + r["n"], total + r["s"]
+    if not moves:
+        return own.drop("__part")
+    move = F.element_at(F.create_map(*moves), F.col("__part"))
+    return own.withColumns({"rank": (F.col("rank") + move["n"]).cast("int"), "so_far": F.col("so_far") + move["s"]}).drop("__part")
+
+
 def limited(df: DataFrame, key: str, at: str, most: int, seconds: int, tie: str | None = None) -> DataFrame:
     """Adds `allowed`: whether an event comes while fewer than `most` allowed ones of its key lie within so many seconds before.
 

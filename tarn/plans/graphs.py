@@ -9,6 +9,7 @@ from tarn.operators import aggregates as A
 from tarn.operators import graph as G
 from tarn.operators.windows import keep_best
 from tarn.plans.registry import Tables, query
+from tarn.session import light
 
 #: One undirected edge for each pair of parts in an order; its weight is the number of orders.
 EDGES_SQL = """
@@ -185,7 +186,7 @@ SELECT n_name, r_name, arg_max(c_custkey, c_custkey) AS last, arg_min(c_custkey,
 """)
 def key_lookups(t: Tables) -> DataFrame:
     """Look-ups by key; on repeated keys the last or the first row counts."""
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.customer.join(light(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(light(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupBy("n_name", "r_name").agg(F.max("c_custkey").alias("last"), F.min("c_custkey").alias("first"))
 
 
@@ -202,7 +203,7 @@ def class_pairs(t: Tables) -> DataFrame:
     rules = t.spark.createDataFrame(RULES, "ca string, cb string, level string")
     a = t.part.select(F.col("p_partkey").alias("a"), F.col("p_type").alias("ca"), "p_brand", "p_size")
     b = t.part.select(F.col("p_partkey").alias("b"), F.col("p_type").alias("cb"), "p_brand", "p_size")
-    pairs = a.join(F.broadcast(rules), "ca").join(b, ["cb", "p_brand", "p_size"]).where("a < b").select("a", "b", "level")
+    pairs = a.join(light(rules), "ca").join(b, ["cb", "p_brand", "p_size"]).where("a < b").select("a", "b", "level")
     known = G.pairs_within(t.lineitem, "l_orderkey", "l_partkey").select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct()
     return pairs.join(known, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti")
 
@@ -245,4 +246,4 @@ def class_pair_lookup(t: Tables) -> DataFrame:
     table = t.region.select(F.col("r_regionkey").alias("ra"), F.col("r_regionkey").alias("rb"), F.lit("same").alias("named"))
     pairs = t.nation.select(F.col("n_name").alias("a"), F.col("n_regionkey").alias("ra"), F.col("n_nationkey").alias("ka")).join(t.nation.select(F.col("n_name").alias("b"), F.col("n_regionkey").alias("rb"), F.col("n_nationkey").alias("kb")), F.col("ka") < F.col("kb"))
     both = table.union(table.select("rb", "ra", "named")).distinct()
-    return pairs.join(F.broadcast(both), ["ra", "rb"], "left").select("a", "b", F.coalesce("named", F.when(F.abs(F.col("ra") - F.col("rb")) == 1, "near").otherwise("far")).alias("level"))
+    return pairs.join(light(both), ["ra", "rb"], "left").select("a", "b", F.coalesce("named", F.when(F.abs(F.col("ra") - F.col("rb")) == 1, "near").otherwise("far")).alias("level"))

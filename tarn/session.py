@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,15 @@ def session(app: str = "tarn", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows worked out once, their lineage ended by a checkpoint in the shared folder; where the session has none, the plan itself."""
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if shared else df
+    """The same rows worked out once, their lineage ended by a checkpoint in the shared folder (spark.checkpoint.dir). A session on one machine
+    that has none gets a temporary one; on a cluster that is an error."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tarn-"))
+    return df.checkpoint()
 
 
 def light(rows: DataFrame, width: int = 32, most_bytes: int = 32 << 20) -> DataFrame:
