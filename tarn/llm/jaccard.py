@@ -372,10 +372,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = settle(star.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("k")).where("k >= 2").select("a", "b"))
     links = settle(verify(star, texts, threshold))
     first = components(links)
-    classes = reps.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("class"))
-    sizes = classes.groupBy("class").agg(F.count("*").alias("k"))
+    # a class of one has no row among the links; only linked ones are counted
+    linked = first.join(light(first.groupBy("component").agg(F.count("*").alias("k"))), "component").select(F.col("id").alias("rep"), "component", "k")
+    classes = reps.join(linked, "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("class"), F.coalesce("k", F.lit(1)).alias("k"))
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / group).cast("long"))
-    classes = settle(classes.join(sizes, "class").select("rep", "n", "class", "k", F.when(F.col("k") <= group, F.col("class")).otherwise(F.xxhash64("class", block)).alias("group")))
+    classes = settle(classes.withColumn("group", F.when(F.col("k") <= group, F.col("class")).otherwise(F.xxhash64("class", block))))
 
     # the matrix over groups, and the groups that its columns bring together
     total = sets.agg(F.sum("n")).first()[0] or 0
