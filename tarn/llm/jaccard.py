@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def profile(docs: DataFrame) -> DataFrame:
     """(id, n, d1, d2, keys): size, digest and least hashes of the set of every whole text. docs: (id, text)."""
 
     def run(batches: Iterator):
-        import pyarrow as pa
-
         for batch in batches:
             for part in portions(batch, 1):
                 sets = shingle_sets(part.column(1))
@@ -67,8 +66,6 @@ def token_sets(rows: DataFrame, short: bool = False) -> DataFrame:
     more = [c for c in rows.columns if c not in ("id", "text")]
 
     def run(batches: Iterator):
-        import pyarrow as pa
-
         for batch in batches:
             for part in portions(batch, 1):
                 sets = shingle_sets(part.column(1))
@@ -90,8 +87,6 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> Da
     num, den = threshold
 
     def run(batches: Iterator):
-        import pyarrow as pa
-
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
@@ -116,8 +111,6 @@ def hot_tokens(docs: DataFrame, total: int, most_hot: int) -> np.ndarray:
     bits = int(np.clip(np.ceil(np.log2(max(total, 1) / (1 << 22))), 10, 20))
 
     def deal(batches: Iterator):
-        import pyarrow as pa
-
         def flush(held):
             t = np.sort(np.concatenate(held))
             fresh = np.concatenate([[True], t[1:] != t[:-1]])
@@ -147,18 +140,17 @@ def hot_tokens(docs: DataFrame, total: int, most_hot: int) -> np.ndarray:
         if size:
             yield flush(held)
 
-    def tally(key, g):
-        import pandas as pd
-
+    def tally(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << (32 - bits), np.uint32)
-        for gaps, wide, more in zip(g["gaps"], g["wide"], g["more"]):
-            n[np.cumsum(np.frombuffer(gaps, np.uint32 if wide else np.uint16).astype(np.int64))] += 1
-            at, times = np.frombuffer(more, np.uint32).reshape(2, -1)
-            n[at] += times
+        for g in batches:
+            for gaps, wide, more in zip(g.column("gaps"), g.column("wide").to_pylist(), g.column("more")):
+                n[np.cumsum(np.frombuffer(gaps.as_buffer(), np.uint32 if wide else np.uint16).astype(np.int64))] += 1
+                at, times = np.frombuffer(more.as_buffer(), np.uint32).reshape(2, -1)
+                n[at] += times
         hot = np.flatnonzero(n > 8)
-        return pd.DataFrame({"token": hot + (int(key[0]) << (32 - bits)), "n": n[hot].astype(np.int64)})
+        yield pa.RecordBatch.from_arrays([pa.array(hot + (key[0].as_py() << (32 - bits)), pa.int64()), pa.array(n[hot].astype(np.int64))], names=["token", "n"])
 
-    found = settle(docs.select(docs.columns[1]).mapInArrow(deal, "range int, gaps binary, wide boolean, more binary").groupBy("range").applyInPandas(tally, "token long, n long"))
+    found = settle(docs.select(docs.columns[1]).mapInArrow(deal, "range int, gaps binary, wide boolean, more binary").groupBy("range").applyInArrow(tally, "token long, n long"))
     # how many tokens have each of at most some hundred classes of frequency
     level = F.floor(F.log2("n") * 8)
     least, held = 0, 0
@@ -178,8 +170,6 @@ def prefixes(docs: DataFrame, hot: np.ndarray, threshold: tuple[int, int]) -> Da
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator):
-        import pyarrow as pa
-
         hot = held.value
         for batch in batches:
             for part in portions(batch, 1):
@@ -245,8 +235,6 @@ def columns(cells: DataFrame, threshold: tuple[int, int], long: int = 4096) -> D
     """(q, g): pairs of groups of different classes that meet in a column of the matrix."""
 
     def meet(batches: Iterator):
-        import pyarrow as pa
-
         found: list[np.ndarray] = []
         names = ["q", "g", "token", "block", "cells"]
 
@@ -262,8 +250,8 @@ def columns(cells: DataFrame, threshold: tuple[int, int], long: int = 4096) -> D
         def marked(rows: np.ndarray) -> np.ndarray:
             return np.concatenate([rows[:, 1:], rows[:, :1] & 1], axis=1)
 
-        def short(rows: np.ndarray) -> None:
-            """Columns that are there whole."""
+        def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Columns that are there whole: long ones leave in blocks."""
             cell, token = marked(rows), rows[:, 0]
             begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.append(begin, len(token)))
@@ -274,17 +262,20 @@ def columns(cells: DataFrame, threshold: tuple[int, int], long: int = 4096) -> D
                 found.append(ordered(cell[i], cell[i + d]))
             for at, n in zip(begin[size > 8].tolist(), size[size > 8].tolist()):
                 own = cell[at : at + n]
-                if own[:, 0].min() != own[:, 0].max():
+                if own[:, 0].min() == own[:, 0].max():
+                    continue
+                if n > long:
+                    yield from (block(rows[at + k : min(at + k + long, at + n)], k // long) for k in range(0, n, long))
+                else:
                     found.extend(crossing(own, own, threshold, True))
-
-        def ready() -> bool:
-            return sum(map(len, found)) > 200_000
+            if sum(map(len, found)) > 200_000:
+                yield pairs()
 
         held, size, blocks = [], 0, 0  # rows not yet compared; how many; blocks of the column at their end that have left
         for batch in batches:
             held.append(np.stack([c.to_numpy() for c in batch.columns], 1))
             size += batch.num_rows
-            if size < 50_000:
+            if size < 12 * long:
                 continue
             rows = np.concatenate(held)
             cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # where the last column begins
@@ -292,9 +283,7 @@ def columns(cells: DataFrame, threshold: tuple[int, int], long: int = 4096) -> D
                 own = int(np.searchsorted(rows[:, 0], rows[0, 0], side="right"))
                 yield block(rows[:own], blocks)
                 rows, cut, blocks = rows[own:], cut - own, 0
-            short(rows[:cut])
-            if ready():
-                yield pairs()
+            yield from whole(rows[:cut])
             rows = rows[cut:]
             while len(rows) > long:
                 yield block(rows[:long], blocks)
@@ -306,12 +295,10 @@ def columns(cells: DataFrame, threshold: tuple[int, int], long: int = 4096) -> D
             yield block(rows[:own], blocks)
             rows = rows[own:]
         if len(rows):
-            short(rows)
+            yield from whole(rows)
         yield pairs()
 
-    def meet_blocks(key, batches):
-        import pyarrow as pa
-
+    def meet_blocks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = key[1].as_py(), key[2].as_py()
         blocks = {k: np.frombuffer(v, np.int64).reshape(-1, len(CELL)) for b in batches for k, v in zip(b.column("block").to_pylist(), b.column("cells").to_pylist())}
         for p in crossing(blocks[x], blocks[y], threshold, x == y):
@@ -327,28 +314,30 @@ def columns(cells: DataFrame, threshold: tuple[int, int], long: int = 4096) -> D
 
 def qualify(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The (q, g) of which document q overlaps the union of group g so far that a member can link. pairs: (q, g) of groups; members:
-    (id, g). 24 bits of a token serve, as they can only make the bound larger."""
+    (id, g, k), k the size of the class. 24 bits of a token serve, as they can only make the bound larger."""
     num, den = threshold
 
-    def union(key, g):
-        import pandas as pd
-
-        return pd.DataFrame({"g": [key[0]], "low": [min(map(len, g["tokens"])) // 3], "union": [np.unique(np.concatenate([long_codes(t) for t in g["tokens"]])).tobytes()]})
+    def union(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, held = None, np.zeros(0, np.uint32)
+        for g in batches:
+            sets = [long_codes(t.as_py()) for t in g.column("tokens")]
+            low = min([*map(len, sets), *([] if low is None else [low])])
+            held = np.unique(np.concatenate([held, *sets]))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([low], pa.int64()), pa.array([held.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()], pa.binary())], names=["g", "low", "union"])
 
     def run(batches: Iterator):
-        import pyarrow as pa
-
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, low, y) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4))):
-                x, y = long_codes(x.as_py()), np.frombuffer(y.as_buffer(), "<u4")
+                x, y = long_codes(x.as_py()), long_codes(y.as_py())
                 shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
                 keep[i] = (num + den) * shared >= num * (len(x) + max(low, -(-num * len(x) // den)))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["q", "g"])
 
     asked = pairs.join(members.select(F.col("g").alias("q"), "id"), "q").select("id", "g")
-    opened = members.join(pairs.select("g").distinct(), "g", "left_semi").select("id", "g")
-    unions = token_sets(attach(texts, opened), short=True).groupBy("g").applyInPandas(union, "g long, low long, union binary")
+    opened = settle(members.join(pairs.select("g").distinct(), "g", "left_semi").select("id", "g", "k"))
+    alone, several = (token_sets(attach(texts, opened.where(which).select("id", "g")), short=True) for which in ("k = 1", "k > 1"))
+    unions = several.groupBy("g").applyInArrow(union, "g long, low long, union binary").unionByName(alone.select("g", F.floor(F.octet_length("tokens") / 3).alias("low"), F.col("tokens").alias("union")))
     queries = token_sets(attach(texts, asked), short=True).select(F.col("id").alias("q"), "g", "tokens")
     return queries.join(unions, "g").select("q", "g", "tokens", "low", "union").mapInArrow(run, "q long, g long")
 
@@ -386,9 +375,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = first
     if met.limit(1).count():
         groups = met.select("g").unionByName(met.select(F.col("q").alias("g"))).distinct()
-        members = settle(classes.select(F.col("group").alias("g"), F.col("rep").alias("id")).join(groups, "g", "left_semi"))
+        members = settle(classes.select(F.col("group").alias("g"), F.col("rep").alias("id"), "k").join(groups, "g", "left_semi"))
         opened = settle(qualify(met, members, texts, threshold))
-        pairs = settle(opened.join(members.withColumnRenamed("id", "b"), "g").select(F.col("q").alias("a"), "b"))
+        pairs = settle(opened.join(members.select("g", F.col("id").alias("b")), "g").select(F.col("q").alias("a"), "b"))
         last = components(links.unionByName(verify(pairs, texts, threshold)))
     named = reps.join(last.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     found = sets.join(named, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))

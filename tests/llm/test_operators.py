@@ -337,7 +337,22 @@ def test_jaccard_long_columns(spark):
     common = " ".join(f"c{i}" for i in range(60))
     docs = {i: common + " " + " ".join(f"u{i}x{k}" for k in range(int(rng.integers(5, 20)))) for i in range(120)}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
-    assert got_classes(jaccard.jaccard_classes(df, group=2, long=7)) == brute_jaccard(docs)
+    want = brute_jaccard(docs)
+    assert got_classes(jaccard.jaccard_classes(df, group=2, long=7)) == want and len({c for _, c in want.values()}) > 1
+
+    cells = [(t, c, c, 20, 20, 20) for t in range(0, 12, 2) for c in range(int(rng.integers(1, 90)))] + [(100, 5, 5, 20, 20, 20), (101, 1, 1, 20, 20, 0), (101, 2, 2, 20, 20, 0), (102, 1, 7, 20, 20, 20), (102, 1, 8, 20, 20, 20)]
+    table = spark.createDataFrame(cells, "token long, class long, group long, low long, high long, h long")
+    met = {}
+    for t, c, g, *_ in cells:
+        met.setdefault(t, []).append((c, g))
+    pairs = {(max(a, b)[1], min(a, b)[1]) for t, own in met.items() if t != 101 for a in own for b in own if a[0] != b[0]}
+    for long in (3, 10, 4096):
+        for parts in (1, 4):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            try:
+                assert {tuple(r) for r in jaccard.columns(table, (3, 4), long).collect()} == pairs, (long, parts)
+            finally:
+                spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_jaccard_of_very_long_texts(spark):
