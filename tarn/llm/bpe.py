@@ -7,9 +7,9 @@ and which class it has. The gadget of a merge (u, v) -> w does three things: w e
 off from tokens that share it, loses the arcs of v, whose class is split off likewise; w begins wherever u still begins. A state or class
 is only copied where it is shared, so that what w has taken over stays as it was at its merge. The table is whole before the first text.
 
-A pre-split word is encoded by table-driven transitions, from left to right and without going back: of the automaton's paths exactly
-one spells each prefix of the word, so each position has one state, and a byte table (node, byte) -> node proposes the tokens from
-there, of which the state's row takes those that have an arc. Decoding emits the labels of the arcs.
+A pre-split word is encoded by table-driven transitions, from left to right and without going back: a byte table (node, byte) -> node
+proposes the tokens from a position, of which the row of its state takes those that have an arc. Of the automaton's paths exactly one spells
+each prefix of the word, so each position has one state. Decoding emits the labels of the arcs.
 
 Cases: null text counts as empty; an empty text has no ids; a text of any length is encoded whole; repeated rows and repeated ids
 give a row each; other columns are ignored; an empty table gives an empty table. The strings of special tokens in a text become
@@ -35,7 +35,7 @@ from tarn.llm.common import documents, portions
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PATTERN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s\dA-Za-z]+|\s+(?!\S)|\s+"
 #: Words kept with their ids in a worker: those met last, and as many before them.
-MEMO = 50_000
+MEMO = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -108,17 +108,19 @@ class Automaton:
             merges.append((u, v, self.ids[self.labels[u] + self.labels[v]]))
         self.behind, self.kind, arcs = compiled(len(self.labels), merges)
         self.stride, self.table = arcs.shape[1], arcs.tobytes()
-        self.next: dict[int, int] = {}  # node << 8 | byte -> node
-        self.ends: list[tuple[int, int, int, int] | None] = [None]  # the arc whose label ends at a node: its byte and bit in a row, the row behind it, itself
-        for label, i in self.ids.items():
-            node = 0
-            for b in label:
-                to = self.next.get(node << 8 | b)
-                if to is None:
-                    to = self.next[node << 8 | b] = len(self.ends)
-                    self.ends.append(None)
-                node = to
-            self.ends[node] = (self.kind[i] >> 3, 1 << (self.kind[i] & 7), self.behind[i] * self.stride, i)
+        # a node of the byte table: its nodes by byte, and the arc whose label ends there: its byte and bit in a row, the row behind it, itself
+        nodes: dict[bytes, list] = {b"": [{}, None]}
+        for label in sorted(self.ids):
+            for k in range(1, len(label) + 1):
+                if label[:k] not in nodes:
+                    nodes[label[:k]] = nodes[label[: k - 1]][0][label[k - 1]] = [{}, None]
+            i = self.ids[label]
+            nodes[label][1] = (self.kind[i] >> 3, 1 << (self.kind[i] & 7), self.behind[i] * self.stride, i)
+        leaf: dict[int, list] = {}
+        for node in nodes.values():
+            if not node[0]:
+                node[0] = leaf
+        self.root = nodes[b""][0]
         self.sizes = [len(x) for x in self.labels]
         self.longest = max(self.sizes)
         self.pattern, self.ascii = regex.compile(PATTERN), re.compile(PATTERN_ASCII, re.A)
@@ -131,17 +133,16 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """The labels of the one path that spells the word."""
-        n, longest = len(word), self.longest
-        step, ends, table = self.next.get, self.ends, self.table
+        n, longest, root, table = len(word), self.longest, self.root, self.table
         row, last = [0] * (n + 1), [0] * (n + 1)  # of each position: where its state's row begins in the table, and the arc that led there
         for at in range(n):
-            here, node, i = row[at], 0, at
+            here, kids, i = row[at], root, at
             for b in word[at : at + longest]:
-                node = step(node << 8 | b)
+                node = kids.get(b)
                 if node is None:
                     break
                 i += 1
-                arc = ends[node]
+                kids, arc = node
                 if arc and table[here + arc[0]] & arc[1]:
                     row[i], last[i] = arc[2], arc[3]
         out, sizes = [], self.sizes
