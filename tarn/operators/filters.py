@@ -101,3 +101,9 @@ def visible(df: DataFrame, roles: str, role: str | None, published: str) -> Data
     """Published rows whose list of roles has the role, or `all`; without a role those for all only."""
     seen = F.array_contains(roles, "all")
     return df.where(F.col(published) & (seen | F.array_contains(roles, role) if role else seen))
+
+
+def earliest(x: Column, markers: dict[str, tuple[str, ...]], none: str) -> Column:
+    """The name whose marker comes first in a text; equals by the order given."""
+    at = [F.struct(F.instr(x, w).alias("at"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, words) in enumerate(markers.items()) for w in words]
+    return F.coalesce(F.array_min(F.filter(F.array(*at), lambda a: a["at"] > 0))["k"], F.lit(none))

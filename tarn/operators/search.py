@@ -98,3 +98,78 @@ def index_or_scan(found: DataFrame, scan: DataFrame) -> DataFrame:
     """What the index gives; the scan's rows only if it gives none."""
     none = found.agg((F.count("*") == 0).alias("__none"))
     return found.unionByName(scan.join(F.broadcast(none)).where("__none").drop("__none"))
+
+
+#: What a match in each field is worth, and what the first match of a title or substance is multiplied by.
+POINTS = {"title": 100, "title part": 50, "word start": 40, "close": 70, "near": 45, "far": 25, "substance": 80, "substance part": 35, "form": 15, "dosage": 12, "section title": 10, "section": 3, "subsection": 5}
+PART = {"title word": 1.5, "title start": 1.2, "title inside": 0.8, "substance word": 1.3, "substance start": 1.1, "important title": 2.0, "important": 1.5, "subsection text": 0.8}
+
+
+def _ladder(*steps: tuple[Column, Column | float, Column | float], otherwise: tuple[Column, Column] | None = None) -> Column:
+    """(points, n) of the first step whose condition holds."""
+    pair = lambda points, n: F.struct((points if isinstance(points, Column) else F.lit(float(points))).cast("double").alias("points"), (n if isinstance(n, Column) else F.lit(float(n))).cast("double").alias("n"))
+    out = F.when(F.lit(False), pair(0, 0))
+    for condition, points, n in steps:
+        out = out.when(condition, pair(points, n))
+    return out.otherwise(pair(*(otherwise or (0, 0))))
+
+
+def title_match(title: Column, term: str, fuzzy: Column | None = None) -> Column:
+    """(points, n) of a term in a title: the title itself, a word of it, its start, the start of a word, anywhere; else by similarity."""
+    words, q, n = F.split(title, r"\s+"), F.lit(term), occurrences(title, term)
+    steps = [
+        (title == q, POINTS["title"], 1), (F.array_contains(words, term), POINTS["title part"] * PART["title word"], 1), (title.startswith(term), POINTS["title part"] * PART["title start"], 1),
+        (F.exists(words, lambda w: w.startswith(term)), POINTS["word start"], 1), (F.contains(title, q), n * POINTS["title part"] * PART["title inside"], n),
+    ]
+    if fuzzy is not None and len(term) >= 4:
+        steps += [(fuzzy >= 0.85, POINTS["close"], 1), (fuzzy >= 0.75, POINTS["near"], 1), (fuzzy >= 0.65, POINTS["far"], 0.5)]
+    return _ladder(*steps)
+
+
+def substance_match(x: Column, term: str) -> Column:
+    n = occurrences(x, term)
+    part = POINTS["substance part"]
+    return _ladder((x == term, POINTS["substance"], 1), (F.array_contains(F.split(x, r"\s+"), term), part * PART["substance word"], 1), (x.startswith(term), part * PART["substance start"], 1), (n > 0, n * part, n))
+
+
+def counted(x: Column, term: str, weight: float) -> Column:
+    n = occurrences(x, term).cast("double")
+    return F.struct((n * weight).alias("points"), n.alias("n"))
+
+
+def full_relevance(title: Column, substances: Column, form: Column, dosages: Column, sections: Column, terms: list[str], fuzzy: dict[str, Column] | None = None) -> tuple[Column, Column]:
+    """(score, matches) of a record for a query's terms. sections: array of (title, text, important, below); below: a subsection.
+
+    Every field adds its matches; of a title and a substance only the best kind of match counts. Several terms found in title or substances
+    raise the score by a tenth each; a record with nothing found has 0, and one weak match counts half."""
+    low = lambda x: F.lower(F.coalesce(x, F.lit("")))
+    none = "array<struct<points:double,n:double>>"
+    listed = lambda xs, f: F.coalesce(F.transform(xs, f), F.array().cast(none))
+
+    def of(term: str) -> list[Column]:
+        important = lambda s, more: F.when(s["important"], more).otherwise(1.0)
+        headed = lambda s: F.when(~F.contains(low(s["title"]), F.lit(term)), 0.0).when(s["below"], POINTS["subsection"] * important(s, PART["important"])).otherwise(POINTS["section title"] * important(s, PART["important title"]))
+        worded = lambda s: occurrences(low(s["text"]), term) * F.when(s["below"], POINTS["subsection"] * PART["subsection text"]).otherwise(POINTS["section"] * important(s, PART["important"]))
+        number = lambda s: (F.contains(low(s["title"]), F.lit(term)).cast("double") + occurrences(low(s["text"]), term)).cast("double")
+        return [
+            F.array(title_match(low(title), term, (fuzzy or {}).get(term))),
+            listed(substances, lambda x: substance_match(low(x), term)),
+            F.array(counted(low(form), term, POINTS["form"])),
+            listed(dosages, lambda x: counted(low(x), term, POINTS["dosage"])),
+            listed(sections, lambda s: F.struct((headed(s) + worded(s)).cast("double").alias("points"), number(s).alias("n"))),
+        ]
+
+    found = [c for term in terms for c in of(term)]
+    every = F.concat(*found)
+    sums = lambda field: F.aggregate(every, F.lit(0.0), lambda acc, x: acc + x[field])
+    text = F.concat(low(title), F.lit(" "), low(F.array_join(substances, " ")))
+    several = sum([F.contains(text, F.lit(t)).cast("int") for t in dict.fromkeys(terms)], F.lit(0))
+    score = sums("points") * F.when(several > 1, 1 + (several - 1) * 0.1).otherwise(1.0)
+    matches = sums("n")
+    return F.when(matches == 0, 0.0).when((matches == 1) & (score < 5), score * 0.5).otherwise(score), matches
+
+
+def sentence_around(text: Column, term: str, most: int = 300) -> Column:
+    """The first sentence that holds a term, cut at so many characters; null if none does."""
+    hit = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.contains(F.lower(s), F.lit(term.lower())))
+    return F.left(F.trim(F.get(hit, F.lit(0))), F.lit(most))

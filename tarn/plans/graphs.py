@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.operators import aggregates as A
@@ -247,3 +247,95 @@ def class_pair_lookup(t: Tables) -> DataFrame:
     pairs = t.nation.select(F.col("n_name").alias("a"), F.col("n_regionkey").alias("ra"), F.col("n_nationkey").alias("ka")).join(t.nation.select(F.col("n_name").alias("b"), F.col("n_regionkey").alias("rb"), F.col("n_nationkey").alias("kb")), F.col("ka") < F.col("kb"))
     both = table.union(table.select("rb", "ra", "named")).distinct()
     return pairs.join(light(both), ["ra", "rb"], "left").select("a", "b", F.coalesce("named", F.when(F.abs(F.col("ra") - F.col("rb")) == 1, "near").otherwise("far")).alias("level"))
+
+
+@query(f"""
+WITH {EDGES_SQL} SELECT least(a.p_brand, b.p_brand) AS s1, greatest(a.p_brand, b.p_brand) AS s2, count(*) AS links FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand GROUP BY ALL
+""")
+def product_mediated_links(t: Tables) -> DataFrame:
+    """Substances that interact through their products, with the number of pairs of products."""
+    of = lambda key, name: light(t.part.select(F.col("p_partkey").alias(key), F.col("p_brand").alias(name)))
+    both = edges(t).select("src", "dst").join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a != b")
+    return both.groupBy(F.least("a", "b").alias("s1"), F.greatest("a", "b").alias("s2")).agg(F.count("*").alias("links"))
+
+
+@query("""
+SELECT p_partkey AS product, p_brand AS substance, CAST(k AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS k FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE starts_with(p_type, 'E') AND p_size < 3)) WHERE k <= 4
+""")
+def products_of_class(t: Tables) -> DataFrame:
+    """From a class by prefix to its substances and from each to its products, four of each."""
+    wanted = t.part.where(F.col("p_type").startswith("E") & (F.col("p_size") < 3)).select("p_brand").distinct()
+    rows = t.part.join(light(wanted), "p_brand").withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")))
+    return rows.where("place <= 4").select(F.col("p_partkey").alias("product"), F.col("p_brand").alias("substance"), "place")
+
+
+@query("""
+WITH c AS (SELECT split_part(p_name, ' ', 1) AS word, min(p_name) AS title, count(DISTINCT p_name) AS n FROM part WHERE p_size > 30 GROUP BY 1),
+x AS (SELECT p_name, min(p_partkey) AS id FROM part WHERE p_size <= 30 GROUP BY p_name)
+SELECT p.p_partkey, coalesce(x.p_name, CASE WHEN c.n = 1 THEN c.title END) AS found FROM part p LEFT JOIN x ON x.p_name = p.p_name LEFT JOIN c ON c.word = split_part(p.p_name, ' ', 1)
+""")
+def title_fallback(t: Tables) -> DataFrame:
+    """A name as it is; else by its first word, if that belongs to exactly one title."""
+    word = F.split("p_name", " ")[0]
+    exact = t.part.where("p_size <= 30").select(F.col("p_name").alias("x")).distinct()
+    one = t.part.where("p_size > 30").groupBy(word.alias("w")).agg(F.min("p_name").alias("title"), F.countDistinct("p_name").alias("n")).where("n = 1")
+    return t.part.join(exact, F.col("p_name") == F.col("x"), "left").join(one, word == F.col("w"), "left").select("p_partkey", F.coalesce("x", "title").alias("found"))
+
+
+@query("""
+WITH c AS (SELECT md5(p_name) AS h, min(upper(p_name)) AS text FROM part WHERE p_size % 2 = 0 GROUP BY 1) SELECT p_partkey, c.text FROM part LEFT JOIN c ON h = md5(p_name)
+""")
+def translation_by_hash(t: Tables) -> DataFrame:
+    """A stored translation by the hash of the content."""
+    stored = t.part.where("p_size % 2 = 0").groupBy(F.md5("p_name").alias("h")).agg(F.min(F.upper("p_name")).alias("text"))
+    return t.part.join(stored, F.md5("p_name") == F.col("h"), "left").select("p_partkey", "text")
+
+
+@query("""
+SELECT user_id, item, p_name AS title, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS INTEGER) AS place FROM (SELECT user_id, event_id % 300 AS item, max(event_id) AS last FROM events WHERE event_type = 'click' GROUP BY ALL) LEFT JOIN part ON p_partkey = item
+""")
+def favourites_newest_first(t: Tables) -> DataFrame:
+    """Favourites with their records, newest first; a favourite whose record is gone stays."""
+    own = t.events.where("event_type = 'click'").groupBy("user_id", (F.col("event_id") % 300).alias("item")).agg(F.max("event_id").alias("last"))
+    rows = own.join(t.part.select("p_partkey", F.col("p_name").alias("title")), F.col("item") == F.col("p_partkey"), "left")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last")))).select("user_id", "item", "title", "place")
+
+
+@query(f"""
+WITH {EDGES_SQL} SELECT a.p_type AS "from", b.p_type AS "to", CASE WHEN weight >= 2 THEN 'strong' ELSE 'weak' END AS kind, count(*) AS n FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst GROUP BY ALL
+""")
+def relation_census(t: Tables) -> DataFrame:
+    """Relations by the labels of their ends and their type."""
+    of = lambda key, name: light(t.part.select(F.col("p_partkey").alias(key), F.col("p_type").alias(name)))
+    return edges(t).join(of("src", "from"), "src").join(of("dst", "to"), "dst").groupBy("from", "to", F.when(F.col("weight") >= 2, "strong").otherwise("weak").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT c_custkey, coalesce(a.n, b.n, c.n, 0) AS n, CASE WHEN a.n IS NOT NULL THEN 'generic' WHEN b.n IS NOT NULL THEN 'brand' WHEN c.n IS NOT NULL THEN 'any' ELSE 'none' END AS source FROM customer
+LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' GROUP BY 1) b ON b.o_custkey = c_custkey
+LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) c ON c.o_custkey = c_custkey
+""")
+def first_source_with_results(t: Tables) -> DataFrame:
+    """Several queries over landed tables in order; the first that gives rows answers. One pass counts for all of them."""
+    late = F.col("o_orderstatus") == "P"
+    n = t.orders.groupBy("o_custkey").agg(F.count_if(late & (F.col("o_orderpriority") == "1-URGENT")).alias("a"), F.count_if(late & (F.col("o_orderpriority") == "2-HIGH")).alias("b"), F.count("*").alias("c"))
+    some = [F.nullif(F.col(x), F.lit(0)) for x in "abc"]
+    source = F.when(some[0].isNotNull(), "generic").when(some[1].isNotNull(), "brand").when(some[2].isNotNull(), "any").otherwise("none")
+    return t.customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce(*some, F.lit(0)).cast("long").alias("n"), source.alias("source"))
+
+
+@query("""
+SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS state, list_slice(list_sort(list(DISTINCT o_orderpriority)), 1, 3) AS kinds, least(count(*), 50) AS n FROM orders GROUP BY o_custkey
+""")
+def merged_enrichment(t: Tables) -> DataFrame:
+    """Scalars of the first record, the union of lists capped; counts over 50 stay at it."""
+    return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderstatus", "o_orderkey").alias("state"), F.slice(F.array_sort(F.collect_set("o_orderpriority")), 1, 3).alias("kinds"), F.least(F.count("*"), F.lit(50)).alias("n"))
+
+
+@query("""
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seen, count(*) OVER (PARTITION BY user_id) AS total FROM events
+""")
+def running_counts(t: Tables) -> DataFrame:
+    """Results as they come with a running count and the total."""
+    w = Window.partitionBy("user_id")
+    return t.events.select("user_id", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("seen"), F.count("*").over(w).alias("total"))

@@ -273,3 +273,65 @@ SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(
 def html_facts(t: Tables) -> DataFrame:
     """Facts that patterns find in pages."""
     return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
+
+
+def _relevance_sql(terms: list[str]) -> str:
+    """Points of all fields of a part, term by term: (points, matches)."""
+    points, n, several = [], [], []
+    for q in terms:
+        size = len(q)
+        times = lambda x: f"CAST((length({x}) - length(replace({x}, '{q}', ''))) / {size} AS INTEGER)"  # noqa: B023, E731
+        points.append(f"CASE WHEN p_name = '{q}' THEN 100 WHEN list_contains(w, '{q}') THEN 75 WHEN starts_with(p_name, '{q}') THEN 60 WHEN starts_with(w[2], '{q}') THEN 40 ELSE {times('p_name')} * 40 END")
+        n.append(f"CASE WHEN list_contains(w, '{q}') OR starts_with(p_name, '{q}') OR starts_with(w[2], '{q}') THEN 1 ELSE {times('p_name')} END")
+        for word in ("w[1]", "w[2]"):
+            points.append(f"CASE WHEN {word} = '{q}' THEN 80 WHEN starts_with({word}, '{q}') THEN 35 * 1.1 ELSE {times(word)} * 35 END")
+            n.append(f"CASE WHEN {word} = '{q}' OR starts_with({word}, '{q}') THEN 1 ELSE {times(word)} END")
+        points += [f"{times('lower(p_type)')} * 15", f"{times('z')} * 12", f"CASE WHEN contains(lower(p_brand), '{q}') THEN CASE WHEN p_size > 25 THEN 20 ELSE 10 END ELSE 0 END + {times('p_name')} * CASE WHEN p_size > 25 THEN 4.5 ELSE 3 END", f"CASE WHEN contains(lower(p_type), '{q}') THEN CASE WHEN p_size > 25 THEN 7.5 ELSE 5 END ELSE 0 END + {times('p_name')} * 4"]
+        n += [times("lower(p_type)"), times("z"), f"CAST(contains(lower(p_brand), '{q}') AS INTEGER) + {times('p_name')}", f"CAST(contains(lower(p_type), '{q}') AS INTEGER) + {times('p_name')}"]
+        several.append(f"CAST(contains(p_name, '{q}') AS INTEGER)")
+    return f"SELECT p_partkey, {' + '.join(points)} AS points, {' + '.join(n)} AS matches, {' + '.join(several)} AS several FROM (SELECT *, string_split(p_name, ' ') AS w, CAST(p_size AS VARCHAR) || ' mg' AS z FROM part)"
+
+
+_TERMS = ["red", "ge", "1", "ll"]
+
+
+@query(f"""
+SELECT p_partkey, CAST(matches AS DOUBLE) AS matches, round(CASE WHEN matches = 0 THEN 0 WHEN matches = 1 AND score < 5 THEN score * 0.5 ELSE score END, 6) AS score FROM (SELECT *, points * CASE WHEN several > 1 THEN 1 + (several - 1) * 0.1 ELSE 1 END AS score FROM ({_relevance_sql(_TERMS)}))
+""")
+def search_relevance(t: Tables) -> DataFrame:
+    """Relevance over all fields of a record: ladders for title and substances, sums for the others, bonus and penalty."""
+    important = F.col("p_size") > 25
+    sections = F.array(F.struct(F.col("p_brand").alias("title"), F.col("p_name").alias("text"), important.alias("important"), F.lit(False).alias("below")), F.struct(F.col("p_type").alias("title"), F.col("p_name").alias("text"), important.alias("important"), F.lit(True).alias("below")))
+    score, matches = V.full_relevance(F.col("p_name"), F.split("p_name", " "), F.col("p_type"), F.array(F.concat(F.col("p_size").cast("string"), F.lit(" mg"))), sections, _TERMS)
+    return t.part.select("p_partkey", matches.alias("matches"), F.round(score, 6).alias("score"))
+
+
+@query("""
+SELECT doc_id, left(trim(x[1]), 300) AS sentence FROM (SELECT doc_id, list_filter(string_split(replace(replace(replace(replace(text, chr(10), chr(1)), '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1)), lambda s: contains(lower(s), 'tion')) AS x
+  FROM (SELECT doc_id, regexp_replace(text, '[ \\t\\r\\f\\x0B]+', ' ', 'g') AS text FROM documents)) WHERE len(x) > 0
+""")
+def sentence_excerpts(t: Tables) -> DataFrame:
+    """The first sentence that holds a term."""
+    one = F.regexp_replace("text", r"[ \t\r\f\x0B]+", " ")
+    return t.documents.select("doc_id", V.sentence_around(one, "tion").alias("sentence")).where("sentence IS NOT NULL")
+
+
+_WORDS = ["red", "promo", "brand#2", "gear"]
+
+
+@query(f"""
+SELECT p_partkey, {" + ".join(f"CAST(contains(lower(p_name), '{w}') OR contains(lower(p_type), '{w}') OR contains(lower(p_brand), '{w}') AS INTEGER)" for w in _WORDS)} AS hits, 0.5 AS similarity FROM part WHERE hits > 0 ORDER BY hits DESC, p_partkey LIMIT 30
+""")
+def keyword_candidates(t: Tables) -> DataFrame:
+    """Keywords of a closed list in any of several fields, thirty rows, at a similarity of their own."""
+    hits = sum([P.some(*[P.contains_literal(F.col(c), w) for c in ("p_name", "p_type", "p_brand")]).cast("int") for w in _WORDS], F.lit(0))
+    return t.part.select("p_partkey", hits.alias("hits"), F.lit(0.5).alias("similarity")).where("hits > 0").orderBy(F.desc("hits"), "p_partkey").limit(30)
+
+
+@query("""
+SELECT doc_id, aim FROM (SELECT doc_id, CASE WHEN least(a, b, c) = 1000000000 THEN 'none' WHEN a <= b AND a <= c THEN 'pain' WHEN b <= c THEN 'fever' ELSE 'sleep' END AS aim FROM (
+  SELECT doc_id, coalesce(nullif(instr(text, 'tion'), 0), 1000000000) AS a, coalesce(nullif(instr(text, 'onen'), 0), 1000000000) AS b, coalesce(nullif(instr(text, 'schen'), 0), 1000000000) AS c FROM documents))
+""")
+def principal_objective(t: Tables) -> DataFrame:
+    """Of several aims the one that a text names first; equals by their order."""
+    return t.documents.select("doc_id", P.earliest(F.col("text"), {"pain": ("tion",), "fever": ("onen",), "sleep": ("schen",)}, "none").alias("aim"))
