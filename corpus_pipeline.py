@@ -47,7 +47,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: A kernel classifier, minhash groups and tokenization are beyond SQL; a test holds near_duplicates against brute force, the other stages and run() have none yet.
+#: A kernel classifier, a similarity join and tokenization are beyond SQL; the tests hold each stage against a plain version, and run() against its stages.
 ORACLE_SQL = None
 
 
