@@ -272,6 +272,31 @@ def test_licenses_awkward(spark):
     assert licenses.scan(awkward(spark, True)).count() == 0
 
 
+def test_licenses_equal_brute_force_without_bands_or_anchors(spark):
+    """Edited copies of every template in prose: all windows of all classes, every word an anchor."""
+    rng = np.random.default_rng(12)
+    docs = {}
+    for i, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        for rate in (0.0, 0.02, 0.06):
+            words = [w if rng.random() > rate else f"edit{rng.integers(0, 99)}" for w in text.split()]
+            docs[len(docs)] = " ".join([*(f"a{k}" for k in range(int(rng.integers(0, 60)))), *words, *(f"b{k}" for k in range(int(rng.integers(0, 40))))])
+    want = {}
+    for i, text in docs.items():
+        w = licenses.words_of(text)
+        for (k, size), names in licenses.classes(licenses.TEMPLATES).items():
+            step = max(1, size // 4)
+            runs = [tuple(w[a : a + k]) for a in range(max(0, len(w) - k + 1))]
+            for n in names:
+                own = licenses.words_of(licenses.TEMPLATES[n])
+                holds = {tuple(own[a : a + k]) for a in range(len(own) - k + 1)}
+                best = max((len(holds & set(runs[a : a + size + step - k + 1])) / len(holds) for a in range(0, len(w), step)), default=0)
+                if best >= 0.75:
+                    want[i, n] = best
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want) and {n for _, n in want} == set(licenses.TEMPLATES)
+
+
 # 6: Jaccard
 
 
