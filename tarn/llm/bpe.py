@@ -35,7 +35,7 @@ from tarn.llm.common import documents, portions
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PATTERN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s\dA-Za-z]+|\s+(?!\S)|\s+"
 #: Words kept with their ids in a worker: those met last, and as many before them.
-MEMO = 150_000
+MEMO = 100_000
 
 
 def byte_letters() -> dict[str, int]:
