@@ -18,6 +18,8 @@ FAMILIES = {
     "acid": ["acide", "acid", "acido"], "hydrochloride": ["chlorhydrate", "hydrochloride", "clorhidrato"], "sulfate": ["sulfate", "sulfato"], "carbonate": ["carbonate", "carbonato"], "citrate": ["citrate", "citrato"],
     "tartrate": ["tartrate", "tartrato"], "maleate": ["maleate", "maleato"], "fumarate": ["fumarate", "fumarato"], "acetate": ["acetate", "acetato"], "phosphate": ["phosphate", "fosfato"], "chloride": ["chlorure", "chloride", "cloruro"],
 }
+#: What stands before a hyphen and says a place in a molecule, as a number does.
+PLACES = ["n", "r", "s", "o", "z", "alpha", "beta", "gamma", "cis", "trans"]
 #: Words between the parts of a name that tell no substances apart.
 LINKS = ["de", "du", "des", "d", "la", "le", "les", "of", "and", "et", "y", "sodium", "potassium", "anhydrous", "monohydrate", "dihydrate", "trihydrate", "hydrate"]
 
@@ -49,7 +51,7 @@ def reduced(x: Column, salts: list[str], minerals: list[str] = MINERALS) -> Colu
 
 
 def _words(x: Column) -> Column:
-    return F.transform(F.split(x, " "), lambda w: F.regexp_replace(w, r"^(?:\d+|[nrsoz]|alpha|beta|gamma|cis|trans)-", ""))
+    return F.transform(F.split(x, " "), lambda w: F.regexp_replace(w, rf"^(?:\d+|{any_of(PLACES)})-", ""))
 
 
 def families(x: Column) -> Column:

@@ -14,6 +14,7 @@ from tarn.plans import rules as R
 from tarn.plans.graphs import EDGES_SQL, edges
 from tarn.plans.registry import Tables, query
 from tarn.session import light
+from tarn.sources.pages import date_in
 
 CASE = R.Case(
     expected=("PROMO", "SMALL", "LARGE", "ECONOMY"), never=("STANDARD",), relieving=("SMALL",), history=("old gear", "blue"), local_routes="^(hot)$",
@@ -356,5 +357,4 @@ def probe_dates(t: Tables) -> DataFrame:
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     day, month = F.col("item_id") % 28 + 1, F.col("item_id") % 12 + 1
     raw = F.encode(F.concat(F.lit("é ANSM - Mis à jour le : "), two(day), F.lit("/"), two(month), F.lit("/2024 x")), "iso-8859-1")
-    found = F.regexp_extract(F.decode(raw, "iso-8859-1"), r"ANSM.{0,30}?jour le\s*:?\s*(\d{2}/\d{2}/\d{4})", 1)
-    return t.benchmark.select("item_id", found.alias("text_date")).withColumn("key", X.date_key(F.col("text_date")))
+    return t.benchmark.select("item_id", date_in(raw).alias("text_date")).withColumn("key", X.date_key(F.col("text_date")))

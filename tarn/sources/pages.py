@@ -15,7 +15,12 @@ from pyspark.sql import types as T
 
 from tarn.functions.text import squash_key
 
+#: The tags, and the classes with a level, that are headings of a page.
 HEADINGS = r"^h([1-6])$|(?:^|\s)AmmAnnexeTitre(\d+)"
+#: Lines that are headings of a text taken from a printed document: a number and capitals, one of two levels, or capitals and a colon.
+TEXT_HEADINGS = r"^\d+\.\s+[A-Z][A-Z\s]+$|^\d+\.\d+\s+[A-Z][A-Z\s]+$|^[A-Z][A-Z\s]{2,}:$"
+#: The date of update in the first bytes of a page.
+UPDATED = r"ANSM.{0,30}?jour le\s*:?\s*(\d{2}/\d{2}/\d{4})"
 _SKIP = {"script", "style", "template", "noscript"}
 _BLOCK = {"p", "div", "li", "td", "th", "table", "tr", "ul", "ol", "section", "article", "header", "footer", "nav", "body", "caption", "br"}
 SECTION = "section int, parent int, level int, title string, content array<struct<kind:string,text:string,rows:array<array<string>>,headers:array<string>>>"
@@ -156,7 +161,12 @@ def composition(lines: Column, most: int = 6) -> Column:
     return F.slice(F.aggregate(good, F.array().cast("array<string>"), step), 1, most)
 
 
-def heading_sections(df: DataFrame, key: str, text: str, headings: str) -> DataFrame:
+def date_in(raw: Column) -> Column:
+    """The date of update in the bytes of a page, of whatever encoding; null if there is none."""
+    return first_of(F.decode(raw, "iso-8859-1"), UPDATED)
+
+
+def heading_sections(df: DataFrame, key: str, text: str, headings: str = TEXT_HEADINGS) -> DataFrame:
     """(key, section, title, lines): a section for each line that is a heading, with the lines up to the next; blank lines and what stands before
     the first heading are left out. Windows run over one text each."""
     lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("place", "line")).withColumn("line", F.trim("line")).where("line != ''")
