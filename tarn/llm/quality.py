@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,8 +65,6 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, x): the statistics of every whole text as doubles in bytes."""
 
     def run(batches: Iterator):
-        import pyarrow as pa
-
         for batch in batches:
             for part in portions(batch, 1):
                 x = statistics(part.column(1))
@@ -126,37 +125,37 @@ def learn(stats: DataFrame, labels: DataFrame, features: int = 192, width: float
         return Model()
     rows = rows.coalesce(max(1, n // ROWS))
 
-    def moments(batches: Iterator):
-        import pandas as pd
+    def parts_of(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for g in batches:
+            if g.num_rows:
+                yield _unpack(g.column("x").to_pylist()), g.column("y").to_numpy(), g.column("fold").to_numpy()
 
+    def moments(batches: Iterator):
         total = np.zeros((3, D))
-        for g in batches:
-            x = _unpack(g["x"])
+        for x, _, _ in parts_of(batches):
             total += [np.full(D, len(x)), x.sum(0), (x * x).sum(0)]
-        yield pd.DataFrame({"k": [0], "sums": [total.ravel().tolist()]})
-
-    def added(key, g):
-        import pandas as pd
+        yield pa.RecordBatch.from_pydict({"k": pa.array([0], pa.int32()), "sums": [total.ravel().tolist()]})
 
-        return pd.DataFrame({**{f"k{i}": [v] for i, v in enumerate(key)}, "sums": [np.sum(np.stack(g["sums"].to_list()), axis=0).tolist()]})
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.stack(g.column("sums").to_pylist()).sum(0) for g in batches)
+        yield pa.RecordBatch.from_pydict({**{f"k{i}": pa.array([v.as_py()], pa.int32()) for i, v in enumerate(key)}, "sums": [total.tolist()]})
 
-    total = np.array(rows.mapInPandas(moments, "k int, sums array<double>").groupBy("k").applyInPandas(added, "k0 int, sums array<double>").first()["sums"]).reshape(3, D)
+    total = np.array(rows.mapInArrow(moments, "k int, sums array<double>").groupBy("k").applyInArrow(added, "k0 int, sums array<double>").first()["sums"]).reshape(3, D)
     mean = total[1] / total[0]
     fourier = Fourier(mean, np.sqrt(np.maximum(total[2] / total[0] - mean**2, 0)), features, width)
     held = spark.sparkContext.broadcast(fourier)
 
     def equations(batches: Iterator):
-        import pandas as pd
-
         sums = np.zeros((FOLDS, features + 1, features + 2))
-        for g in batches:
-            z, t, fold = held.value(_unpack(g["x"])), g["y"].to_numpy(), g["fold"].to_numpy()
+        for x, t, fold in parts_of(batches):
+            z = held.value(x)
             for f in range(FOLDS):
                 own = z[fold == f]
                 sums[f] += np.concatenate([own.T @ own, (own.T @ t[fold == f])[:, None]], axis=1)
-        yield pd.DataFrame([(f, i, sums[f, i].tolist()) for f in range(FOLDS) for i in range(features + 1)], columns=["fold", "i", "sums"])
+        at = [(f, i) for f in range(FOLDS) for i in range(features + 1)]
+        yield pa.RecordBatch.from_pydict({"fold": pa.array([f for f, _ in at], pa.int32()), "i": pa.array([i for _, i in at], pa.int32()), "sums": [sums[x].tolist() for x in at]})
 
-    parts = rows.mapInPandas(equations, "fold int, i int, sums array<double>").groupBy("fold", "i").applyInPandas(added, "k0 int, k1 int, sums array<double>").collect()
+    parts = rows.mapInArrow(equations, "fold int, i int, sums array<double>").groupBy("fold", "i").applyInArrow(added, "k0 int, k1 int, sums array<double>").collect()
     sums = np.zeros((FOLDS, features + 1, features + 2))
     for r in parts:
         sums[r["k0"], r["k1"]] = r["sums"]
@@ -171,14 +170,11 @@ def learn(stats: DataFrame, labels: DataFrame, features: int = 192, width: float
     others = spark.sparkContext.broadcast(np.stack([solve(whole - sums[f]) if (whole - sums[f])[0, 0] > 0 else weights for f in range(FOLDS)]))
 
     def out_of_fold(batches: Iterator):
-        import pandas as pd
-
-        for g in batches:
-            z, fold = held.value(_unpack(g["x"])), g["fold"].to_numpy()
-            raw = (z * others.value[fold]).sum(1)
-            yield pd.DataFrame({"bin": np.round(np.clip(raw, -2, 3) * 400).astype(int), "y": g["y"].to_numpy()})
+        for x, y, fold in parts_of(batches):
+            raw = (held.value(x) * others.value[fold]).sum(1)
+            yield pa.RecordBatch.from_pydict({"bin": np.round(np.clip(raw, -2, 3) * 400).astype(np.int32), "y": y})
 
-    bins = sorted(rows.mapInPandas(out_of_fold, "bin int, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).collect())
+    bins = sorted(rows.mapInArrow(out_of_fold, "bin int, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).collect())
     at, to = isotonic(np.array([r["bin"] / 400 for r in bins]), np.array([r["y"] for r in bins]), np.array([float(r["n"]) for r in bins]))
     return Model(fourier, weights, at, to)
 
@@ -188,8 +184,6 @@ def apply(stats: DataFrame, model: Model) -> DataFrame:
     held = stats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator):
-        import pyarrow as pa
-
         for batch in batches:
             score = held.value(_unpack(batch.column(1).to_pylist())) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["id", "score"])
@@ -213,8 +207,6 @@ def select(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator):
-        import pyarrow as pa
-
         for batch in batches:
             for part in portions(batch, at):
                 yield part.filter(pa.array(held.value(statistics(part.column(at))) >= least))
