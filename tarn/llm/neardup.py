@@ -89,6 +89,13 @@ def unit_of(v) -> np.ndarray | None:
     return x / np.sqrt((x * x).sum())
 
 
+def units_of(column, kind) -> np.ndarray:
+    """The unit vectors of sound vectors of one length, from their bytes."""
+    x = np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, eps: float = 6.0, cell: int = 1024, miss: float = 1e-4, block: int = 1024) -> DataFrame:
     """(id, n_links, component_id, kept) of every vector."""
     single = vectors.schema[vec_col].dataType.elementType.typeName() == "float"
@@ -141,7 +148,7 @@ def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         none = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if len(g) < 2 or not len(left) or not len(right):
             return none
-        a, b = (np.stack([unit_of(np.frombuffer(v, kind)) for v in z["raw"]]) for z in (left, right))
+        a, b = units_of(left["raw"], kind), units_of(right["raw"], kind)
         bits = np.unpackbits(np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(b), -1), axis=1)[:, :d]
         code = (np.where(bits > 0, 1.0, -1.0) / np.sqrt(d)).astype(np.float32)
         link = np.zeros((len(a), len(b)), bool)

@@ -570,6 +570,36 @@ def test_mixing_awkward(spark):
     assert sum(len(WORD.findall(r["text"] or "")) for r in out.collect()) == sum(r["taken"] for r in rows)
 
 
+def test_mixing_at_the_limit(spark):
+    """A source whose target is its limit is taken three times whole, its empty documents too."""
+    rows = [(i, "w " * 50, "a") for i in range(20)] + [(100 + i, "x y" if i % 2 else "", "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert {r["times"] for r in got if r["doc_id"] >= 100} == {3} and {(r["source_size"], r["target"]) for r in got} == {(1000, 920.0), (40, 120.0)}
+    assert Counter(r["doc_id"] for r in mixing.mixture(docs).where("source = 'b'").collect()) == {100 + i: 3 for i in range(40)}
+
+
+def test_mixing_many_sources(spark):
+    """More sources than fit a window of one task are ranked in order of their code points."""
+    names = [None, "", "\U0001f600", "z", "\u00e9", *(f"s{i:04d}" for i in range(500))]
+    table = spark.createDataFrame([(n, 10 + i % 7) for i, n in enumerate(names)], "source string, source_size long").repartition(7)
+    order = sorted((n for n in names if n is not None), key=lambda n: [ord(c) for c in n]) + [None]
+    weight = {n: i % 3 + 1 for i, n in enumerate(order)}
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.targets(table).collect()}
+    size = {n: 10 + i % 7 for i, n in enumerate(names)}
+    target, free = {}, dict(weight)
+    while free:
+        level = (sum(size.values()) - sum(target.values())) / sum(free.values())
+        over = [n for n in free if 3 * size[n] < level * free[n]]
+        if not over:
+            target |= {n: level * w for n, w in free.items()}
+            break
+        for n in over:
+            target[n] = 3 * size[n]
+            del free[n]
+    assert got.keys() == target.keys() and all(abs(got[n][1] - target[n]) < 1e-9 for n in target)
+
+
 def test_mixing_comes_near_targets(spark):
     rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")).collect()
     taken, aim, largest = Counter(), {}, Counter()
