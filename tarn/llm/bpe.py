@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+import weakref
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import documents, portions
+from tarn.llm.common import HELD, documents, portions
 
 #: The public pre-tokenization pattern of byte-level BPE; the second form is equal to it on ASCII texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -169,7 +170,7 @@ class Words(dict):
     """Ids of the words met; filled by the automaton."""
 
     def __init__(self, automaton: Automaton):
-        self.automaton, self.before = automaton, {}
+        self.automaton, self.before = weakref.proxy(automaton), {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.before.get(word) or self.automaton.encode_word(word.encode())
@@ -182,10 +183,11 @@ class Words(dict):
 
 
 _COMPILED: dict[str, Automaton] = {}
+HELD.append(_COMPILED)
 
 
 def automaton(path: str) -> Automaton:
-    """The automaton of a file, compiled once a worker."""
+    """The automaton of a file, compiled once a worker; a worker that another operator uses in between lets it go."""
     if path not in _COMPILED:
         _COMPILED[path] = Automaton(path)
         gc.freeze()

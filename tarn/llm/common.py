@@ -89,11 +89,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
+#: Large tables that operators keep in a worker from task to task; they go when the worker turns to another operator's texts.
+HELD: list[dict] = []
+
+
 def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array on end, and where each text begins (one more: the end). Null counts as empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    for held in HELD:
+        held.clear()
     arr = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
