@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarn.llm import bpe, crf, jaccard, langid, licenses, mixing, neardup, pii, quality, urlfilter
+from tarn.llm import bpe, crf, jaccard, langid, licenses, mixing, neardup, pii, quality, urlfilter, whitening
 
-MODULES = [quality, bpe, urlfilter, langid, licenses, jaccard, neardup, pii, mixing, crf]
+MODULES = [quality, bpe, urlfilter, langid, licenses, jaccard, neardup, pii, mixing, crf, whitening]
 
 
 def queries() -> dict[str, Callable]:
