@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarn.llm import bpe, crf, jaccard, langid, licenses, mixing, neardup, pii, quality, spelling, urlfilter, whitening
+from tarn.llm import bpe, crf, jaccard, langid, licenses, mixing, neardup, pii, quality, repeats, spelling, urlfilter, whitening
 
-MODULES = [quality, bpe, urlfilter, langid, licenses, jaccard, neardup, pii, mixing, crf, spelling, whitening]
+MODULES = [quality, bpe, urlfilter, langid, licenses, jaccard, neardup, pii, mixing, crf, spelling, repeats, whitening]
 
 
 def queries() -> dict[str, Callable]:
