@@ -19,8 +19,8 @@ def by_id(df, key="doc_id"):
     return {r[key]: r.asDict() for r in df.collect()}
 
 
-def test_queries_are_the_ten(spark):
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+def test_queries_are_the_thirteen(spark):
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
 
 
 # 1: quality
