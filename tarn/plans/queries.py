@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.plans import catalog, graphs, maintenance, prescriptions, texts  # noqa: F401
+from tarn.plans import audits, catalog, graphs, maintenance, prescriptions, sections, texts  # noqa: F401
 from tarn.plans.registry import QUERIES, SQL
 
 

@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarn.functions.text import squash_key
 
@@ -23,18 +24,25 @@ TEXT_HEADINGS = r"^\d+\.\s+[A-Z][A-Z\s]+$|^\d+\.\d+\s+[A-Z][A-Z\s]+$|^[A-Z][A-Z\
 UPDATED = r"ANSM.{0,30}?jour le\s*:?\s*(\d{2}/\d{2}/\d{4})"
 _SKIP = {"script", "style", "template", "noscript"}
 _BLOCK = {"p", "div", "li", "td", "th", "table", "tr", "ul", "ol", "section", "article", "header", "footer", "nav", "body", "caption", "br"}
-SECTION = "section int, parent int, level int, title string, content array<struct<kind:string,text:string,rows:array<array<string>>,headers:array<string>>>"
+#: Tags, and parts of class names, that say how a block is set.
+BOLD, ITALIC = {"b", "strong"}, {"i", "em"}
+SET = {"bold": "gras", "italic": "italique", "underline": "souligne", "center": "center", "bullet": "AmmListePuces"}
+FORMAT = "bold:boolean,italic:boolean,underline:boolean,list:string,align:string"
+SECTION = f"section int, parent int, level int, title string, content array<struct<kind:string,text:string,rows:array<array<string>>,headers:array<string>,format:struct<{FORMAT}>>>, path array<int>"
 
 
 class Walk(HTMLParser):
-    """Sections by a stack of levels: a heading ends all open sections of its level or deeper. Text before the first heading is of section 0."""
+    """Sections by a stack of levels: a heading ends all open sections of its level or deeper. Text before the first heading is of section 0.
+
+    A block of text is bold or italic if a tag of that kind begins in it or its class says so; an item of a list has the kind of the innermost list
+    that is open. `path` has the sections that hold a section, from the outermost, section 0 not counted."""
 
     def __init__(self, headings: str = HEADINGS, start: str | None = None):
         super().__init__(convert_charrefs=True)
         self.headings, self.start = re.compile(headings), start
-        self.sections: list[tuple[int, int, int, str, list]] = [(0, -1, 0, "", [])]
+        self.sections: list[tuple[int, int, int, str, list, list]] = [(0, -1, 0, "", [], [])]
         self.open, self.text, self.heading, self.skipped, self.table = [0], [], None, 0, None
-        self.live = start is None
+        self.live, self.lists, self.how = start is None, [], {}
 
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
@@ -46,6 +54,7 @@ class Walk(HTMLParser):
         level = self.headings.search(tag) or self.headings.search(given.get("class") or "")
         if tag in _BLOCK or level:
             self.flush()
+        self.noted(tag, given)
         if level and self.table is None:
             self.heading = (tag, int(next(g for g in level.groups() if g)))
         if tag == "table" and self.table is None:
@@ -55,16 +64,33 @@ class Walk(HTMLParser):
         elif tag in ("td", "th") and self.table is not None:
             self.table["cell"] = tag
 
+    def noted(self, tag, given):
+        """What a tag says of the block that it begins or stands in."""
+        said, style = given.get("class") or "", "".join((given.get("style") or "").split())
+        for name, tags in (("bold", BOLD), ("italic", ITALIC)):
+            if tag in tags or SET[name] in said:
+                self.how[name] = True
+        if SET["underline"] in said:
+            self.how["underline"] = True
+        if SET["center"] in said or "text-align:center" in style:
+            self.how["align"] = "center"
+        if tag in ("ul", "ol"):
+            self.lists.append(tag)
+        if tag == "li" or SET["bullet"] in said:
+            self.how["list"] = "numbered" if tag == "li" and self.lists[-1:] == ["ol"] else "bullet"
+
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.skipped = max(0, self.skipped - 1)
+        if tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
         if self.heading and tag == self.heading[0]:
             title, level = self.taken(), self.heading[1]
             self.heading = None
             if self.live:
                 while len(self.open) > 1 and self.sections[self.open[-1]][2] >= level:
                     self.open.pop()
-                self.sections.append((len(self.sections), self.open[-1], level, title, []))
+                self.sections.append((len(self.sections), self.open[-1], level, title, [], self.open[1:]))
                 self.open.append(len(self.sections) - 1)
         elif tag in ("td", "th") and self.table is not None:
             cell = self.taken()
@@ -77,7 +103,7 @@ class Walk(HTMLParser):
             self.text = []
             rows = [r for r in self.table["rows"] if any(r)]
             if self.live and rows:
-                self.sections[self.open[-1]][4].append({"kind": "table", "text": None, "rows": rows, "headers": self.table["headers"]})
+                self.sections[self.open[-1]][4].append({"kind": "table", "text": None, "rows": rows, "headers": self.table["headers"], "format": None})
             self.table = None
         elif tag in _BLOCK:
             self.flush()
@@ -95,11 +121,12 @@ class Walk(HTMLParser):
         if self.heading or self.table is not None:
             self.text.append(" ")
             return
-        text = self.taken()
+        text, how = self.taken(), {"bold": False, "italic": False, "underline": False, "list": None, "align": "left"} | self.how
+        self.how = {}
         if text and self.live:
-            self.sections[self.open[-1]][4].append({"kind": "text", "text": text, "rows": None, "headers": None})
+            self.sections[self.open[-1]][4].append({"kind": "text", "text": text, "rows": None, "headers": None, "format": how})
 
-    def done(self) -> list[tuple[int, int, int, str, list]]:
+    def done(self) -> list[tuple[int, int, int, str, list, list]]:
         self.close()
         self.heading, self.table = None, None
         self.flush()
@@ -107,25 +134,44 @@ class Walk(HTMLParser):
 
 
 def html_sections(pages: DataFrame, key: str, html: str, headings: str = HEADINGS, start: str | None = None) -> DataFrame:
-    """(key, section, parent, level, title, content): the section tree of each page. A null page has none; with `start` what stands before an
+    """(key, section, parent, level, title, content, path): the section tree of each page. A null page has none; with `start` what stands before an
     anchor of that name or class is left out."""
+    kind = T.StructType([pages.schema[key], *T._parse_datatype_string(SECTION).fields])
 
     def run(batches: Iterator):
-        import pandas as pd
+        import pyarrow as pa
 
-        names = ["section", "parent", "level", "title", "content"]
+        names = kind.names
         for g in batches:
-            for k, text in zip(g.iloc[:, 0], g.iloc[:, 1]):
+            rows = []
+            for k, text in zip(g.column(0).to_pylist(), g.column(1).to_pylist()):
                 walk = Walk(headings, start)
                 walk.feed(text or "")
-                rows = walk.done()
-                if rows:
-                    out = pd.DataFrame(rows, columns=names)
-                    out.insert(0, key, k)
-                    yield out
+                rows += [dict(zip(names, (k, *row))) for row in walk.done()]
+            yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
-    kind = T.StructType([pages.schema[key], *T._parse_datatype_string(SECTION).fields])
-    return pages.where(F.col(html).isNotNull()).select(key, html).mapInPandas(run, kind)
+    fields = to_arrow_schema(kind)
+    return pages.where(F.col(html).isNotNull()).select(key, html).mapInArrow(run, kind)
+
+
+def section_text(content: Column) -> Column:
+    """The text of a section: blocks, then the cells of tables, in order."""
+    return F.array_join(F.flatten(F.transform(content, lambda c: F.when(c["kind"] == "text", F.array(c["text"])).otherwise(F.filter(F.flatten(c["rows"]), lambda x: x != "")))), " ")
+
+
+def keyword_text(sections: DataFrame, key: str, keywords: list[str], depth: int = 3) -> DataFrame:
+    """(key, text): the texts of the sections whose title holds any of the keywords (lower case), down to `depth` sections below the outermost, in the order
+    of the page. A section within another that was found counts by its own title."""
+    wanted = F.lower("title").rlike("|".join(map(re.escape, keywords)))
+    rows = sections.where((F.size("path") <= depth) & (F.col("section") > 0) & wanted).select(key, "section", section_text(F.col("content")).alias("text")).where("text != ''")
+    found = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("__of"))
+    return found.select(key, F.array_join(F.transform("__of", lambda x: x["text"]), " ").alias("text"))
+
+
+def pages_with(sections: DataFrame, key: str, pattern: str, depth: int = 3) -> DataFrame:
+    """(key): of pages with a block or a cell that matches, in a section at most `depth` below the outermost."""
+    inside = F.exists("content", lambda c: F.coalesce(c["text"].rlike(pattern), F.exists(F.flatten(c["rows"]), lambda x: x.rlike(pattern))))
+    return sections.where((F.size("path") <= depth) & inside).select(key).distinct()
 
 
 def first_of(text: Column, *patterns: str) -> Column:
@@ -140,7 +186,7 @@ def page_facts(html: Column) -> dict[str, Column]:
         "title": first_of(html, "(?is)<h1[^>]*>([^<]+)</h1>", "(?is)<title[^>]*>([^<]+)</title>"),
         "updated": first_of(bare, r"(?i)mis à jour le\s*:?\s*(\d{2}/\d{2}/\d{4})", r"(?i)jour le\s*:?\s*(\d{2}/\d{2}/\d{4})"),
         "maker": first_of(bare, r"(?i)titulaire[^:]{0,60}:\s*([^.;:]{2,60}?)\s*(?:[.;]|$)"),
-        "dosages": F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\b(\d+(?:[.,]\d+)?\s?(?:mg|g|µg|ml|UI)(?:/\w+)?)(?!\w)"), F.lit(1))),
+        "dosages": F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<!\w)(\d+(?:[.,]\d+)?\s?(?:mg|g|µg|ml|UI)(?:/\w+)?)(?!\w)"), F.lit(1))),
     }
 
 
