@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarn.functions.text import fold, occurrences, plain
+from tarn.operators.containment import name_hits
 from tarn.operators.windows import keep_best
 
 
@@ -73,25 +73,13 @@ def passages(df: DataFrame, key: str, text: str, words: list[str], k: int = 2, m
     return keep_best(one.withColumn("score", score).where("score > 0"), [key], F.desc("score"), F.asc("place"), k=k).withColumn("passage", F.substring("passage", 1, most))
 
 
-def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
-    """(key, name): names that occur in texts, as an equality join on n-grams rather than containment; one join for each number of
-    words that names have."""
-
-    def grams(words: int):
-        def of(w: Column) -> Column:
-            runs = F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))
-            return F.when(F.size(w) >= words, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
-
-        return of
-
-    wanted = names.select(F.col(name), plain(F.col(name)).alias("gram")).where("gram != ''").withColumn("words", F.size(F.split("gram", " ")))
-    out = texts.sparkSession.createDataFrame([], T.StructType([texts.schema[key], names.schema[name]]))
-    for words in sorted(r["words"] for r in wanted.select("words").distinct().collect()):
-        # bound as a lambda's variable, a text is split once and not again for each of its n-grams
-        every = F.transform(F.array(F.split(plain(F.col(text)), " ")), grams(words))[0]
-        have = texts.select(key, F.explode(every).alias("gram"))
-        out = out.unionByName(have.join(wanted.where(F.col("words") == words), "gram").select(key, name))
-    return out.distinct()
+def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, own: DataFrame | None = None) -> DataFrame:
+    """(key, name): names whose words occur in texts, folded, in one equality join on their first words. own: (key, name), names that a text has
+    for its own and that don't count as mentioned."""
+    words = lambda x: F.split(plain(F.col(x)), " ")
+    wanted = names.select(F.col(name), words(name).alias("__p")).where(F.col("__p")[0] != "")
+    found = name_hits(texts.select(key, words(text).alias("__p")), key, "__p", wanted, name).select(key, name).distinct()
+    return found.join(own.select(key, name), [key, name], "left_anti") if own is not None else found
 
 
 def index_or_scan(found: DataFrame, scan: DataFrame) -> DataFrame:

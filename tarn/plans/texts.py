@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import fuzzy as Z
 from tarn.functions import text as X
+from tarn.operators import containment as B
 from tarn.operators import filters as P
 from tarn.operators import resolve as E
 from tarn.operators import search as V
@@ -149,10 +150,42 @@ def passages(t: Tables) -> DataFrame:
 
 @query()
 def mention_join(t: Tables) -> DataFrame:
-    """Names that texts mention, as an equality join on their n-grams: the first two words of each benchmark text, or the one
-    it has, in all documents. DuckDB folds some letters otherwise, so a test holds this against brute force."""
-    names = t.benchmark.select(F.array_join(F.slice(F.split(X.plain(F.col("text")), " "), 1, 2), " ").alias("name")).where("name != ''").distinct()
-    return V.mentions(t.documents, "doc_id", "text", names, "name")
+    """Sentences of the benchmark that documents mention, as an equality join on their first words; those that a document begins with are its own. DuckDB
+    folds some letters otherwise, so a test holds this against brute force."""
+    sentences = F.explode(F.split("text", r"[.!?\n]+"))
+    folded = lambda x: X.plain(F.col(x))
+    names = t.benchmark.select(sentences.alias("x")).select(folded("x").alias("name")).where("name != ''").distinct()
+    own = t.documents.select("doc_id", folded("text").alias("x"), F.get(F.split("text", r"[.!?\n]+"), F.lit(0)).alias("head")).select("doc_id", folded("head").alias("name")).where("name != ''")
+    return V.mentions(t.documents, "doc_id", "text", names, "name", own)
+
+
+@query("""
+WITH names AS (SELECT DISTINCT trim(lower(w)) AS name FROM (SELECT unnest([split_part(p_name, ' ', 2), p_type, left(p_name, 5), p_name || ' ' || p_size, 'x' || p_brand]) AS w FROM part)), titles AS (SELECT DISTINCT p_name AS title FROM part)
+SELECT name, coalesce(min(title) FILTER (title = name), min(title)) AS title FROM names JOIN titles ON contains(title, name) OR contains(name, title) GROUP BY name
+""")
+def first_containment(t: Tables) -> DataFrame:
+    """Of each name the first title in order that holds it or that it holds, by the rarest run of three characters."""
+    words = F.array(F.get(F.split("p_name", " "), F.lit(1)), F.col("p_type"), F.left("p_name", F.lit(5)), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")), F.concat(F.lit("x"), "p_brand"))
+    return B.first_containing(t.part.select(F.explode(words).alias("name")), "name", t.part.select(F.col("p_name").alias("title")), "title")
+
+
+@query("""
+WITH titles AS (SELECT DISTINCT upper(left(p_name, 2 + p_partkey % 12)) AS title FROM part), lines AS (SELECT p_partkey, p_name || ' / ' || p_brand AS line FROM part)
+SELECT p_partkey, count(*) AS titles, max(title) AS longest FROM lines JOIN titles ON starts_with(lower(line), lower(title)) GROUP BY p_partkey
+""")
+def title_prefixes(t: Tables) -> DataFrame:
+    """Titles that begin the lines of a record, in any case, by their first eight characters."""
+    titles = t.part.select(F.upper(F.left("p_name", (2 + F.col("p_partkey") % 12).cast("int"))).alias("title")).distinct()
+    lines = t.part.select("p_partkey", F.concat("p_name", F.lit(" / "), "p_brand").alias("line"))
+    return B.prefix_join(titles, "title", lines, "line").groupBy("p_partkey").agg(F.count("*").alias("titles"), F.max("title").alias("longest"))
+
+
+@query()
+def masked_names(t: Tables) -> DataFrame:
+    """Names of parts, and the beginnings of the benchmark's texts, masked in whole documents, the longest first. Tested by brute force."""
+    heads = t.benchmark.select(F.array_join(F.slice(F.split("text", " "), F.lit(1), (1 + F.col("item_id") % 5).cast("int")), " ").alias("name"), F.concat(F.lit("{"), F.col("item_id").cast("string"), F.lit("}")).alias("mark"))
+    names = t.part.select(F.col("p_name").alias("name"), F.concat(F.lit("{"), "p_type", F.lit("}")).alias("mark")).unionByName(heads)
+    return B.masked(t.documents, "doc_id", "text", names, "name", "mark")
 
 
 @query("""
