@@ -19,14 +19,15 @@ def pieces(x: Column) -> Column:
 
 
 def runs(tokens: Column, lead: int) -> Column:
-    """(at, gram) for each place and each number of tokens up to `lead` that fits there; at counts from 1."""
-
-    def of(size: int) -> Column:
-        last = F.size(tokens) - size + 1
-        each = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(tokens, i, F.lit(size)), "\x01").alias("gram")))
-        return F.when(last >= 1, each).otherwise(F.array().cast("array<struct<at:int,gram:string>>"))
-
-    return F.concat(*[of(n) for n in range(1, lead + 1)])
+    """(at, gram) for each place and each number of tokens up to `lead` that fits there; at counts from 1. Each length is made from the one before, so the work
+    follows the tokens."""
+    grams, out = tokens, []
+    for size in range(1, lead + 1):
+        if size > 1:
+            rest = F.slice(tokens, F.lit(size), F.greatest(F.size(tokens), F.lit(1)))
+            grams = F.zip_with(grams, rest, lambda g, t: F.concat(g, F.lit("\x01"), t))
+        out.append(F.filter(F.transform(grams, lambda g, i: F.struct((i + 1).alias("at"), g.alias("gram"))), lambda x: x["gram"].isNotNull()))
+    return F.concat(*out)
 
 
 def name_hits(texts: DataFrame, key: str, tokens: str, names: DataFrame, name: str, lead: int = 2) -> DataFrame:
@@ -40,7 +41,8 @@ def name_hits(texts: DataFrame, key: str, tokens: str, names: DataFrame, name: s
     whole = met.where(F.col("n") <= lead).drop("__t")
     open_ = met.where(F.col("n") > lead).groupBy(key).agg(F.collect_list(F.struct(name, "at", "n", F.col("__t").alias("t"))).alias("__c"))
     held = texts.select(key, F.col(tokens).alias("__all")).join(open_, key)
-    sound = held.select(key, F.explode(F.filter("__c", lambda c: F.slice(F.col("__all"), c["at"], c["n"]) == c["t"])).alias("c"))
+    same = lambda c: F.forall(F.sequence(F.lit(0), c["n"] - 1), lambda j: F.coalesce(F.get("__all", c["at"] - 1 + j) == F.get(c["t"], j), F.lit(False)))
+    sound = held.select(key, F.explode(F.filter("__c", same)).alias("c"))
     return whole.unionByName(sound.select(key, f"c.{name}", "c.at", "c.n"))
 
 

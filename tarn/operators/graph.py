@@ -70,6 +70,15 @@ def pairs_within(df: DataFrame, group: str, item: str) -> DataFrame:
     return one.join(two, (F.col(group) == F.col("__g")) & (F.col("a") < F.col("b"))).select(group, "a", "b")
 
 
+def edges_between(df: DataFrame, group: str, item: str, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight): items of `left` (id) with the other items, or those of `right` (id), that share a group with them, and the number of groups
+    that they share. Only groups that hold an item of `left` are paired, so the work follows the lists and not the table."""
+    one = df.select(group, F.col(item).alias("src")).join(left.select(F.col("id").alias("src")), "src", "left_semi").distinct()
+    other = df.select(F.col(group).alias("__g"), F.col(item).alias("dst")).join(one.select(F.col(group).alias("__g")), "__g", "left_semi")
+    other = (other if right is None else other.join(right.select(F.col("id").alias("dst")), "dst", "left_semi")).distinct()
+    return one.join(other, (F.col(group) == F.col("__g")) & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
 def paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """(first, last, hops, edge_ids, weight): walks of 1 to `most` undirected edges from the start nodes that use no edge twice.
 

@@ -102,7 +102,7 @@ def pair_analysis(t: Tables) -> DataFrame:
     """All unordered pairs of a list with their edge, if any."""
     ids = t.spark.range(1).select(F.explode(F.array(*map(F.lit, [3, 17, 42, 99, 250, 600, 1200, 1999]))).alias("id"), F.lit(0).alias("g"))
     pairs = G.pairs_within(ids, "g", "id").select("a", "b")
-    return pairs.join(edges(t), (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left").select("a", "b", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"), F.when(F.col("weight").isNull(), "none").otherwise("found").alias("state"))
+    return pairs.join(G.edges_between(t.lineitem, "l_orderkey", "l_partkey", ids, ids), (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left").select("a", "b", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"), F.when(F.col("weight").isNull(), "none").otherwise("found").alias("state"))
 
 
 @query(f"""

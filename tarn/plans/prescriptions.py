@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tarn.functions import text as X
 from tarn.operators import filters as P
 from tarn.operators import graph as G
+from tarn.operators import search as V
 from tarn.operators import sets as S
 from tarn.operators.windows import keep_best
 from tarn.plans import rules as R
 from tarn.plans.graphs import EDGES_SQL, edges
 from tarn.plans.registry import Tables, query
-from tarn.session import light
+from tarn.session import cut, light
 from tarn.sources.pages import date_in
 
 CASE = R.Case(
@@ -37,7 +38,8 @@ def treatments(t: Tables) -> DataFrame:
 
 
 def controlled(t: Tables) -> DataFrame:
-    return R.controls(candidates(t), CASE, treatments(t), G.undirected(edges(t).select("src", "dst")))
+    treated = treatments(t)
+    return R.controls(candidates(t), CASE, treated, G.edges_between(t.lineitem, "l_orderkey", "l_partkey", treated.select(F.col("t_id").alias("id"))))
 
 
 CONTROLS_SQL = f"""
@@ -80,6 +82,75 @@ def prescription_pool(t: Tables) -> DataFrame:
     return kept.orderBy("warned", F.col("cls").isNull(), F.desc("score"), "id").limit(20).select("id", "score", "line")
 
 
+QUERY = [round(0.125 * (1 if i % 3 else -1), 3) for i in range(64)]
+KEYWORDS = ["promo", "brand#2", "gear"]
+#: How many candidates each source gives: hits of the vector search, of keywords, and products of the expected classes.
+GIVES = {"vector": 50, "keywords": 30, "class": 60}
+POOL_SQL = f"""
+c AS (SELECT p_partkey AS id, p_name AS title, CASE WHEN p_size % 13 = 0 THEN NULL ELSE p_type END AS cls, CASE WHEN p_brand = 'Brand#13' THEN 'stopped' WHEN p_brand = 'Brand#2' THEN '' WHEN p_brand <> 'Brand#3' THEN 'marketed' END AS status, split_part(p_name, ' ', 1) AS route, p_type, p_brand FROM part),
+v AS (SELECT id, title, similarity, 0 AS part, 'vector' AS origin FROM c JOIN (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {QUERY}::DOUBLE[]), 9) AS similarity FROM embeddings) ON vec_id = id WHERE similarity >= 0.0),
+k AS (SELECT id, title, CAST(0.5 AS DOUBLE) AS similarity, 1 AS part, 'keywords' AS origin FROM c WHERE {" OR ".join(f"contains(lower({x}), '{w}')" for x in ("title", "p_type", "p_brand") for w in KEYWORDS)}),
+g AS (SELECT id, title, CAST(NULL AS DOUBLE) AS similarity, 2 AS part, 'class' AS origin FROM c WHERE cls IN ('PROMO', 'SMALL', 'LARGE', 'ECONOMY')),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY similarity DESC NULLS LAST, id) AS n, count(*) OVER (PARTITION BY origin) AS total FROM (SELECT * FROM v UNION ALL SELECT * FROM k UNION ALL SELECT * FROM g))
+  WHERE n <= CASE origin WHEN 'vector' THEN 50 WHEN 'keywords' THEN 30 ELSE 60 END),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part) AS turn FROM s) WHERE turn = 1),
+h AS (SELECT * FROM f WHERE origin <> 'class' OR title NOT IN (SELECT title FROM f WHERE origin <> 'class')),
+r AS (SELECT h.id, origin, similarity, cls IS NULL AS unclassed,
+  CASE WHEN status <> '' AND status <> 'marketed' THEN 'eligibility' WHEN route = 'hot' THEN 'eligibility' WHEN cls = 'STANDARD' OR cls NOT IN ('PROMO', 'SMALL', 'LARGE', 'ECONOMY') THEN 'class' END AS stage,
+  CASE WHEN status <> '' AND status <> 'marketed' THEN 'not marketed' WHEN route = 'hot' THEN 'local route' WHEN cls = 'STANDARD' THEN 'not a treatment' WHEN cls NOT IN ('PROMO', 'SMALL', 'LARGE', 'ECONOMY') THEN 'class not expected' END AS reason FROM h JOIN c ON c.id = h.id),
+z AS (SELECT *, CASE WHEN stage IS NULL THEN CAST(row_number() OVER (PARTITION BY stage IS NULL ORDER BY origin <> 'class', unclassed, similarity DESC NULLS LAST, id) AS INTEGER) END AS n FROM r),
+p AS (SELECT id, origin, similarity, CASE WHEN n > 20 THEN 'pool' ELSE stage END AS reject_stage, CASE WHEN n > 20 THEN 'beyond the pool' ELSE reason END AS reject_reason, CASE WHEN n <= 20 THEN n END AS place FROM z)"""
+
+
+def pooled(t: Tables) -> DataFrame:
+    rows = candidates(t)
+    titled = rows.select("id", "title")
+    hits = t.embeddings.select(F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), QUERY), 9).alias("similarity")).where("similarity >= 0.0").join(titled, "id")
+    some = P.some(*[P.contains_literal(F.col(c), w) for c in ("p_name", "p_type", "p_brand") for w in KEYWORDS])
+    named = t.part.where(some).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit(0.5).alias("similarity"))
+    classed = rows.where(F.arrays_overlap("groups", R.strings(CASE.expected))).select("id", "title", F.lit(None).cast("double").alias("similarity"))
+    found = R.assembled([("vector", hits, GIVES["vector"]), ("keywords", named, GIVES["keywords"]), ("class", classed, GIVES["class"])], "class")
+    return R.pool(found, rows, CASE, "class")
+
+
+@query(f"WITH {POOL_SQL} SELECT * FROM p")
+def assembled_pool(t: Tables) -> DataFrame:
+    """A pool from vector hits, keywords and expected classes, each with its limit and named as the origin, through eligibility and class; twenty are shown, and
+    what is not says why."""
+    return pooled(t)
+
+
+#: Current treatments are the products whose id leaves 7 when divided by 50; those of a size over 5 are known.
+_TWO = f"""WITH {EDGES_SQL}, {POOL_SQL},
+a AS (SELECT p_partkey AS id, p_size FROM part WHERE p_partkey % 50 = 7 ORDER BY p_partkey LIMIT {R.MOST_TREATMENTS}), b AS (SELECT id FROM p WHERE reject_stage IS NULL OR reject_stage = 'pool' ORDER BY id LIMIT {R.MOST_CANDIDATES}),
+x AS (SELECT a.id AS treatment, b.id AS suggestion, weight FROM a JOIN u ON u.src = a.id JOIN b ON b.id = u.dst WHERE p_size > 5)"""
+
+
+def two_lists(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Treatments and suggestions with their limits, the known names of both, and the interactions between the two lists."""
+    current = R.capped(t.part.where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("id"), "p_size"), R.MOST_TREATMENTS, F.asc("id"))
+    offered = cut(R.capped(pooled(t).where("coalesce(reject_stage, 'pool') = 'pool'").select("id"), R.MOST_CANDIDATES, F.asc("id")))
+    known = current.where("p_size > 5").select("id")
+    matched = known.select(F.lit("treatment").alias("side"), "id").unionByName(offered.select(F.lit("suggestion").alias("side"), "id"))
+    return current, offered, matched, G.edges_between(t.lineitem, "l_orderkey", "l_partkey", known, offered.select("id"))
+
+
+@query(f"{_TWO} SELECT treatment, suggestion, weight FROM x")
+def two_list_interactions(t: Tables) -> DataFrame:
+    """The interactions between two resolved lists, each with its limit; only groups that hold a treatment are paired."""
+    return two_lists(t)[3].select(F.col("src").alias("treatment"), F.col("dst").alias("suggestion"), "weight")
+
+
+@query(f"""{_TWO}
+SELECT *, CASE WHEN treatments = 0 THEN 'no treatment' WHEN suggestions = 0 THEN 'no suggestion' WHEN checked = 0 THEN 'not matched' WHEN found > 0 THEN 'found' ELSE 'none' END AS state FROM (SELECT *, known_treatments * known_suggestions AS checked FROM (
+  SELECT (SELECT count(*) FROM a) AS treatments, (SELECT count(*) FROM b) AS suggestions, (SELECT count(*) FROM a WHERE p_size > 5) AS known_treatments, (SELECT count(*) FROM b) AS known_suggestions,
+    (SELECT count(*) FROM x) AS found, (SELECT count(*) > {R.MOST_TREATMENTS} FROM part WHERE p_partkey % 50 = 7) OR (SELECT count(*) > {R.MOST_CANDIDATES} FROM p WHERE coalesce(reject_stage, 'pool') = 'pool') AS truncated))
+""")
+def interaction_report(t: Tables) -> DataFrame:
+    """The state of a check of interactions, what it rests on, and whether a limit cut it."""
+    return R.interaction_report(*two_lists(t))
+
+
 @query("""
 SELECT id, rule, level FROM (
   SELECT p_partkey AS id, 'no bolts' AS rule, CASE WHEN regexp_matches(p_name, '\\bbolts?\\b') THEN 'exclude' END AS level FROM part
@@ -183,8 +254,8 @@ def prescription_check(t: Tables) -> DataFrame:
     lines = t.lineitem.select("l_orderkey", "l_partkey").join(light(listed), F.col("l_partkey") == F.col("p_partkey"), "left")
     counted = lines.groupBy(F.col("l_orderkey").alias("rx")).agg(F.count("*").alias("lines"), F.count("p_partkey").alias("matched"))
     pairs = G.pairs_within(lines.where("p_partkey IS NOT NULL"), "l_orderkey", "l_partkey")
-    strong = edges(t).where("weight >= 2").select("src", "dst")
-    found = pairs.join(strong, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst"))).groupBy(F.col("l_orderkey").alias("rx")).agg(F.count("*").alias("found"))
+    strong = pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).where("weight >= 2").select("a", "b")
+    found = pairs.join(strong, ["a", "b"]).groupBy(F.col("l_orderkey").alias("rx")).agg(F.count("*").alias("found"))
     out = t.orders.select(F.col("o_orderkey").alias("rx"), "o_orderstatus").join(counted, "rx", "left").join(found, "rx", "left").fillna(0, ["lines", "matched", "found"])
     return out.select("rx", "lines", "matched", "found", R.interaction_state(F.col("lines"), F.lit(1), F.col("matched"), F.col("found"), F.col("o_orderstatus") != "P").alias("state"))
 
@@ -253,7 +324,7 @@ def profile_recommendation(t: Tables) -> DataFrame:
     """What treats any of a list, without an absolute contraindication and without a severe interaction with a co-treatment."""
     treats = t.part.where(F.col("p_type").isin("PROMO", "SMALL")).select(F.col("p_partkey").alias("id"))
     absolute = t.lineitem.where("l_returnflag = 'R' AND l_discount >= 0.1").select(F.col("l_partkey").alias("id"))
-    severe = G.undirected(edges(t).where("weight >= 2").select("src", "dst")).where(F.col("src").isin(*TREATED)).select(F.col("dst").alias("id"))
+    severe = G.edges_between(t.lineitem, "l_orderkey", "l_partkey", treatments(t).select(F.col("t_id").alias("id"))).where("weight >= 2").select(F.col("dst").alias("id"))
     return treats.join(absolute, "id", "left_anti").join(severe, "id", "left_anti")
 
 

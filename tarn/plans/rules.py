@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import fold
 from tarn.operators.filters import every, first_reason, present, split_kept
-from tarn.session import light
+from tarn.operators.sets import union_first
+from tarn.session import cut
 
 #: Penalties and thresholds of the safety score.
 PENALTY = {"contraindication": 40, "interaction": 20, "interaction_cumulative": 10, "caution": 15, "step": 25}
@@ -83,9 +84,9 @@ def class_filter(df: DataFrame, own: str, expected: tuple[str, ...], never: tupl
 def redundancy(df: DataFrame, substance: str, own: str, treatments: DataFrame) -> DataFrame:
     """Against existing treatments (t_substance, t_class, cumulative): the same substance stays with an alert, a class that must not
     be doubled rejects, one that may be stays with an alert."""
-    same = df.join(light(treatments.select(F.col("t_substance").alias("__s")).where("__s IS NOT NULL").distinct()), F.col(substance) == F.col("__s"), "left").withColumn("__same", F.col("__s").isNotNull())
+    same = df.join(treatments.select(F.col("t_substance").alias("__s")).where("__s IS NOT NULL").distinct(), F.col(substance) == F.col("__s"), "left").withColumn("__same", F.col("__s").isNotNull())
     cls = treatments.where("t_class IS NOT NULL").groupBy(F.col("t_class").alias("__c")).agg(F.min(F.col("cumulative").cast("int")).alias("__cumulative"))
-    both = same.join(light(cls), F.col(own) == F.col("__c"), "left")
+    both = same.join(cls, F.col(own) == F.col("__c"), "left")
     alert = F.when(F.col("__same"), "same substance").when(F.col("__cumulative") == 1, "class doubled")
     out = split_kept(both, first_reason((~F.col("__same") & (F.col("__cumulative") == 0), "class must not be doubled")), "redundancy")
     return out.withColumn("alert", alert).drop("__s", "__same", "__c", "__cumulative")
@@ -146,9 +147,10 @@ def rejected_by_stage(df: DataFrame) -> DataFrame:
 def strategy(df: DataFrame, key: str, own: str, among: Column, merit: Column, relieving: tuple[str, ...] = (), causal: bool = False) -> DataFrame:
     """Adds `line` to the rows `among`: first line for the best of each class by merit (least first), or adjuvant if the class only relieves
     and the case also calls for a causal one; alternative for all others and for rows without a class. One row a class is joined, so a class
-    with very many rows is never gathered."""
+    with very many rows is never gathered. The rows are cut first, as they are read twice."""
+    df = cut(df)
     best = df.where(among & F.col(own).isNotNull()).groupBy(F.col(own).alias("__own")).agg(F.min_by(F.struct(F.col(key).alias("k")), merit).alias("__best"))
-    out = df.join(light(best), F.col(own) == F.col("__own"), "left")
+    out = df.join(best, F.col(own) == F.col("__own"), "left")
     first = F.col("__best.k") == F.col(key)
     line = F.when(~among, F.lit(None)).when(first & F.lit(causal) & F.col(own).isin(*relieving), "adjuvant").when(first, "first line").otherwise("alternative")
     return out.withColumn("line", line).drop("__own", "__best")
@@ -157,13 +159,13 @@ def strategy(df: DataFrame, key: str, own: str, among: Column, merit: Column, re
 def controls(candidates: DataFrame, case: Case, treatments: DataFrame, interactions: DataFrame) -> DataFrame:
     """All stages in order over (id, title, substance, groups, cls, status, route, notice, raw): constraints and redundancy reject, what a notice
     warns of and interactions weigh on the score, then lines are named and the threshold cuts. treatments: (t_id, t_substance, t_class,
-    cumulative); interactions: (src, dst), both ways. No row goes."""
+    cumulative); interactions: (src, dst) from a treatment. No row goes."""
     out = eligibility(candidates, "status", case.marketed, "route", case.local_routes)
     out = class_filter(out, "groups", case.expected, case.never)
     out = redundancy(out, "substance", "cls", treatments)
     out = constraints(out, "title", "groups", case.rules)
     out = out.withColumn("warned", F.size(contraindications(F.col("notice"), case.history)) > 0)
-    met = interactions.join(light(treatments.select("t_id").distinct()), F.col("src") == F.col("t_id"), "left_semi").select(F.col("dst").alias("__with")).distinct()
+    met = interactions.join(treatments.select("t_id"), F.col("src") == F.col("t_id"), "left_semi").select(F.col("dst").alias("__with")).distinct()
     out = out.join(met, F.col("id") == F.col("__with"), "left").withColumn("interacts", F.col("__with").isNotNull()).drop("__with")
     score = safety(F.col("raw"), F.col("warned").cast("int"), F.col("interacts").cast("int"), F.col("demotions"), F.coalesce(F.col("alert") == "class doubled", F.lit(False)))
     out = out.withColumn("score", score)
@@ -172,6 +174,46 @@ def controls(candidates: DataFrame, case: Case, treatments: DataFrame, interacti
     return threshold(out, "score", "raw")
 
 
+def capped(rows: DataFrame, most: int, *order: Column) -> DataFrame:
+    """The first `most` rows in a total order, each with `truncated`: whether there were more."""
+    few = rows.orderBy(*order).limit(most + 1)
+    w = Window.partitionBy(F.lit(0))  # of at most `most` + 1 rows
+    return few.withColumns({"__n": F.row_number().over(w.orderBy(*order)), "truncated": F.count("*").over(w) > most}).where(F.col("__n") <= most).drop("__n")
+
+
+def assembled(sources: list[tuple[str, DataFrame, int]], first: str) -> DataFrame:
+    """(id, title, similarity, origin, truncated): a pool of candidates from several sources (id, title, similarity), the best of each up to its own limit. An id counts
+    for the first source that has it; a candidate of `first` also goes if another source has its title, and stands before all others when shown."""
+    parts = [capped(df.select("id", "title", "similarity"), most, F.desc_nulls_last("similarity"), F.asc("id")).withColumn("origin", F.lit(name)) for name, df, most in sources]
+    every = cut(union_first(parts, "id"))
+    others = every.where(F.col("origin") != first).select("title").distinct()
+    return every.where(F.col("origin") != first).unionByName(every.where(F.col("origin") == first).join(others, "title", "left_anti").select(*every.columns))
+
+
+def pool(found: DataFrame, candidates: DataFrame, case: Case, first: str, most: int = 20) -> DataFrame:
+    """(id, origin, similarity, reject_stage, reject_reason, place) of assembled candidates after eligibility and class: what passed has its place, those of `first`
+    before others, those without a class last, then by similarity; places beyond `most` are rejected by the stage `pool`. No row goes."""
+    rows = found.join(candidates.drop("title"), "id")
+    out = class_filter(eligibility(rows, "status", case.marketed, "route", case.local_routes), "groups", case.expected, case.never)
+    kept = F.col("reject_stage").isNull()
+    order = [(F.col("origin") != first).asc(), F.col("unclassed").asc(), F.desc_nulls_last("similarity"), F.asc("id")]
+    placed = out.withColumn("place", F.when(kept, F.row_number().over(Window.partitionBy(kept).orderBy(*order))))  # sources have limits, so these rows are few
+    over = kept & (F.col("place") > most)
+    return placed.select("id", "origin", "similarity", F.when(over, "pool").otherwise(F.col("reject_stage")).alias("reject_stage"), F.when(over, "beyond the pool").otherwise(F.col("reject_reason")).alias("reject_reason"), F.when(~over, F.col("place")).alias("place"))
+
+
+def interaction_report(treatments: DataFrame, suggestions: DataFrame, matched: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: the state of a check with how much it rests on. treatments and suggestions: (name, truncated), capped; matched: (side, name), names of either side that
+    are known; pairs: the interactions found."""
+    no = F.lit(False)
+    one = lambda df, kind, cut_short=no: df.select((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), cut_short.alias("cut_short"))
+    rows = one(treatments, "treatments", F.col("truncated")).unionByName(one(suggestions, "suggestions", F.col("truncated"))).unionByName(one(matched, F.concat(F.lit("known "), "side"))).unionByName(one(pairs, "found"))
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = rows.agg(n("treatments").alias("treatments"), n("suggestions").alias("suggestions"), n("known treatment").alias("known_treatments"), n("known suggestion").alias("known_suggestions"), n("found").alias("found"), F.coalesce(F.max("cut_short"), no).alias("truncated"))
+    state = interaction_state(F.col("treatments"), F.col("suggestions"), F.least("known_treatments", "known_suggestions"), F.col("found"), F.lit(True))
+    return counts.select("*", (F.col("known_treatments") * F.col("known_suggestions")).alias("checked"), state.alias("state"))
+
+
 def expected_classes(text: Column, table: list[tuple[str, tuple[str, ...]]], fallback: list[tuple[str, tuple[str, ...]]] = ()) -> Column:
     """The classes of all conditions that a diagnosis names (whole words, a plural s allowed); those of its aims where it names none."""
     cited = lambda rows: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(fold(text).rlike(rf"\b{term}s?\b"), strings(c)).otherwise(strings(())) for term, c in rows])))) if rows else strings(())
