@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.fuzzy import indel, word_sets
 from tarn.functions.text import any_of, plain
+from tarn.functions.vocabularies import FAMILIES, LINKS, LOCANT
 from tarn.operators.windows import keep_best
 from tarn.session import light
 
 #: Elements that are no substance by themselves once a salt is taken off.
 MINERALS = ["sodium", "potassium", "calcium", "magnesium", "zinc", "iron", "fer", "lithium", "aluminium"]
-#: Chemical families by their words in three languages.
-FAMILIES = {
-    "acid": ["acide", "acid", "acido"], "hydrochloride": ["chlorhydrate", "hydrochloride", "clorhidrato"], "sulfate": ["sulfate", "sulfato"], "carbonate": ["carbonate", "carbonato"], "citrate": ["citrate", "citrato"],
-    "tartrate": ["tartrate", "tartrato"], "maleate": ["maleate", "maleato"], "fumarate": ["fumarate", "fumarato"], "acetate": ["acetate", "acetato"], "phosphate": ["phosphate", "fosfato"], "chloride": ["chlorure", "chloride", "cloruro"],
-}
-#: What stands before a hyphen and says a place in a molecule, as a number does.
-PLACES = ["n", "r", "s", "o", "z", "alpha", "beta", "gamma", "cis", "trans"]
-#: Words between the parts of a name that tell no substances apart.
-LINKS = ["de", "du", "des", "d", "la", "le", "les", "of", "and", "et", "y", "sodium", "potassium", "anhydrous", "monohydrate", "dihydrate", "trihydrate", "hydrate"]
-
 
 def candidates(df: DataFrame, key: str, substances: Column, composition: Column, title: Column) -> DataFrame:
     """(key, text, priority): what may name a record's substance: its substances (0), the items of its composition (1), its title (2), of three
@@ -50,25 +40,26 @@ def reduced(x: Column, salts: list[str], minerals: list[str] = MINERALS) -> Colu
     return F.when((out != "") & (out != x) & ~out.isin(*minerals), out)
 
 
-def _words(x: Column) -> Column:
-    return F.transform(F.split(x, " "), lambda w: F.regexp_replace(w, rf"^(?:\d+|{any_of(PLACES)})-", ""))
+def _words(x: Column, places: str = LOCANT) -> Column:
+    return F.transform(F.split(x, " "), lambda w: F.regexp_replace(w, places, ""))
 
 
-def families(x: Column) -> Column:
-    table = F.create_map(*[F.lit(v) for k, words in FAMILIES.items() for w in words for v in (w, k)])
-    return F.array_distinct(F.filter(F.transform(_words(x), lambda w: F.element_at(table, w)), lambda f: f.isNotNull()))
+def families(x: Column, table: dict[str, tuple[str, ...]] = FAMILIES) -> Column:
+    """The chemical families that words of a folded name name."""
+    known = F.create_map(*[F.lit(v) for k, words in table.items() for w in words for v in (w, k)])
+    return F.array_distinct(F.filter(F.transform(_words(x), lambda w: F.element_at(known, w)), lambda f: f.isNotNull()))
 
 
-def distinctive(x: Column) -> Column:
-    """What is left of a name without its chemical families and linking words."""
-    common = [w for words in FAMILIES.values() for w in words] + LINKS
+def distinctive(x: Column, table: dict[str, tuple[str, ...]] = FAMILIES, links: tuple[str, ...] = LINKS) -> Column:
+    """What is left of a folded name without its chemical families and linking words."""
+    common = [w for words in table.values() for w in words] + list(links)
     return F.array_join(F.filter(_words(x), lambda w: (w != "") & ~w.isin(*common)), " ")
 
 
-def told_apart(a: str, b: str, least: float) -> Column:
+def told_apart(a: str, b: str, least: float, table: dict[str, tuple[str, ...]] = FAMILIES, links: tuple[str, ...] = LINKS) -> Column:
     """Whether two names that share a chemical family also agree in what is left without it: the shared word alone makes unlike names alike."""
-    x, y = distinctive(F.col(a)), distinctive(F.col(b))
-    shared = F.arrays_overlap(families(F.col(a)), families(F.col(b)))
+    x, y = distinctive(F.col(a), table, links), distinctive(F.col(b), table, links)
+    shared = F.arrays_overlap(families(F.col(a), table), families(F.col(b), table))
     return ~shared | (x == "") | (y == "") | (F.greatest(indel(x, y), word_sets(x, y)) >= least)
 
 

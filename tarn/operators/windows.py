@@ -102,23 +102,32 @@ def quota(df: DataFrame, keys: list[str], classes: str, signature: str, order: l
 
 
 def lots(df: DataFrame, text: str, most: int) -> DataFrame:
-    """Adds `lot`: texts packed by ascending length into lots of at most so many characters; a longer text is a lot of its own. Each range of
-    lengths is packed by itself as a stream, so no task sees all texts and a lot never spans two ranges."""
-    parts = df.repartitionByRange(F.length(text), F.col(text)).sortWithinPartitions(F.length(text), F.col(text)).withColumn("__part", F.spark_partition_id())
-    at = [parts.columns.index(text), parts.columns.index("__part")]
-
-    def run(batches: Iterator):
-        import pyarrow as pa
-
-        lot, held = 0, 0
-        for g in batches:
-            given = []
-            for x, part in zip(*(g.column(i).to_pylist() for i in at)):
-                size = len(x or "")
-                if held and held + size > most:
-                    lot, held = lot + 1, 0
-                held += size
-                given.append(part << 32 | lot)
-            yield pa.RecordBatch.from_arrays([*g.columns[:-1], pa.array(given, pa.int64())], names=[*g.schema.names[:-1], "lot"])
-
-    return parts.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lot", T.LongType())]))
+    """Adds `lot`: texts packed by ascending length, then by the text, into lots of at most so many characters; a longer text is a lot of its own. Null counts as empty.
+
+    Texts of one length fill lots evenly, so where a length begins follows from how many texts there are of each shorter one: what the driver sees is a
+    count for each length up to `most`. Texts get their place by ranges, so the lots are the same however many partitions there are."""
+    size = F.least(F.coalesce(F.length(text), F.lit(0)), F.lit(most + 1))
+    rows = running(df.withColumn("__size", size), [F.col("__size").asc(), F.length(text).asc_nulls_first(), F.col(text).asc_nulls_first(), F.xxhash64(*[F.col(c) for c in df.columns]).asc()], "__size")
+    counts = {r["__size"]: r["n"] for r in rows.groupBy("__size").agg(F.count("*").alias("n")).collect()}
+    plan, before, lot, held = [], 0, 0, 0
+    for n in sorted(counts):
+        if n > most:  # each alone; the first takes the open lot if that is empty
+            plan.append((n, before, 0, lot, lot + (held > 0), 1))
+            break
+        room = (most - held) // n if n else counts[n]
+        each = most // n if n else 1
+        fits = room if held else min(room, each) if n else room
+        start = lot + (held > 0 or lot > 0 or fits > 0)
+        plan.append((n, before, fits, lot, start, each))
+        left = counts[n] - fits
+        if left > 0:
+            lot, held = start + (left - 1) // each, ((left - 1) % each + 1) * n
+        else:
+            held += counts[n] * n
+        before += counts[n]
+    if not plan:
+        return df.withColumn("lot", F.lit(None).cast("long"))
+    sizes = df.sparkSession.createDataFrame(plan, "__size int, __before long, __fits long, __open long, __next long, __each long")
+    place = F.col("rank") - 1 - F.col("__before")
+    lot_of = F.when(place < F.col("__fits"), F.col("__open")).otherwise(F.col("__next") + F.floor((place - F.col("__fits")) / F.col("__each")))
+    return rows.join(F.broadcast(sizes), "__size").select(*df.columns, lot_of.cast("long").alias("lot"))

@@ -264,7 +264,12 @@ def seeded_sample(t: Tables) -> DataFrame:
     return K.sample_of(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
 
 
-@query()
+@query("""
+WITH RECURSIVE w AS (SELECT text, row_number() OVER (ORDER BY length(text), text) AS k FROM (SELECT DISTINCT unnest([p_name, p_type, p_brand]) AS text FROM part) WHERE text NOT IN (SELECT p_name FROM part WHERE p_size % 2 = 0)),
+l(k, text, lot, held) AS (SELECT k, text, CAST(0 AS BIGINT), CAST(length(text) AS BIGINT) FROM w WHERE k = 1
+  UNION ALL SELECT w.k, w.text, CASE WHEN held + length(w.text) > 400 THEN lot + 1 ELSE lot END, CASE WHEN held + length(w.text) > 400 THEN length(w.text) ELSE held + length(w.text) END FROM l JOIN w ON w.k = l.k + 1)
+SELECT text, lot FROM l
+""")
 def texts_in_lots(t: Tables) -> DataFrame:
     """The distinct texts of several columns that a cache lacks, packed by length into lots of 400 characters at most."""
     every = t.part.select(F.explode(F.array("p_name", "p_type", "p_brand")).alias("text")).distinct()

@@ -1,8 +1,8 @@
 """Readers of files as tables: CSV, JSON, XML, positional dumps, zipped tables and sheets. Every schema is stated, so no pass infers it; a row
 that doesn't fit it keeps its text in `bad`, and nothing is lost in silence.
 
-CSV, JSON lines and text are split over tasks. A zip archive, a sheet and a dump whose encoding has to be found are read whole by the task
-that has the file; many such files are spread over tasks."""
+CSV, JSON lines, text and positional dumps are split over tasks. A zip archive and a sheet are read whole by the task that has the file; many such
+files are spread over tasks."""
 
 from __future__ import annotations
 
@@ -127,13 +127,16 @@ def only_wanted(rows: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
 
 def positional(spark: SparkSession, path: str, fields: list[str], key: str) -> DataFrame:
     """Tab-separated dumps without a header: UTF-8 where the whole file is, else Latin-1; blank and short rows go; fields are trimmed; of rows
-    that repeat a key the last stands, rows without a key go."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    text = F.when(F.is_valid_utf8(F.col("content")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    lines = raw.select("path", F.posexplode(F.split(text, "\n")).alias("line", "text")).where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
-    cells = lines.withColumn("cells", F.split("text", "\t")).where(F.size("cells") >= len(fields))
-    out = cells.select("path", "line", *[F.regexp_replace(F.col("cells")[i], r"^\s+|\s+$", "").alias(f) for i, f in enumerate(fields)]).where(F.col(key) != "")
-    return keep_best(out, [key], F.desc("path"), F.desc("line")).drop("path", "line")
+    that repeat a key the last stands (of several files, in order of their paths), rows without a key go.
+
+    Files are split over tasks by lines, as bytes. Whether a file is UTF-8 is a sum over its lines, joined back to them: a row a file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary").alias("raw"))
+    sound = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
+    text = F.when(F.col("utf8"), F.col("raw").cast("string")).otherwise(F.decode("raw", "ISO-8859-1"))
+    rows = lines.join(sound, "path").select("path", "block", "line", text.alias("text")).where(F.regexp_replace("text", r"\s", "") != "")
+    cells = rows.withColumn("cells", F.split("text", "\t")).where(F.size("cells") >= len(fields))
+    out = cells.select("path", "block", "line", *[F.regexp_replace(F.col("cells")[i], r"^\s+|\s+$", "").alias(f) for i, f in enumerate(fields)]).where(F.col(key) != "")
+    return keep_best(out, [key], F.desc("path"), F.desc("block"), F.desc("line")).drop("path", "block", "line")
 
 
 def zipped_tables(spark: SparkSession, path: str, sep: str = "\t", rows: int = 2000) -> DataFrame:

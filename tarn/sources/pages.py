@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tarn.functions.text import squash_key
+from tarn.functions import vocabularies as K
 
 #: The tags, and the classes with a level, that are headings of a page.
 HEADINGS = r"^h([1-6])$|(?:^|\s)AmmAnnexeTitre(\d+)"
@@ -190,21 +190,48 @@ def page_facts(html: Column) -> dict[str, Column]:
     }
 
 
-_AMOUNT = r"\d[\d\s.,]*\s*(?:mg|g|µg|ml|UI|%)"
-#: What a line of a composition says, in order: leaders, an amount of a substance, a content, a name with its amount.
-COMPOSITION = [rf"^\s*(.{{3,70}}?)\s*\.{{3,}}\s*{_AMOUNT}", rf"(?i)contient\s+({_AMOUNT}\s+d(?:e |'|’).{{3,70}}?)(?:[.;,(]|$)", r"(?i)contient\s*:?\s+([^\d.;,(]{3,70})(?:[.;,(]|$)", rf"^\s*(\p{{L}}[^\d.;:]{{2,69}}?)\s+{_AMOUNT}"]
-#: Words that begin no substance.
-NO_SUBSTANCE = r"(?i)^(?:excipients?|eau|solvant|comprim[ée]s?|g[ée]lules?|flacons?|ampoules?|pour|soit|chaque|un|une|sodium|potassium)\b"
-
-
-def composition(lines: Column, most: int = 6) -> Column:
-    """The substances that the lines of a composition name: the first pattern that a line fits, both names of 'X et Y', each once, six at most."""
-    found = F.transform(lines, lambda x: F.coalesce(first_of(x, *COMPOSITION), F.lit("")))
+def spelled(words: tuple[str, ...]) -> str:
+    """Any of the words, with or without their accents, longest first."""
+    plain = {"é": "[ée]", "è": "[èe]", "à": "[àa]"}
+    return "(?:" + "|".join("".join(plain.get(c, c) for c in w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
+_AMOUNT = rf"\d[\d\s.,]*\s*{spelled(K.UNITS)}"
+_OF = r"(?:de\s+la\s+|de\s+l[’']\s*|de\s+|du\s+|des\s+|d[’']\s*)"
+_NAMED = rf"(.{{{K.NAME[0]},{K.NAME[1]}}}?)\s*(?:[(,.;]|$)"
+#: What a line of a composition says, in order: a name before leaders, an amount of a name, a content by name, a name and its amount at the head.
+STATEMENTS = [rf"^(.{{{K.BEFORE_LEADERS[0]},{K.BEFORE_LEADERS[1]}}}?)\.{{3,}}", rf"(?i)contient\s+(?:environ\s+)?{_AMOUNT}\s+{_OF}{_NAMED}", rf"(?i)contient\s+{_OF}{_NAMED}", rf"^(\p{{L}}[^.\d]{{{K.AT_HEAD[0] - 1},{K.AT_HEAD[1] - 1}}}?)\s+{_AMOUNT}"]
+
+
+def substance_name(x: Column) -> Column:
+    """A part of a statement as the name of a substance, null if it names none: without brackets, lead-in, tail and the measure it is introduced by. Words that are
+    no substance count only where they stand alone, so 'sodium' goes and 'sodium bicarbonate' stays."""
+    edges = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[\s*:;,.’'-]+|[\s*:;,.’'-]+$", "")
+    steps = [(r"\s*\([^)]*\)", " "), (rf"(?i)^.*?contient\s+{_OF}?", ""), (rf"(?i)\s+(?:{spelled(K.TAILS)}|par\s+(?:\d[\d\s.,]*\s*)?{spelled(K.PER)}).*$", "")]
+    bare = x
+    for pattern, by in steps:
+        bare = F.regexp_replace(bare, pattern, by)
+    bare = edges(bare)
+    measure = rf"(?i)^{spelled(K.MEASURES)}(?![\p{{L}}\d_])"
+    freed = edges(F.regexp_replace(bare, r"(?i)^[^,;]{0,40}?\s+(?:de\s+|d[^a-zA-Z]\s*|du\s+|en\s+)", ""))
+    name = F.when(~bare.rlike(measure), bare).when((freed != bare) & (F.length(freed) >= K.NAME[0]) & ~freed.rlike(measure), freed)
+    sound = F.length(bare).between(*K.NAME) & name.rlike(r"\p{L}{3}") & ~name.rlike(rf"(?i)^(?:{spelled(K.NO_SUBSTANCE)}|{spelled(K.ALONE)})$")
+    return F.when(sound, name)
+
+
+def composition(lines: Column, most: int = K.MOST_SUBSTANCES) -> Column:
+    """The substances that the lines of a composition name, in order, each once: lines up to the one that turns to other contents, each without its lead-in, by the first
+    statement that it fits, both names of 'X et Y'."""
+    ended = lambda x: x.rlike(rf"(?i){spelled(K.ENDINGS)}|^\s*3\s*\.\s*FORME")
+    at = F.get(F.filter(F.transform(lines, lambda x, i: F.when(ended(x), i)), lambda i: i.isNotNull()), F.lit(0))
+    open_ = F.when(at.isNull(), lines).when(at > 0, F.slice(lines, F.lit(1), F.greatest(at, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    lead = rf"(?i)^\s*(?:{spelled(tuple(K.LEADS[:1]))}\s*|{spelled(tuple(K.LEADS[1:]))}\s*:?\s*)"
+    found = F.transform(open_, lambda x: F.coalesce(first_of(F.regexp_replace(x, lead, ""), *STATEMENTS), F.lit("")))
     parts = F.flatten(F.transform(found, lambda x: F.split(x, r"\s+et\s+(?=[\d\p{L}])")))
-    bare = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s*\([^)]*\)", " "), rf"(?i)^\s*{_AMOUNT}\s+(?:de\s+|du\s+|d['’]\s*)?", ""), r"^[\s*:;,.'’-]+|[\s*:;,.'’-]+$", ""))
-    good = F.filter(bare, lambda x: F.length(x).between(3, 70) & x.rlike(r"\p{L}{3}") & ~x.rlike(NO_SUBSTANCE))
-    step = lambda seen, x: F.when(F.exists(seen, lambda s: squash_key(s) == squash_key(x)), seen).otherwise(F.concat(seen, F.array(x)))
-    return F.slice(F.aggregate(good, F.array().cast("array<string>"), step), 1, most)
+    names = F.filter(F.transform(parts, lambda x: substance_name(F.regexp_replace(x, rf"(?i)^{_AMOUNT}\s+{_OF}?", ""))), lambda x: x.isNotNull())
+    key = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")  # noqa: E731  letters with accents don't count
+    step = lambda seen, x: F.when((key(x) == "") | F.exists(seen, lambda s: key(s) == key(x)), seen).otherwise(F.concat(seen, F.array(x)))
+    return F.slice(F.aggregate(names, F.array().cast("array<string>"), step), 1, most)
 
 
 def date_in(raw: Column) -> Column:
@@ -221,6 +248,99 @@ def heading_sections(df: DataFrame, key: str, text: str, headings: str = TEXT_HE
     return rows.select(key, "section", "title", F.transform("__lines", lambda x: x["line"]).alias("lines"))
 
 
+def best_chain(found: list[tuple[int, int, int]]) -> list[int]:
+    """Of landmarks in order of the text as (rank, weight, ...), the increasing chain of ranks with the greatest sum of weights, as indices; of equal ones
+    the earliest."""
+    best: dict[int, tuple[int, int]] = {}  # by the rank a chain ends at: its sum, its last landmark
+    before: list[int] = []
+    for i, (rank, weight, _) in enumerate(found):
+        total, last = max(((s, -j) for r, (s, j) in best.items() if r < rank), default=(0, 1))
+        before.append(-last)
+        if total + weight > best.get(rank, (0, 0))[0]:
+            best[rank] = (total + weight, i)
+    if not best:
+        return []
+    at, out = max((s, -j) for s, j in best.values())[1] * -1, []
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
+
+
+def paragraphs_of(block: str) -> list[str]:
+    """Lines put together to paragraphs: one ends where its last line ends a sentence or an item begins; numbers of pages are left out."""
+    out: list[str] = []
+    for line in block.split("\n"):
+        line = line.strip()
+        if re.search(K.PAGE_LINE, line):
+            continue
+        if out and not line.startswith(K.ITEM_MARKS) and not out[-1].endswith(K.PARAGRAPH_ENDS):
+            out[-1] = f"{out[-1]} {line}"
+        else:
+            out.append(line)
+    return [x for x in out if len(x) > 2]
+
+
+def plan_of(text: str, plan: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(number, start, end) of the sections of a text that follows a plan: from the end of a heading to the next heading. Headings are numbers of the plan at the beginning of a
+    line. Those of a table of contents have nothing under them and weigh less, references back and ahead break the chain, so the best chain has neither."""
+    if stop := re.search(K.PLAN_END, text):
+        text = text[: stop.start()]
+    places = [(m.start(), m.end(), m[1]) for m in re.finditer(r"(?m)^[ \t]*(\d+(?:\.\d+)?)[.\s]", text) if m[1] in plan]
+    found = []
+    for i, (_, end, number) in enumerate(places):
+        line_end = text.find("\n", end - 1)
+        following = places[i + 1][0] if i + 1 < len(places) else len(text)
+        filled = line_end >= 0 and text[line_end:following].strip() != ""
+        found.append((plan[number], 1 + filled, i))
+    chain = [places[i] for i in best_chain(found)]
+    for start, end, number in chain:
+        if number in K.CLOSING:
+            if close := re.compile(K.PLAN_CLOSE).search(text, end):
+                text, chain = text[: close.end()], [c for c in chain if c[0] < close.end()]
+            break
+    out = []
+    for i, (_, end, number) in enumerate(chain):
+        if i + 1 < len(chain):
+            upto = chain[i + 1][0]
+        else:
+            close = re.compile(K.PLAN_CLOSE).search(text, end)
+            upto = close.end() if close else min(len(text), end + K.LAST_CHARS)
+        out.append((number, end, upto))
+    return out
+
+
+def plan_sections(df: DataFrame, key: str, text: str, plan: tuple[str, ...] = K.PLAN) -> DataFrame:
+    """(key, number, parent, start, end, content, paragraphs): the sections of texts that follow a plan of numbers, with the slice of the text and its paragraphs. A subsection without
+    its section has no parent; null texts and texts without a heading have no sections. A text is read by the task that has it, in one pass and one step for each pair of a heading
+    and a number of the plan."""
+    ranks = {n: i for i, n in enumerate(plan)}
+    kind = T.StructType([df.schema[key], *T._parse_datatype_string("number string, parent string, start int, end int, content string, paragraphs array<string>").fields])
+    fields = to_arrow_schema(kind)
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for g in batches:
+            rows = []
+            for k, text in zip(g.column(0).to_pylist(), g.column(1).to_pylist()):
+                sections = plan_of(text or "", ranks)
+                numbers = {n for n, _, _ in sections}
+                for number, start, end in sections:
+                    above = number.rpartition(".")[0]
+                    rows.append((k, number, above if above in numbers else None, start, end, text[start:end], paragraphs_of(text[start:end])))
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], schema=fields)
+
+    return df.select(key, text).mapInArrow(run, kind)
+
+
+def plan_usable(sections: DataFrame, key: str) -> DataFrame:
+    """(key, sections, paragraphs, usable): sections of the first level and all paragraphs of the plan of a text, and whether they are enough to keep it."""
+    top = ~F.contains("number", F.lit("."))
+    out = sections.groupBy(key).agg(F.count_if(top).alias("sections"), F.sum(F.when(top | F.col("parent").isNotNull(), F.size("paragraphs")).otherwise(0)).cast("long").alias("paragraphs"))
+    return out.withColumn("usable", (F.col("sections") >= K.LEAST_SECTIONS) & (F.col("paragraphs") >= K.LEAST_PARAGRAPHS))
+
+
 def usable(sections: DataFrame, key: str, least_sections: int = 6, least_lines: int = 20) -> DataFrame:
     """(key, sections, paragraphs, usable): whether a text was cut into enough sections and paragraphs to be kept."""
     out = sections.groupBy(key).agg(F.count("*").alias("sections"), F.sum(F.size("lines")).alias("paragraphs"))

@@ -31,6 +31,32 @@ def publish(df: DataFrame, folder: str, version: str, least: int | None = None)
     return True
 
 
+def digest(df: DataFrame, *columns: str) -> DataFrame:
+    """One row (rows, sum, mix) that tells whether two tables hold the same rows, in whatever order and however often each: the number of rows, and sums of two hashes
+    of a row modulo 2^64. Equal tables agree; unlike ones agree with a chance of about 2^-64."""
+    cells = [F.col(c) for c in (columns or df.columns)]
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)"))
+    return df.agg(F.count("*").alias("rows"), F.coalesce(part(1), F.lit(0)).alias("sum"), F.coalesce(part(2), F.lit(0)).alias("mix"))
+
+
+def rebuild(source: DataFrame, folder: str, version: str) -> dict:
+    """Writes a version beside the one in use, reads it again, and switches to it only if it has as many rows as the source and the same rows. Returns what was expected and found,
+    with `ok`; a version that isn't whole stays unused, and the pointer where it was. source: as it should be found, read once more for the comparison."""
+    spark = source.sparkSession
+    source.write.mode("overwrite").parquet(f"{folder}/{version}")
+    built = spark.read.schema(source.schema).parquet(f"{folder}/{version}")
+    return switched(source, built, folder, version)
+
+
+def switched(source: DataFrame, built: DataFrame, folder: str, version: str) -> dict:
+    """Switches the pointer of a folder to a version if what was built equals its source in count and digest."""
+    want, got = digest(source).first(), digest(built, *source.columns).first()
+    ok = want == got
+    if ok:
+        source.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    return {"ok": ok, "expected": want["rows"], "actual": got["rows"], "same_rows": tuple(want)[1:] == tuple(got)[1:]}
+
+
 def upsert_into(batch: DataFrame, folder: str, version: str, keys: list[str], insert_only: list[str] = (), order: Column | None = None) -> DataFrame:
     """The next version of a keyed table: the one before with the batch merged in, written beside it and switched to."""
     spark = batch.sparkSession

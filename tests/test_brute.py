@@ -2,6 +2,7 @@
 
 import datetime as dt
 import difflib
+import random
 import re
 import unicodedata
 from collections import defaultdict
@@ -123,16 +124,36 @@ def test_abbreviated_heads(spark):
     assert heads == {30: text, 10: "one two…", 4: "one…", 3: "one…"}
 
 
+def packed(texts, most):
+    """Lots one text after the other, as sizes and members."""
+    out, held = [], 0
+    for x in sorted(texts, key=lambda x: (len(x or ""), x is not None, x or "")):
+        if not out or held and held + len(x or "") > most:
+            out.append([])
+            held = 0
+        out[-1].append(x)
+        held += len(x or "")
+    return out
+
+
 def test_lots(spark, sf):
     rows = got(spark, sf, "texts_in_lots")
     part = table(spark, sf, "part")
     want = {x for r in part for x in (r["p_name"], r["p_type"], r["p_brand"])} - {r["p_name"] for r in part if r["p_size"] % 2 == 0}
-    sums = defaultdict(int)
-    for r in rows:
-        sums[r["lot"]] += len(r["text"])
-    assert sorted(r["text"] for r in rows) == sorted(want) and all(n <= 400 for n in sums.values())
-    long = spark.createDataFrame([("a" * 50,), ("b" * 9,), ("",), (None,)], "text string").coalesce(1)
-    assert W.lots(long, "text", 10).count() == 4 and W.lots(long.limit(0), "text", 10).count() == 0
+    assert {(r["lot"], r["text"]) for r in rows} == {(i, x) for i, lot in enumerate(packed(want, 400)) for x in lot}
+
+
+def test_lots_are_the_same_in_any_partitions(spark):
+    rng = random.Random(8)
+    for most in (1, 7, 10, 33):
+        texts = [None if rng.random() < 0.02 else "".join(rng.choice("abcé") for _ in range(int(rng.expovariate(0.15)))) for _ in range(400)] + ["x"] * 50 + [""] * 5
+        want = sorted((i, x or "") for i, lot in enumerate(packed(texts, most)) for x in lot)
+        for parts in (1, 5):
+            df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(parts)
+            assert sorted((r["lot"], r["text"] or "") for r in W.lots(df, "text", most).collect()) == want, (most, parts)
+        few = [x for x in texts if x and len(x) > most]
+        assert sorted((r["lot"], r["text"]) for r in W.lots(spark.createDataFrame([(x,) for x in few], "text string"), "text", most).collect()) == sorted((i, x) for i, lot in enumerate(packed(few, most)) for x in lot)
+    assert W.lots(spark.createDataFrame([], "text string"), "text", 10).collect() == []
 
 
 def test_seeded_sample(spark, sf):

@@ -84,6 +84,31 @@ def test_positional_dumps(spark, tmp_path):
     assert ("1", "dénomination") in rows(one)
 
 
+def test_positional_dumps_are_split_by_lines(spark, tmp_path):
+    """The last row of a key stands, whichever task reads it; a byte that is no UTF-8 in one split decides for the whole file."""
+    lines = [f"{i % 500}\tname {i}\té{i}" for i in range(20_000)]
+    (tmp_path / "a.txt").write_bytes("\n".join(lines).encode())
+    (tmp_path / "b.txt").write_bytes("\n".join(lines[:300] + ["é\té\té"]).encode("latin-1"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        read = S.positional(spark, str(tmp_path), ["key", "name", "more"], "key")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        want = {str(i % 500): (f"name {i}", f"é{i}") for i in range(20_000)} | {str(i): (f"name {i}", f"é{i}") for i in range(300)} | {"é": ("é", "é")}
+        assert {r["key"]: (r["name"], r["more"]) for r in read.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rebuilds_switch_only_if_equal(spark, tmp_path):
+    folder, df = str(tmp_path / "i"), spark.createDataFrame([(1, "a", [1.0]), (2, None, []), (2, None, [])], "id long, name string, v array<double>")
+    assert K.rebuild(df, folder, "v1") == {"ok": True, "expected": 3, "actual": 3, "same_rows": True} and K.current(spark, folder).count() == 3
+    for built in (df.limit(2), df.withColumn("name", F.lit("b")), df.union(df.limit(1)), df.limit(2).union(df.where("id = 1")), df.limit(0)):
+        found = K.switched(df, built, folder, "v2")
+        assert not found["ok"] and found["expected"] == 3 and found["actual"] == built.count() and not found["same_rows"]
+    assert K.current(spark, folder).inputFiles()[0].split("/")[-2] == "v1"
+    assert K.switched(df, df.orderBy(F.desc("id")).select("v", "name", "id"), folder, "v1")["ok"] and K.switched(df.limit(0), df.limit(0), folder, "v1")["ok"]
+
+
 def test_zipped_tables(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("t.tsv", "﻿id\tname\n1\ta\n2\t\n3\tNaN\n")
@@ -135,10 +160,51 @@ def test_page_facts(spark):
     assert tuple(got[0]) == ("Drug X 5 mg", "05/03/2024", "ACME Labs", ["5 mg", "2,5 mg/ml"]) and tuple(got[1]) == (None, None, None, [])
 
 
+def composed(spark, *texts):
+    rows = spark.createDataFrame([(x,) for x in texts], "x array<string>").select(P.composition(F.coalesce("x", F.array().cast("array<string>"))).alias("s")).collect()
+    return [r["s"] for r in rows]
+
+
 def test_composition(spark):
-    lines = ["Paracétamol (DC) ........ 500,0 mg", "Chaque comprimé contient 5 mg de ramipril et 10 mg d'amlodipine.", "Eau purifiée ..... 3 ml", "contient : acide acétylsalicylique.", "Paracetamol 500 mg", "rien"]
-    got = spark.createDataFrame([(lines,), ([],), (None,)], "x array<string>").select(P.composition(F.coalesce("x", F.array().cast("array<string>"))).alias("s")).collect()
-    assert got[0]["s"] == ["Paracétamol", "ramipril", "amlodipine", "acide acétylsalicylique"] and got[1]["s"] == got[2]["s"] == []
+    lines = ["Paracétamol (DC) ........ 500,0 mg", "Chaque comprimé contient 5 mg de ramipril et 10 mg d'amlodipine.", "Eau purifiée ..... 3 ml", "contient : acide acétylsalicylique.", "PARACÉTAMOL 500 mg", "rien"]
+    assert composed(spark, lines, [], None) == [["Paracétamol", "ramipril", "amlodipine", "Eau purifiée"], [], []]
+
+
+def test_substances_stand_alone_or_not(spark):
+    """Words that are no substance count only alone; measures give way to what they measure; tails, lead-ins and brackets go."""
+    one = {
+        "Sodium ...... 3 mg": [], "Sodium bicarbonate ...... 3 mg": ["Sodium bicarbonate"], "potassium 5 mg": [], "Potassium (chlorure de) 5 mg": [], "Chlorure de potassium 5 mg": ["Chlorure de potassium"], "Solution ..... 3 ml": [],
+        "Magnesium .... 1 g": [], "Excellent produit .... 1 g": ["Excellent produit"], "Composition : Ibuprofène 200 mg": ["Ibuprofène"], "Quantité correspondant à ibuprofène 200 mg": ["ibuprofène"], "Substances actives : kétoprofène ....": ["kétoprofène"],
+        "Chaque gélule contient environ 20,5 mg de l'oméprazole (base), soit 2": ["oméprazole"], "Le flacon contient de la vancomycine.": ["vancomycine"], "Activité anti-Xa de daltéparine sodique 5000 UI": ["daltéparine sodique"], "Activité 5000 UI": [],
+        "Amoxicilline sous forme trihydratée 500 mg": ["Amoxicilline"], "Insuline par ml 100 UI": ["Insuline"], "Insuline par 3 ml 100 UI": ["Insuline par"], "Ab ..... 1 mg": [], "1 2 3 ..... 4 mg": [], "Fer": [], "Eau pour préparations .... 1 ml": ["Eau pour préparations"],
+    }
+    assert dict(zip(one, composed(spark, *[[k] for k in one]))) == one
+    assert composed(spark, ["Alpha .... 1 mg", "Excipients : lactose", "Beta .... 1 mg"], ["3. FORME PHARMACEUTIQUE", "Beta .... 1 mg"], [f"{c * 4} .... 1 mg" for c in "ABCDEFGH"]) == [["Alpha"], [], [c * 4 for c in "ABCDEF"]]
+
+
+def test_best_chain_of_landmarks():
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        found = [(rng.randrange(6), rng.randrange(1, 3), 0) for _ in range(rng.randrange(9))]
+        got = P.best_chain(found)
+        chains = [c for n in range(len(found) + 1) for c in itertools.combinations(range(len(found)), n) if all(found[a][0] < found[b][0] for a, b in itertools.pairwise(c))]
+        assert tuple(got) in chains and sum(found[i][1] for i in got) == max(sum(found[i][1] for i in c) for c in chains)
+
+
+def test_plans_of_long_texts(spark):
+    """A table of contents, references at the beginning of a line, sections left out, the closing sentence and the annex."""
+    toc = "TABLE\n1. A\n2. B\n4. C\n4.1 D\n4.2 E\n10. F\n"
+    body = "1. A\nfirst text\ngoes on.\n- item\n2. B\nsee\n4.2 above.\n12\n4. C\n4.1 D\nd text\n4.2 E\ne text\n4.1 is above\n10. F\nmore http://www.EMA.europa.eu/x end\n11. after\nrest\n"
+    df = spark.createDataFrame([(1, toc + body + "ANNEXE II\n12. no\n"), (2, ""), (3, None), (4, "no plan"), (5, "4.1 D\nx\n" + "y" * 900)], "id long, text string")
+    got = P.plan_sections(df, "id", "text")
+    one = {r["number"]: (r["parent"], r["paragraphs"]) for r in got.where("id = 1").collect()}
+    assert one == {"1": (None, ["A first text goes on.", "- item"]), "2": (None, ["B see 4.2 above."]), "4": (None, []), "4.1": ("4", ["D d text"]), "4.2": ("4", ["E e text 4.1 is above"]), "10": (None, ["F more http://www.EMA.europa.eu/x end"])}
+    last = got.where("id = 5").collect()
+    assert [(r["number"], r["parent"], r["end"] - r["start"]) for r in last] == [("4.1", None, 600)] and got.where("id in (2, 3, 4)").count() == 0
+    assert [tuple(r) for r in P.plan_usable(got, "id").orderBy("id").collect()] == [(1, 4, 6, False), (5, 0, 0, False)]
 
 
 def test_heading_sections_and_plans(spark):
