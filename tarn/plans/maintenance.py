@@ -252,6 +252,19 @@ def latest_record(t: Tables) -> DataFrame:
     return keep_best(t.orders, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
 
 
+@query("""
+WITH n AS (SELECT count(*) AS expected FROM embeddings) SELECT v.version, n.expected, CASE v.version WHEN 'short' THEN (SELECT count(*) FROM embeddings WHERE vec_id % 97 <> 0) ELSE n.expected END AS actual, v.version = 'whole' AS ok FROM n, (VALUES ('whole'), ('short'), ('changed'), ('swapped')) v(version)
+""")
+def rebuild_gates(t: Tables) -> DataFrame:
+    """Whether an index that was built anew may replace its source: equal counts and equal rows. Versions are whole, short, with a changed row, and with a row in place of another."""
+    rows = K.vectors(t.embeddings, "vec_id", "embedding", "label")
+    first, second = t.embeddings.agg(F.min("vec_id").alias("k")), t.embeddings.where("vec_id > 0").agg(F.min("vec_id").alias("k"))
+    doubled = t.embeddings.join(second, F.col("vec_id") == F.col("k"), "left_anti").unionByName(t.embeddings.join(first, F.col("vec_id") == F.col("k"), "left_semi"))
+    short = t.embeddings.where("vec_id % 97 != 0")
+    versions = {"whole": rows.repartition(3, "point"), "short": K.vectors(short, "vec_id", "embedding", "label"), "changed": rows.withColumn("label", F.when(F.col("point") % 7 == 0, F.col("label") + 1).otherwise(F.col("label"))), "swapped": K.vectors(doubled, "vec_id", "embedding", "label")}
+    return K.gates(rows, versions)
+
+
 @query("SELECT vec_id, CAST(('0x' || substr(sha256(CAST(vec_id AS VARCHAR)), 1, 16))::UHUGEINT % 9223372036854775808::UHUGEINT AS BIGINT) AS point, len(embedding) AS size FROM embeddings")
 def vector_records(t: Tables) -> DataFrame:
     """Records for a vector store with ids that are the same in every run."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions import fuzzy as Z
 from tarn.functions import text as X
 from tarn.operators import containment as B
+from tarn.operators import elastic as L
 from tarn.operators import filters as P
 from tarn.operators import resolve as E
 from tarn.operators import search as V
@@ -104,6 +105,10 @@ WHERE v >= 0.05 AND 0.4 * v + 0.6 * least(label * 20 / 100.0, 1.0) >= 0.15
 """)
 def hybrid_rank(t: Tables) -> DataFrame:
     """A vector score above a floor mixed with a text score."""
+    return hybrid_hits(t)
+
+
+def hybrid_hits(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", "label", V.cosine(F.col("embedding"), _Q).alias("v")).where("v >= 0.05")
     score = V.hybrid(F.col("v"), F.col("label") * 20)
     return rows.where(score >= 0.15).select("vec_id", F.round(score, 9).alias("score"))
@@ -197,6 +202,25 @@ def index_then_scan(t: Tables) -> DataFrame:
     return V.index_or_scan(rows.where("p_name = 'purple ring'"), rows.where((F.col("p_type") == "PROMO") & F.col("p_name").rlike(".{0,2}".join("ring")))).select("p_partkey", "p_name")
 
 
+MISSPELT = "gizmoo blu"
+
+
+@query(f"""
+SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?is)' || array_to_string(['g', 'i', 'z', 'm', 'o', 'o', 'b', 'l', 'u'], '.{{0,2}}')) OR regexp_matches(p_name, '(?is)g.*i.*z.*m.*o.*o') OR regexp_matches(p_name, '(?is)b.*l.*u') OR list_has_any(string_split(p_name, ' '), ['gizmoo', 'blu'])
+""")
+def elastic_titles(t: Tables) -> DataFrame:
+    """Titles that a misspelt query may mean: its letters with few between, a word's letters scattered, or a word as it is."""
+    return L.elastic(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", MISSPELT)
+
+
+@query()
+def fuzzy_supplement(t: Tables) -> DataFrame:
+    """Hits of the vector search, and titles that only a fuzzy search finds at 0.8 of their similarity. Tested by brute force."""
+    hits = hybrid_hits(t).select(F.col("vec_id").alias("p_partkey"), "score")
+    rows = L.supplemented(hits, t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", MISSPELT)
+    return rows.select("p_partkey", F.round("score", 9).alias("score"), "source")
+
+
 @query("""
 SELECT p_partkey, concat_ws(' | ', p_name, p_name, nullif(p_brand, 'Brand#1'), lower(p_type)) AS text FROM part
 """)

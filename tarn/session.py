@@ -17,15 +17,22 @@ def session(app: str = "tarn", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows worked out once, their lineage ended by a checkpoint in the shared folder (spark.checkpoint.dir). A session on one machine
-    that has none gets a temporary one; on a cluster that is an error."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
+def shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the session's checkpoint folder. A session on one machine that has none gets a temporary
+    one; on a cluster that is an error."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tarn-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows worked out once, their lineage ended by a checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

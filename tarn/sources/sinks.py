@@ -39,6 +39,17 @@ def digest(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.coalesce(part(1), F.lit(0)).alias("sum"), F.coalesce(part(2), F.lit(0)).alias("mix"))
 
 
+def gates(source: DataFrame, versions: dict[str, DataFrame]) -> DataFrame:
+    """(version, expected, actual, ok): of each version whether it equals its source in count and digest, as one table; a row a version."""
+    want = digest(source).select(F.col("rows").alias("expected"), F.struct("rows", "sum", "mix").alias("__want"))
+    out = None
+    for name, df in versions.items():
+        one = digest(df, *source.columns).select(F.lit(name).alias("version"), "rows", F.struct("rows", "sum", "mix").alias("__got"))
+        out = one if out is None else out.unionByName(one)
+    both = out.withColumn("g", F.lit(1)).join(want.withColumn("g", F.lit(1)), "g")
+    return both.select("version", "expected", F.col("rows").alias("actual"), (F.col("__want") == F.col("__got")).alias("ok"))
+
+
 def rebuild(source: DataFrame, folder: str, version: str) -> dict:
     """Writes a version beside the one in use, reads it again, and switches to it only if it has as many rows as the source and the same rows. Returns what was expected and found,
     with `ok`; a version that isn't whole stays unused, and the pointer where it was. source: as it should be found, read once more for the comparison."""

@@ -43,5 +43,5 @@ def test_query(spark, sf, duck, name):
 
 
 def test_queries_without_sql_are_tested_elsewhere():
-    brute = {"fuzzy_scores", "masked_names", "mention_join", "negated_terms", "quota_classes", "rate_window", "seeded_sample", "sentence_chunks", "text_keys"}
+    brute = {"fuzzy_scores", "fuzzy_supplement", "masked_names", "mention_join", "negated_terms", "quota_classes", "rate_window", "seeded_sample", "sentence_chunks", "text_keys"}
     assert set(queries.queries()) - set(queries.oracle_sql()) == brute
