@@ -220,7 +220,7 @@ _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 3000, lines: int = 2000) -> dict[str, np.ndarray]:
     """Learns the field from about `most` labelled documents at most, none of them of more than so many lines; both bound what reaches the
-    driver, 2 bytes a line."""
+    driver, 2 bytes a line. Of rows that repeat an id one is learned from, the one whose lines sort last, so an id of very many rows is one row before anything is gathered."""
     n = labels.count()
     chosen = labels.where(F.col(label_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < min(1.0, most / max(n, 1)) * (1 << 20)))
     chosen = chosen.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
@@ -233,9 +233,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found = profile(part.column(0))
                 cut = np.concatenate([[0], np.cumsum(found["lines"])])
                 packed = [found["bits"][a:b].astype("<u2").tobytes() if b - a <= lines else b"" for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), part.column(1)], names=["bits", "y"])
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array(packed, pa.binary()), part.column(1)], names=["id", "bits", "y"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(light(chosen), "id").select("text", "y").mapInArrow(run, "bits binary, y int").collect()
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(light(chosen), "id").select("text", "y", "id")
+    kind = T.StructType([known.schema["id"], T.StructField("bits", T.BinaryType()), T.StructField("y", T.IntegerType())])
+    rows = known.mapInArrow(run, kind).groupBy("id").agg(F.max("bits").alias("bits"), F.max("y").alias("y")).collect()
     rows = sorted((r for r in rows if len(r["bits"])), key=lambda r: (r["y"], r["bits"]))
     if not rows:
         return prior()

@@ -8,7 +8,9 @@ documents by kind and pattern of votes, at most 4 * 3^5 rows, and expectation-ma
 reliability on both sides and each pattern's probability; a logistic span classifier is trained on those soft labels and judges each candidate.
 
 Everything about a text stays in its row: no text is shuffled. Group patterns are possessive, so long runs neither backtrack nor
-nest, and a text is only matched against patterns whose rarest character it holds. Positions count code points, ends are exclusive.
+nest, and a text is only matched against patterns whose rarest character it holds. Positions count code points, ends are exclusive. Spans of one kind are
+in order and apart, so places are running sums and overlaps are found by halving, and words around a span come from blocks of the text: a text of very many spans costs its
+length times a logarithm, not its square.
 
 Cases: null text counts as empty; texts without personal data have no spans; texts of any length are read whole; repeated rows give a
 row each; other columns are ignored by `find` and kept by `redact`; an empty table gives an empty table and the prior classifier.
@@ -63,19 +65,52 @@ def bind(value, f: Callable) -> Callable[[Column], Column]:
     return lambda x: f(value, x)
 
 
-def matched(text: Column, pattern: str, gate: Column) -> Column:
-    """The matches of a pattern as structs of start, end and text; nothing is matched unless the gate holds."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(hits))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(Span).alias("out"))
+#: Values that a running sum or maximum works out one by one behind a known one; code points of a block of a text.
+CHUNK, BLOCK = 128, 512
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["hit"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("h")))).alias("out"))
 
-    zipped = F.zip_with(hits, gaps, lambda h, g: F.struct(F.coalesce(h, F.lit("")).alias("hit"), F.coalesce(g, F.lit(0)).alias("gap")))
-    return F.when(gate, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(Span))
+def once(x: str, name: str, body: str) -> str:
+    """SQL of a body in which a value has a name; it is worked out once, however often it is named."""
+    return f"get(transform(array({x}), {name} -> {body}), 0)"
+
+
+def running(values: str, op: str) -> str:
+    """SQL: for each value of an array of whole numbers the sum ('+') or maximum ('greatest') of those before it, 0 at first. Only every CHUNK-th is appended to an array; the others
+    follow from the one before them, so the work follows the values and not their square."""
+    joined = "greatest(t, get(v, j))" if op == "greatest" else f"t {op} get(v, j)"
+    over = lambda first, last, start: f"aggregate(if({last} >= {first}, sequence({first}, {last}), array()), {start}, (t, j) -> {joined})"
+    heads = f"aggregate(if(size(v) > 0, sequence(0, (size(v) - 1) div {CHUNK}), array()), named_struct('t', 0, 'out', cast(array() as array<int>)), (acc, k) -> named_struct('t', {over(f'cast(k * {CHUNK} as int)', f'cast(least(size(v), (k + 1) * {CHUNK}) - 1 as int)', 'acc.t')}, 'out', concat(acc.out, array(acc.t))), acc -> acc.out)"
+    each = f"transform(v, (x, i) -> {over(f'i - i % {CHUNK}', 'i - 1', f'get(h, cast(i div {CHUNK} as int))')})"
+    return once(values, "v", once(heads, "h", each))
+
+
+def matched(text: str, pattern: str, gate: Column) -> Column:
+    """The matches of a pattern in a column as structs of start, end and text, in order; nothing is matched unless the gate holds."""
+    p = "'" + pattern.replace("\\", "\\\\") + "'"
+    zipped = f"filter(zip_with(regexp_extract_all({text}, {p}, 0), transform(split({text}, {p}, -1), g -> length(g)), (h, g) -> named_struct('hit', h, 'gap', coalesce(g, 0))), x -> x.hit is not null)"
+    at = running("transform(z, x -> x.gap + length(x.hit))", "+")
+    placed = "transform(z, (x, i) -> named_struct('s', get(p, i) + x.gap, 'e', get(p, i) + x.gap + length(x.hit), 'h', x.hit))"
+    return F.when(gate, F.expr(once(zipped, "z", once(at, "p", placed)))).otherwise(F.array().cast(Span))
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks, so that a part of it is found without reading it from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part(blocks: str, at: str, n: str) -> str:
+    """SQL: n code points of a text from a place, counted from 0; fewer at its end."""
+    whole = f"array_join(transform(sequence(cast(q.at div {BLOCK} as int), cast((q.at + q.n - 1) div {BLOCK} as int)), j -> coalesce(get({blocks}, j), '')), '')"
+    return once(f"named_struct('at', {at}, 'n', {n})", "q", f"if(q.n > 0, substring({whole}, cast(q.at % {BLOCK} as int) + 1, q.n), '')")
+
+
+_SPAN_AND = "named_struct('s', c.s, 'e', c.e, 'h', c.h, 'before', lower(w.before), 'prior', w.prior, 'next', w.next)"
+
+
+def around(blocks: str, spans: str) -> str:
+    """SQL: spans with the 30 code points before them in lower case, and the ones next to them on both sides."""
+    near = ", ".join(f"'{name}', {part(blocks, at, n)}" for name, at, n in (("before", "greatest(c.s - 30, 0)", "least(c.s, 30)"), ("prior", "greatest(c.s - 1, 0)", "least(c.s, 1)"), ("next", "c.e", "1")))
+    return f"transform({spans}, c -> {once(f'named_struct({near})', 'w', _SPAN_AND)})"
 
 
 def digits(x: Column) -> Column:
@@ -115,15 +150,24 @@ def wide_gates(text: Column) -> dict[str, Column]:
     return {"email": text.rlike(r"[\[(]at[\])]"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": text.rlike(r"[0-9]{3}[ .-][0-9]{3}")}
 
 
-def overlaps(spans: Column, c: Column) -> Column:
-    return F.exists(spans, lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
+def overlaps(spans: str, c: str) -> str:
+    """SQL: whether a span meets one of others that are in order and apart: the last that begins before its end tells, and is found by halving."""
+    mid = "shiftright(a.lo + a.hi, 1)"
+    halved = f"if(get({spans}, {mid}).s < {c}.e, named_struct('lo', {mid}, 'hi', a.hi), named_struct('lo', a.lo, 'hi', {mid}))"
+    last = f"aggregate(sequence(0, cast(ceil(log2(size({spans}) + 1)) as int)), named_struct('lo', -1, 'hi', size({spans})), (a, _) -> if(a.hi - a.lo > 1, {halved}, a), a -> a.lo)"
+    return f"if(size({spans}) > 0, coalesce(get({spans}, {last}).e > {c}.s, false), false)"
+
+
+def apart(spans: str, others: list[str]) -> str:
+    """SQL: the spans that meet none of several arrays of others, each in order."""
+    meets = " or ".join(overlaps(f"o.o{i}", "x") for i in range(len(others)))
+    held = "named_struct(" + ", ".join(f"'o{i}', {x}" for i, x in enumerate(others)) + ")"
+    return f"if(size({spans}) > 0, {once(held, 'o', f'filter({spans}, x -> not ({meets}))')}, {spans})"
 
 
-def votes(kind: str, text: Column, c: Column) -> list[Column]:
-    """The five votes on a span of a kind, in the order of LABELERS."""
-    h, number = c["h"], digits(c["h"])
-    before = F.lower(F.substring(text, F.greatest(c["s"] - 29, F.lit(1)), F.least(c["s"], F.lit(30))))
-    prior_char, next_char = F.when(c["s"] > 0, F.substring(text, c["s"], F.lit(1))).otherwise(F.lit("")), F.substring(text, c["e"] + 1, F.lit(1))
+def votes(kind: str, c: Column) -> list[Column]:
+    """The five votes on a span of a kind with what stands around it, in the order of LABELERS."""
+    h, number, before, prior_char, next_char = c["h"], digits(c["h"]), c["before"], c["prior"], c["next"]
     sign = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
     good, bad = CONTEXT[kind]
     says = [
@@ -149,16 +193,14 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
     out = docs.withColumn("__text", F.coalesce(text, F.lit("")))
     t = F.col("__text")
     narrow, wide = gates(t), wide_gates(t)
-    out = out.withColumns({f"__hit_{k}": matched(t, BASE[k], narrow[k]) for k in KINDS} | {f"__wide_{k}": matched(t, WIDER[k], wide[k]) for k in KINDS})
+    out = out.withColumns({f"__hit_{k}": matched("__text", BASE[k], narrow[k]) for k in KINDS} | {f"__wide_{k}": matched("__text", WIDER[k], wide[k]) for k in KINDS})
     out = out.withColumns({f"__base_{k}": F.filter(F.col(f"__hit_{k}"), bind(k, lambda k, x: VALID[k](x["h"]))) for k in KINDS})
-    out = out.withColumn("__bases", F.concat(*[F.col(f"__base_{k}") for k in KINDS]))
-    found = {}
-    for k in KINDS:
-        every = F.col(f"__wide_{k}")
-        if k == "card":  # matches of the right length that failed, unless a narrower form stands for them
-            every = F.concat(every, F.filter(F.col("__hit_card"), lambda x: F.length(digits(x["h"])).between(13, 19) & ~luhn(digits(x["h"])) & ~overlaps(F.col("__wide_card"), x)))
-        found[f"__cand_{k}"] = F.when(F.size(every) > 0, F.filter(every, lambda x: ~overlaps(F.col("__bases"), x))).otherwise(F.array().cast(Span))
-    return out.withColumns(found)
+    # matches of the right length that failed, unless a narrower form stands for them
+    out = out.withColumn("__failed", F.filter(F.col("__hit_card"), lambda x: F.length(digits(x["h"])).between(13, 19) & ~luhn(digits(x["h"]))))
+    out = out.withColumn("__wide_card", F.expr(f"array_sort(concat(__wide_card, {apart('__failed', ['__wide_card'])}))"))
+    some = sum([F.size(f"__hit_{k}") + F.size(f"__wide_{k}") for k in KINDS], F.lit(0)) > 0
+    bases = [f"__base_{k}" for k in KINDS]
+    return out.withColumns({"__blocks": F.when(some, blocks_of(t)).otherwise(F.array().cast("array<string>"))} | {f"__cand_{k}": F.expr(apart(f"__wide_{k}", bases)) for k in KINDS})
 
 
 class Classifier:
@@ -224,7 +266,8 @@ START = [-1.5, 2.5, -4.0, 1.0, -1.0, 1.0, -1.0, 0.8, -1.0, 1.0, -1.0]
 def learn(docs: DataFrame, text_col: str = "text") -> Classifier:
     """Votes over all documents, reliabilities, and the span classifier."""
     rows = candidates(docs.select(F.col(text_col).alias("text")), F.col("text"))
-    every = F.concat(*[F.transform(F.concat(F.col(f"__base_{k}"), F.col(f"__cand_{k}")), bind(k, lambda k, c: F.struct(F.lit(k).alias("kind"), *[v.alias(n) for n, v in zip(LABELERS, votes(k, F.col("__text"), c))]))) for k in KINDS])
+    near = lambda k: F.expr(around("__blocks", f"concat(__base_{k}, __cand_{k})"))
+    every = F.concat(*[F.transform(near(k), bind(k, lambda k, c: F.struct(F.lit(k).alias("kind"), *[v.alias(n) for n, v in zip(LABELERS, votes(k, c))]))) for k in KINDS])
     counted = rows.select(F.explode(every).alias("v")).select("v.*").groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).collect()
     weights, reliability = {}, {}
     for k in KINDS:
@@ -237,19 +280,11 @@ def learn(docs: DataFrame, text_col: str = "text") -> Classifier:
 def find(docs: DataFrame, model: Classifier, text: Column, chance: float = 0.5) -> DataFrame:
     """Adds __base_<kind> and __all_<kind>: base spans, and those with the added ones, in order of start."""
     out = candidates(docs, text)
-    for k in KINDS:
-        kept = F.filter(F.col(f"__cand_{k}"), bind(k, lambda k, c: model.chance(k, votes(k, F.col("__text"), c)) >= chance))
-        out = out.withColumn(f"__add_{k}", kept)
-    everything = {}
-    for i, k in enumerate(KINDS):
-        # of two added spans that overlap, the kind listed first stays; within a kind the first
-        earlier = [F.col(f"__add_{x}") for x in KINDS[:i]]
-        mine = F.col(f"__add_{k}")
-        if earlier:
-            mine = F.filter(mine, bind(earlier, lambda e, c: ~overlaps(F.concat(*e), c)))
-        mine = F.filter(mine, bind(k, lambda k, c: ~F.exists(F.col(f"__add_{k}"), lambda b: (b["s"] < c["s"]) & (b["e"] > c["s"]))))
-        everything[f"__all_{k}"] = F.array_sort(F.array_distinct(F.concat(F.col(f"__base_{k}"), mine)))
-    return out.withColumns(everything)
+    kept = {k: F.filter(F.expr(around("__blocks", f"__cand_{k}")), bind(k, lambda k, c: model.chance(k, votes(k, c)) >= chance)) for k in KINDS}
+    out = out.withColumns({f"__add_{k}": F.transform(kept[k], lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["h"].alias("h"))) for k in KINDS})
+    # of two added spans that overlap, the kind listed first stays; those of a kind are apart
+    mine = {k: apart(f"__add_{k}", [f"__add_{x}" for x in KINDS[:i]]) if i else f"__add_{k}" for i, k in enumerate(KINDS)}
+    return out.withColumns({f"__all_{k}": F.expr(f"array_sort(concat(__base_{k}, {mine[k]}))") for k in KINDS})
 
 
 def listed(prefix: str) -> Column:
@@ -258,17 +293,10 @@ def listed(prefix: str) -> Column:
 
 def redacted() -> Column:
     """The text with every span replaced by its kind; spans that overlap become one mark, of the one that begins first."""
-    marks = F.array_sort(F.concat(*[F.transform(F.col(f"__all_{k}"), bind(k, lambda k, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{k.upper()}>").alias("mark")))) for k in KINDS]))
-    piece = "array<string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(piece).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("__text"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.array(gap, x["mark"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    tail = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("__text"), acc["at"] + 1, F.length("__text")))), "")
-    return F.when(F.size(marks) == 0, F.col("__text")).otherwise(F.aggregate(marks, start, step, tail))
+    marks = "array_sort(concat(" + ", ".join(f"transform(__all_{k}, x -> named_struct('s', x.s, 'e', x.e, 'mark', '<{k.upper()}>'))" for k in KINDS) + "))"
+    rest = once("array_max(transform(m, x -> x.e))", "last", part("__blocks", "last", "length(__text) - last"))
+    each = once(running("transform(m, x -> x.e)", "greatest"), "p", f"transform(m, (x, i) -> if(x.s >= get(p, i), concat({part('__blocks', 'get(p, i)', 'x.s - get(p, i)')}, x.mark), ''))")
+    return F.expr(once(marks, "m", f"if(size(m) = 0, __text, array_join(concat({each}, array({rest})), ''))"))
 
 
 def redact(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -472,6 +473,19 @@ def test_pii_awkward(spark, tmp_path):
     assert pii.redact(awkward(spark, True), pii.learn(awkward(spark, True))).count() == 0
 
 
+def test_pii_of_very_many_spans(spark):
+    """A text of 60,000 spans is found and marked in time that follows its length; spans that touch blocks and chunks are placed right."""
+    parts = [f"mail user{i}@host{i % 97}.com \U0001f600 ip 10.{i % 256}.3.4 tel +1 555 010 {i % 10000:04d}," for i in range(20_000)]
+    docs = spark.createDataFrame([(i, " ".join(parts[:n])) for i, n in enumerate((0, 1, 127, 128, 129, 257, 20_000))], "doc_id long, text string").cache()
+    model = pii.Classifier({k: pii.START for k in pii.KINDS}, {})
+    began = time.time()
+    rows = pii.find(docs, model, F.col("text")).select("doc_id", *[F.size(f"__base_{k}").alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listed("__base").cast("binary"), 256).alias("base_sha256"), pii.listed("__all").alias("spans")).collect()
+    assert time.time() - began < 60
+    check_base(rows, {r["doc_id"]: r["text"] for r in docs.collect()})
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    assert clean[6] == " ".join(["mail <EMAIL> \U0001f600 ip <IP> tel <PHONE>,"] * 20_000) and clean[0] == ""
+
+
 def plain_spans(text, model):
     """All spans: base ones, and candidates that the classifier takes, in plain Python."""
     digits = lambda h: re.sub("[^0-9]", "", h)
@@ -647,6 +661,16 @@ def test_rules_awkward(spark):
     assert crf.judge(awkward(spark, True), crf.learn(awkward(spark, True), labels.limit(0))).count() == 0
 
 
+def test_rules_learn_from_one_row_of_an_id(spark):
+    """An id of very many rows reaches the driver once, and the field is the same as with one row of it."""
+    lines = lambda i: "\n".join(f"line {i} number {j} of a text." if j % 3 else "* | menu" for j in range(12))
+    one = spark.createDataFrame([(i, lines(i)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    many = one.unionByName(spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(lines(7)).alias("text")))
+    a, b = crf.learn(one, labels), crf.learn(many, labels)
+    assert a.keys() == b.keys() and all(np.array_equal(a[k], b[k]) for k in a)
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
