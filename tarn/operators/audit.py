@@ -52,3 +52,19 @@ def audit(df: DataFrame, raw: str, required: list[str], typed: dict[str, tuple[s
     rows = df.select(F.try_parse_json(F.col(raw)).alias("__v"))
     counted = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, (_, _, c) in enumerate(checks)])
     return counted.select(F.explode(F.array(*[F.struct(F.lit(name).alias("check"), F.lit(path).alias("path"), F.col(f"c{i}").alias("n")) for i, (name, path, _) in enumerate(checks)])).alias("x")).select("x.*")
+
+
+def strings_of(df: DataFrame, raw: str, skipped: list[str] = ()) -> DataFrame:
+    """(text): the distinct strings that JSON documents hold at any depth, empty ones and those under the keys named left out. Taken apart level by level, as `type_counts`."""
+    v = F.try_parse_json(F.col(raw))
+    level, out = df.select(v.alias("v"), kind_of(v).alias("kind")).where("v IS NOT NULL"), None
+    while True:
+        level = cut(level)
+        own = level.where("kind = 'string'").select(F.try_variant_get("v", "$", "string").alias("text")).where("text != ''")
+        out = own if out is None else out.unionByName(own)
+        nested = level.where(F.col("kind").isin("object", "array"))
+        if not nested.limit(1).count():
+            return out.distinct()
+        parts = nested.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value"))
+        kept = F.col("key").isNull() | ~F.col("key").isin(*skipped) if skipped else F.lit(True)
+        level = parts.where(kept).select(F.col("value").alias("v"), kind_of(F.col("value")).alias("kind"))

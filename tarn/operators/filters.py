@@ -107,3 +107,11 @@ def earliest(x: Column, markers: dict[str, tuple[str, ...]], none: str) -> Colum
     """The name whose marker comes first in a text; equals by the order given."""
     at = [F.struct(F.instr(x, w).alias("at"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, words) in enumerate(markers.items()) for w in words]
     return F.coalesce(F.array_min(F.filter(F.array(*at), lambda a: a["at"] > 0))["k"], F.lit(none))
+
+
+def phrase_or_words(x: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """(level, how): the level of the first rule whose phrase a text contains; only where no phrase is contained, that of the first rule all of whose words are."""
+    first = lambda holds: F.coalesce(*[F.when(holds(phrase), level) for phrase, level in rules])
+    whole = first(lambda p: F.contains(x, F.lit(p)))
+    loose = first(lambda p: every(*[F.contains(x, F.lit(w)) for w in p.split()]))
+    return F.coalesce(whole, loose), F.when(whole.isNotNull(), "phrase").when(loose.isNotNull(), "words")

@@ -103,24 +103,20 @@ def neighbourhood(edges: DataFrame, node: int) -> DataFrame:
     return every.where(F.col("id") != node).groupBy("id").agg(F.min("hops").alias("hops"))
 
 
-def ancestors(parents: DataFrame, most: int = 20) -> DataFrame:
-    """(node, ancestor, depth): zero or more steps up from (child, parent); a cycle ends where it would repeat.
-
-    Raises where pairs are still new after `most` steps."""
-    up = parents.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
-    parents = cut(parents)
-    now = parents.select(F.col("child").alias("node")).union(parents.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    out = now
-    for k in range(1, most + 1):
-        now = now.join(up, F.col("ancestor") == F.col("__c")).select("node", F.col("__p").alias("ancestor"), F.lit(k).alias("depth"))
-        now = now.join(out.select(F.col("node").alias("__n"), F.col("ancestor").alias("__a")), (F.col("node") == F.col("__n")) & (F.col("ancestor") == F.col("__a")), "left_anti")
-        now = cut(now)
-        if not now.limit(1).count():
-            return out
-        out = cut(out.unionByName(now))
-    if now.join(up, F.col("ancestor") == F.col("__c")).select("node", F.col("__p").alias("ancestor")).join(out, ["node", "ancestor"], "left_anti").limit(1).count():
-        raise RuntimeError(f"ancestors go on beyond {most} steps")
-    return out
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): zero or more steps up from (child, parent), with the fewest steps; a cycle ends where it would repeat.
+
+    Each round joins what is reached with itself, so paths double and a hierarchy of any depth takes its logarithm in rounds; each is cut, and it ends when a round
+    finds nothing new."""
+    link = cut(parents.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct())
+    own = link.select(F.col("child").alias("node")).unionByName(link.select(F.col("parent").alias("node"))).distinct()
+    reach = own.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).unionByName(link.where("child != parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    reach, size = cut(reach), -1
+    while (now := reach.count()) != size:
+        size = now
+        further = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__a"), F.col("depth").alias("__d"))
+        reach = cut(reach.join(further, "ancestor").groupBy("node", F.col("__a").alias("ancestor")).agg(F.min(F.col("depth") + F.col("__d")).alias("depth")))
+    return reach
 
 
 def degrees(edges: DataFrame) -> DataFrame:

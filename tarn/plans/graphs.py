@@ -24,11 +24,11 @@ def edges(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT m.p_partkey AS product, s.s_suppkey AS maker, count(DISTINCT l_orderkey) AS n FROM part m JOIN lineitem ON p_partkey = l_partkey JOIN supplier s ON l_suppkey = s_suppkey WHERE p_size <= 5 GROUP BY 1, 2
+SELECT m.p_partkey AS product, s.s_suppkey AS maker, count(DISTINCT l_orderkey) AS n FROM part m JOIN lineitem ON p_partkey = l_partkey JOIN supplier s ON l_suppkey = s_suppkey GROUP BY 1, 2
 """)
 def one_hop(t: Tables) -> DataFrame:
     """Product, edge, maker."""
-    made = G.hop(t.part.where("p_size <= 5").select("p_partkey"), t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey"), "p_partkey", "l_partkey")
+    made = G.hop(t.part.select("p_partkey"), t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey"), "p_partkey", "l_partkey")
     return made.join(t.supplier.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("p_partkey").alias("product"), F.col("s_suppkey").alias("maker")).agg(F.countDistinct("l_orderkey").alias("n"))
 
 
@@ -42,11 +42,11 @@ def optional_match(t: Tables) -> DataFrame:
 
 @query("""
 SELECT s_suppkey, coalesce((SELECT list_sort(list(DISTINCT l_returnflag)) FROM lineitem WHERE l_suppkey = s_suppkey), []) AS flags,
-       coalesce((SELECT list_sort(list(DISTINCT p_type)) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = s_suppkey AND p_size = 50), []) AS kinds FROM supplier
+       coalesce((SELECT list_sort(list(DISTINCT p_type)) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = s_suppkey), []) AS kinds FROM supplier
 """)
 def optional_star(t: Tables) -> DataFrame:
     """Several optional arms, each summed before it is joined."""
-    kinds = t.lineitem.join(t.part.where("p_size = 50"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_type")
+    kinds = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_type")
     return G.star(t.supplier.select("s_suppkey"), "s_suppkey", {"flags": (t.lineitem.select("l_suppkey", "l_returnflag"), "l_suppkey", "l_returnflag"), "kinds": (kinds, "l_suppkey", "p_type")})
 
 

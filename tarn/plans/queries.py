@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.plans import audits, catalog, graphs, maintenance, prescriptions, readers, sections, texts  # noqa: F401
+from tarn.plans import audits, catalog, graphs, maintenance, prescriptions, readers, records, sections, texts  # noqa: F401
 from tarn.plans.registry import QUERIES, SQL
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.functions.text import squash_key
 from tarn.operators.windows import keep_best
@@ -131,3 +132,22 @@ def alerts(measures: DataFrame, limits: dict[str, tuple[float, str]]) -> DataFra
 def probe_state(known: Column, found: Column, status: Column) -> Column:
     """What a probe of a source page says: error, withdrawn, broken, unchanged or changed."""
     return F.when(status >= 500, "error").when(status == 404, "withdrawn").when(found.isNull(), "broken").when(known.eqNullSafe(found), "unchanged").otherwise("changed")
+
+
+def sorted_fields(x: Column, kind: T.DataType) -> Column:
+    """A struct with its fields in the order of their names, within its structs too, so that its JSON is a key of its content."""
+    if not isinstance(kind, T.StructType):
+        return x
+    return F.struct(*[sorted_fields(x[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+
+
+def linked(originals: DataFrame, stored: DataFrame) -> DataFrame:
+    """(url, original_id, title, state): stored translations (original_id, url, title) of originals (id, url, title), found by id, else by address; 'created' from the original where there is
+    none, 'unlinked' where the original is gone. One translation an original: that found by id before that found by address."""
+    ids = originals.select("id", F.col("url").alias("__url"), F.col("title").alias("__title"))
+    by_id = ids.join(stored.where("original_id IS NOT NULL").groupBy(F.col("original_id").alias("id")).agg(F.min("title").alias("__a")), "id", "left")
+    both = by_id.join(stored.where("original_id IS NULL").groupBy(F.col("url").alias("__url")).agg(F.min("title").alias("__b")), "__url", "left")
+    found = F.coalesce("__a", "__b")
+    out = both.select(F.col("__url").alias("url"), F.col("id").alias("original_id"), F.coalesce(found, "__title").alias("title"), F.when(found.isNull(), "created").otherwise("fetched").alias("state"))
+    gone = stored.join(ids.select(F.col("id").alias("original_id")), "original_id", "left_anti").join(ids.select(F.col("__url").alias("url")), "url", "left_anti")
+    return out.unionByName(gone.select("url", F.lit(None).cast("long").alias("original_id"), "title", F.lit("unlinked").alias("state")))

@@ -135,12 +135,12 @@ def field_relevance(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT item_id, priority, location, CAST((length(text) - length(replace(lower(text), 'ther', ''))) / 4 AS BIGINT) AS n, substr(text, greatest(instr(lower(text), 'ther') - 20, 1), 60) AS excerpt
-FROM (SELECT item_id, 1 AS priority, 'head' AS location, left(text, 80) AS text FROM benchmark UNION ALL SELECT item_id, 2, 'text', text FROM benchmark) WHERE instr(lower(text), 'ther') > 0
+SELECT doc_id, priority, location, CAST((length(text) - length(replace(lower(text), 'en', ''))) / 2 AS BIGINT) AS n, substr(text, greatest(instr(lower(text), 'en') - 20, 1), 60) AS excerpt
+FROM (SELECT doc_id, 1 AS priority, 'lang' AS location, lang AS text FROM documents UNION ALL SELECT doc_id, 2, 'source', source FROM documents UNION ALL SELECT doc_id, 3, 'text', text FROM documents) WHERE instr(lower(text), 'en') > 0
 """)
 def excerpt(t: Tables) -> DataFrame:
-    """Where a term occurs, how often, and the text around it."""
-    return V.locations(t.benchmark.withColumn("head", F.left("text", F.lit(80))), "item_id", {"head": 1, "text": 2}, "ther")
+    """In which fields of a record a term occurs, how often, and the text around it."""
+    return V.locations(t.documents, "doc_id", {"lang": 1, "source": 2, "text": 3}, "en")
 
 
 @query("""

@@ -168,6 +168,14 @@ def keyword_text(sections: DataFrame, key: str, keywords: list[str], depth: int
     return found.select(key, F.array_join(F.transform("__of", lambda x: x["text"]), " ").alias("text"))
 
 
+def keyword_groups(sections: DataFrame, key: str, groups: dict[str, list[str]], depth: int = 3) -> DataFrame:
+    """(key, a column for each group): for each group of keywords what `keyword_text` gives, in one pass over the sections."""
+    rows = sections.where((F.size("path") <= depth) & (F.col("section") > 0)).select(key, "section", F.lower("title").alias("__title"), F.nullif(section_text(F.col("content")), F.lit("")).alias("__text"))
+    wanted = lambda words: F.col("__title").rlike("|".join(map(re.escape, words))) & F.col("__text").isNotNull()
+    found = rows.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(wanted(words), F.struct("section", F.col("__text").alias("text"))))).alias(g) for g, words in groups.items()])
+    return found.select(key, *[F.array_join(F.transform(g, lambda x: x["text"]), " ").alias(g) for g in groups])
+
+
 def pages_with(sections: DataFrame, key: str, pattern: str, depth: int = 3) -> DataFrame:
     """(key): of pages with a block or a cell that matches, in a section at most `depth` below the outermost."""
     inside = F.exists("content", lambda c: F.coalesce(c["text"].rlike(pattern), F.exists(F.flatten(c["rows"]), lambda x: x.rlike(pattern))))
