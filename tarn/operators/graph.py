@@ -94,6 +94,26 @@ def paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     return out
 
 
+def walks_between(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(first, last, hops, n, risk): for each start and end (node) how many walks of one to three undirected edges join them without using an edge twice, and the greatest sum of their
+    weights. edges: (src, dst, weight), one for a pair and none from a node to itself, so that a walk uses an edge twice only if it turns back at once.
+
+    The last step is taken over edges into the ends only, and walks are counted, not listed."""
+    both = undirected(cut(edges.select("src", "dst", "weight")))
+    step = both.select(F.col("src").alias("__from"), F.col("dst").alias("__to"), F.col("weight").alias("__w"))
+    into = step.join(ends.select(F.col("node").alias("__to")).distinct(), "__to", "left_semi")
+    one = starts.select(F.col("node").alias("first")).distinct().join(step, F.col("first") == F.col("__from")).select("first", F.col("__to").alias("at"), F.col("__w").alias("risk"))
+    two = one.join(step, (F.col("at") == F.col("__from")) & (F.col("__to") != F.col("first"))).select("first", F.col("at").alias("before"), F.col("__to").alias("at"), (F.col("risk") + F.col("__w")).alias("risk"))
+
+    def arrived(walks: DataFrame, hops: int, *turned) -> DataFrame:
+        met = walks.join(into, F.col("at") == F.col("__from")).where(" AND ".join(turned) or "true")
+        return met.groupBy("first", F.col("__to").alias("last")).agg(F.count("*").alias("n"), F.max(F.col("risk") + F.col("__w")).cast("double").alias("risk")).withColumn("hops", F.lit(hops))
+
+    none = starts.select(F.col("node").alias("first")).distinct().select("first", F.col("first").alias("at"), F.lit(0).alias("risk"))
+    every = arrived(none, 1).unionByName(arrived(one, 2, "__to != first")).unionByName(arrived(two, 3, "__to != before"))
+    return every.select("first", "last", "hops", "n", "risk")
+
+
 def neighbourhood(edges: DataFrame, node: int) -> DataFrame:
     """(id, hops): nodes within two undirected hops of a node, with the fewest hops, without itself."""
     both = undirected(edges.select("src", "dst"))

@@ -11,7 +11,7 @@ from tarn.operators import search as V
 from tarn.plans import queries
 
 #: Orders and their parts; none of the orders is a multiple of ten.
-ORDERS = {1: [3, 17, 42], 13: [3, 17], 103: [42, 99, 10], 107: [10, 1, 5], 9: [5, 7]}
+ORDERS = {1: [3, 17, 42], 13: [3, 17], 103: [42, 99, 10], 107: [10, 50, 100], 9: [100, 7, 150], 11: [150, 50, 3]}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def small(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("small")
     lines = [(o, p, 500, i) for o, parts in ORDERS.items() for i, p in enumerate(parts, 1)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{folder}/lineitem.parquet")
-    parts = [(p, "name" if p in (3, 42, 8) else f"name {p}") for p in (1, 3, 5, 7, 8, 10, 17, 42, 99)]
+    parts = [(p, "name" if p in (3, 42, 8) else f"name {p}") for p in (3, 7, 8, 10, 17, 42, 50, 99, 100, 150)]
     spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{folder}/part.parquet")
     return str(folder)
 
@@ -58,14 +58,20 @@ def test_pairs_that_interact_in_any_order(spark, small):
 
 
 def test_paths_and_neighbours_over_all_edges(spark, small):
-    found = {}
-    for start in (1, 5):
+    found, listed = {}, []
+    ends = (50, 100, 150)
+    for start in ends:
         walks = [(start, (), 0)]
         for hops in (1, 2, 3):
             walks = [(y, (*used, pair), w + graph()[pair]) for x, used, w in walks for y in around(x) if (pair := tuple(sorted((x, y)))) not in used]
-            for last, _, w in walks:
-                found.setdefault((start, last, hops), []).append(w)
+            for last, used, w in walks:
+                if last in ends:
+                    found.setdefault((start, last, hops), []).append(w)
+                listed.append((start, last, hops, tuple(used), w))
     assert rows(spark, small, "paths_le3") == sorted((*k, len(v), float(max(v))) for k, v in found.items())
+    edges = spark.createDataFrame([({"a": a, "b": b}, a, b, w) for (a, b), w in graph().items()], "edge_id struct<a:long,b:long>, src long, dst long, weight long")
+    every = G.paths(edges, spark.createDataFrame([(x,) for x in ends], "node long"), 3).collect()
+    assert sorted((r["first"], r["last"], r["hops"], tuple(tuple(e) for e in r["edge_ids"]), r["weight"]) for r in every) == sorted(listed)
     one = around(10)
     two = {y for x in one for y in around(x)} - one - {10}
     assert rows(spark, small, "two_hop_neighborhood") == sorted([(x, 1) for x in one] + [(x, 2) for x in two])
