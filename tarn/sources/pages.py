@@ -26,7 +26,7 @@ _SKIP = {"script", "style", "template", "noscript"}
 _BLOCK = {"p", "div", "li", "td", "th", "table", "tr", "ul", "ol", "section", "article", "header", "footer", "nav", "body", "caption", "br"}
 #: Tags, and parts of class names, that say how a block is set.
 BOLD, ITALIC = {"b", "strong"}, {"i", "em"}
-SET = {"bold": "gras", "italic": "italique", "underline": "souligne", "center": "center", "bullet": "AmmListePuces"}
+SET = {"bold": ("gras", "AmmCorpsTexteGras"), "italic": ("italique",), "underline": ("souligne",), "center": ("center",), "bullet": ("AmmListePuces",)}
 FORMAT = "bold:boolean,italic:boolean,underline:boolean,list:string,align:string"
 SECTION = f"section int, parent int, level int, title string, content array<struct<kind:string,text:string,rows:array<array<string>>,headers:array<string>,format:struct<{FORMAT}>>>, path array<int>"
 
@@ -66,17 +66,18 @@ class Walk(HTMLParser):
 
     def noted(self, tag, given):
         """What a tag says of the block that it begins or stands in."""
-        said, style = given.get("class") or "", "".join((given.get("style") or "").split())
+        style = "".join((given.get("style") or "").split())
+        said = lambda name: any(x in (given.get("class") or "") for x in SET[name])
         for name, tags in (("bold", BOLD), ("italic", ITALIC)):
-            if tag in tags or SET[name] in said:
+            if tag in tags or said(name):
                 self.how[name] = True
-        if SET["underline"] in said:
+        if said("underline"):
             self.how["underline"] = True
-        if SET["center"] in said or "text-align:center" in style:
+        if said("center") or "text-align:center" in style:
             self.how["align"] = "center"
         if tag in ("ul", "ol"):
             self.lists.append(tag)
-        if tag == "li" or SET["bullet"] in said:
+        if tag == "li" or said("bullet"):
             self.how["list"] = "numbered" if tag == "li" and self.lists[-1:] == ["ol"] else "bullet"
 
     def handle_endtag(self, tag):

@@ -154,6 +154,24 @@ def test_section_trees(spark):
     assert [c["text"] for c in later["content"]] == ["Mis à jour le : 05/03/2024"]
 
 
+DEEP = """<body><h1>One that</h1><p>a</p><h2>That two</h2><ul><li>item <b>x</b></li></ul><ol><li><i>n</i></li></ol><h3>three</h3><p class="AmmListePuces souligne">dot</p><h4>THAT four</h4><p style="text-align: center">deep 123</p>
+<h5>that five</h5><p>too deep 456</p><table><tr><th>h</th></tr><tr><td>cell 789</td></tr></table><h2>that last</h2><p class="AmmCorpsTexteGras">bold</p>"""
+
+
+def test_sections_have_paths_and_blocks_have_formats(spark):
+    pages = spark.createDataFrame([(1, DEEP), (2, "<p>none</p>"), (3, None)], "page_id long, html string")
+    tree = P.html_sections(pages, "page_id", "html")
+    rows_of = {r["title"]: r for r in tree.where("page_id = 1").collect()}
+    at = {k: r["section"] for k, r in rows_of.items()}
+    assert {k: r["path"] for k, r in rows_of.items()} == {"One that": [], "That two": [at["One that"]], "three": [at["One that"], at["That two"]], "THAT four": [at["One that"], at["That two"], at["three"]], "that five": [at["One that"], at["That two"], at["three"], at["THAT four"]], "that last": [at["One that"]]}
+    how = lambda title, i: tuple(rows_of[title]["content"][i]["format"])  # noqa: E731  bold, italic, underline, list, align
+    assert how("That two", 0) == (True, False, False, "bullet", "left") and how("That two", 1) == (False, True, False, "numbered", "left") and how("three", 0) == (False, False, True, "bullet", "left")
+    assert how("THAT four", 0) == (False, False, False, None, "center") and how("that last", 0) == (True, False, False, None, "left") and rows_of["that five"]["content"][1]["format"] is None
+    assert rows(P.keyword_text(tree, "page_id", ["that"])) == [(1, "a item x n deep 123 bold")] and rows(P.keyword_text(tree, "page_id", ["five", "a.b"], depth=4)) == [(1, "too deep 456 h cell 789")] and P.keyword_text(tree, "page_id", ["five"]).count() == 0
+    assert rows(P.keyword_groups(tree, "page_id", {"x": ["that"], "y": ["three", "last"], "z": ["no"]})) == [(1, "a item x n deep 123 bold", "dot bold", "")]
+    assert rows(P.pages_with(tree, "page_id", "[0-9]{3}")) == [(1,)] and P.pages_with(tree, "page_id", "456|789").count() == 0 and rows(P.pages_with(tree, "page_id", "^cell 789$", depth=4)) == [(1,)] and rows(P.pages_with(tree, "page_id", "none")) == [(2,)]
+
+
 def test_page_facts(spark):
     page = "<h1>Drug X 5 mg</h1><p>ANSM - Mis à jour le : <b>05/03/2024</b></p><p>Titulaire de l'autorisation : ACME Labs. Dose 5 mg, 2,5 mg/ml et 5 mg</p>"
     got = spark.createDataFrame([(page,), ("",)], "html string").select(*[c.alias(k) for k, c in P.page_facts(F.col("html")).items()]).collect()
