@@ -112,11 +112,6 @@ class Trees:
         self.langs = sorted(counts)
         self.trees = [Tree(*counts[lang]) for lang in self.langs]
 
-    @staticmethod
-    def escape(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        return np.where(total == 0, shorter, np.where(n > 0, n, kinds * shorter) / np.maximum(total + kinds, 1))
-
     def lengths(self, texts, piece: int = 1 << 19) -> np.ndarray:
         """Code length in bits of each text in each language. A text that comes alone and is long is read piece by piece, each behind the last
         bytes of the one before, so that memory doesn't grow with it."""

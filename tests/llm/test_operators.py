@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,26 @@ def test_quality_equals_plain_numpy(spark):
     assert np.allclose([got[i] for i in ids], want, atol=1e-5)
 
 
+def test_quality_statistics_equal_plain_python():
+    """Each statistic by its definition, over words, lines and characters of a text."""
+    classes = {"letter": "[A-Za-z]", "upper": "[A-Z]", "digit": "[0-9]", "stop": "[.!?]", "comma": "[,;:]", "bang": "!", "mark": "[#*$%&]", "angle": r"[<>{}\[\]()]", "bar": r"[|/\\_\-=+~^]", "at": "@", "quote": "['\"`]"}
+
+    def plain(text):
+        raw, words = text.encode(), [w.encode() for w in WORD.findall(text)]
+        if not words:
+            return [-1.0] + [0.0] * (quality.D - 1)
+        n, k, sizes = len(raw), len(words), np.array([len(w) for w in words], float)
+        low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        pairs, p = list(zip(low, low[1:])), np.array(sorted(Counter(raw).values())) / n
+        head = [np.log1p(n), np.log1p(k), sizes.mean(), sizes.std(), len(set(low)) / k, max(Counter(low).values()) / k, len(set(pairs)) / max(1, k - 1), sum(a == b for a, b in pairs) / max(1, k - 1), np.log1p(len(lines)), np.log1p(n / len(lines))]
+        head += [1 - len(set(lines)) / len(lines), sum(x.rstrip()[-1:] in b".!?" for x in lines) / len(lines), len(zlib.compress(raw, 1)) / (n + 20), -(p * np.log2(p)).sum(), (sizes <= 1).sum() / k]
+        return head + [np.sqrt(len(re.findall(c.encode(), raw)) / n) for c in classes.values()] + [np.sqrt(sum(b > 127 for b in raw) / n)]
+
+    texts = ["The cat. The CAT! the cat\n\nA a a <b> {x} 12 $5 #1 a@b.c", "", " \n", "é 你好 naïve", "one", "x\nx\nx y?", "a|b/c_d-e=f+g~h^ `q' \"r\"; s: t, " * 40]
+    assert np.allclose(quality.statistics(pa.array([*texts, None])), [plain(x) for x in [*texts, ""]])
+
+
 def test_quality_of_repeated_ids_is_the_same_in_every_run(spark):
     rows = [(i % 20, f"word{i} " * (i + 3) + ("Fine text. " * (i % 3))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -212,12 +233,6 @@ def test_language_awkward(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
-def test_escape_is_a_distribution():
-    n = np.array([[3.0, 1, 0], [0, 0, 0]])
-    p = langid.Trees.escape(n, np.full((2, 3), 1 / 3))
-    assert np.allclose(p[1], 1 / 3) and np.allclose(p[0], [3 / 6, 1 / 6, 2 / 6 / 3])
-
-
 def test_language_keeps_every_byte_and_context(spark):
     letters = [chr(c) for c in (*range(0x4E00, 0x4E00 + 300), *range(0x430, 0x450), *range(0x10D0, 0x10F0), *range(97, 123))]
     made = np.random.default_rng(5)
@@ -413,6 +428,25 @@ def test_embeddings_awkward(spark):
     assert neardup.near_classes(df.limit(0)).count() == 0
 
 
+def test_embeddings_recall_of_thousands(spark):
+    """Planted pairs of every closeness over many cells: none is missed that brute force finds, none is too many."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((2500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((2500, 64))
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cos = rng.uniform(0.88, 0.995, (2500, 1))
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * other])
+    assert neardup.plan(len(x), 0.9, 64, 1e-4)[0] >= 6
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), cell=64).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1))
+    want, n = roots(range(len(x)), link.tolist()), Counter(link.ravel().tolist())
+    wrong = sum(got[i] != (n[i], want[i]) for i in range(len(x)))
+    assert wrong <= 4 and len(link) > 1500 and all(got[i][0] <= n[i] for i in range(len(x)))
+
+
 def test_embeddings_small_blocks(spark):
     """Hot cells are cut into blocks that meet two by two; nothing is counted twice."""
     rng = np.random.default_rng(1)
