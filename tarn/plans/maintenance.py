@@ -265,6 +265,37 @@ def rebuild_gates(t: Tables) -> DataFrame:
     return K.gates(rows, versions)
 
 
+_CRAWL_SQL = """
+p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, html, page_id >= (SELECT (max(page_id) + 1) // 2 FROM pages) AS now FROM pages),
+l AS (SELECT now, url, arg_max(html, page_id) AS html FROM p WHERE contains(coalesce(url, ''), '://') GROUP BY now, url),
+s AS (SELECT coalesce(a.url, b.url) AS url, CASE WHEN b.url IS NULL THEN 'withdrawn' WHEN NOT contains(coalesce(b.html, ''), '</html>') THEN 'broken' WHEN a.url IS NULL THEN 'created' WHEN md5(a.html) = md5(b.html) THEN 'unchanged' ELSE 'changed' END AS state
+  FROM (SELECT * FROM l WHERE NOT now) a FULL JOIN (SELECT * FROM l WHERE now) b ON a.url = b.url
+  UNION ALL SELECT url, 'error' FROM p WHERE now AND NOT contains(coalesce(url, ''), '://'))"""
+
+
+def crawled(t: Tables) -> DataFrame:
+    """The pages of an earlier and of a later crawl (the lower and the upper half of ids) by address without its query: the last page of each, and its state."""
+    half = t.pages.agg(F.floor((F.max("page_id") + 1) / 2).alias("half"), F.lit(1).alias("g"))
+    rows = t.pages.select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"), "html", F.lit(1).alias("g")).join(half, "g").withColumn("now", F.col("page_id") >= F.col("half"))
+    sound = F.contains(F.coalesce("url", F.lit("")), F.lit("://"))
+    last = rows.where(sound).groupBy("now", "url").agg(F.max_by(F.struct(F.md5(F.col("html").cast("binary")).alias("hash"), F.contains(F.coalesce("html", F.lit("")), F.lit("</html>")).alias("whole")), "page_id").alias("p")).select("now", "url", "p.*")
+    states = Y.probed(last.where("NOT now").drop("now"), last.where("now").drop("now"), "url")
+    return states.unionByName(rows.where(F.col("now") & ~sound).select("url", F.lit("error").alias("state")))
+
+
+@query(f"WITH {_CRAWL_SQL} SELECT url, state FROM s")
+def crawl_states(t: Tables) -> DataFrame:
+    """What became of each address between two crawls: changed, unchanged, withdrawn, created, broken, in error."""
+    return crawled(t)
+
+
+@query(f"WITH {_CRAWL_SQL} SELECT state, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS rate FROM s GROUP BY state")
+def crawl_rates(t: Tables) -> DataFrame:
+    """How many addresses are in each state, and their share."""
+    counted = crawled(t).groupBy("state").agg(F.count("*").alias("n"))
+    return Y.rated(counted, "n")
+
+
 @query("SELECT vec_id, CAST(('0x' || substr(sha256(CAST(vec_id AS VARCHAR)), 1, 16))::UHUGEINT % 9223372036854775808::UHUGEINT AS BIGINT) AS point, len(embedding) AS size FROM embeddings")
 def vector_records(t: Tables) -> DataFrame:
     """Records for a vector store with ids that are the same in every run."""

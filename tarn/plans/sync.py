@@ -151,3 +151,17 @@ def linked(originals: DataFrame, stored: DataFrame) -> DataFrame:
     out = both.select(F.col("__url").alias("url"), F.col("id").alias("original_id"), F.coalesce(found, "__title").alias("title"), F.when(found.isNull(), "created").otherwise("fetched").alias("state"))
     gone = stored.join(ids.select(F.col("id").alias("original_id")), "original_id", "left_anti").join(ids.select(F.col("__url").alias("url")), "url", "left_anti")
     return out.unionByName(gone.select("url", F.lit(None).cast("long").alias("original_id"), "title", F.lit("unlinked").alias("state")))
+
+
+def probed(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """(key, state) of two probes (key, hash, whole): withdrawn if only the earlier has it, broken if the later isn't whole, created if only the later has it, else unchanged or changed
+    by the hash of the content."""
+    a, b = before.select(F.col(key).alias("__ka"), F.col("hash").alias("__ha")), now.select(F.col(key).alias("__kb"), F.col("hash").alias("__hb"), F.col("whole").alias("__whole"))
+    state = F.when(F.col("__kb").isNull(), "withdrawn").when(~F.col("__whole"), "broken").when(F.col("__ka").isNull(), "created").when(F.col("__ha") == F.col("__hb"), "unchanged").otherwise("changed")
+    return a.join(b, F.col("__ka") == F.col("__kb"), "full").select(F.coalesce("__ka", "__kb").alias(key), state.alias("state"))
+
+
+def rated(counts: DataFrame, n: str) -> DataFrame:
+    """Adds `rate`, the share of a count in percent; 0 where the sum is. counts: few rows, a kind each."""
+    total = F.sum(n).over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("rate", F.round(F.when(total > 0, 100.0 * F.col(n) / total).otherwise(0.0), 6))
