@@ -14,8 +14,11 @@ from tarn.sources import pages as H
 
 
 def place(t: Tables, name: str) -> str:
-    """A new folder that all executors share."""
-    return f"{shared(t.spark).rstrip('/')}/tarn-{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors share; it goes when the session ends."""
+    path = f"{shared(t.spark).rstrip('/')}/tarn-{name}-{uuid.uuid4().hex}"
+    at = t.spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(t.spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def as_csv(t: Tables, df: DataFrame, **options: str) -> str:
