@@ -279,5 +279,14 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: The same in SQL, window by window.
+_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+s AS (SELECT doc_id, p, array_to_string(l[p : p + 34], ' ') AS x FROM (SELECT doc_id, l, unnest(range(1, len(l) - 33)) AS p FROM w WHERE len(l) >= 35)),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY x) AS n FROM s) WHERE n > 1),
+k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS i FROM w) ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES = {"op12_substring_dedup": op12_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {"op12_substring_dedup": _SQL}
