@@ -51,9 +51,10 @@ def orphans(nodes: DataFrame, key: str, edges: list[tuple[DataFrame, str]]) -> D
     return nodes.join(ends, nodes[key] == F.col("__end"), "left_anti")
 
 
-def shared_neighbours(edges: DataFrame, member: str, of: str) -> DataFrame:
-    """(member, other, of): members that share an `of`, one row for each that they share."""
+def shared_neighbours(edges: DataFrame, member: str, of: str, asked: Column | None = None) -> DataFrame:
+    """(member, other, of): members that share an `of`, one row for each that they share; only for the members asked for, if that is said."""
     other = edges.select(F.col(of).alias("__of"), F.col(member).alias("other"))
+    edges = edges.where(asked) if asked is not None else edges
     return edges.join(other, F.col(of) == F.col("__of")).where(F.col(member) != F.col("other")).select(member, "other", of)
 
 
