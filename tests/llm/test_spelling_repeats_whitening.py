@@ -185,11 +185,12 @@ def check_whitening(df, ids, vectors, k=16):
     rows = sorted((r["vec_id"], r["component"], r["n"], r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in df.collect())
     assert len(rows) == len(ids) * white.shape[1] and len({r[6] for r in rows}) <= 1 and all(r[6] < 1e-6 for r in rows)
     order = np.argsort(ids, kind="stable")
-    got = np.array([r[4] for r in rows]).reshape(len(ids), -1)
+    of = lambda c: [r for r in rows if r[1] == c]  # noqa: E731  in order of the ids, which may repeat
+    got = np.array([[r[4] for r in of(c + 1)] for c in range(white.shape[1])]).T
     want = white[order]
     assert np.abs(got - want * np.sign((got * want).sum(0))).max() < 1e-8
-    assert [r[2] for r in rows] == [n] * len(rows) and [r[3] for r in rows[:: white.shape[1]]] == deviation[order].tolist()
-    assert np.allclose([r[5] for r in rows[: white.shape[1]]], share, rtol=1e-9)
+    assert [r[2] for r in rows] == [n] * len(rows) and [r[3] for r in of(1)] == deviation[order].tolist()
+    assert np.allclose([of(c + 1)[0][5] for c in range(white.shape[1])], share, rtol=1e-9)
 
 
 def test_whitening_equals_numpy(spark, sf):
