@@ -1,18 +1,19 @@
 """Operator 7: near-duplicates among embeddings by randomised-rotation binary codes.
 
-Every unit vector is rotated by a seeded random orthogonal matrix and stored as the signs of its components with a correction factor,
-the inner product of the rotated vector with its code. For a rotated query u, <u, code> / factor is an unbiased estimate of the
-inner product, with an error of at most eps * sqrt((1 - factor^2) / (factor^2 (d - 1))) but for a chance that falls with exp(-eps^2).
-Pairs whose upper confidence bound is under the threshold go; the others, and only they, are computed again in double precision.
+Every unit vector is rotated by a seeded random orthogonal matrix and stored as a binary code of four bits a component, the first its sign,
+with a correction factor f, the inner product of the rotated vector with its code of length 1. The inner product of two codes over both
+factors estimates the inner product of the vectors; with s = sqrt(1 - f^2) / f for each, its error is at most s_a / f_b + s_b for certain, and
+eps / sqrt(d - 1) times that but for a chance that falls with exp(-eps^2). Pairs whose upper confidence bound is under the threshold go;
+the others, and only they, are computed again in double precision.
 
 Pairs come from tables keyed by sign bits of further rotations. The number of bits follows the number of vectors, so that cells
 stay small, and the number of tables makes a pair at the threshold meet in one of them but for a chance of `miss`; closer pairs
 meet far more surely. A cell over `block` vectors is cut into blocks that meet two by two, each in a task of its own. A pair that meets
-in several tables counts in the first, which the bits of all keys tell. What leaves a task is one row a vector: its links, and the least id
-it is connected with there. Equal vectors are one row with a weight throughout.
+in several tables counts in the first, which the bits of all keys tell. Equal vectors are one row with a weight throughout.
 
-To a cell go the code, the factor, the key bits and the vector as it was given (4 bytes a component where the column has floats); a product in
-double precision is made only between vectors that the codes leave undecided with some other of the block.
+To a cell go the code, the factor and the key bits, never the vector. What leaves it is the vectors that the codes leave undecided with some
+other for which this table is the first; only these are joined to their vectors and meet once more, in doubles. What leaves that step
+is one row a vector: its links, and the least id it is connected with there. No pairs leave a task.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different length do not
 link; rows that repeat an id count once (the vector that sorts last); ids are integers, rows of null id are left out; other columns
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,10 @@ from pyspark.sql import functions as F
 from tarn.llm.common import components, light, settle
 
 
+#: Width of a step of the code, in standard deviations of a component: the least mean square error of 16 even steps for a normal variable.
+STEP = 0.335
+
+
 @lru_cache(64)
 def rotation(d: int, k: int) -> np.ndarray:
     """The k-th random orthogonal matrix of d dimensions."""
@@ -52,30 +58,60 @@ def keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs.reshape(len(unit), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotated vectors, their codes (+-1 / sqrt(d)) and correction factors."""
+def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of rotated vectors, 0 to 15 a component (8 and more: positive), and correction factors."""
     u = unit @ rotation(unit.shape[1], 0)
-    code = np.where(u > 0, 1.0, -1.0) / np.sqrt(unit.shape[1])
-    return u, code, (u * code).sum(1)
+    code = np.clip(np.floor(u * (np.sqrt(unit.shape[1]) / STEP)), -8, 7).astype(np.int64) + 8
+    levels = code - 7.5
+    return code.astype(np.uint8), ((u * levels).sum(1) / np.sqrt((levels * levels).sum(1))).astype(np.float32)
 
 
-def rows_of(column) -> np.ndarray:
-    data = b"".join(column)
-    return np.frombuffer(data, np.float64).reshape(len(column), -1)
+def estimates(code: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """The code of length 1 over its factor: products of two such rows estimate inner products."""
+    levels = code.astype(np.float32) - np.float32(7.5)
+    return levels / (np.sqrt((levels * levels).sum(1)) * factor)[:, None]
 
 
-def near(a: np.ndarray, b: np.ndarray, fa, code_b: np.ndarray, factor_b: np.ndarray, threshold: float, eps: float) -> np.ndarray:
-    """Whether each a links with each b: fa is a rotated. Estimates first, doubles where the bound doesn't decide. Estimates are made in single
-    precision, for which the bound is a little wider."""
+def undecided(a: np.ndarray, fa: np.ndarray, b: np.ndarray, fb: np.ndarray, threshold: float, eps: float) -> np.ndarray:
+    """Whether the upper confidence bound of each a with each b reaches the threshold."""
     d = a.shape[1]
-    bound = eps * np.sqrt(np.maximum(1 - factor_b**2, 0) / (factor_b**2 * max(d - 1, 1))) + 1e-4
-    least = ((threshold - bound) * factor_b).astype(np.float32)
-    maybe = fa.astype(np.float32) @ code_b.T >= least
-    i, j = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
-    out = np.zeros(maybe.shape, bool)
-    if len(i):
-        out[np.ix_(i, j)] = maybe[np.ix_(i, j)] & (a[i] @ b[j].T >= threshold)
-    return out
+    fa, fb = fa.astype(np.float64), fb.astype(np.float64)
+    sa, sb = (np.sqrt(np.maximum(1 - f * f, 0)) / f for f in (fa, fb))
+    sure = min(eps / np.sqrt(max(d - 1, 1)), 1.0)
+    least = threshold - 1e-4 - (sure * (sa[:, None] / fb[None, :] + sb[None, :]) + sa[:, None] * sb[None, :])
+    return a @ b.T >= least.astype(np.float32)
+
+
+def pack_rows(unit: np.ndarray, bits: int, tables: int) -> list[bytes]:
+    """Of each vector the code (two components a byte), the factor (4 bytes) and the bits of all keys."""
+    code, factor = codes(unit)
+    if code.shape[1] % 2:
+        code = np.concatenate([code, np.zeros((len(code), 1), np.uint8)], axis=1)
+    nibbles = code[:, 0::2] << 4 | code[:, 1::2]
+    marks = np.packbits((keys(unit, bits, tables)[:, :, None] >> np.arange(bits) & 1).reshape(len(unit), -1).astype(bool), axis=1)
+    return [r.tobytes() for r in np.concatenate([nibbles, factor.reshape(-1, 1).view(np.uint8), marks], axis=1)]
+
+
+def codes_in(column, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and factors from packed rows."""
+    raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+    half = -(-d // 2)
+    code = np.stack([raw[:, :half] >> 4, raw[:, :half] & 15], axis=2).reshape(len(raw), -1)[:, :d]
+    return code, np.ascontiguousarray(raw[:, half : half + 4]).view(np.float32)[:, 0]
+
+
+def keys_in(column, d: int, bits: int, tables: int) -> np.ndarray:
+    """(n, tables): the cells of packed rows."""
+    raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)[:, -(-d // 2) + 4 :]
+    return np.unpackbits(raw, axis=1)[:, : bits * tables].reshape(len(raw), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def first_here(ka: np.ndarray, kb: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
+    """Whether table t is the first in which the pairs i, j meet."""
+    new = np.ones(len(i), bool)
+    for at in range(0, len(i) if t else 0, 100_000):
+        new[at : at + 100_000] = ~(ka[i[at : at + 100_000], :t] == kb[j[at : at + 100_000], :t]).any(1)
+    return new
 
 
 def unit_of(v) -> np.ndarray | None:
@@ -103,72 +139,107 @@ def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     kind = np.float32 if single else np.float64
     if given.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
         given = settle(given.groupBy("id").agg(F.max("v").alias("v")))
+    sizes = {r["d"]: r["n"] for r in given.where("size(v) > 0").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    plans = {d: plan(n, threshold, cell, miss) for d, n in sizes.items()}
 
     def pack(batches: Iterator):
         import pandas as pd
 
         for g in batches:
             units = [unit_of(v) for v in g["v"]]
-            raw = [b"" if u is None else np.asarray(v, kind).tobytes() for u, v in zip(units, g["v"])]
-            yield pd.DataFrame({"id": g["id"], "d": [0 if u is None else len(u) for u in units], "unit": [b"" if u is None else u.tobytes() for u in units], "raw": raw})
+            size = np.array([0 if u is None else len(u) for u in units], np.int64)
+            out = pd.DataFrame({"id": g["id"].to_numpy(), "d": size, "same": b"", "raw": b"", "packed": b""}, dtype=object)
+            for d in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == d)
+                unit = np.stack([units[i] for i in at]) + 0.0
+                out.loc[at, "same"] = pd.Series([blake2b(u.tobytes(), digest_size=16).digest() for u in unit], index=at)
+                out.loc[at, "raw"] = pd.Series([np.asarray(g["v"].iloc[i], kind).tobytes() for i in at], index=at)
+                out.loc[at, "packed"] = pd.Series(pack_rows(unit, *plans[d]), index=at)
+            yield out.astype({"id": np.int64, "d": np.int32})
+
+    base = settle(given.mapInPandas(pack, "id long, d int, same binary, raw binary, packed binary"))
+    reps = settle(base.where("d > 0").groupBy("d", "same").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.min_by("packed", "id").alias("packed")))
+
+    def count_cells(batches: Iterator):
+        import pandas as pd
 
-    base = settle(given.mapInPandas(pack, "id long, d int, unit binary, raw binary"))
-    sound = base.where("d > 0")
-    reps = settle(sound.groupBy("d", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.min_by("raw", "id").alias("raw")))
-    sizes = {r["d"]: r["n"] for r in reps.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    plans = {d: plan(n, threshold, cell, miss) for d, n in sizes.items()}
+        for g in batches:
+            for d, own in g.groupby("d"):
+                bits, tables = plans[int(d)]
+                cells, n = np.unique(keys_in(own["packed"], int(d), bits, tables) + (np.arange(tables) << bits), return_counts=True)
+                yield pd.DataFrame({"d": int(d), "cell": cells, "n": n})
 
     def tables(batches: Iterator):
         import pandas as pd
 
         for g in batches:
             for d, own in g.groupby("d"):
+                bits, tables = plans[int(d)]
                 for at in range(0, len(own), 500):
                     part = own.iloc[at : at + 500]
-                    unit = rows_of(part["unit"])
-                    k = keys(unit, *plans[d])
-                    _, code, factor = codes(unit)
-                    packed, marks = np.packbits(code > 0, axis=1), np.packbits((k[:, :, None] >> np.arange(plans[d][0]) & 1).reshape(len(part), -1).astype(bool), axis=1)
-                    t = k.shape[1]
-                    rep = lambda x: np.repeat(x, t)  # noqa: B023, E731
-                    yield pd.DataFrame({"d": int(d), "t": np.tile(np.arange(t), len(part)), "cell": k.ravel(), "id": rep(part["rep"].to_numpy()), "weight": rep(part["weight"].to_numpy()), "raw": rep(part["raw"].to_numpy()), "code": rep(np.array([r.tobytes() for r in packed], object)), "factor": rep(factor), "keys": rep(np.array([r.tobytes() for r in marks], object))})
-
-    entries = reps.mapInPandas(tables, "d int, t int, cell long, id long, weight long, raw binary, code binary, factor double, keys binary")
-    full = settle(entries.groupBy("d", "t", "cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select("d", "t", "cell", F.ceil(F.col("n") / block).cast("long").alias("blocks")))
-    dealt = entries.join(light(full), ["d", "t", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+                    cells = keys_in(part["packed"], int(d), bits, tables) + (np.arange(tables) << bits)
+                    rep = {c: np.repeat(part[c].to_numpy(), tables) for c in ("rep", "weight", "packed")}
+                    yield pd.DataFrame({"d": int(d), "cell": cells.ravel(), "id": rep["rep"], "weight": rep["weight"], "packed": rep["packed"]})
+
+    counts = reps.select("d", "packed").mapInPandas(count_cells, "d int, cell long, n long")
+    full = settle(counts.groupBy("d", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > block).select("d", "cell", F.ceil(F.col("n") / block).cast("long").alias("blocks")))
+    entries = reps.select("d", "rep", "weight", "packed").mapInPandas(tables, "d int, cell long, id long, weight long, packed binary")
+    dealt = entries.join(light(full), ["d", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("d", "t", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "weight", "raw", "code", "factor", "keys")
-
-    def meet(key, g):
-        import pandas as pd
+    dealt = dealt.select("d", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "weight", "packed")
 
-        d, t, _, x, y = key
+    def sides(key, g):
+        """The two sides of a group in order of ids, the table and the plan; none where nothing can meet."""
+        d, cell, x, y = (int(k) for k in key)
         g = g.sort_values("id", kind="stable")
         left, right = (g, g) if x == y else (g[g["own"] == x], g[g["own"] == y])
+        bits, count = plans[d]
+        return (left, right, d, cell >> bits, bits, count) if len(g) > 1 and len(left) and len(right) else None
+
+    def by_codes(key, g):
+        import pandas as pd
+
+        found = sides(key, g)
+        need = np.zeros(0, np.int64)
+        if found:
+            left, right, d, t, bits, count = found
+            code_b, fb = codes_in(right["packed"], d)
+            code_a, fa = (code_b, fb) if left is right else codes_in(left["packed"], d)
+            a, b = estimates(code_a, fa), estimates(code_b, fb)
+            kb = keys_in(right["packed"], d, bits, count)
+            ka = kb if left is right else keys_in(left["packed"], d, bits, count)
+            use_a, use_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+            for at in range(0, len(a), 512):
+                maybe = undecided(a[at : at + 512], fa[at : at + 512], b, fb, threshold, eps)
+                i, j = np.nonzero(np.triu(maybe, at + 1) if left is right else maybe)
+                new = first_here(ka, kb, i + at, j, t)
+                use_a[i[new] + at], use_b[j[new]] = True, True
+            need = np.unique(np.concatenate([left["id"].to_numpy()[use_a], right["id"].to_numpy()[use_b]]))
+        out = g[g["id"].isin(need)]
+        return pd.DataFrame({c: out[c] for c in ("d", "cell", "x", "y", "own", "id", "weight")})
+
+    def in_doubles(key, g):
+        import pandas as pd
+
+        found = sides(key, g)
         none = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        if len(g) < 2 or not len(left) or not len(right):
+        if not found:
             return none
-        a, b = units_of(left["raw"], kind), units_of(right["raw"], kind)
-        bits = np.unpackbits(np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(b), -1), axis=1)[:, :d]
-        code = (np.where(bits > 0, 1.0, -1.0) / np.sqrt(d)).astype(np.float32)
+        left, right, d, t, bits, count = found
+        b = units_of(right["raw"], kind)
+        a = b if left is right else units_of(left["raw"], kind)
         link = np.zeros((len(a), len(b)), bool)
         for at in range(0, len(a), 512):
-            link[at : at + 512] = near(a[at : at + 512], b, a[at : at + 512] @ rotation(int(d), 0), code, right["factor"].to_numpy(), threshold, eps)
-        if x == y:
-            link = np.triu(link, 1)
-        if not link.any():
+            link[at : at + 512] = a[at : at + 512] @ b.T >= threshold
+        i, j = np.nonzero(np.triu(link, 1) if left is right else link)
+        new = first_here(keys_in(left["packed"], d, bits, count), keys_in(right["packed"], d, bits, count), i, j, t)
+        i, j = i[new], j[new]
+        if not len(i):
             return none
         ids_a, ids_b, wa, wb = left["id"].to_numpy(), right["id"].to_numpy(), left["weight"].to_numpy(), right["weight"].to_numpy()
-        i, j = np.nonzero(link)
-        new = np.ones(len(i), bool)
-        if t:
-            size = plans[int(d)][0]
-            ka, kb = (np.unpackbits(np.frombuffer(b"".join(z["keys"]), np.uint8).reshape(len(z), -1), axis=1)[:, : t * size].reshape(len(z), t, size) @ (1 << np.arange(size)) for z in (left, right))
-            for at in range(0, len(i), 100_000):
-                new[at : at + 100_000] = ~(ka[i[at : at + 100_000]] == kb[j[at : at + 100_000]]).any(1)
         ids = np.unique(np.concatenate([ids_a[i], ids_b[j]]))
         p, q = np.searchsorted(ids, ids_a[i]), np.searchsorted(ids, ids_b[j])
-        links = np.bincount(p[new], weights=wb[j[new]], minlength=len(ids)) + np.bincount(q[new], weights=wa[i[new]], minlength=len(ids))
+        links = np.bincount(p, weights=wb[j], minlength=len(ids)) + np.bincount(q, weights=wa[i], minlength=len(ids))
         root = np.arange(len(ids))
         while True:
             low = root.copy()
@@ -180,12 +251,14 @@ def near_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             root = low
         return pd.DataFrame({"id": ids, "links": links.astype(np.int64), "root": ids[root]})
 
-    met = settle(dealt.groupBy("d", "t", "cell", "x", "y").applyInPandas(meet, "id long, links long, root long"))
+    near = settle(dealt.groupBy("d", "cell", "x", "y").applyInPandas(by_codes, "d int, cell long, x long, y long, own long, id long, weight long"))
+    doubles = near.join(base.where("d > 0").select("id", "raw", "packed"), "id")
+    met = settle(doubles.groupBy("d", "cell", "x", "y").applyInPandas(in_doubles, "id long, links long, root long"))
     classes = components(met.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
     counted = met.groupBy("id").agg(F.sum("links").alias("links"))
-    named = reps.select("d", "unit", "rep", "weight").join(counted.withColumnRenamed("id", "rep"), "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("d", "unit", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = base.join(named, ["d", "unit"], "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    named = reps.select("d", "same", "rep", "weight").join(counted.withColumnRenamed("id", "rep"), "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("d", "same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = base.select("id", "d", "same").join(named, ["d", "same"], "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
