@@ -73,13 +73,14 @@ def estimates(code: np.ndarray, factor: np.ndarray) -> np.ndarray:
 
 
 def undecided(a: np.ndarray, fa: np.ndarray, b: np.ndarray, fb: np.ndarray, threshold: float, eps: float) -> np.ndarray:
-    """Whether the upper confidence bound of each a with each b reaches the threshold."""
+    """Whether the upper confidence bound of each a with each b reaches the threshold. The bound of a row takes the least sure b of the block, so that
+    it is one number a row; factors hardly differ."""
     d = a.shape[1]
-    fa, fb = fa.astype(np.float64), fb.astype(np.float64)
-    sa, sb = (np.sqrt(np.maximum(1 - f * f, 0)) / f for f in (fa, fb))
+    fa, fb = fa.astype(np.float64), float(fb.min())
+    sa, sb = np.sqrt(np.maximum(1 - fa * fa, 0)) / fa, np.sqrt(max(1 - fb * fb, 0.0)) / fb
     sure = min(eps / np.sqrt(max(d - 1, 1)), 1.0)
-    least = threshold - 1e-4 - (sure * (sa[:, None] / fb[None, :] + sb[None, :]) + sa[:, None] * sb[None, :])
-    return a @ b.T >= least.astype(np.float32)
+    least = threshold - 1e-4 - (sure * (sa / fb + sb) + sa * sb)
+    return a @ b.T >= least.astype(np.float32)[:, None]
 
 
 def pack_rows(unit: np.ndarray, bits: int, tables: int) -> list[bytes]:

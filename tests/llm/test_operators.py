@@ -447,6 +447,27 @@ def test_embeddings_recall_of_thousands(spark):
     assert wrong <= 4 and len(link) > 1500 and all(got[i][0] <= n[i] for i in range(len(x)))
 
 
+def test_embedding_codes_bound_products():
+    """Estimates have no bias to speak of, bounds hold for every pair, in few dimensions too, and packed rows give back what was packed."""
+    rng = np.random.default_rng(8)
+    for d in (1, 2, 3, 7, 16, 64, 300):
+        x = rng.standard_normal((300, d))
+        x[150:] = x[:150] + rng.uniform(0.05, 1, (150, 1)) * rng.standard_normal((150, d))
+        x[0] = np.eye(d)[0]
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        rows = neardup.pack_rows(unit, 5, 3)
+        code, factor = neardup.codes_in(rows, d)
+        assert (code == neardup.codes(unit)[0]).all() and (neardup.keys_in(rows, d, 5, 3) == neardup.keys(unit, 5, 3)).all()
+        est, true = neardup.estimates(code, factor), unit @ unit.T
+        for threshold in (0.3, 0.6, 0.9, 0.97):
+            maybe = neardup.undecided(est, factor, est, factor, threshold, 6.0)
+            assert maybe[true >= threshold].all()
+        if d >= 64:
+            off = (est @ est.T - true)[np.triu_indices(300, 1)]
+            assert abs(off.mean()) < 0.005 and np.abs(off).max() < 0.16
+            assert not neardup.undecided(est, factor, est, factor, 0.9, 6.0)[true < 0.6].any()
+
+
 def test_embeddings_small_blocks(spark):
     """Hot cells are cut into blocks that meet two by two; nothing is counted twice."""
     rng = np.random.default_rng(1)
