@@ -125,8 +125,8 @@ def counted(x: Column, term: str, weight: float) -> Column:
     return F.struct((n * weight).alias("points"), n.alias("n"))
 
 
-def full_relevance(title: Column, substances: Column, form: Column, dosages: Column, sections: Column, terms: list[str], fuzzy: dict[str, Column] | None = None) -> tuple[Column, Column]:
-    """(score, matches) of a record for a query's terms. sections: array of (title, text, important, below); below: a subsection.
+def full_relevance(title: Column, substances: Column, form: Column, dosages: Column, sections: Column, terms: list[str], fuzzy: dict[str, Column] | None = None) -> Column:
+    """A struct (score, matches) of a record for a query's terms. sections: array of (title, text, important, below); below: a subsection.
 
     Every field adds its matches; of a title and a substance only the best kind of match counts. Several terms found in title or substances
     raise the score by a tenth each; a record with nothing found has 0, and one weak match counts half."""
@@ -147,14 +147,19 @@ def full_relevance(title: Column, substances: Column, form: Column, dosages: Col
             listed(sections, lambda s: F.struct((headed(s) + worded(s)).cast("double").alias("points"), number(s).alias("n"))),
         ]
 
-    found = [c for term in terms for c in of(term)]
-    every = F.concat(*found)
-    sums = lambda field: F.aggregate(every, F.lit(0.0), lambda acc, x: acc + x[field])
+    every = F.concat(*[c for term in terms for c in of(term)])
     text = F.concat(low(title), F.lit(" "), low(F.array_join(substances, " ")))
-    several = sum([F.contains(text, F.lit(t)).cast("int") for t in dict.fromkeys(terms)], F.lit(0))
-    score = sums("points") * F.when(several > 1, 1 + (several - 1) * 0.1).otherwise(1.0)
-    matches = sums("n")
-    return F.when(matches == 0, 0.0).when((matches == 1) & (score < 5), score * 0.5).otherwise(score), matches
+    several = sum([F.contains(text, F.lit(t)).cast("int") for t in dict.fromkeys(terms)], F.lit(0)).cast("double")
+    start = F.struct(F.lit(0.0).alias("points"), F.lit(0.0).alias("n"))
+    sums = F.aggregate(every, start, lambda acc, x: F.struct((acc["points"] + x["points"]).alias("points"), (acc["n"] + x["n"]).alias("n")))
+
+    def judged(x: Column) -> Column:
+        score, n = x["points"] * F.when(x["several"] > 1, 1 + (x["several"] - 1) * 0.1).otherwise(1.0), x["n"]
+        return F.struct(F.when(n == 0, 0.0).when((n == 1) & (score < 5), score * 0.5).otherwise(score).alias("score"), n.alias("matches"))
+
+    # Each step takes the one before as a variable of a function over an array of one, so that it stands in the plan once.
+    flat = F.transform(F.array(sums), lambda x: F.struct(x["points"].alias("points"), x["n"].alias("n"), several.alias("several")))
+    return F.transform(flat, judged)[0]
 
 
 def sentence_around(text: Column, term: str, most: int = 300) -> Column:

@@ -359,8 +359,8 @@ def search_relevance(t: Tables) -> DataFrame:
     """Relevance over all fields of a record: ladders for title and substances, sums for the others, bonus and penalty."""
     important = F.col("p_size") > 25
     sections = F.array(F.struct(F.col("p_brand").alias("title"), F.col("p_name").alias("text"), important.alias("important"), F.lit(False).alias("below")), F.struct(F.col("p_type").alias("title"), F.col("p_name").alias("text"), important.alias("important"), F.lit(True).alias("below")))
-    score, matches = V.full_relevance(F.col("p_name"), F.split("p_name", " "), F.col("p_type"), F.array(F.concat(F.col("p_size").cast("string"), F.lit(" mg"))), sections, _TERMS)
-    return t.part.select("p_partkey", matches.alias("matches"), F.round(score, 6).alias("score"))
+    found = V.full_relevance(F.col("p_name"), F.split("p_name", " "), F.col("p_type"), F.array(F.concat(F.col("p_size").cast("string"), F.lit(" mg"))), sections, _TERMS)
+    return t.part.select("p_partkey", found.alias("r")).select("p_partkey", "r.matches", F.round("r.score", 6).alias("score"))
 
 
 @query("""
