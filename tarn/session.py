@@ -17,9 +17,16 @@ def session(app: str = "tarn", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The same path, which goes when the session's driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or the session's checkpoint folder. A session on one machine that has none gets a temporary
-    one; on a cluster that is an error."""
+    one; on a cluster that is an error. Checkpoints go when the driver ends, unless the caller has set their folder."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if not known.isDefined():
@@ -27,6 +34,7 @@ def shared(spark: SparkSession) -> str:
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-"))
+        until_exit(spark, context._jsc.sc().getCheckpointDir().get())
     return context._jsc.sc().getCheckpointDir().get()
 
 
