@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.session import until_exit
+
 #: The white space that separates words: \x20 and \x09 to \x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,9 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing before it."""
+    """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing before it. The table goes when
+    the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tarn-{uuid.uuid4().hex}"
+    path = until_exit(spark, f"{shared_dir(spark).rstrip('/')}/tarn-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
