@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.plans.registry import Tables, query
-from tarn.session import shared, until_exit
+from tarn.session import scratch
 from tarn.sources import files as S
 from tarn.sources import pages as H
 
 
 def place(t: Tables, name: str) -> str:
     """A new folder that all executors share; it goes when the session ends."""
-    return until_exit(t.spark, f"{shared(t.spark).rstrip('/')}/tarn-{name}-{uuid.uuid4().hex}")
+    return f"{scratch(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def as_csv(t: Tables, df: DataFrame, **options: str) -> str:

@@ -17,16 +17,18 @@ def session(app: str = "tarn", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def until_exit(spark: SparkSession, path: str) -> str:
-    """The same path, which goes when the session's driver ends."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+def _until_exit(spark: SparkSession, folder: str) -> str:
+    """The folder, made if it isn't there; it goes when the session's driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return folder
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or the session's checkpoint folder. A session on one machine that has none gets a temporary
-    one; on a cluster that is an error. Checkpoints go when the driver ends, unless the caller has set their folder."""
+    """The folder of this session's checkpoints, which the driver and all executors share: in spark.checkpoint.dir, or where the session keeps its checkpoints. A session
+    on one machine that has none gets a temporary one; on a cluster that is an error. It goes when the driver ends."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if not known.isDefined():
@@ -34,8 +36,13 @@ def shared(spark: SparkSession) -> str:
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-"))
-        until_exit(spark, context._jsc.sc().getCheckpointDir().get())
-    return context._jsc.sc().getCheckpointDir().get()
+    return _until_exit(spark, context._jsc.sc().getCheckpointDir().get())
+
+
+def scratch(spark: SparkSession) -> str:
+    """This session's folder for tables in between, in spark.checkpoint.dir or beside the checkpoints. It goes when the driver ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or shared(spark)
+    return _until_exit(spark, f"{folder.rstrip('/')}/tarn-{spark.sparkContext.applicationId}")
 
 
 def cut(df: DataFrame) -> DataFrame:
