@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.session import until_exit
+from tarn.session import scratch
 
 #: The white space that separates words: \x20 and \x09 to \x0D.
 SPACE = np.zeros(256, bool)
@@ -18,26 +17,11 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the session's checkpoint folder. Where neither is set, a session on one
-    machine gets a temporary one; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))  # one machine: its own disk is shared
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing before it. The table goes when
     the driver ends."""
     spark = df.sparkSession
-    path = until_exit(spark, f"{shared_dir(spark).rstrip('/')}/tarn-{uuid.uuid4().hex}")
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
