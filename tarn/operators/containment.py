@@ -82,11 +82,12 @@ def masked(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, m
 
 def prefix_join(titles: DataFrame, title: str, lines: DataFrame, line: str, lead: int = 8) -> DataFrame:
     """Rows of titles with the rows of lines that begin with the title, in any case. Titles meet lines on their first `lead` characters, or on all if they
-    have fewer, then the whole title is held against the line. Empty and null titles begin nothing."""
-    begun = titles.where(F.length(title) > 0).withColumn("__key", F.left(F.lower(title), F.lit(lead)))
+    have fewer, then the whole title is held against the line. Empty and null titles begin nothing. The titles are broadcast if they are few; lines, of which each stands
+    under up to `lead` keys, never are, whatever their files let one expect."""
+    begun = light(titles.where(F.length(title) > 0).withColumn("__key", F.left(F.lower(title), F.lit(lead))), 200)
     starts = F.transform(F.sequence(F.lit(1), F.least(F.length(line), F.lit(lead))), lambda n: F.left(F.lower(line), n))
     keyed = lines.where(F.length(line) > 0).withColumn("__key", F.explode(starts))
-    return begun.join(keyed, "__key").where(F.startswith(F.lower(line), F.lower(title))).drop("__key")
+    return begun.join(keyed.hint("shuffle_merge"), "__key").where(F.startswith(F.lower(line), F.lower(title))).drop("__key")
 
 
 def grams_of(x: Column, size: int) -> Column:

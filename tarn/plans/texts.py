@@ -182,7 +182,8 @@ def title_prefixes(t: Tables) -> DataFrame:
     """Titles that begin the lines of a record, in any case, by their first eight characters."""
     titles = t.part.select(F.upper(F.left("p_name", (2 + F.col("p_partkey") % 12).cast("int"))).alias("title")).distinct()
     lines = t.part.select("p_partkey", F.concat("p_name", F.lit(" / "), "p_brand").alias("line"))
-    return B.prefix_join(titles, "title", lines, "line").groupBy("p_partkey").agg(F.count("*").alias("titles"), F.max("title").alias("longest"))
+    each = B.prefix_join(titles, "title", lines.select("line").distinct(), "line").groupBy("line").agg(F.count("*").alias("n"), F.max("title").alias("most"))
+    return lines.join(each, "line").groupBy("p_partkey").agg(F.sum("n").alias("titles"), F.max("most").alias("longest"))
 
 
 @query()

@@ -1,5 +1,6 @@
 """Steps whose work follows their input, against plain Python on small odd tables."""
 
+from tarn.operators import containment as B
 from tarn.plans import queries
 
 
@@ -16,3 +17,12 @@ def test_alternatives_pair_no_row_with_all_of_its_maker(spark, tmp_path):
     same = lambda own: [(x, min(k for k in names if names[k] == x)) for x in sorted({x for k, x in names.items() if x and x != own and k != 9})]
     got = rows(spark, tmp_path, "alternatives")
     assert got == sorted([(50, x, k, 0, i) for i, (x, k) in enumerate(same("red gear"), 1)] + [(50, "d gear", 9, 1, 5)] + [(100, x, k, 0, i) for i, (x, k) in enumerate(same("plain"), 1)])
+
+
+def test_lines_are_never_broadcast(spark):
+    """Titles are, as they are few; the lines' keys are many times what their files let one expect."""
+    titles, lines = spark.range(5000).selectExpr("concat('t', id) AS t"), spark.range(10).selectExpr("concat('T', id, ' x') AS l")
+    df = B.prefix_join(titles, "t", lines, "l")
+    assert df.count() == 10 and "BuildRight" not in df._jdf.queryExecution().executedPlan().toString()
+    few = B.prefix_join(titles.limit(3), "t", lines, "l")
+    assert few.count() == 3 and "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
