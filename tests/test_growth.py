@@ -1,7 +1,13 @@
 """Steps whose work follows their input, against plain Python on small odd tables."""
 
+from pyspark.sql import functions as F
+
 from tarn.operators import containment as B
-from tarn.plans import queries
+from tarn.operators import elastic as L
+from tarn.operators import graph as G
+from tarn.plans import graphs, queries, readers
+from tarn.plans.registry import Tables
+from tarn.sources import files as S
 from tarn.sources import pages as H
 
 
@@ -9,6 +15,10 @@ def rows(spark, folder, name):
     return sorted(tuple(r) for r in queries.queries()[name](spark, str(folder)).collect())
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_alternatives_pair_no_row_with_all_of_its_maker(spark, tmp_path):
     """The product asked for interacts with all of one title and with the first of another; names of one word have a kind, too."""
     names = {50: "red gear", 1: "a gear", 2: "a gear", 3: "b gear", 4: "b gear", 5: "c gear", 6: "plain", 7: "red gear", 100: "plain", 8: None, 9: "d gear"}
@@ -33,3 +43,16 @@ def test_references_end_with_a_semicolon(spark):
     pages = spark.createDataFrame([(1, "<h1>a&amp;b&amp</h1><p class='x&y'>&copy; R&D &lt;x&gt; &#65;&#x42; &nosuch; &amp;lt; &</p>")], "page_id long, html string")
     (r,) = H.html_sections(pages, "page_id", "html").where("section = 1").collect()
     assert r["title"] == "a&b&amp" and [c["text"] for c in r["content"]] == ["© R&D <x> AB &nosuch; &lt; &"]
+
+
+def test_edges_are_dealt_by_the_rows_of_their_table(spark, sf, monkeypatch):
+    t = Tables(spark, sf)
+    monkeypatch.setattr(G, "TASK_ROWS", 500)
+    e = graphs.edges(t)
+    assert plan(e).count(f"RepartitionByExpression [l_orderkey") == 2 and f", {-(-t.lineitem.count() // 500)}" in plan(e)
+    assert "Expand" not in plan(queries.queries()["undirected_degree"](spark, sf))
+
+
+def test_lines_of_one_number_still_count_for_their_edge(spark, tmp_path):
+    spark.createDataFrame([(1, 5, 1), (1, 6, 1), (1, 5, 2), (2, 5, 3), (2, 6, 1), (None, 5, 1), (3, None, 1)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(spark, tmp_path, "prescription_pairs") == [(1, 1, 2, 2), (2, 1, 3, 2)]
