@@ -103,10 +103,18 @@ def interactions_of(rows: DataFrame, a: str, b: str, risk: str, default: int = 5
 
 
 def label_edges(labels: DataFrame, drugs: DataFrame) -> DataFrame:
-    """(label, drug): labels whose generic or brand name a drug has, letters folded by case."""
-    names = labels.select(F.col("spl_id").alias("label"), F.explode(F.array("generic_name", "brand_name")).alias("name")).select("label", F.lower(F.trim("name")).alias("name")).where("name != ''")
-    own = drugs.select(F.col("id").alias("drug"), F.explode(F.array("title", "generic_name", "brand_name")).alias("name")).select("drug", F.lower(F.trim("name")).alias("name")).where("name != ''")
-    return names.join(own, "name").select("label", "drug").distinct()
+    """(label, drug): labels whose generic or brand name a drug has, letters folded by case.
+
+    Sets of names are matched, each pair of them once; labels and drugs are joined through these, so pairs are not sent about again to be told apart."""
+
+    def named(rows: DataFrame, key: str, own: str, *columns: str) -> DataFrame:
+        names = F.filter(F.transform(F.array(*columns), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+        return rows.groupBy(F.col(key).alias(own)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(names)))).alias(f"{own}_names"))
+
+    one, two = named(labels, "spl_id", "label", "generic_name", "brand_name"), named(drugs, "id", "drug", "title", "generic_name", "brand_name")
+    sets = lambda df, c: df.select(c).distinct().select(c, F.explode(c).alias("name"))
+    met = sets(one, "label_names").join(sets(two, "drug_names"), "name").select("label_names", "drug_names").distinct()
+    return one.join(met, "label_names").join(two, "drug_names").select("label", "drug")
 
 
 def xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:

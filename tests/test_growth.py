@@ -56,3 +56,10 @@ def test_edges_are_dealt_by_the_rows_of_their_table(spark, sf, monkeypatch):
 def test_lines_of_one_number_still_count_for_their_edge(spark, tmp_path):
     spark.createDataFrame([(1, 5, 1), (1, 6, 1), (1, 5, 2), (2, 5, 3), (2, 6, 1), (None, 5, 1), (3, None, 1)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert rows(spark, tmp_path, "prescription_pairs") == [(1, 1, 2, 2), (2, 1, 3, 2)]
+
+
+def test_labels_meet_drugs_once_by_their_sets_of_names(spark):
+    labels = spark.createDataFrame([("L1", "A ", "b"), ("L1", "a", None), ("L2", "", "c"), ("L3", "x", "x")], "spl_id string, generic_name string, brand_name string")
+    drugs = spark.createDataFrame([("D1", "a", "B", "b"), ("D2", "c", "", None), ("D2", "A", "", "c")], "id string, title string, generic_name string, brand_name string")
+    df = S.label_edges(labels, drugs)
+    assert sorted(map(tuple, df.collect())) == [("L1", "D1"), ("L1", "D2"), ("L2", "D2")] and not plan(df).startswith("Aggregate")
