@@ -62,12 +62,14 @@ def similar(titles: DataFrame, key: str, title: str, query: str, posted: DataFra
     """(key, title, similarity): the titles that a query may mean, similar enough to it, the best first. most: how many candidates are looked at, the first by key; none: all."""
     rows = elastic(titles.select(key, title), key, title, query, posted)
     rows = rows.orderBy(key).limit(most) if most is not None else rows
-    return rows.withColumn("similarity", fuzzy_in(query, SIMILAR)(F.col(title))).where(F.col("similarity") >= SIMILAR)
+    each = rows.select(title).distinct().withColumn("similarity", fuzzy_in(query, SIMILAR)(F.col(title))).where(F.col("similarity") >= SIMILAR)
+    return rows.join(each, title).select(key, title, "similarity")
 
 
 def supplemented(hits: DataFrame, titles: DataFrame, key: str, title: str, query: str, posted: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(key, score, source): hits (key, score) with the titles that only the fuzzy search finds; those count at a share of their similarity and need a floor, as hits do."""
     known = hits.where(F.col("score") >= FLOOR).select(key, "score", F.lit("vector").alias("source"))
     other = similar(titles, key, title, query, posted, most).join(known.select(key), key, "left_anti")
-    told = other.select(key, (WEIGHT * fuzzy_in(query)(F.col(title))).alias("score"), F.lit("fuzzy").alias("source"))
+    each = other.select(title).distinct().withColumn("score", WEIGHT * fuzzy_in(query)(F.col(title))).where(F.col("score") >= FLOOR)
+    told = other.join(each, title).select(key, "score", F.lit("fuzzy").alias("source"))
     return known.unionByName(told.where(F.col("score") >= FLOOR))

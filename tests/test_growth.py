@@ -63,3 +63,9 @@ def test_labels_meet_drugs_once_by_their_sets_of_names(spark):
     drugs = spark.createDataFrame([("D1", "a", "B", "b"), ("D2", "c", "", None), ("D2", "A", "", "c")], "id string, title string, generic_name string, brand_name string")
     df = S.label_edges(labels, drugs)
     assert sorted(map(tuple, df.collect())) == [("L1", "D1"), ("L1", "D2"), ("L2", "D2")] and not plan(df).startswith("Aggregate")
+
+
+def test_a_title_is_scored_once(spark):
+    titles = spark.createDataFrame([(i, "gizmo blue") for i in range(5)], "id long, title string")
+    df = L.similar(titles, "id", "title", "gizmoo blu")
+    assert [(r["id"], r["similarity"] > 0.6) for r in df.orderBy("id").collect()] == [(i, True) for i in range(5)] and "Aggregate [title" in plan(df)
