@@ -13,6 +13,10 @@ from tarn.sources import files as S
 from tarn.sources import pages as H
 
 
+#: About how many orders a file of orders has.
+FILE_ORDERS = 20_000
+
+
 def place(t: Tables, name: str) -> str:
     """A new folder that all executors share; it goes when the session ends."""
     return f"{scratch(t.spark)}/{name}-{uuid.uuid4().hex}"
@@ -33,11 +37,12 @@ def csv_records(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey AS src, l_partkey AS dst, l_quantity AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def json_arrays(t: Tables) -> DataFrame:
-    """Files that are each one array of records with nested edges; a file has the orders of a few customers."""
+    """Files that are each one array of records with nested edges; a file has the orders of a few customers, so files grow in number with the table."""
+    files = max(8, -(-t.orders.count() // FILE_ORDERS))
     lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("quantity"))).alias("edges"))
-    one = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.pmod(F.xxhash64("o_custkey"), F.lit(8)).alias("file"), F.to_json(F.struct(F.col("o_orderkey").alias("id"), "edges")).alias("x"))
+    one = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.pmod(F.xxhash64("o_custkey"), F.lit(files)).alias("file"), F.to_json(F.struct(F.col("o_orderkey").alias("id"), "edges")).alias("x"))
     path = place(t, "json")
-    lined = one.repartition("file").sortWithinPartitions("file")
+    lined = one.repartition(files, "file").sortWithinPartitions("file")
     lined.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("x"), ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").text(path)
     rows = S.array_of(t.spark, f"{path}/*", "id long, edges array<struct<id:long,quantity:double>>")
     return S.nested_edges(rows, "id", "edges", "id", "quantity")

@@ -80,3 +80,9 @@ def test_sections_leave_a_task_in_batches(spark):
     texts = [(i, "1. A\n" + "word " * 30_000 + "\n2. B\nend") for i in range(60)]
     df = H.plan_sections(spark.createDataFrame(texts, "id long, text string").coalesce(1), "id", "text")
     assert H.BATCH_CHARS <= 1 << 20 and sorted((r["id"], r["number"]) for r in df.select("id", "number").collect()) == [(i, n) for i in range(60) for n in "12"]
+
+
+def test_files_of_orders_grow_in_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(readers, "FILE_ORDERS", 50)
+    df = queries.queries()["json_arrays"](spark, sf)
+    assert len(df.inputFiles()) > 20 and df.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
