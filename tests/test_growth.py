@@ -86,3 +86,15 @@ def test_files_of_orders_grow_in_number(spark, sf, monkeypatch):
     monkeypatch.setattr(readers, "FILE_ORDERS", 50)
     df = queries.queries()["json_arrays"](spark, sf)
     assert len(df.inputFiles()) > 20 and df.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_pairs_of_every_product(spark, tmp_path, monkeypatch):
+    """No product is left out for its id, in however many blocks a name's products are joined."""
+    monkeypatch.setattr(G, "BLOCK", 3)
+    parts = [(k, "n" if k % 2 else None if k == 8 else "m", "B", "ECONOMY" if k < 6 else "PROMO") for k in range(1, 12)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 1), (1, 3), (1, 9), (2, 2), (2, 7)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    linked = {frozenset(x) for x in ((1, 3), (1, 9), (3, 9), (2, 7))}
+    name = {p[0]: p[1] for p in parts}
+    assert rows(spark, tmp_path, "shared_neighbor_alternatives") == sorted((a, b, name[a]) for a in name for b in name if a != b and name[a] and name[a] == name[b] and frozenset((a, b)) not in linked)
+    assert rows(spark, tmp_path, "class_pairs") == sorted((a, b, "major") for a in range(1, 6) for b in range(6, 12) if frozenset((a, b)) not in linked)
