@@ -98,3 +98,30 @@ def test_pairs_of_every_product(spark, tmp_path, monkeypatch):
     name = {p[0]: p[1] for p in parts}
     assert rows(spark, tmp_path, "shared_neighbor_alternatives") == sorted((a, b, name[a]) for a in name for b in name if a != b and name[a] and name[a] == name[b] and frozenset((a, b)) not in linked)
     assert rows(spark, tmp_path, "class_pairs") == sorted((a, b, "major") for a in range(1, 6) for b in range(6, 12) if frozenset((a, b)) not in linked)
+
+
+def test_walks_are_made_once_in_tasks_that_grow(spark, tmp_path, monkeypatch):
+    """No step is left to a fixed number of tasks; of a walk and its way back one is made; walks back to their own start are two."""
+    monkeypatch.setattr(G, "TASK_ROWS", 20)
+    orders = {o: sorted({(o * 7 + i * i * 11 + i) % 24 * 25 for i in range(2 + o % 4)}) for o in range(40)}
+    spark.createDataFrame([(o, p) for o, parts in orders.items() for p in parts], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes = sorted({p for parts in orders.values() for p in parts})
+    spark.createDataFrame([(p,) for p in [*nodes, 5000, None]], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    w = {}
+    for parts in orders.values():
+        for a in parts:
+            for b in parts:
+                if a != b:
+                    w[a, b] = w.get((a, b), 0) + 1
+    found = {}
+    for start in (x for x in nodes if x % 50 == 0):
+        walks = [([start], 0)]
+        for hops in (1, 2, 3):
+            walks = [([*at, y], s + w[at[-1], y]) for at, s in walks for y in nodes if (at[-1], y) in w and (len(at) < 2 or y != at[-2])]
+            for at, s in walks:
+                if at[-1] % 50 == 0:
+                    found.setdefault((start, at[-1], hops), []).append(s)
+    df = queries.queries()["paths_le3"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted((*k, len(v), float(max(v))) for k, v in found.items()) and any(a == b for a, b, _ in found)
+    dealt = [x for x in plan(df).splitlines() if "RepartitionByExpression" in x]
+    assert len(dealt) >= 8 and not any(x.rstrip().endswith("], 1") for x in dealt) and sum("RepartitionByExpression [a" in x for x in dealt) == 3
