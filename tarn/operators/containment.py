@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,88 @@ def runs(tokens: Column, lead: int) -> Column:
     return F.concat(*out)
 
 
+#: The most bytes of names that are sent to every task; more are joined.
+CARRIED = 32 << 20
+
+
+def carried(names: DataFrame, tokens: str) -> list | None:
+    """The rows of names, whose tokens are an array of that name, if they are few; else nothing."""
+    size = names.agg(F.sum(F.octet_length(F.array_join(tokens, "")) + 16 * F.size(tokens) + 200)).first()[0] or 0
+    return names.collect() if size <= CARRIED else None
+
+
+def steps_of(names: list[list[str]]) -> tuple:
+    """Names as a tree of tokens: the tokens, the sorted steps (node * number of tokens + token), the nodes that they lead to, and of each node the name that ends there, or -1."""
+    tokens = {t: i for i, t in enumerate(dict.fromkeys(t for x in names for t in x))}
+    steps, ends = {}, [-1]
+    for k, x in enumerate(names):
+        node = 0
+        for t in x:
+            step = node * len(tokens) + tokens[t]
+            if step not in steps:
+                steps[step] = len(ends)
+                ends.append(-1)
+            node = steps[step]
+        ends[node] = k
+    keys = np.array(sorted(steps), np.int64)
+    return list(tokens), keys, np.array([steps[k] for k in keys.tolist()], np.int64), np.array(ends, np.int64)
+
+
+def places(texts, tree: tuple) -> tuple[np.ndarray, ...]:
+    """(row, at, name, n): where the names of a tree occur in an Arrow array of arrays of tokens; at counts from 0, n: tokens of the name. All places are taken a token further at a
+    time, so only those where a name may go on are held against it."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tokens, keys, to, ends = tree
+    flat, stop = texts.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ids = pc.fill_null(pc.index_in(flat, value_set=pa.array(tokens, flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.flatnonzero(ids >= 0)
+    begun, row, node, out = at, np.searchsorted(stop, at, side="right"), np.zeros(len(at), np.int64), []
+    while len(at):
+        step = node * len(tokens) + ids[at]
+        k = np.minimum(np.searchsorted(keys, step), len(keys) - 1)
+        on = keys[k] == step
+        begun, row, at, node = begun[on], row[on], at[on] + 1, to[k[on]]
+        met = ends[node] >= 0
+        out.append((row[met], begun[met], ends[node[met]], at[met] - begun[met]))
+        on = at < stop[row]
+        on[on] = ids[at[on]] >= 0
+        begun, row, at, node = begun[on], row[on], at[on], node[on]
+    row, begun, name, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 4
+    return row, begun - np.concatenate([[0], stop])[row], name, n
+
+
 def name_hits(texts: DataFrame, key: str, tokens: str, names: DataFrame, name: str, lead: int = 2) -> DataFrame:
-    """(key, name, at, n): where names occur in texts, both as arrays of tokens in columns of the name given; n: tokens of the name.
+    """(key, name, at, n): where names (text) occur in texts, both as arrays of tokens in columns of the name given; n: tokens of the name, at counts from 1.
+
+    Names that are few go to every task, which reads its texts once; nothing else of the texts leaves a task. More names meet texts in a join (`name_joins`)."""
+    few = carried(names.where(F.size(tokens) > 0).select(name, tokens).distinct(), tokens)
+    if few is None:
+        return name_joins(texts, key, tokens, names, name, lead)
+    of: dict[tuple, list[str]] = {}
+    for own, t in few:
+        of.setdefault(tuple(t), []).append(own)
+    tree, first = steps_of(list(of)), np.cumsum([0, *map(len, of.values())])
+    listed = [x for own in of.values() for x in own]
+
+    def run(batches: Iterator):
+        import pyarrow as pa
 
-    Names meet texts in one join, on their first `lead` tokens or on all if they have fewer. Longer names are then held against the tokens that follow, text
-    by text. `key` has to be unique; a null or empty array has no hits. The names are broadcast if they are few."""
+        own = pa.array(listed, pa.string())
+        for g in batches:
+            row, at, k, n = places(g.column(1), tree)
+            times = (first[1:] - first[:-1])[k]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            columns = [g.column(0).take(pa.array(np.repeat(row, times))), own.take(pa.array(np.repeat(first[k], times) + nth)), pa.array(np.repeat(at + 1, times).astype(np.int32)), pa.array(np.repeat(n, times).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, name, "at", "n"])
+
+    return texts.select(key, tokens).mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, {name} string, at int, n int")
+
+
+def name_joins(texts: DataFrame, key: str, tokens: str, names: DataFrame, name: str, lead: int = 2) -> DataFrame:
+    """As `name_hits`, for any number of names: they meet texts in one join, on their first `lead` tokens or on all if they have fewer. Longer names are then held against the tokens
+    that follow, text by text. `key` has to be unique; a null or empty array has no hits. The names are broadcast if they are few."""
     known = names.where(F.size(tokens) > 0).select(name, F.col(tokens).alias("__t"), F.array_join(F.slice(tokens, 1, lead), "\x01").alias("gram")).distinct()
     grams = texts.select(key, F.explode(runs(F.col(tokens), lead)).alias("g")).select(key, "g.*")
     met = grams.join(light(known, 200), "gram").select(key, name, "at", F.size("__t").alias("n"), "__t")
@@ -50,34 +129,64 @@ def masked(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, m
     """(key, text, n): whole texts with the names that they hold replaced by the marks of the names, the longest name first, in any case, at the edges of words;
     n: names replaced. Of names of one length the first in order goes first, of one name the leftmost; what a mark covers is not masked
     again. names: (name, mark), one mark a name; texts without a name stay as they are, null too."""
-    cutup = texts.select(key, F.col(text).alias("__text"), pieces(F.col(text)).alias("__own")).withColumn("__p", F.transform("__own", F.lower))
-    known = names.where(F.trim(name) != "").select(F.transform(pieces(F.col(name)), F.lower).alias("__p"), F.col(mark).alias("__mark")).withColumn("__name", F.array_join("__p", ""))
+    cutup = texts.select(key, F.col(text).alias("__text"), pieces(F.col(text)).alias("__own"))
+    cutup = cutup.select(key, "__text", F.transform("__own", F.lower).alias("__p"), F.transform("__own", F.octet_length).alias("__bytes"))
+    known = names.where(F.trim(name) != "").groupBy(name).agg(F.min(mark).alias("__mark")).select(F.transform(pieces(F.col(name)), F.lower).alias("__p"), "__mark").withColumn("__name", F.array_join("__p", ""))
     known = known.groupBy("__name", "__p").agg(F.min("__mark").alias("__mark"))
-    found = name_hits(cutup, key, "__p", known, "__name", 3).join(light(known.select("__name", "__mark"), 100), "__name")
-    spans = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.length("__name")).alias("longest"), F.col("__name").alias("name"), "at", "n", F.col("__mark").alias("mark")))).alias("__spans"))
-
-    def run(batches: Iterator):
+    schema = f"{key} {texts.schema[key].dataType.simpleString()}, text string, n long"
+
+    def put(text: str | None, spans: Iterator[tuple[int, int, str]]) -> tuple[str | None, int]:
+        """A text with the spans (from byte, to byte, mark), the first before others, replaced."""
+        own, marks = (text or "").encode(), {}
+        taken = bytearray(len(own))
+        for a, b, m in spans:
+            if not any(taken[a:b]):
+                taken[a:b] = b"\1" * (b - a)
+                marks[a] = (b, m)
+        parts, at = [], 0
+        for a in sorted(marks):
+            parts += [own[at:a], marks[a][1].encode()]
+            at = marks[a][0]
+        return (b"".join([*parts, own[at:]]).decode(), len(marks)) if marks else (text, 0)
+
+    def batch(keys, out: list[tuple[str | None, int]]):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays([keys, pa.array([x for x, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=[key, "text", "n"])
+
+    few = carried(known, "__p")
+    if few is not None:
+        few = sorted(few, key=lambda r: (-len(r["__name"]), r["__name"]))  # a name's number is its turn
+        tree, marks = steps_of([r["__p"] for r in few]), [r["__mark"] for r in few]
+
+        def run(batches: Iterator):
+            import pyarrow.compute as pc
+
+            for g in batches:
+                row, at, k, n = places(g.column(2), tree)
+                begin = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(g.column(2)), 0).to_numpy(zero_copy_only=False)]))
+                byte = np.cumsum(np.concatenate([[0], g.column(3).flatten().to_numpy(zero_copy_only=False)]))
+                order = np.lexsort((at, k, row))
+                row, at, k, n = row[order], at[order], k[order], n[order]
+                zero, first = byte[begin[row]], begin[row] + at
+                spans = list(zip((byte[first] - zero).tolist(), (byte[first + n] - zero).tolist(), [marks[i] for i in k.tolist()]))
+                bounds = np.searchsorted(row, np.arange(g.num_rows + 1)).tolist()
+                yield batch(g.column(0), [put(text, spans[a:b]) if b > a else (text, 0) for text, a, b in zip(g.column(1).to_pylist(), bounds, bounds[1:])])
+
+        return cutup.mapInArrow(run, schema)
+
+    found = name_joins(cutup, key, "__p", known, "__name", 3).join(light(known.select("__name", "__mark"), 100), "__name")
+    spans = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.length("__name")).alias("longest"), F.col("__name").alias("name"), "at", "n", F.col("__mark").alias("mark")))).alias("__spans"))
+
+    def run_joined(batches: Iterator):
         for g in batches:
-            out, times = [], []
-            for text, own, spans in zip(g.column(1).to_pylist(), g.column(2).to_pylist(), g.column(3).to_pylist()):
-                taken, put = bytearray(len(own or ())), {}
-                for s in spans or ():
-                    a, b = s["at"] - 1, s["at"] - 1 + s["n"]
-                    if not any(taken[a:b]):
-                        taken[a:b] = b"\1" * s["n"]
-                        put[a] = (b, s["mark"])
-                parts, at = [], 0
-                for a in sorted(put):
-                    parts += [*own[at:a], put[a][1]]
-                    at = put[a][0]
-                out.append("".join(parts + own[at:]) if put else text)
-                times.append(len(put))
-            yield pa.RecordBatch.from_arrays([g.column(0), pa.array(out, pa.string()), pa.array(times, pa.int64())], names=[key, "text", "n"])
-
-    joined = cutup.join(spans, key, "left").select(key, "__text", F.when(F.col("__spans").isNotNull(), F.col("__own")).alias("__own"), "__spans")
-    return joined.mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, text string, n long")
+            out = []
+            for text, sizes, spans in zip(g.column(1).to_pylist(), g.column(2).to_pylist(), g.column(3).to_pylist()):
+                byte = [0, *accumulate(sizes or ())]
+                out.append(put(text, ((byte[s["at"] - 1], byte[s["at"] - 1 + s["n"]], s["mark"]) for s in spans or ())))
+            yield batch(g.column(0), out)
+
+    return cutup.join(spans, key, "left").select(key, "__text", F.when(F.col("__spans").isNotNull(), F.col("__bytes")).alias("__bytes"), "__spans").mapInArrow(run_joined, schema)
 
 
 def prefix_join(titles: DataFrame, title: str, lines: DataFrame, line: str, lead: int = 8) -> DataFrame:

@@ -71,3 +71,37 @@ def test_names_are_met_in_one_join(spark):
     names = spark.createDataFrame([(" ".join("abcdefg"[i:j]),) for i in range(7) for j in range(i + 1, 8)], "name string").withColumn("t", F.split("name", " "))
     found = B.name_hits(docs, "id", "t", names, "name")
     assert found.count() == 28 and found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+
+
+ODD = {1: "Insulin glargine raises INSULIN; insulin-glargine and insulinoma.", 2: None, 3: "", 4: "insulin glargine of x y, Vitamin E. vitamin  e", 5: "ÉPO and c++, C++ c+ İnsulin ΣΑΣ", 6: "insulin " * 500, 7: "\x01 a\x01b", 8: "x y"}
+MARKS = {"insulin": "{ä}", "insulin glargine": "{b}", "glargine of x y": "{c}", "vitamin e": "{d}", "c++": "{f}", "épo": "{g}", "i̇nsulin": "{h}", "σας": "{i}", "a\x01b": "{j}", "x y": "{k}"}
+
+
+def tokened(df, column):
+    return df.withColumn("t", F.transform(B.pieces(F.col(column)), F.lower))
+
+
+def test_few_names_are_found_within_the_tasks_of_the_texts(spark):
+    """Texts are read once and go nowhere; the same hits and masks as when names are joined."""
+    docs = spark.createDataFrame(list(ODD.items()), "id long, text string")
+    names = spark.createDataFrame(list(MARKS.items()), "name string, mark string")
+    df = B.masked(docs, "id", "text", names, "name", "mark")
+    seen = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in seen and "Generate" not in seen and seen.count("regexp_extract_all") == 1
+    assert {r["id"]: (r["text"], r["n"]) for r in df.collect()} == {i: plain_mask(x, MARKS) for i, x in ODD.items()}
+    hits = B.name_hits(tokened(docs, "text"), "id", "t", tokened(names.unionByName(names.selectExpr("upper(name) AS name", "mark")), "name"), "name")
+    seen = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in seen and "Generate" not in seen
+    joined = B.name_joins(tokened(docs, "text"), "id", "t", tokened(names.unionByName(names.selectExpr("upper(name) AS name", "mark")), "name"), "name")
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, joined.collect())) and hits.dtypes == joined.dtypes
+
+
+def test_names_that_are_too_many_to_be_sent_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(B, "CARRIED", 0)
+    docs = spark.createDataFrame(list(ODD.items()), "id long, text string")
+    df = B.masked(docs, "id", "text", spark.createDataFrame(list(MARKS.items()), "name string, mark string"), "name", "mark")
+    assert "Join" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: (r["text"], r["n"]) for r in df.collect()} == {i: plain_mask(x, MARKS) for i, x in ODD.items()}
+    names = spark.createDataFrame([(x,) for x in ("b c d", "a", "c d")], "name string").withColumn("t", F.split("name", " "))
+    found = B.name_hits(spark.createDataFrame([(1, "a b c d")], "id long, text string").withColumn("t", F.split("text", " ")), "id", "t", names, "name")
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 1, 1), (1, "b c d", 2, 3), (1, "c d", 3, 2)]
