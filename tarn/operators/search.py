@@ -74,7 +74,7 @@ def passages(df: DataFrame, key: str, text: str, words: list[str], k: int = 2, m
 
 
 def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, own: DataFrame | None = None) -> DataFrame:
-    """(key, name): names whose words occur in texts, folded, in one equality join on their first words. own: (key, name), names that a text has
+    """(key, name): names whose words occur in texts, folded, as `name_hits` finds them. own: (key, name), names that a text has
     for its own and that don't count as mentioned."""
     words = lambda x: F.split(plain(F.col(x)), " ")
     wanted = names.select(F.col(name), words(name).alias("__p")).where(F.col("__p")[0] != "")

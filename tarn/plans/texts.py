@@ -155,12 +155,12 @@ def passages(t: Tables) -> DataFrame:
 
 @query()
 def mention_join(t: Tables) -> DataFrame:
-    """Sentences of the benchmark that documents mention, as an equality join on their first words; those that a document begins with are its own. DuckDB
+    """Sentences of the benchmark that documents mention, word by word; those that a document begins with are its own. DuckDB
     folds some letters otherwise, so a test holds this against brute force."""
     sentences = F.explode(F.split("text", r"[.!?\n]+"))
     folded = lambda x: X.plain(F.col(x))
     names = t.benchmark.select(sentences.alias("x")).select(folded("x").alias("name")).where("name != ''").distinct()
-    own = t.documents.select("doc_id", folded("text").alias("x"), F.get(F.split("text", r"[.!?\n]+"), F.lit(0)).alias("head")).select("doc_id", folded("head").alias("name")).where("name != ''")
+    own = t.documents.select("doc_id", folded("text").alias("x"), F.get(F.split("text", r"[.!?\n]+", 2), F.lit(0)).alias("head")).select("doc_id", folded("head").alias("name")).where("name != ''")
     return V.mentions(t.documents, "doc_id", "text", names, "name", own)
 
 

@@ -105,3 +105,9 @@ def test_names_that_are_too_many_to_be_sent_are_joined(spark, monkeypatch):
     names = spark.createDataFrame([(x,) for x in ("b c d", "a", "c d")], "name string").withColumn("t", F.split("name", " "))
     found = B.name_hits(spark.createDataFrame([(1, "a b c d")], "id long, text string").withColumn("t", F.split("text", " ")), "id", "t", names, "name")
     assert sorted(map(tuple, found.collect())) == [(1, "a", 1, 1), (1, "b c d", 2, 3), (1, "c d", 3, 2)]
+
+
+def test_mentions_send_no_words_of_documents(spark, sf):
+    """What leaves a task is a name that a document holds; only the names that it begins with are joined."""
+    seen = queries.queries()["mention_join"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert seen.count("Join") == 1 and "LeftAnti" in seen and "Generate" not in seen and seen.count("MapInArrow") == 1
