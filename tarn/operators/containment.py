@@ -84,6 +84,13 @@ def places(texts, tree: tuple) -> tuple[np.ndarray, ...]:
     return row, begun - np.concatenate([[0], stop])[row], name, n
 
 
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Record batches in pieces of a bounded number of rows, so that what is worked out for a piece stays small."""
+    for g in batches:
+        for i in range(0, g.num_rows, rows):
+            yield g.slice(i, rows)
+
+
 def name_hits(texts: DataFrame, key: str, tokens: str, names: DataFrame, name: str, lead: int = 2) -> DataFrame:
     """(key, name, at, n): where names (text) occur in texts, both as arrays of tokens in columns of the name given; n: tokens of the name, at counts from 1.
 
@@ -101,7 +108,7 @@ def name_hits(texts: DataFrame, key: str, tokens: str, names: DataFrame, name: s
         import pyarrow as pa
 
         own = pa.array(listed, pa.string())
-        for g in batches:
+        for g in slices(batches):
             row, at, k, n = places(g.column(1), tree)
             times = (first[1:] - first[:-1])[k]
             nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -162,7 +169,7 @@ def masked(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, m
         def run(batches: Iterator):
             import pyarrow.compute as pc
 
-            for g in batches:
+            for g in slices(batches):
                 row, at, k, n = places(g.column(2), tree)
                 begin = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(g.column(2)), 0).to_numpy(zero_copy_only=False)]))
                 byte = np.cumsum(np.concatenate([[0], g.column(3).flatten().to_numpy(zero_copy_only=False)]))
