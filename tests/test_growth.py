@@ -100,6 +100,15 @@ def test_pairs_of_every_product(spark, tmp_path, monkeypatch):
     assert rows(spark, tmp_path, "class_pairs") == sorted((a, b, "major") for a in range(1, 6) for b in range(6, 12) if frozenset((a, b)) not in linked)
 
 
+def test_pairs_of_a_name_take_little_room(spark, tmp_path):
+    """Other products stand in one order after each product, so that a written result repeats itself."""
+    spark.range(6400).selectExpr("id AS p_partkey", "concat('name ', id % 16) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(6400).selectExpr("id % 3000 AS l_orderkey", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries.queries()["shared_neighbor_alternatives"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    n = spark.read.parquet(f"{tmp_path}/out").count()
+    assert n == 16 * 400 * 399 - 2 * 400 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * n
+
+
 def test_walks_are_made_once_in_tasks_that_grow(spark, tmp_path, monkeypatch):
     """No step is left to a fixed number of tasks; of a walk and its way back one is made; walks back to their own start are two."""
     monkeypatch.setattr(G, "TASK_ROWS", 20)
