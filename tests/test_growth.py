@@ -109,6 +109,14 @@ def test_pairs_of_a_name_take_little_room(spark, tmp_path):
     assert n == 16 * 400 * 399 - 2 * 400 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * n
 
 
+def test_pairs_of_classes_take_little_room(spark, tmp_path):
+    spark.range(12000).selectExpr("id AS p_partkey", "concat('B', id % 8) AS p_brand", "IF(id DIV 8 % 2 = 0, 'ECONOMY', 'PROMO') AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2).selectExpr("1 AS l_orderkey", "8 * id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries.queries()["class_pairs"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    n = spark.read.parquet(f"{tmp_path}/out").count()
+    assert n == 8 * (750 * 751 // 2) - 1 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * n
+
+
 def test_walks_are_made_once_in_tasks_that_grow(spark, tmp_path, monkeypatch):
     """No step is left to a fixed number of tasks; of a walk and its way back one is made; walks back to their own start are two."""
     monkeypatch.setattr(G, "TASK_ROWS", 20)
