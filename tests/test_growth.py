@@ -1,5 +1,8 @@
 """Steps whose work follows their input, against plain Python on small odd tables."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tarn.operators import containment as B
@@ -142,3 +145,29 @@ def test_walks_are_made_once_in_tasks_that_grow(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, df.collect())) == sorted((*k, len(v), float(max(v))) for k, v in found.items()) and any(a == b for a, b, _ in found)
     dealt = [x for x in plan(df).splitlines() if "RepartitionByExpression" in x]
     assert len(dealt) >= 8 and not any(x.rstrip().endswith("], 1") for x in dealt) and sum("RepartitionByExpression [a" in x for x in dealt) == 3
+
+
+def test_walks_are_sent_packed(spark, sf, monkeypatch):
+    """Packs of walks, of ids of any sign and size, give each two ends in both directions with their number and risk, and are a few bytes a walk once compressed; edges are dealt by one end and not sent again."""
+    monkeypatch.setattr(G, "WALKS", 300)
+    draw = random.Random(7)
+    for ids in ([*range(0, 900, 50)], [-(2**62), -3, 0, 5, 2**31, 2**62]):
+        walks = [(draw.choice(ids), draw.choice(ids), float(draw.randint(3, 9))) for _ in range(2000)]
+        found = {}
+        for a, b, risk in walks:
+            for x in [(a, b), (b, a)]:
+                found.setdefault(x, []).append(risk)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*walks[i : i + 70])], ["first", "last", "risk"]) for i in range(0, 2000, 70)]
+        sent = list(G._sent(batches, 3))
+        got = [tuple(r.values()) for batch in G._counted(iter(sent)) for r in batch.to_pylist()]
+        assert got == sorted((*k, len(v), max(v)) for k, v in found.items()) and len(sent) > 5
+    assert list(G._counted(iter([]))) == [] and list(G._sent(iter([]), 3)) == []
+    monkeypatch.setattr(G, "WALKS", 1 << 20)
+    many = pa.RecordBatch.from_arrays([pa.array([draw.randrange(0, 1_200_000, 50) for _ in range(100_000)]) for _ in "ab"] + [pa.array([float(draw.randint(3, 5)) for _ in range(100_000)])], ["first", "last", "risk"])
+    (packs,) = G._sent([many], 4)
+    assert sum(len(pa.compress(x.as_py(), "lz4", asbytes=True)) for x in packs.column(1)) < 7 * 100_000
+    dealt = [x for x in plan(queries.queries()["paths_le3"](spark, sf)).splitlines() if "RepartitionByExpression" in x]
+    assert sum("RepartitionByExpression [src" in x for x in dealt) <= 3 and sum("RepartitionByExpression [ab" in x for x in dealt) == 1
+    whole = rows(spark, sf, "paths_le3")
+    monkeypatch.setattr(G, "BESIDE", 1)
+    assert len(whole) > 3 and rows(spark, sf, "paths_le3") == whole
