@@ -120,6 +120,15 @@ def test_pairs_of_classes_take_little_room(spark, tmp_path):
     assert n == 8 * (750 * 751 // 2) - 1 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * n
 
 
+def test_left_rows_travel_in_slices(spark):
+    """Rows of one key with the same other columns are sent as arrays; rows of the left that repeat are kept, those without an id fall out."""
+    left = spark.createDataFrame([(i // 2, "k", "x" if i % 3 else None) for i in range(600)] + [(None, "k", "x")], "a long, key string, more string")
+    right = spark.createDataFrame([(i, "k") for i in (1, 1, 2, None)], "b long, key string")
+    df = G.unlinked(left, "a", right, "b", ["key"], spark.createDataFrame([(0, 1), (0, 9), (7, 2)], "src long, dst long"))
+    met = sorted(((i // 2, "k", "x" if i % 3 else "", b) for i in range(600) for b in (1, 1, 2) if (i // 2, b) not in ((0, 1), (7, 2))))
+    assert sorted((r["a"], r["key"], r["more"] or "", r["b"]) for r in df.collect()) == met and "collect_list(a" in plan(df)
+
+
 def test_walks_are_made_once_in_tasks_that_grow(spark, tmp_path, monkeypatch):
     """No step is left to a fixed number of tasks; of a walk and its way back one is made; walks back to their own start are two."""
     monkeypatch.setattr(G, "TASK_ROWS", 20)
